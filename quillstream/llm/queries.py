@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from .frames import Workspace, table
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_array import repeated_bytes
+
+    return repeated_bytes(table(spark, sf_dir, "documents"), Workspace(spark, "op1")).drop("kept")
+
+
+def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import repeated_words
+
+    return repeated_words(table(spark, sf_dir, "documents"), Workspace(spark, "op3")).drop("kept")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_rules
 
@@ -45,6 +57,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_suffix_array": op1_suffix_array,
+        "op3_substring": op3_substring,
         "op2_quality_rules": op2_quality_rules,
         "op6_line_dedup": op6_line_dedup,
         "op7_decontaminate": op7_decontaminate,
