@@ -28,6 +28,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "boiler_words")
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), Workspace(spark, "op5"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup
 
@@ -60,6 +66,7 @@ def queries() -> dict:
         "op1_suffix_array": op1_suffix_array,
         "op3_substring": op3_substring,
         "op2_quality_rules": op2_quality_rules,
+        "op5_minhash": op5_minhash,
         "op6_line_dedup": op6_line_dedup,
         "op7_decontaminate": op7_decontaminate,
         "op8_mix": op8_mix,
