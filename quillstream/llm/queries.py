@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .frames import Workspace, table
 
@@ -61,6 +62,14 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    return score(docs, fit(docs, labels, Workspace(spark, "op10"), fold != 2), fold == 2)
+
+
 def queries() -> dict:
     return {
         "op1_suffix_array": op1_suffix_array,
@@ -71,4 +80,5 @@ def queries() -> dict:
         "op7_decontaminate": op7_decontaminate,
         "op8_mix": op8_mix,
         "op9_token_counts": op9_token_counts,
+        "op10_toxicity": op10_toxicity,
     }
