@@ -29,6 +29,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "boiler_words")
 
 
+def op4_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .interpolation import interpolated_scores
+
+    fold = lambda: F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
+    return interpolated_scores(table(spark, sf_dir, "documents"), Workspace(spark, "op4"), fold)
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -75,6 +82,7 @@ def queries() -> dict:
         "op1_suffix_array": op1_suffix_array,
         "op3_substring": op3_substring,
         "op2_quality_rules": op2_quality_rules,
+        "op4_interpolation": op4_interpolation,
         "op5_minhash": op5_minhash,
         "op6_line_dedup": op6_line_dedup,
         "op7_decontaminate": op7_decontaminate,
