@@ -2,13 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
+def query(name: str, sql: str | None = None) -> Callable:
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from . import classification_queries, item_queries, run_queries, scalar_queries, source_queries, state_queries  # noqa: F401
+
+
 def queries() -> dict:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
+    _load()
     return dict(ORACLES)
