@@ -8,28 +8,28 @@ from pyspark.sql import functions as F
 from ..functions.urls import host, is_http_url
 
 #: Our own patterns; the first that matches names the reason.
-STRUCTURAL = {"content.navigation_page": r"(?iu)^(home|menu|sitemap|index)$", "content.login_page": r"(?iu)^(log ?in|sign ?in|register)$", "content.contact_page": r"(?iu)^(contact|about) us$"}
+STRUCTURAL = {"content.navigation_page": r"(?iU)^(home|menu|sitemap|index)$", "content.login_page": r"(?iU)^(log ?in|sign ?in|register)$", "content.contact_page": r"(?iU)^(contact|about) us$"}
 LOW_VALUE = {
-    "content.recruitment": r"(?iu)\b(we are hiring|join our team|vacanc(y|ies))\b|招聘",
-    "content.course": r"(?iu)\b(training course|webinar replay)\b|培训班",
-    "content.advert": r"(?iu)\b(limited offer|buy now|discount)\b|优惠",
-    "content.greeting": r"(?iu)\bhappy new year\b|节日快乐",
-    "content.personnel": r"(?iu)\bappointed as\b|任命",
-    "content.visit": r"(?iu)\bvisited the\b|调研",
-    "content.stock": r"(?iu)\bshare price\b|股价",
-    "content.empty_cooperation": r"(?iu)\bstrategic cooperation\b|战略合作",
+    "content.recruitment": r"(?iU)\b(we are hiring|join our team|vacanc(y|ies))\b|招聘",
+    "content.course": r"(?iU)\b(training course|webinar replay)\b|培训班",
+    "content.advert": r"(?iU)\b(limited offer|buy now|discount)\b|优惠",
+    "content.greeting": r"(?iU)\bhappy new year\b|节日快乐",
+    "content.personnel": r"(?iU)\bappointed as\b|任命",
+    "content.visit": r"(?iU)\bvisited the\b|调研",
+    "content.stock": r"(?iU)\bshare price\b|股价",
+    "content.empty_cooperation": r"(?iU)\bstrategic cooperation\b|战略合作",
 }
-MEETING, SUBSTANCE = r"(?iu)\b(meeting|forum|conference)\b|会议", r"(?iu)\b(released?|launch(ed)?|published|award(ed)?)\b|发布"
+MEETING, SUBSTANCE = r"(?iU)\b(meeting|forum|conference)\b|会议", r"(?iU)\b(released?|launch(ed)?|published|award(ed)?)\b|发布"
 PAGE = r"(?i)/(login|signin|register|contact)(/|\.|\?|$)"
 POSITIVE = {
-    "product_update": (r"(?iu)\b(release|launch|version|update|thing)", 35),
-    "policy_standard": (r"(?iu)\b(policy|standard|regulation|that)\b", 35),
-    "report_release": (r"(?iu)\b(report|paper|with)\b", 30),
-    "award_result": (r"(?iu)\b(award|winner|und)\b", 35),
-    "case_analysis": (r"(?iu)\b(case|practice|los)\b", 35),
-    "application_opportunity": (r"(?iu)\b(call for|tender|les)\b", 30),
+    "product_update": (r"(?iU)\b(release|launch|version|update|thing)", 35),
+    "policy_standard": (r"(?iU)\b(policy|standard|regulation|that)\b", 35),
+    "report_release": (r"(?iU)\b(report|paper|with)\b", 30),
+    "award_result": (r"(?iU)\b(award|winner|und)\b", 35),
+    "case_analysis": (r"(?iU)\b(case|practice|los)\b", 35),
+    "application_opportunity": (r"(?iU)\b(call for|tender|les)\b", 30),
 }
-RELEVANCE = r"(?iu)\b(ai|model|agent|the)\b"
+RELEVANCE = r"(?iU)\b(ai|model|agent|the)\b"
 TIER_POINTS = {"government": 10, "official_company": 8, "association": 7, "authoritative_media": 5}
 RELEASE = {
     "github.prerelease": r"(?i)\b(alpha|beta|rc\d*|preview|nightly)\b",
@@ -70,7 +70,7 @@ def admit(title: Column, summary: Column, url: Column, published: Column, source
     for name, pattern in LOW_VALUE.items():
         reason = reason.when(full.rlike(pattern), name)
     reason = reason.when(full.rlike(MEETING) & ~full.rlike(SUBSTANCE), "content.ordinary_meeting")
-    reason = reason.when((source["role"] == "official_policy") & full.rlike(r"(?iu)\bproduct\b") & ~full.rlike(POSITIVE["policy_standard"][0]), "role.not_policy")
+    reason = reason.when((source["role"] == "official_policy") & full.rlike(r"(?iU)\bproduct\b") & ~full.rlike(POSITIVE["policy_standard"][0]), "role.not_policy")
     hits = F.size(F.filter(source["include_terms"], lambda t: F.contains(text, F.lower(t))))
     reason = reason.when((F.size(source["include_terms"]) > 0) & (hits == 0), "source.include_term_missing")
     points = {

@@ -40,7 +40,7 @@ RULES = [
 TOPIC_TERMS = {"model": ["thing"], "agent": ["edon"], "api": ["inin"], "open_source": ["thand"], "policy": ["that the"], "standard": ["with the"], "award": ["keit"], "case": ["mente"], "safety_governance": ["disgusting"]}
 INDUSTRY_TERMS = {"government": ["ofthe"], "finance": ["eaux"], "energy": ["ción"], "transport": ["erth"], "education": ["schen"]}
 TRUSTED = ["official_confirmed", "official_linked", "multi_source_confirmed"]
-RUMOR = r"(?iu)\b(rumou?r|reportedly|idiot)\b|传闻"
+RUMOR = r"(?iU)\b(rumou?r|reportedly|idiot)\b|传闻"
 
 
 def _any(text: Column, terms) -> Column:

@@ -18,7 +18,7 @@ def fingerprint_hash(spark, d):
     return X.items(spark, d).select("id", T.fingerprint(T.normalize_fast(F.col("title"))).alias("fingerprint"))
 
 
-@query("normalize_text_exact", X.WITH + f"SELECT id, {_NORMAL.format('title')} AS normal FROM items")
+@query("normalize_text_exact", X.WITH + f"SELECT id, replace({_NORMAL.format('title')}, 'ß', 'ss') AS normal FROM items")
 def normalize_text_exact(spark, d):
     return X.items(spark, d).select("id", T.normalize_text("title").alias("normal"))
 
@@ -92,7 +92,7 @@ def weekday_mask(spark, d):
     return X.table(spark, d, "events").select("event_id", mask.alias("mask"), D.has_weekday(mask, F.to_date("ts")).alias("due"))
 
 
-@query("epoch_and_iso", "SELECT event_id, CAST(epoch(ts) AS BIGINT) AS iso, CASE WHEN event_id % 5 > 0 THEN event_id % 5 END AS seconds, CASE WHEN event_id % 5 > 0 THEN event_id % 5 END AS millis FROM events")
+@query("epoch_and_iso", "SELECT event_id, epoch_us(ts) // 1000000 AS iso, CASE WHEN event_id % 5 > 0 THEN event_id % 5 END AS seconds, CASE WHEN event_id % 5 > 0 THEN event_id % 5 END AS millis FROM events")
 def epoch_and_iso(spark, d):
     text = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     n = F.col("event_id") % 5

@@ -1 +1,159 @@
-"""Queries."""
+"""Upsert, parsing and late-data queries (UPS-1 to UPS-8, SRC-3, SRC-11, SRC-23, SRC-28, CLS-13, STR-4, SINK-3)."""
+
+from __future__ import annotations
+
+from datetime import datetime
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions import urls as U
+from ..operators import items as I
+from ..operators import upsert as P
+from . import fixtures as X
+from .registry import query
+
+# the first 60 percent of the documents are stored; all of them come again with a few keys changed
+_STORE = "SELECT id, source_id, concat('https://h.example/', CAST(id % 700 AS VARCHAR(20))) AS canonical_url, title AS fingerprint, title FROM (SELECT *, row_number() OVER (PARTITION BY id % 700 ORDER BY id) AS k, row_number() OVER (PARTITION BY source_id, title ORDER BY id) AS m FROM items) WHERE id % 10 < 6 AND k = 1 AND m = 1"
+_BATCH = "SELECT id AS rowno, source_id, concat('https://h.example/', CAST((id * 3) % 900 AS VARCHAR(20))) AS canonical_url, title AS fingerprint, title, category FROM items"
+
+
+def _store(spark, d):
+    a, b = Window.partitionBy(F.col("id") % 700).orderBy("id"), Window.partitionBy("source_id", "title").orderBy("id")
+    rows = X.items(spark, d).withColumn("k", F.row_number().over(a)).withColumn("m", F.row_number().over(b)).filter("id % 10 < 6 AND k = 1 AND m = 1")
+    return rows.select("id", "source_id", F.concat(F.lit("https://h.example/"), F.col("id") % 700).alias("canonical_url"), F.col("title").alias("fingerprint"), "title")
+
+
+def _batch(spark, d):
+    return X.items(spark, d).select(F.col("id").alias("rowno"), "source_id", F.concat(F.lit("https://h.example/"), (F.col("id") * 3) % 900).alias("canonical_url"), F.col("title").alias("fingerprint"), "title", "category")
+
+
+@query(
+    "upsert_match",
+    X.WITH
+    + f""", store AS ({_STORE}), batch AS ({_BATCH}) SELECT b.rowno, coalesce(u.id, f.id) AS stored_id, coalesce(u.source_id, f.source_id) AS stored_source FROM batch b LEFT JOIN store u ON b.canonical_url = u.canonical_url
+    LEFT JOIN store f ON b.source_id = f.source_id AND b.fingerprint = f.fingerprint""",
+)
+def upsert_match(spark, d):
+    return P.match(_batch(spark, d), _store(spark, d)).select("rowno", "stored_id", "stored_source")
+
+
+@query("upsert_first_wins")
+def upsert_first_wins(spark, d):
+    rows = P.match(_batch(spark, d), _store(spark, d)).filter("stored_id IS NULL").select("rowno", "source_id", "canonical_url", "fingerprint")
+    return P.first_wins(rows)
+
+
+_REVISED = "CASE WHEN id % 4 = 0 THEN concat(title, '!') ELSE title END AS title, CASE WHEN id % 6 = 0 THEN NULL ELSE summary END AS summary"
+
+
+@query(
+    "upsert_diff_revision",
+    X.WITH
+    + f""", fresh AS (SELECT id, {_REVISED} FROM items) SELECT i.id, concat_ws(',', CASE WHEN i.title IS DISTINCT FROM f.title THEN 'title' END, CASE WHEN i.summary IS DISTINCT FROM f.summary THEN 'summary' END) AS changed,
+    CASE WHEN i.title IS DISTINCT FROM f.title OR i.summary IS DISTINCT FROM f.summary THEN 'updated' ELSE 'skipped' END AS outcome FROM items i JOIN fresh f ON i.id = f.id""",
+)
+def upsert_diff_revision(spark, d):
+    old = X.items(spark, d).select("id", "source_id", "title", "summary")
+    new = old.selectExpr("id", *_REVISED.replace(", CASE", "|CASE").split("|")).select("id", F.col("title").alias("t"), F.col("summary").alias("s"))
+    changed = P.revision({"title": F.col("title"), "summary": F.col("summary")}, {"title": F.col("t"), "summary": F.col("s")})
+    rows = old.join(new, "id").withColumn("c", changed)
+    return rows.select("id", F.array_join("c", ",").alias("changed"), P.outcome(F.col("source_id"), F.col("source_id"), F.col("c"), F.lit(False)).alias("outcome"))
+
+
+@query(
+    "cross_source_discoveries",
+    "SELECT user_id AS item_id, event_type AS source_id, epoch_us(min(ts)) AS first_seen, epoch_us(max(ts)) AS last_seen, count(*) AS times FROM events GROUP BY user_id, event_type",
+)
+def cross_source_discoveries(spark, d):
+    hits = X.table(spark, d, "events").select(F.col("user_id").alias("item_id"), F.col("event_type").alias("source_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return P.discoveries(hits)
+
+
+@query(
+    "date_carry_forward",
+    "SELECT conv_id, turn, last_value(CASE WHEN turn % 3 = 0 THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS heading FROM conversations",
+)
+def date_carry_forward(spark, d):
+    order = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    return X.table(spark, d, "conversations").select("conv_id", "turn", F.last(F.when(F.col("turn") % 3 == 0, F.col("turn")), ignorenulls=True).over(order).alias("heading"))
+
+
+@query("html_links", "SELECT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*href=\"([^\"]+)\"', 1)) AS href FROM pages")
+def html_links(spark, d):
+    hrefs = F.regexp_extract_all("html", F.lit(r'<a\s[^>]*href="([^"]+)"'), 1)
+    return X.table(spark, d, "pages").select("page_id", F.explode(hrefs).alias("href"))
+
+
+@query(
+    "path_prefix_share",
+    """SELECT host, segment, n, n * 1.0 / total >= 0.6 AND n >= 3 AS dominant FROM (SELECT host, segment, n, sum(n) OVER (PARTITION BY host) AS total, row_number() OVER (PARTITION BY host ORDER BY n DESC, segment) AS k FROM (
+    SELECT lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host, regexp_extract(url, '^https?://[^/?#]+/([^/?#]+)', 1) AS segment, count(*) AS n FROM pages GROUP BY ALL) WHERE segment <> '') WHERE k = 1""",
+)
+def path_prefix_share(spark, d):
+    counts = X.table(spark, d, "pages").groupBy(U.host(F.col("url")).alias("host"), U.first_segment(F.col("url")).alias("segment")).agg(F.count(F.lit(1)).alias("n")).filter("segment is not null")
+    ranked = counts.groupBy("host").agg(F.min_by(F.struct("segment", "n"), F.struct(-F.col("n"), F.col("segment"))).alias("top"), F.sum("n").alias("total"))
+    return ranked.select("host", "top.segment", "top.n", ((F.col("top.n") / F.col("total") >= 0.6) & (F.col("top.n") >= 3)).alias("dominant"))
+
+
+@query("page_titles", "SELECT page_id, replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&amp;', '&') AS title FROM pages")
+def page_titles(spark, d):
+    return X.table(spark, d, "pages").select("page_id", F.coalesce(T.strip_tags(F.regexp_extract("html", r"<title>([^<]*)</title>", 1)), F.lit("")).alias("title"))
+
+
+@query(
+    "crawl_range_inclusive",
+    X.WITH + "SELECT source_id, count(*) AS total, count(*) FILTER (WHERE NOT (published_at IS NULL OR published_at BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-25')) AS outside FROM items GROUP BY source_id",
+)
+def crawl_range_inclusive(spark, d):
+    inside = F.col("published_at").isNull() | F.col("published_at").between(F.lit(datetime(2024, 1, 3)), F.lit(datetime(2024, 1, 25)))
+    return X.items(spark, d).groupBy("source_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(~inside).alias("outside"))
+
+
+@query(
+    "retention_and_late_counts",
+    "SELECT event_type, count(*) AS total, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-10') AS late, epoch_us(max(ts)) AS newest FROM events GROUP BY event_type",
+)
+def retention_and_late_counts(spark, d):
+    rows = X.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("ts") < F.lit(datetime(2024, 1, 10))).alias("late"), F.unix_micros(F.max("ts")).alias("newest"))
+
+
+@query(
+    "export_grouped_numbering",
+    X.WITH
+    + f"""SELECT id, CAST(row_number() OVER (PARTITION BY type ORDER BY {X.RECENT}) AS INTEGER) AS number, CAST(dense_rank() OVER (ORDER BY turn) AS INTEGER) AS chapter FROM (SELECT *, coalesce(manual_primary_type, primary_type) AS type,
+    list_position(['unclassified', 'product_update', 'policy_standard', 'application_opportunity', 'award_result', 'report_release', 'case_analysis', 'industry_signal'], coalesce(manual_primary_type, primary_type)) AS turn FROM items WHERE is_active)""",
+)
+def export_grouped_numbering(spark, d):
+    from ..operators.exports import chapters
+
+    return chapters(X.items(spark, d).filter("is_active")).select("id", "number", "chapter")
+
+
+@query(
+    "batch_response_validation",
+    """SELECT doc_id AS id, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'duplicate_id' WHEN confidence < 0 OR confidence > 1 THEN 'bad_confidence' ELSE 'ok' END AS result FROM documents d
+    LEFT JOIN (SELECT id, count(*) AS n, max(confidence) AS confidence FROM (SELECT doc_id AS id, quality * 0.75 + toxic * 0.5 AS confidence FROM labels UNION ALL SELECT doc_id, 0.5 FROM labels WHERE doc_id % 20 = 0) GROUP BY id) r ON d.doc_id = r.id""",
+)
+def batch_response_validation(spark, d):
+    from ..operators.ai import validate_batch
+
+    labels = X.table(spark, d, "labels")
+    rows = labels.select(F.col("doc_id").alias("id"), (F.col("quality") * 0.75 + F.col("toxic") * 0.5).alias("confidence"))
+    rows = rows.unionByName(labels.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("id"), F.lit(0.5).alias("confidence")))
+    answers = rows.select(F.to_json(F.struct("id", F.lit("model_technology").alias("category"), "confidence")).alias("answer"))
+    return validate_batch(X.table(spark, d, "documents").select(F.col("doc_id").alias("id")), answers).select("id", "result")
+
+
+@query("effective_cutoff", X.WITH + "SELECT id, CAST(epoch(greatest(CASE WHEN id % 2 = 0 THEN TIMESTAMP '2024-01-05' END, CASE WHEN id % 3 = 0 THEN TIMESTAMP '2024-01-08' END)) AS BIGINT) AS cutoff FROM sources")
+def effective_cutoff(spark, d):
+    a, b = F.when(F.col("id") % 2 == 0, F.lit(datetime(2024, 1, 5))), F.when(F.col("id") % 3 == 0, F.lit(datetime(2024, 1, 8)))
+    return X.sources(spark, d).select("id", F.unix_timestamp(F.greatest(a, b)).alias("cutoff"))
+
+
+@query("top_items_by_type", X.WITH + f"SELECT type, id FROM (SELECT coalesce(manual_primary_type, primary_type) AS type, id, row_number() OVER (PARTITION BY coalesce(manual_primary_type, primary_type) ORDER BY {X.RECENT}) AS k FROM items) WHERE k <= 3")
+def top_items_by_type(spark, d):
+    rows = X.items(spark, d).withColumn("type", I.effective("manual_primary_type", "primary_type"))
+    return I.top_per_key(rows, "type", 3, I.recency()).select("type", "id")
