@@ -157,7 +157,9 @@ def repeated_starts(docs: DataFrame, codes: Codes, shape: Shape, ws: Workspace)
             tuples = next_round(joined, codes, shape, size)
         tuples = ws.save(tuples, f"tuples{level}")
         cores = tuples.groupBy("core").agg(F.sum("n").alias("total"), F.min("span").alias("low"), F.max("span").alias("high"))
+        # a table of its own, so that both sides of the join are shuffled and a hot core's rows can be split
         cores = cores.filter("total > 1").select(F.col("core").alias("c"), (F.col("low") == F.col("high")).alias("single"))
+        cores = ws.save(cores, f"cores{level}")
         repeats = ws.save(tuples.join(cores.hint("merge"), F.col("core") == F.col("c")).drop("c", "core"), f"repeats{level}")
         ws.drop(f"tuples{level}")
         place = F.struct("doc_id", "body", "s", "e", "owner")
