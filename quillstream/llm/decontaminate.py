@@ -134,4 +134,4 @@ def matches(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, m
 def decontaminate(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS) -> DataFrame:
     """The documents that hold no test item."""
     bad = matches(docs, items, error_rate, min_chars).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(bad.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")

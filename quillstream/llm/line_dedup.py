@@ -47,12 +47,12 @@ def line_dedup(docs: DataFrame, ws: Workspace) -> DataFrame:
     place = F.struct("doc_id", "body", "pos")
     first = windows.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("final")).filter(F.col("first") != F.col("final"))
     covered = (
-        windows.join(first.select("window", "first"), "window")
+        windows.join(first.select("window", "first").hint("merge"), "window")
         .filter(F.col("first") != place)
         .groupBy(F.col("doc_id").alias("_id"), F.col("body").alias("_body"))
         .agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("_gone"))
     )
-    out = docs.withColumn("_key", body).join(covered, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_body")), "left")
+    out = docs.withColumn("_key", body).join(covered.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_body")), "left")
     kept = F.array_join(
         F.filter(F.split(F.col("text"), "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n"
     )

@@ -238,4 +238,4 @@ def keep_one(docs: DataFrame, ws: Workspace, n: int = 5, percent: int = 75) -> D
     """The documents that are the smallest of their groups."""
     gone = near_duplicates(docs, ws, n, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     gone = ws.save(gone, "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
