@@ -11,12 +11,12 @@ from quillstream.llm.decontaminate import decontaminate as _decontaminate
 from quillstream.llm.frames import Workspace, shared_dir, table
 from quillstream.llm.line_dedup import line_dedup as _line_dedup
 from quillstream.llm.mixing import mix as _mix
-from quillstream.llm.quality import quality_rules as _quality_rules
+from quillstream.llm.quality import passing as _passing
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or are depleted of their own lines go."""
-    return _quality_rules(docs, Workspace(spark, "quality")).filter("kept").select(*docs.columns)
+    return _passing(docs, Workspace(spark, "quality"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

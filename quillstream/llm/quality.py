@@ -80,14 +80,18 @@ def text_counts(text: Column) -> list[Column]:
     ]
 
 
+def _body() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.length("text"))
+
+
 def quality_rules(
     docs: DataFrame, ws: Workspace, host: str = "source", min_docs: int = 10, max_share: float = 0.02, min_left: float = 0.3
 ) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, boiler_words, base_failed and kept.
+    """doc_id, host, body (a hash of the text), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, boiler_words, base_failed, kept.
 
     Shuffles only line hashes (pre-aggregated by text) and the few boilerplate totals, never texts.
     """
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.length("text"))
+    key = _body()
     normal = F.transform(content_lines(F.col("text")), lambda x: F.trim(F.regexp_replace(F.lower(x), SPACES, " ")))
     per_line = F.transform(normal, lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).alias("words")))
     lines = (
@@ -117,14 +121,19 @@ def quality_rules(
     )
     boiler = ws.save(boiler, "boiler")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    out = (
-        docs.withColumn("_key", key)
-        .join(boiler, F.col(host).eqNullSafe(F.col("_host")) & (F.col("_key") == F.col("_body")), "left")
-        .select(*[docs[c] for c in docs.columns if c not in COUNTS], *text_counts(F.col("text")), F.coalesce("boiler_words", F.lit(0)).alias("boiler_words"))
-    )
-    return out.withColumn("base_failed", failed).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("n_words") - F.col("boiler_words") >= min_left * F.col("n_words"))
+    counts = docs.select("doc_id", F.col(host).alias("host"), key.alias("body"), *text_counts(F.col("text"))).withColumn("base_failed", failed)
+    left = F.col("n_words") - F.col("boiler_words")
+    return (
+        counts.join(boiler, F.col("host").eqNullSafe(F.col("_host")) & (F.col("body") == F.col("_body")), "left")
+        .drop("_host", "_body")
+        .withColumn("boiler_words", F.coalesce("boiler_words", F.lit(0)))
+        .withColumn("kept", ~F.col("base_failed") & (left >= min_left * F.col("n_words")))
     )
 
 
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "boiler_words", "base_failed", "kept"]
+def passing(docs: DataFrame, ws: Workspace, host: str = "source", **rules) -> DataFrame:
+    """The documents that the quality rules keep."""
+    bad = quality_rules(docs, ws, host, **rules).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("body").alias("_body")).distinct()
+    bad = ws.save(bad, "rejected")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col(host).eqNullSafe(F.col("_host")) & (_body() == F.col("_body"))
+    return docs.join(bad.hint("merge"), same, "left_anti")
