@@ -186,9 +186,9 @@ def near_duplicates(docs: DataFrame, ws: Workspace, n: int = 5, percent: int = 7
         .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch", "bands").dropDuplicates(["id"]),
         "reps",
     )
-    members = reps.select("id", F.posexplode("bands").alias("band", "key")).withColumn("key", F.xxhash64("band", "key")).select("id", "key")
+    members = reps.select("id", F.posexplode("bands").alias("band", "key")).withColumn("key", F.xxhash64("band", "key")).select("id", "band", "key")
     buckets = members.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = ws.save(members.join(buckets.hint("merge"), "key").select("key", "id", "hub"), "members")
+    members = ws.save(members.join(buckets.hint("merge"), "key").select("key", "band", "id", "hub"), "members")
     slim = reps.select("id", "n", "sketch")
     floor = percent / 100 - MARGIN
 
@@ -207,15 +207,18 @@ def near_duplicates(docs: DataFrame, ws: Workspace, n: int = 5, percent: int = 7
     found = None if empty else components(links, ws, "1")
     # second round: buckets that hold several components
     placed = members if found is None else members.join(found.hint("merge"), "id", "left")
-    placed = placed.select("key", "id", (F.col("id") if found is None else F.coalesce("root", "id")).alias("comp"))
-    placed = ws.save(placed.join(slim.hint("merge"), "id"), "placed")
+    placed = placed.select("key", "band", "id", (F.col("id") if found is None else F.coalesce("root", "id")).alias("comp"))
+    placed = ws.save(placed, "placed")
     split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select(F.col("key").alias("k"))
-    still = ws.save(placed.join(split.hint("merge"), F.col("key") == F.col("k"), "left_semi"), "still")
-    x = still.select(F.col("key").alias("kx"), F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    y = still.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    still = placed.join(split.hint("merge"), F.col("key") == F.col("k"), "left_semi")
+    still = ws.save(still.join(reps.hint("merge"), "id"), "still")
+    x = still.select(F.col("key").alias("kx"), F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("bands").alias("ba"), "band")
+    y = still.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("bands").alias("bb"))
+    # a pair comes out of the first band that it shares only, not of each
+    first = F.array_position(F.zip_with("ba", "bb", lambda p, q: p == q), True) == F.col("band") + 1
     cross = x.join(
         y.hint("merge"),
-        (F.col("kx") == F.col("key")) & (F.col("ca") < F.col("cb")) & plausible("na", "nb") & (estimate(F.col("sa"), F.col("sb")) >= floor),
+        (F.col("kx") == F.col("key")) & (F.col("ca") < F.col("cb")) & plausible("na", "nb") & (estimate(F.col("sa"), F.col("sb")) >= floor) & first,
     ).select("a", "b").distinct()
     tested = stars.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
     cross = cross.join(tested.hint("merge"), (F.least("a", "b") == F.col("u")) & (F.greatest("a", "b") == F.col("v")), "left_anti")
