@@ -6,8 +6,8 @@ of ROWS full minima bring candidates together, and the low BITS bits of all mini
 by bit counts the share m of equal ones and the collision-corrected estimate (m - 2**-b) / (1 - 2**-b).
 Pairs estimated well under the threshold are dropped, all others are confirmed on their full sets.
 
-Candidates come in two rounds, so that a bucket of n alike texts costs n pairs and no link is lost: first
-each member against the bucket's smallest id; then, between the components found so far, all pairs that
+Candidates come in two rounds, so that a bucket of n alike texts costs 2n pairs and no link is lost: first
+each member against the bucket's smallest id and its most central member; then, between the components found so far, all pairs that
 still share a bucket.  A pair inside one component needs no test, as it can't change the components.
 
 At 32 bands of 4, a pair of similarity 0.75 escapes every band with probability 5e-6; at 0.8, 5e-8.
@@ -188,7 +188,10 @@ def near_duplicates(docs: DataFrame, ws: Workspace, n: int = 5, percent: int = 7
     )
     members = reps.select("id", F.posexplode("bands").alias("band", "key")).withColumn("key", F.xxhash64("band", "key")).select("id", "band", "key")
     buckets = members.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = ws.save(members.join(buckets.hint("merge"), "key").select("key", "band", "id", "hub"), "members")
+    members = ws.save(members.join(buckets.hint("merge"), "key").select("key", "band", "id", "hub", "size"), "members")
+    # the member that meets most others over all its buckets is nearest to the source of a group of copies
+    weight = members.groupBy("id").agg(F.sum("size").alias("weight"))
+    centers = members.join(weight.hint("merge"), "id").groupBy(F.col("key").alias("ck")).agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("center"))
     slim = reps.select("id", "n", "sketch")
     floor = percent / 100 - MARGIN
 
@@ -201,7 +204,10 @@ def near_duplicates(docs: DataFrame, ws: Workspace, n: int = 5, percent: int = 7
         out = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
         return out.filter(plausible("na", "nb") & (estimate(F.col("sa"), F.col("sb")) >= floor)).select("a", "b")
 
-    stars = members.filter("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    stars = members.select(F.col("hub").alias("a"), F.col("id").alias("b")).unionByName(
+        members.join(centers.hint("merge"), F.col("key") == F.col("ck")).select(F.col("center").alias("a"), F.col("id").alias("b"))
+    )
+    stars = ws.save(stars.filter("a != b").distinct(), "stars")
     links = confirm(ws.save(described(stars), "pairs1"), docs, ws, "1", n, percent)
     empty = links.isEmpty()
     found = None if empty else components(links, ws, "1")
