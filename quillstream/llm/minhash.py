@@ -4,7 +4,9 @@ Each text becomes the set of hashes of its distinct shingles (n words, A-Z lower
 one shingle).  Texts with the same set form a class and one row stands for it.  Of PERMUTATIONS minima, bands
 of ROWS full minima bring candidates together, and the low BITS bits of all minima, packed into longs, give
 by bit counts the share m of equal ones and the collision-corrected estimate (m - 2**-b) / (1 - 2**-b).
-Pairs estimated well under the threshold are dropped, all others are confirmed on their full sets.
+Pairs estimated well under the threshold are dropped.  So are those whose odd sketches (the parity of the number
+of a set's hashes in each of ODD cells) differ in more cells than sets of that similarity can differ in members:
+that bound is exact, and sharp for sets of up to about 1.7 * ODD shingles.  All others are confirmed on their full sets.
 
 Candidates come in two rounds, so that a bucket of n alike texts costs 2n pairs and no link is lost: first
 each member against the bucket's smallest id and its most central member; then, between the components found so far, all pairs that
@@ -30,6 +32,7 @@ from .blocks import Block, blocks, grams, mix, stream, words
 from .frames import Workspace, partitions
 
 PERMUTATIONS, ROWS, BITS = 128, 4, 4
+ODD = 1024  #: cells of the odd sketch
 MARGIN = 0.2  #: five standard errors of the estimate
 SALT = 256  #: pairs of one text that a task verifies, about
 _MUL = stream(11, PERMUTATIONS) | np.uint64(1)
@@ -73,22 +76,28 @@ def signature(codes: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray]:
     return int(codes.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(mixed)), bands, nibbles.sum(axis=1, dtype=np.uint64)
 
 
+def odd_sketch(codes: np.ndarray) -> np.ndarray:
+    odd = np.bincount((mix(codes) % np.uint64(ODD)).astype(np.int64), minlength=ODD) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def signatures(docs: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch.column(1)):
-                size, c1, c2, bands, sketch = [], [], [], [], []
+                size, c1, c2, bands, sketch, odd = [], [], [], [], [], []
                 for codes in shingle_sets(b, n):
                     size.append(len(codes))
                     x = signature(codes) if len(codes) else (0, 0, np.zeros(0, np.uint64), np.zeros(0, np.uint64))
                     c1.append(x[0]), c2.append(x[1]), bands.append(x[2].view(np.int64)), sketch.append(x[3].view(np.int64))
+                    odd.append(odd_sketch(codes))
                 signed = lambda v: pa.array(np.array(v, dtype=np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(b.lo, b.hi - b.lo), pa.array(size, pa.int64()), signed(c1), signed(c2), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "c1", "c2", "bands", "sketch"],
+                    [batch.column(0).slice(b.lo, b.hi - b.lo), pa.array(size, pa.int64()), signed(c1), signed(c2), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
+                    ["doc_id", "n_shingles", "c1", "c2", "bands", "sketch", "odd"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>, sketch array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>, sketch array<long>, odd array<long>")
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -106,6 +115,11 @@ def estimate(a: Column, b: Column) -> Column:
     return (equal / F.lit(float(PERMUTATIONS)) - chance) / (1 - chance)
 
 
+def differing(a: Column, b: Column) -> Column:
+    """Cells in which two odd sketches differ: at most as many as members that one set has and the other lacks."""
+    return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(ODD // 64)), F.lit(0))
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, ws: Workspace, name: str, n: int, percent: int) -> DataFrame:
     """Of pairs (a, b) those whose full sets have 100 * intersection >= percent * union.
 
@@ -183,7 +197,7 @@ def near_duplicates(docs: DataFrame, ws: Workspace, n: int = 5, percent: int = 7
     classes = ws.save(whole.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = ws.save(
         whole.join(classes.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "rep").hint("merge"), (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")) & (F.col("doc_id") == F.col("rep")))
-        .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch", "bands").dropDuplicates(["id"]),
+        .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch", "odd", "bands").dropDuplicates(["id"]),
         "reps",
     )
     members = reps.select("id", F.posexplode("bands").alias("band", "key")).withColumn("key", F.xxhash64("band", "key")).select("id", "band", "key")
@@ -192,17 +206,19 @@ def near_duplicates(docs: DataFrame, ws: Workspace, n: int = 5, percent: int = 7
     # the member that meets most others over all its buckets is nearest to the source of a group of copies
     weight = members.groupBy("id").agg(F.sum("size").alias("weight"))
     centers = members.join(weight.hint("merge"), "id").groupBy(F.col("key").alias("ck")).agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("center"))
-    slim = reps.select("id", "n", "sketch")
+    slim = reps.select("id", "n", "sketch", "odd")
     floor = percent / 100 - MARGIN
 
-    def plausible(na: str, nb: str) -> Column:
-        return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+    def plausible() -> Column:
+        sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+        odd = (100 + percent) * differing(F.col("oa"), F.col("ob")) <= (100 - percent) * (F.col("na") + F.col("nb"))
+        return sizes & odd & (estimate(F.col("sa"), F.col("sb")) >= floor)
 
     def described(pairs: DataFrame) -> DataFrame:
-        a = slim.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        b = slim.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+        a = slim.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("odd").alias("oa"))
+        b = slim.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("odd").alias("ob"))
         out = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
-        return out.filter(plausible("na", "nb") & (estimate(F.col("sa"), F.col("sb")) >= floor)).select("a", "b")
+        return out.filter(plausible()).select("a", "b")
 
     stars = members.select(F.col("hub").alias("a"), F.col("id").alias("b")).unionByName(
         members.join(centers.hint("merge"), F.col("key") == F.col("ck")).select(F.col("center").alias("a"), F.col("id").alias("b"))
@@ -218,13 +234,13 @@ def near_duplicates(docs: DataFrame, ws: Workspace, n: int = 5, percent: int = 7
     split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select(F.col("key").alias("k"))
     still = placed.join(split.hint("merge"), F.col("key") == F.col("k"), "left_semi")
     still = ws.save(still.join(reps.hint("merge"), "id"), "still")
-    x = still.select(F.col("key").alias("kx"), F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("bands").alias("ba"), "band")
-    y = still.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("bands").alias("bb"))
+    x = still.select(F.col("key").alias("kx"), F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("odd").alias("oa"), F.col("bands").alias("ba"), "band")
+    y = still.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("odd").alias("ob"), F.col("bands").alias("bb"))
     # a pair comes out of the first band that it shares only, not of each
     first = F.array_position(F.zip_with("ba", "bb", lambda p, q: p == q), True) == F.col("band") + 1
     cross = x.join(
         y.hint("merge"),
-        (F.col("kx") == F.col("key")) & (F.col("ca") < F.col("cb")) & plausible("na", "nb") & (estimate(F.col("sa"), F.col("sb")) >= floor) & first,
+        (F.col("kx") == F.col("key")) & (F.col("ca") < F.col("cb")) & plausible() & first,
     ).select("a", "b").distinct()
     tested = stars.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
     cross = cross.join(tested.hint("merge"), (F.least("a", "b") == F.col("u")) & (F.greatest("a", "b") == F.col("v")), "left_anti")
