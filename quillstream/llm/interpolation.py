@@ -307,6 +307,21 @@ NAMES = ["part", "key", "row", "a", "r", "train", "rids", "ids", "n_tokens", "n_
 RESULT = ["rid", "copies", "n_tokens", "n_known", "base", "score"]
 
 
+def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """w, c and r, by w, of the words of the highest whole levels of frequency that hold at most so many words."""
+    level = F.floor(F.log2(F.greatest("c", F.lit(1))) * 16)
+    cut, held = 1 << 20, 0
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r.level):
+        held += r["count"]
+        if held > most:
+            break
+        cut = r.level
+    top = counts.filter(level >= cut).select("w", "c", "r").toArrow()
+    w, c, r = (top[x].to_numpy() for x in ("w", "c", "r"))
+    order = np.argsort(w.view(np.uint64))
+    return w.view(np.uint64)[order], c[order], r[order]
+
+
 def interpolated_scores(docs: DataFrame, ws: Workspace, fold: Callable[[], Column], head_words: int = HEAD, passes: int = PASSES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
@@ -318,9 +333,7 @@ def interpolated_scores(docs: DataFrame, ws: Workspace, fold: Callable[[], Colum
     total = counts.agg(F.sum("c").alias("n"), F.sum("r").alias("kept"), F.count(F.lit(1)).alias("v")).first()
     n, kept, v = total.n or 0, total.kept or 0, total.v
     n_parts = max(n_parts, math.ceil(n / PART_TOKENS))
-    top = counts.orderBy(F.desc("c"), "w").limit(head_words).toPandas()
-    top = top.assign(w=top["w"].to_numpy(dtype=np.int64).view(np.uint64)).sort_values("w")
-    head = spark.sparkContext.broadcast((top["w"].to_numpy(), top["c"].to_numpy(dtype=np.int64), top["r"].to_numpy(dtype=np.int64)))
+    head = spark.sparkContext.broadcast(frequent(counts, head_words))
     end = counts.filter(F.col("w") == int(END.astype(np.uint64).view(np.int64))).first()
     n_docs = (int(end.c), int(end.r)) if end else (0, 0)
     tails = ws.save(rare_words(rows, counts, head, n_parts), "tails")
