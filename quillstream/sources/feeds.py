@@ -53,3 +53,17 @@ def scan_feed(feeds: DataFrame, include: list[str] | None = None, exclude: list[
     first = Window.partitionBy("source_id", "url").orderBy("pos")
     kept = rows.withColumn("k", F.row_number().over(first)).filter("k = 1").drop("k")
     return kept.withColumn("k", F.row_number().over(Window.partitionBy("source_id").orderBy("pos"))).filter(F.col("k") <= max(1, min(10_000, max_items))).drop("k")
+
+
+def is_feed(responses: DataFrame) -> DataFrame:
+    """responses(source_id, base_url, content_type, body) -> source_id, entries, valid, feed.
+
+    A feed says so by its content type or its root element, and at least half of its entries have a title and a valid link."""
+    e = F.col("e")
+    absolute = F.when(e["link"].rlike("^https?://"), e["link"]).otherwise(F.concat(F.regexp_extract("base_url", r"^(https?://[^/]+)", 1), e["link"]))
+    rows = responses.select("source_id", "base_url", "content_type", "body", F.explode_outer(F.pandas_udf(_parse, ENTRY)("body")).alias("e"))
+    valid = (F.trim(e["title"]) != "") & U.canonical_url(absolute).isNotNull()
+    named = F.coalesce(F.lower("content_type").rlike("rss|atom"), F.lit(False)) | F.coalesce(F.substring("body", 1, 2000).rlike(r"(?is)<(\w+:)?(rss|feed|rdf)[\s>]"), F.lit(False))
+    out = rows.select("source_id", named.alias("named"), e.isNotNull().alias("entry"), F.coalesce(valid, F.lit(False)).alias("valid"))
+    out = out.groupBy("source_id").agg(F.max("named").alias("named"), F.count_if("entry").alias("entries"), F.count_if(F.col("entry") & F.col("valid")).alias("valid"))
+    return out.select("source_id", "entries", "valid", (F.col("named") & (F.col("valid") > 0) & (2 * F.col("valid") >= F.col("entries"))).alias("feed"))

@@ -62,3 +62,70 @@ def embedded(pages: DataFrame, script_id: str) -> DataFrame:
     """The JSON text of a page's data script, as a payload."""
     found = F.regexp_extract("html", rf'(?s)<script[^>]*id="{script_id}"[^>]*>(.*?)</script>', 1)
     return pages.select("source_id", F.nullif(found, F.lit("")).alias("body"))
+
+
+_STRING = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
+
+
+def _decoded(inner: Column) -> Column:
+    """The text of a JSON string's inside; null if it is none or empty."""
+    return F.nullif(F.from_json(F.concat(F.lit('["'), inner, F.lit('"]')), "array<string>")[0], F.lit(""))
+
+
+def title_links(pages: DataFrame, title_key: str, link_key: str, template: str | None = None, limit: int = 100) -> DataFrame:
+    """pages(source_id, html) -> source_id, pos, title, link of the pairs that JSON-like data in a page holds.
+
+    The two keys may stand in either order within 3,000 characters; pairs with the title first come first.  A later
+    pair of the same title replaces the link, and no pair counts once `limit` titles are found.  template holds
+    {value} where the link field goes; keys are plain text."""
+    plain = F.replace(F.coalesce("html", F.lit("")), F.lit('\\"'), F.lit('"'))
+    title, link = rf'"\Q{title_key}\E":{_STRING}', rf'"\Q{link_key}\E":(?:{_STRING}|(\d+))'
+    gap = r".{0,3000}?"
+    forward, reverse = f"(?s){title}{gap}{link}", f"(?s){link}{gap}{title}"
+
+    def pairs(pattern: str, t: int, s: int, n: int) -> Column:
+        whole = F.regexp_extract_all(plain, F.lit(pattern), F.lit(0))
+        part = lambda m, i: F.regexp_extract(m, pattern, i)
+        return F.transform(whole, lambda m: F.struct(_decoded(part(m, t)).alias("title"), F.coalesce(_decoded(part(m, s)), F.nullif(part(m, n), F.lit(""))).alias("link")))
+
+    rows = pages.select("source_id", F.posexplode(F.concat(pairs(forward, 1, 2, 3), pairs(reverse, 3, 1, 2))).alias("pos", "x")).select("source_id", "pos", "x.*")
+    rows = rows.filter("title is not null and link is not null")
+    same = Window.partitionBy("source_id", "title").orderBy("pos")
+    before = Window.partitionBy("source_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("new", (F.row_number().over(same) == 1).cast("int")).withColumn("found", F.coalesce(F.sum("new").over(before), F.lit(0))).filter(F.col("found") < limit)
+    value = F.max_by("link", "pos")
+    return rows.groupBy("source_id", "title").agg(F.min("pos").alias("pos"), (F.replace(F.lit(template), F.lit("{value}"), value) if template else value).alias("link")).select("source_id", "pos", "title", "link")
+
+
+def scan_indexed(payloads: DataFrame, template: str, max_items: int = 20) -> DataFrame:
+    """Articles of payloads(source_id, body) that are one flat array whose members point at each other by index.
+
+    The first object whose `datalist` leads to an object gives the articles; pointers are followed one step.  template
+    holds {} where an article's number goes, for articles without an address.  Repeated numbers and articles without
+    a number or a title are passed over."""
+    kind = F.schema_of_variant
+
+    def follow(value: Column) -> Column:
+        at = F.try_variant_get(value, "$", "int")
+        return F.when(kind(value) == "BIGINT", F.coalesce(F.when(at >= 0, F.get("list", at)), value)).otherwise(value)
+
+    rows = payloads.select("source_id", F.try_variant_get(F.try_parse_json("body"), "$", "array<variant>").alias("list"))
+    rows = rows.select("source_id", "list", F.posexplode("list").alias("at", "channel"))
+    rows = rows.withColumn("refs", F.try_variant_get(follow(F.try_variant_get("channel", "$.datalist", "variant")), "$", "array<variant>")).filter("refs is not null")
+    rows = rows.withColumn("articles", F.filter(F.transform("refs", follow), lambda a: F.startswith(kind(a), F.lit("OBJECT")))).filter(F.size("articles") > 0)
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("source_id").orderBy("at"))).filter("k = 1")
+    rows = rows.select("source_id", "list", F.posexplode("articles").alias("pos", "article"))
+
+    def value(name: str, *kinds: str) -> Column:
+        found = follow(F.try_variant_get("article", f"$.{name}", "variant"))
+        return F.when(kind(found).isin(*kinds), F.try_variant_get(found, "$", "string"))
+
+    number = lambda name: F.when(value(name, "BIGINT", "STRING").rlike(r"^\d*[1-9]\d*$"), value(name, "BIGINT", "STRING"))
+    address = F.nullif(F.regexp_replace(T.collapse(value("url", "STRING")), r"[?&]type=\w+", ""), F.lit(""))
+    own = F.replace(F.lit(template), F.lit("{}"), F.col("aid"))
+    rows = rows.select("source_id", "pos", number("aid").alias("aid"), T.collapse(value("title", "STRING")).alias("title"), D.from_epoch(F.try_to_number(number("dateline"), F.lit("9" * 14)).cast("long"), "s").alias("published_at"), address.alias("address"))
+    rows = rows.filter("aid is not null and title <> ''")
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("source_id", "aid").orderBy("pos"))).filter("k = 1")
+    rows = rows.withColumn("url", U.canonical_url(F.coalesce("address", own))).filter("url is not null")
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("source_id").orderBy("pos"))).filter(F.col("k") <= max(1, min(200, max_items)))
+    return rows.select("source_id", "pos", "title", "url", "published_at", "aid")

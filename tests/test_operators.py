@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from quillstream.functions import text as T
 from quillstream.functions import times as D
 from quillstream.functions import urls as U
+from quillstream.operators import mutations as M
 from quillstream.operators import rules as R
 from quillstream.operators import upsert as P
 from quillstream.sources import feeds, pages, payloads
@@ -84,3 +85,46 @@ def test_stream_equals_batch(spark, tmp_path):
     S.ingest(stream, f"{tmp_path}/out", "id", ["at"], f"{tmp_path}/cp").awaitTermination()
     want = S.merged(None, spark.createDataFrame(rows, schema), "id", ["at"]).collect()
     assert sorted(S.snapshot(spark, f"{tmp_path}/out").collect()) == sorted(want)
+
+
+def test_title_links(spark):
+    html = r'<script>x="[{\"t\":\"One \\u4e2d\",\"z\":1,\"id\":12},{\"id\":\"a/b\",\"q\":0,\"t\":\"Two\"}]"</script>'.replace(r"\\u", r"\u")
+    rows = payloads.title_links(spark.createDataFrame([(1, html), (2, None)], "source_id int, html string"), "t", "id", "https://a.example/{value}").collect()
+    got = {r.title: r.link for r in rows}
+    assert got["One 中"] == "https://a.example/12" and set(got) == {"One 中", "Two"}
+    many = "".join(f'"t":"T{i}","id":{i} ' for i in range(5))
+    assert payloads.title_links(spark.createDataFrame([(1, many)], "source_id int, html string"), "t", "id", limit=2).count() == 2
+
+
+def test_indexed_payload(spark):
+    body = '[{"datalist":1},[2,3,2,9],{"aid":4,"title":5,"dateline":6,"url":7},{"aid":"8","title":"Own  text"},77,"Pointed",1704067200,"https://a.example/x?type=q"]'
+    rows = payloads.scan_indexed(spark.createDataFrame([(1, body), (2, "{"), (3, None), (4, '[{"datalist":0}]')], "source_id int, body string"), "https://a.example/article/{}.html").collect()
+    got = {(r.source_id, r.aid): (r.title, r.url, r.published_at) for r in rows}
+    assert got == {(1, "77"): ("Pointed", "https://a.example/x", datetime(2024, 1, 1)), (1, "8"): ("Own text", "https://a.example/article/8.html", None)}
+
+
+def test_feed_sniffing(spark):
+    rows = feeds.is_feed(spark.createDataFrame([(1, "https://a.example/", "text/xml", RSS), (2, "https://a.example/", "text/html", "<html/>"), (3, "https://a.example/", "application/rss+xml", None)], "source_id int, base_url string, content_type string, body string"))
+    assert {r.source_id: r.feed for r in rows.collect()} == {1: True, 2: False, 3: False}
+
+
+def test_review_marks_and_audits(spark):
+    fields = "manual_primary_type string, manual_topic_tags array<string>, manual_industry_tags array<string>, verification_status string, review_status string, official_url string, origin_publisher string"
+    store = spark.createDataFrame([(i, "award_result", None, None, "media_only", "pending", None, None, False, False) for i in (1, 2, 3)], f"id int, {fields}, verification_manually_set boolean, review_manually_set boolean")
+    changes = spark.createDataFrame(
+        [(1, 1, None, ["policy", "model", "model"], None, None, "approved", "HTTPS://A.example:443/x#f", "  The   Press "), (2, 1, "nonsense", None, None, None, "approved", None, None), (9, 1, None, None, None, None, "approved", None, None)], f"id int, seq int, {fields}"
+    )
+    after, audit = M.review(store, changes, "tester")
+    rows = {r.id: r for r in after.collect()}
+    assert rows[1].manual_topic_tags == ["model", "policy"] and rows[1].official_url == "https://a.example/x" and rows[1].origin_publisher == "The Press"
+    assert rows[1].verification_manually_set and rows[1].review_manually_set and rows[1].manual_primary_type == "award_result"
+    assert rows[2].review_status == "pending" and not rows[2].review_manually_set and set(rows) == {1, 2, 3}
+    (entry,) = audit.collect()
+    assert entry.item_id == 1 and entry.actor == "tester" and '"review_status":"pending"' in entry.old_data and '"review_status":"approved"' in entry.new_data
+    assert M.checked_review(changes).filter("id = 2").first().error == "manual_primary_type"
+
+
+def test_manual_category(spark):
+    store = spark.createDataFrame([(1, "award_case"), (2, "award_case"), (3, None)], "id int, manual_category string")
+    changes = spark.createDataFrame([(1, 1, "solicitation"), (1, 2, " "), (2, 1, "nonsense"), (3, 1, "irrelevant")], "id int, seq int, category string")
+    assert {r.id: r.manual_category for r in M.set_category(store, changes).collect()} == {1: None, 2: "award_case", 3: "irrelevant"}
