@@ -1,7 +1,8 @@
 """Manual changes of stored items and sources, applied in batches with an audit trail.
 
 A batch of changes holds one row an id and a column for each field it may set; null leaves the field as it is.
-Ids that the store lacks change nothing and count as missing; of several rows for one id the last (by `seq`) holds.
+Ids that the store lacks change nothing and count as missing; of several rows for one id the last (by `seq`, which must
+be distinct) holds.
 """
 
 from __future__ import annotations
@@ -31,11 +32,14 @@ def affected(store: DataFrame, changes: DataFrame) -> DataFrame:
     return hits.agg(F.count_if("_found").alias("affected"), F.count_if(F.col("_found").isNull()).alias("missing"))
 
 
-def set_category(store: DataFrame, changes: DataFrame) -> DataFrame:
-    """The store after changes(id, seq, category): null or blank clears, an unknown category is refused and changes nothing."""
-    new = latest(changes.withColumn("category", F.nullif(F.trim("category"), F.lit("")))).filter(F.col("category").isNull() | F.col("category").isin(D.CATEGORIES))
-    new = new.select("id", F.col("category").alias("_category"), F.lit(True).alias("_hit"))
-    return store.join(new, "id", "left").withColumn("manual_category", F.when(F.col("_hit"), F.col("_category")).otherwise(F.col("manual_category"))).drop("_category", "_hit")
+def set_category(store: DataFrame, changes: DataFrame, actor: str = "web_manual_category") -> tuple[DataFrame, DataFrame]:
+    """The store after changes(id, seq, category) and its audit rows; null or blank clears, an unknown category is refused and changes nothing."""
+    valid = changes.withColumn("category", F.nullif(F.trim("category"), F.lit(""))).filter(F.col("category").isNull() | F.col("category").isin(D.CATEGORIES))
+    new = latest(valid).select("id", F.col("category").alias("_category"), F.lit(True).alias("_hit"))
+    both = store.join(new, "id", "left")
+    as_json = lambda c: F.to_json(F.struct(F.col(c).alias("manual_category")), {"ignoreNullFields": "false"})
+    audit = both.filter("_hit").select(F.col("id").alias("item_id"), F.lit(actor[:100]).alias("actor"), as_json("manual_category").alias("old_data"), as_json("_category").alias("new_data"))
+    return both.withColumn("manual_category", F.when(F.col("_hit"), F.col("_category")).otherwise(F.col("manual_category"))).drop("_category", "_hit"), audit
 
 
 def ordered_tags(tags: Column, domain: list[str]) -> Column:
@@ -76,9 +80,11 @@ def review(store: DataFrame, changes: DataFrame, actor: str = "system_operator")
     """The store after a taxonomy review and the audit rows (item_id, actor, old_data, new_data as JSON).
 
     A status, once set by hand, is marked so that no later run replaces it; an official address marks the
-    verification as well.  A change with an invalid value changes nothing and leaves no audit row."""
-    ok = latest(checked_review(changes).filter("error is null"))
-    new = ok.select("id", *[F.col(c).alias(f"_{c}") for c in REVIEW_FIELDS], F.lit(True).alias("_hit"))
+    verification as well.  A change with an invalid value changes nothing and leaves no audit row.  Of several
+    changes of one id each field takes its last value, and one audit row holds them together."""
+    ok = checked_review(changes).filter("error is null")
+    newest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"_{c}") for c in REVIEW_FIELDS]
+    new = ok.groupBy("id").agg(*newest).withColumn("_hit", F.lit(True))
     both = store.join(new, "id", "left")
     after = {c: F.coalesce(f"_{c}", c) for c in REVIEW_FIELDS}
     as_json = lambda values: F.to_json(F.struct(*[v.alias(c) for c, v in values.items()]), {"ignoreNullFields": "false"})

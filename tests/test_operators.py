@@ -112,7 +112,7 @@ def test_review_marks_and_audits(spark):
     fields = "manual_primary_type string, manual_topic_tags array<string>, manual_industry_tags array<string>, verification_status string, review_status string, official_url string, origin_publisher string"
     store = spark.createDataFrame([(i, "award_result", None, None, "media_only", "pending", None, None, False, False) for i in (1, 2, 3)], f"id int, {fields}, verification_manually_set boolean, review_manually_set boolean")
     changes = spark.createDataFrame(
-        [(1, 1, None, ["policy", "model", "model"], None, None, "approved", "HTTPS://A.example:443/x#f", "  The   Press "), (2, 1, "nonsense", None, None, None, "approved", None, None), (9, 1, None, None, None, None, "approved", None, None)], f"id int, seq int, {fields}"
+        [(1, 1, None, ["policy", "model", "model"], None, None, "approved", "HTTPS://A.example:443/x#f", None), (1, 2, None, None, None, None, None, None, "  The   Press "), (2, 1, "nonsense", None, None, None, "approved", None, None), (9, 1, None, None, None, None, "approved", None, None)], f"id int, seq int, {fields}"
     )
     after, audit = M.review(store, changes, "tester")
     rows = {r.id: r for r in after.collect()}
@@ -127,4 +127,6 @@ def test_review_marks_and_audits(spark):
 def test_manual_category(spark):
     store = spark.createDataFrame([(1, "award_case"), (2, "award_case"), (3, None)], "id int, manual_category string")
     changes = spark.createDataFrame([(1, 1, "solicitation"), (1, 2, " "), (2, 1, "nonsense"), (3, 1, "irrelevant")], "id int, seq int, category string")
-    assert {r.id: r.manual_category for r in M.set_category(store, changes).collect()} == {1: None, 2: "award_case", 3: "irrelevant"}
+    after, audit = M.set_category(store, changes)
+    assert {r.id: r.manual_category for r in after.collect()} == {1: None, 2: "award_case", 3: "irrelevant"}
+    assert {r.item_id: r.old_data for r in audit.collect()} == {1: '{"manual_category":"award_case"}', 3: '{"manual_category":null}'}
