@@ -15,8 +15,9 @@ from quillstream.llm.quality import passing as _passing
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or are depleted of their own lines go."""
-    return _passing(docs, Workspace(spark, "quality"))
+    """Documents that fail the base rules or have too few lines of their own go; the others lose their host's repeated lines, and n_chars follows."""
+    out = _passing(docs, Workspace(spark, "quality"))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

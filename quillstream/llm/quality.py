@@ -6,7 +6,8 @@ host's texts) of them is boilerplate and is removed; a document that keeps less
 is depleted and rejected.  Exact copies of a text count once, so a copied clean document is no boilerplate.
 
 Defined results: null or empty text has no words and fails the base rules; a null host is a host of its
-own; rows that repeat count as one document and each gets the same result; other columns are ignored.
+own; rows that repeat count as one document and each gets the same result; other columns pass through
+passing() and are ignored by quality_rules().  Lines without a word are never boilerplate and stay.
 """
 
 from __future__ import annotations
@@ -84,15 +85,17 @@ def _body() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.length("text"))
 
 
-def quality_rules(
-    docs: DataFrame, ws: Workspace, host: str = "source", min_docs: int = 10, max_share: float = 0.02, min_left: float = 0.3
-) -> DataFrame:
-    """doc_id, host, body (a hash of the text), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, boiler_words, base_failed, kept.
+def normal_line(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(line), SPACES, " "))
 
-    Shuffles only line hashes (pre-aggregated by text) and the few boilerplate totals, never texts.
+
+def _judged(docs: DataFrame, ws: Workspace, host: str, min_docs: int, max_share: float, min_left: float) -> DataFrame:
+    """row (all columns of docs), host, body, the counts, boiler_words, base_failed, kept and text without the boilerplate lines.
+
+    Line hashes are shuffled pre-aggregated by text; each text is shuffled once, to meet the lines that it loses.
     """
     key = _body()
-    normal = F.transform(content_lines(F.col("text")), lambda x: F.trim(F.regexp_replace(F.lower(x), SPACES, " ")))
+    normal = F.transform(content_lines(F.col("text")), normal_line)
     per_line = F.transform(normal, lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).alias("words")))
     lines = (
         docs.select(F.col(host).alias("host"), key.alias("body"), F.explode(per_line).alias("x"))
@@ -115,25 +118,37 @@ def quality_rules(
     boiler = (
         lines.join(frequent, F.col("host").eqNullSafe(F.col("fh")) & (F.col("line") == F.col("fl")))
         .groupBy("host", "body")
-        .agg(F.sum(F.col("words") * F.col("times")).alias("w"))
+        .agg(F.sum(F.col("words") * F.col("times")).alias("w"), F.collect_set("line").alias("gone"))
         .join(copies.select(F.col("host").alias("ch"), F.col("body").alias("cb"), "copies"), F.col("host").eqNullSafe(F.col("ch")) & (F.col("body") == F.col("cb")))
-        .select(F.col("host").alias("_host"), F.col("body").alias("_body"), (F.col("w") / F.col("copies")).cast("long").alias("boiler_words"))
+        .select(F.col("host").alias("_host"), F.col("body").alias("_body"), (F.col("w") / F.col("copies")).cast("long").alias("boiler_words"), "gone")
     )
     boiler = ws.save(boiler, "boiler")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    counts = docs.select("doc_id", F.col(host).alias("host"), key.alias("body"), *text_counts(F.col("text"))).withColumn("base_failed", failed)
+    counts = docs.select(F.struct(*docs.columns).alias("row"), F.col(host).alias("host"), key.alias("body"), *text_counts(F.col("text"))).withColumn("base_failed", failed)
     left = F.col("n_words") - F.col("boiler_words")
+    text = F.col("row.text")
+    own = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col("gone"), F.xxhash64(normal_line(x)))), "\n")
     return (
-        counts.join(boiler, F.col("host").eqNullSafe(F.col("_host")) & (F.col("body") == F.col("_body")), "left")
-        .drop("_host", "_body")
+        counts.join(boiler.hint("merge"), F.col("host").eqNullSafe(F.col("_host")) & (F.col("body") == F.col("_body")), "left")
         .withColumn("boiler_words", F.coalesce("boiler_words", F.lit(0)))
         .withColumn("kept", ~F.col("base_failed") & (left >= min_left * F.col("n_words")))
+        .withColumn("text", F.when(F.col("gone").isNull(), text).otherwise(own))
+        .drop("_host", "_body", "gone")
     )
 
 
-def passing(docs: DataFrame, ws: Workspace, host: str = "source", **rules) -> DataFrame:
-    """The documents that the quality rules keep."""
-    bad = quality_rules(docs, ws, host, **rules).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("host").alias("_host"), F.col("body").alias("_body")).distinct()
-    bad = ws.save(bad, "rejected")
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col(host).eqNullSafe(F.col("_host")) & (_body() == F.col("_body"))
-    return docs.join(bad.hint("merge"), same, "left_anti")
+def quality_rules(
+    docs: DataFrame, ws: Workspace, host: str = "source", min_docs: int = 10, max_share: float = 0.02, min_left: float = 0.3
+) -> DataFrame:
+    """doc_id, host, body (a hash of the text), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, boiler_words, kept,
+    text (without its boilerplate lines; the counts are those of the whole text)."""
+    rows = _judged(docs.select(*dict.fromkeys(["doc_id", host, "text"])), ws, host, min_docs, max_share, min_left)
+    return rows.select(F.col("row.doc_id").alias("doc_id"), *[c for c in rows.columns if c != "row"])
+
+
+def passing(
+    docs: DataFrame, ws: Workspace, host: str = "source", min_docs: int = 10, max_share: float = 0.02, min_left: float = 0.3
+) -> DataFrame:
+    """The documents that the quality rules keep, their texts without the boilerplate lines."""
+    rows = _judged(docs, ws, host, min_docs, max_share, min_left).filter("kept")
+    return rows.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -26,7 +26,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_rules
 
     out = quality_rules(table(spark, sf_dir, "documents"), Workspace(spark, "op2"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "boiler_words")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "boiler_words", "text")
 
 
 def op4_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,6 +106,61 @@ def test_boilerplate(spark, ws):
     assert got[0] == (6, False) and got[50][0] == 0
 
 
+def boilerplate_rows():
+    """Menu lines in several spellings, near the limit on either side, with copies, blank lines, nulls and repeated lines."""
+    r = random.Random(11)
+    menu = ["Home  News\tContact", "home news contact", " HOME NEWS CONTACT \r"]
+    out = [(0, None, "h", 7, False), (1, "", "h", 7, False), (None, "home news contact\n" + "null id " * 8, "h", None, True), (2, "home news contact\n" * 9, "h", 7, True)]
+    for i in range(3, 60):
+        host = (None, "h", "g", "rare")[min(3, i % 5)]
+        own = [" ".join(f"w{r.randrange(500)}" for _ in range(r.randint(1, 9))) for _ in range(r.randint(1, 5))]
+        lines = own + ([r.choice(menu)] * r.randint(1, 2) if host != "rare" or i < 9 else []) + (["", " \t"] if i % 2 else []) + (["all rights reserved"] if i % 4 == 0 else [])
+        r.shuffle(lines)
+        out.append((i, "\n".join(lines), host, 7, True))
+    return out + [out[20], out[20], (90, out[20][1], out[20][2], 1, None), (91, out[20][1], "rare", 1, None)]
+
+
+def without_boilerplate(rows, min_docs, max_share, min_left):
+    """(row, words in boilerplate lines, kept, text without them) by brute force."""
+    norm = lambda x: " ".join(WORD.findall(x.lower()))
+    texts, holders = collections.defaultdict(set), collections.defaultdict(set)
+    for d in rows:
+        texts[d[2]].add(d[1])
+        for x in (d[1] or "").split("\n"):
+            if norm(x):
+                holders[d[2], norm(x)].add(d[1])
+    for d in rows:
+        w, lines = WORD.findall(d[1] or ""), (d[1] or "").split("\n")
+        bad = [norm(x) != "" and len(holders[d[2], norm(x)]) > max(min_docs, max_share * len(texts[d[2]])) for x in lines]
+        n = sum(len(WORD.findall(x)) for x, b in zip(lines, bad) if b)
+        kept = len(w) >= 10 and 100 * sum(windows([w], 5)[0]) <= 20 * len(w) and len(w) - n >= min_left * len(w)
+        yield d, n, kept, "\n".join(x for x, b in zip(lines, bad) if not b) if any(bad) else d[1]
+
+
+@pytest.mark.parametrize("min_docs,max_share", [(3, 0.02), (1, 0.5), (1000, 0.02)])
+def test_boilerplate_lines_go(spark, ws, min_docs, max_share):
+    from quillstream.llm.quality import passing, quality_rules
+
+    rows = boilerplate_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_words long, kept boolean").repartition(3)
+    want = list(without_boilerplate(rows, min_docs, max_share, 0.3))
+    assert (min_docs == 1000) == all(x[3] == x[0][1] for x in want if x[2])
+    got = quality_rules(docs, ws, min_docs=min_docs, max_share=max_share).select("doc_id", "boiler_words", "kept", "text").collect()
+    assert counter(got) == counter((d[0], n, kept, text) for d, n, kept, text in want)
+    got = passing(docs, ws, min_docs=min_docs, max_share=max_share)
+    assert got.columns == docs.columns and counter(got.collect()) == counter((d[0], text, *d[2:]) for d, n, kept, text in want if kept)
+
+
+def test_quality_stage(spark):
+    import corpus_pipeline
+
+    rows = [(*d[:3], 0) for d in boilerplate_rows()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    want = [(d[0], text, d[2], len(text)) for d, n, kept, text in without_boilerplate(rows, 10, 0.02, 0.3) if kept]
+    assert any(x[1] != d[1] for x in want for d in rows if d[0] == x[0])
+    assert counter(corpus_pipeline.quality(spark, docs, "").collect()) == counter(want)
+
+
 def test_line_dedup(docs, rows, ws):
     from quillstream.llm.line_dedup import line_dedup
 
