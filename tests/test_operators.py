@@ -130,3 +130,31 @@ def test_manual_category(spark):
     after, audit = M.set_category(store, changes)
     assert {r.id: r.manual_category for r in after.collect()} == {1: None, 2: "award_case", 3: "irrelevant"}
     assert {r.item_id: r.old_data for r in audit.collect()} == {1: '{"manual_category":"award_case"}', 3: '{"manual_category":null}'}
+
+
+def test_upsert_store_grows(spark, tmp_path):
+    """Store and batch follow the documents: nothing is left out by a modulo of the id."""
+    from quillstream.plans import state_queries as Q
+
+    n = 2000
+    docs = [(i, f"title {i % 1500}\nbody {i}", "en", f"src{i % 20}", 10) for i in range(n)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.sparkContext.setCheckpointDir(str(tmp_path / "checkpoints"))
+    d, store, urls, marks = str(tmp_path), Q._whole_store(spark, str(tmp_path)).collect(), {}, {}
+    assert len(store) == len({(r.source_id, r.title) for r in store}) == len({x[1].split("\n")[0] + x[3] for x in docs})
+    for r in store:
+        urls[r.canonical_url] = marks[r.source_id, r.fingerprint] = r.id
+    batch = Q._whole_batch(spark, d).orderBy("rowno").collect()
+    want = {r.rowno: urls.get(r.canonical_url, marks.get((r.source_id, r.fingerprint))) for r in batch}
+    assert {r.rowno: r.stored_id for r in Q.upsert_match_whole(spark, d).collect()} == want
+    found, seen, into = sum(x is not None for x in want.values()), {}, {}
+    assert 0.7 * n < found < 0.95 * n
+    for r in batch:
+        if want[r.rowno] is None:
+            at = seen.get(r.canonical_url, seen.get((r.source_id, r.fingerprint)))
+            if at is None:
+                at = seen[r.canonical_url] = seen[r.source_id, r.fingerprint] = r.rowno
+            into[r.rowno] = at
+    assert {r.rowno: r["into"] for r in Q.upsert_first_wins(spark, d).collect()} == into
+    assert 0 < sum(k != v for k, v in into.items())
