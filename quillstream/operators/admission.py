@@ -31,34 +31,54 @@ POSITIVE = {
 }
 RELEVANCE = r"(?iU)\b(ai|model|agent|the)\b"
 TIER_POINTS = {"government": 10, "official_company": 8, "association": 7, "authoritative_media": 5}
-RELEASE = {
-    "github.prerelease": r"(?i)\b(alpha|beta|rc\d*|preview|nightly)\b",
-    "github.maintenance": r"(?i)\b(bug ?fix|chore|typo|dependenc)",
+#: The reference's role rejects (ADM-10): by role the reason and, of the content, what rejects it and what saves it.
+ROLE = {
+    "official_product": ("role.official_product.non_product_activity", r"峰会演讲|参展|展台|亮相|战略签约|普通合作|融资|股价|人物采访|招聘|使用教程|优惠|促销", None),
+    "official_policy": ("role.official_policy.routine_activity", r"培训|调研|领导活动|座谈会", None),
+    "official_industry": ("role.official_industry.ai_relevance_missing", None, r"(?i)人工智能|大模型|智能体|Agent|高质量数据集|算力|数据.{0,5}AI|AI.{0,5}应用|AI.{0,5}治理"),
+    "opportunity_and_award_hub": ("role.opportunity_hub.generic_notice", r"通知", r"征集|申报|参评|报名|获奖|入选|名单|公示|政策|标准|报告"),
 }
+#: The reference's rejects of code releases (ADM-11).
+PRERELEASE = r"(?i)(?:^|[.\-_\s])(?:alpha|beta|rc|nightly|pre[- ]?release)(?:$|[.\-_\s\d])"
+SEMVER = r"(?:^|\s|v)(\d+)\.(\d+)\.(\d+)(?:[-+][0-9A-Za-z.-]+)?"
+MAINTENANCE = r"(?i)bug\s*fix|fix(?:es|ed)?(?:[^\p{L}\p{N}_]|$)|patch|dependency|dependencies|依赖升级|构建修复|CI/CD|文档修正|changelog|维护版本"
 
 
 def _any(text: Column, terms: Column) -> Column:
     return F.exists(terms, lambda t: F.contains(text, F.lower(t)))
 
 
-def release_reason(title: Column, role: Column, allow_prerelease: Column) -> Column:
-    """For sources of code releases: prereleases, minor versions, maintenance, versions under 1."""
-    major = F.try_to_number(F.nullif(F.regexp_extract(title, r"v?(\d{1,4})\.\d+", 1), F.lit("")), F.lit("9999"))
-    minor = F.regexp_extract(title, r"v?\d+\.(\d+)(?:\.(\d+))?", 1)
-    patch = F.regexp_extract(title, r"v?\d+\.(\d+)(?:\.(\d+))?", 2)
-    return F.when(
-        role == "official_product",
-        F.when(~allow_prerelease & title.rlike(RELEASE["github.prerelease"]), "github.prerelease")
-        .when(F.length(minor) > 0, F.when((F.length(patch) > 0) & (patch != "0"), "github.not_major"))
-        .when(title.rlike(RELEASE["github.maintenance"]), "github.maintenance")
-        .when(major < 1, "github.below_one"),
+def role_reason(content: Column, role: Column) -> Column:
+    """Why a source's role rejects title and summary, null if it doesn't."""
+    found = F.lit(None).cast("string")
+    for name, (why, bad, saving) in ROLE.items():
+        test = role == name
+        if bad:
+            test &= content.rlike(bad)
+        if saving:
+            test &= ~content.rlike(saving)
+        found = F.when(test, why).otherwise(found)
+    return found
+
+
+def release_reason(content: Column, technical: Column) -> Column:
+    """Why a code release is rejected: prerelease, minor version, maintenance, no technical updates wanted, no proven major release."""
+    major, minor, patch = (F.regexp_extract(content, SEMVER, i) for i in (1, 2, 3))
+    return (
+        F.when(content.rlike(PRERELEASE), "github.prerelease")
+        .when(minor.rlike("[1-9]") | patch.rlike("[1-9]"), "github.non_major_version")
+        .when(content.rlike(MAINTENANCE), "github.maintenance")
+        .when(~technical, "github.technical_updates_not_allowed")
+        .when(~major.rlike("[1-9]"), "github.major_release_not_proven")
     )
 
 
 def admit(title: Column, summary: Column, url: Column, published: Column, source: dict[str, Column]) -> Column:
     """accepted, reason, quality_score and matched (rule ids) of an item.
 
-    source: site_host, allow_external, include_terms, exclude_terms, scopes, formal, tier, role, title_only_allowed, minimum, valid."""
+    source: site_host, allow_external, include_terms, exclude_terms, scopes, formal, tier, role, title_only_allowed, minimum, valid, and
+    release and technical: whether it is one of code releases and takes technical updates.  Without the last two the role and
+    release rejects are a single one for official_policy, as the SQL of admission_decision has it."""
     full = F.concat_ws("\n", title, F.coalesce(summary, F.lit("")))
     text = F.lower(full)
     reason = F.when(~source["valid"], "source.configuration_invalid")
@@ -70,7 +90,11 @@ def admit(title: Column, summary: Column, url: Column, published: Column, source
     for name, pattern in LOW_VALUE.items():
         reason = reason.when(full.rlike(pattern), name)
     reason = reason.when(full.rlike(MEETING) & ~full.rlike(SUBSTANCE), "content.ordinary_meeting")
-    reason = reason.when((source["role"] == "official_policy") & full.rlike(r"(?iU)\bproduct\b") & ~full.rlike(POSITIVE["policy_standard"][0]), "role.not_policy")
+    if "release" in source:
+        reason = F.coalesce(reason, role_reason(full, source["role"]), F.when(source["release"], release_reason(full, source["technical"])))
+        reason = F.when(reason.isNotNull(), reason)
+    else:
+        reason = reason.when((source["role"] == "official_policy") & full.rlike(r"(?iU)\bproduct\b") & ~full.rlike(POSITIVE["policy_standard"][0]), "role.not_policy")
     hits = F.size(F.filter(source["include_terms"], lambda t: F.contains(text, F.lower(t))))
     reason = reason.when((F.size(source["include_terms"]) > 0) & (hits == 0), "source.include_term_missing")
     points = {

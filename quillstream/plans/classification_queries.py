@@ -182,7 +182,8 @@ def smart_review_risk(spark, d):
     return X.items(spark, d).select("id", risk.alias("risk"))
 
 
-def _admitted(spark, d):
+def _admitted(spark, d, rejects=False):
+    """The items with their admission; rejects: with all role and release rejects."""
     i = _sourced(spark, d)
     words = lambda *w: F.array(*[F.lit(x) for x in w])
     none = F.array().cast("array<string>")
@@ -191,11 +192,13 @@ def _admitted(spark, d):
         "exclude_terms": F.when(F.col("s_id") % 4 == 1, words("STUPID", "trash")).otherwise(none), "scopes": F.when(F.col("s_id") % 6 == 2, words("policy_standard", "award_result")).otherwise(none), "formal": F.col("s_kind") == "formal",
         "tier": F.col("s_tier"), "role": F.col("s_role"), "title_only_allowed": F.col("s_id") % 3 == 0, "minimum": F.lit(48.5),
     }
+    if rejects:
+        src |= {"release": F.col("s_id") % 7 == 3, "technical": F.col("s_id") % 2 == 1}
     url = F.when(F.col("id") % 23 == 0, "ftp://host.example/x").when(F.col("id") % 19 == 0, "https://other.example/x").when(F.col("id") % 29 == 0, "https://host.example/login").otherwise("https://host.example/x")
     return i.withColumn("a", A.admit(F.col("title"), F.col("summary"), url, F.col("published_at"), src))
 
 
-def _admission_sql() -> str:
+def _admission_sql(rejects: bool = False) -> str:
     def rx(p: str) -> str:
         """The second engine's word border is an ASCII one: spell out the Unicode border."""
         edge = r"[^\p{L}\p{N}_]"
@@ -206,7 +209,18 @@ def _admission_sql() -> str:
     when += ["s.id % 4 = 1 AND (contains(lower(full_text), 'stupid') OR contains(lower(full_text), 'trash')) THEN 'source.exclude_term'"]
     when += [f"regexp_matches(full_text, '{rx(p)}') THEN '{n}'" for n, p in A.LOW_VALUE.items()]
     when += [f"regexp_matches(full_text, '{rx(A.MEETING)}') AND NOT regexp_matches(full_text, '{rx(A.SUBSTANCE)}') THEN 'content.ordinary_meeting'"]
-    when += [f"s.role = 'official_policy' AND regexp_matches(full_text, '(?i)\\bproduct\\b') AND NOT regexp_matches(full_text, '{rx(A.POSITIVE['policy_standard'][0])}') THEN 'role.not_policy'", "s.id % 5 = 1 AND hits = 0 THEN 'source.include_term_missing'"]
+    if rejects:
+        for role, (why, bad, saving) in A.ROLE.items():
+            tests = [f"s.role = '{role}'"] + ([f"regexp_matches(full_text, '{bad}')"] if bad else []) + ([f"NOT regexp_matches(full_text, '{saving}')"] if saving else [])
+            when += [f"{' AND '.join(tests)} THEN '{why}'"]
+        part = lambda k: f"regexp_extract(full_text, '{A.SEMVER}', {k})"
+        tests = {
+            "prerelease": f"regexp_matches(full_text, '{A.PRERELEASE}')", "non_major_version": f"regexp_matches(concat({part(2)}, {part(3)}), '[1-9]')", "maintenance": f"regexp_matches(full_text, '{A.MAINTENANCE}')",
+            "technical_updates_not_allowed": "s.id % 2 <> 1", "major_release_not_proven": f"NOT regexp_matches({part(1)}, '[1-9]')",
+        }
+        when += [f"s.id % 7 = 3 AND {t} THEN 'github.{k}'" for k, t in tests.items()] + ["s.id % 5 = 1 AND hits = 0 THEN 'source.include_term_missing'"]
+    else:
+        when += [f"s.role = 'official_policy' AND regexp_matches(full_text, '(?i)\\bproduct\\b') AND NOT regexp_matches(full_text, '{rx(A.POSITIVE['policy_standard'][0])}') THEN 'role.not_policy'", "s.id % 5 = 1 AND hits = 0 THEN 'source.include_term_missing'"]
     pos = [(k, f"regexp_matches(full_text, '{rx(p)}')", n) for k, (p, n) in A.POSITIVE.items()]
     score = "least(100, 15 + CASE s.tier WHEN 'government' THEN 10 WHEN 'official_company' THEN 8 WHEN 'association' THEN 7 WHEN 'authoritative_media' THEN 5 ELSE 0 END + CASE WHEN s.id % 5 = 1 THEN 20 * hits ELSE 0 END + CASE WHEN s.kind = 'formal' THEN 10 ELSE 0 END + CASE WHEN summary IS NOT NULL THEN 5 ELSE 0 END"
     score += f" + CASE WHEN published_at IS NOT NULL THEN 5 ELSE 0 END + CASE WHEN regexp_matches(full_text, '{rx(A.RELEVANCE)}') THEN 15 ELSE 0 END" + "".join(f" + CASE WHEN {t} THEN {n} ELSE 0 END" for _, t, n in pos) + ")"
@@ -226,3 +240,13 @@ def admission_decision(spark, d):
 @query("admission_histogram", X.WITH + f"SELECT reason, count(*) AS n, CAST(sum(quality_score) AS BIGINT) AS points FROM ({_admission_sql()}) GROUP BY reason")
 def admission_histogram(spark, d):
     return _admitted(spark, d).groupBy("a.reason").agg(F.count(F.lit(1)).alias("n"), F.sum("a.quality_score").alias("points"))
+
+
+@query("admission_decision_rejects", X.WITH + _admission_sql(True))
+def admission_decision_rejects(spark, d):
+    return _admitted(spark, d, True).select("id", "a.accepted", "a.reason", "a.quality_score")
+
+
+@query("admission_histogram_rejects", X.WITH + f"SELECT reason, count(*) AS n, CAST(sum(quality_score) AS BIGINT) AS points FROM ({_admission_sql(True)}) GROUP BY reason")
+def admission_histogram_rejects(spark, d):
+    return _admitted(spark, d, True).groupBy("a.reason").agg(F.count(F.lit(1)).alias("n"), F.sum("a.quality_score").alias("points"))

@@ -132,6 +132,39 @@ def test_manual_category(spark):
     assert {r.item_id: r.old_data for r in audit.collect()} == {1: '{"manual_category":"award_case"}', 3: '{"manual_category":null}'}
 
 
+def test_role_and_release_rejects(spark):
+    """In the reference's order: after the meeting test, roles before releases, both before missing terms."""
+    from quillstream.operators import admission as A
+
+    cases = [
+        ("official_product", False, True, "某公司融资消息", "role.official_product.non_product_activity"),
+        ("official_product", False, True, "New model tools", "quality.threshold_met"),
+        ("official_policy", False, True, "座谈会纪要", "role.official_policy.routine_activity"),
+        ("official_policy", False, True, "New product of the year", "quality.threshold_met"),
+        ("official_industry", False, True, "Steel prices of the week", "role.official_industry.ai_relevance_missing"),
+        ("official_industry", False, True, "An agent for the mill", "quality.threshold_met"),
+        ("opportunity_and_award_hub", False, True, "放假通知", "role.opportunity_hub.generic_notice"),
+        ("opportunity_and_award_hub", False, True, "项目申报通知", "quality.threshold_met"),
+        ("official_industry", True, True, "v2.0.0-rc 1", "role.official_industry.ai_relevance_missing"),
+        ("media_discovery", True, True, "Tool v2.0.0-beta.1", "github.prerelease"),
+        ("media_discovery", True, True, "Tool v2.1.0", "github.non_major_version"),
+        ("media_discovery", True, True, "Tool v2.0.3 bugfix", "github.non_major_version"),
+        ("media_discovery", True, True, "Tool v2.0.0 bug fix", "github.maintenance"),
+        ("media_discovery", True, False, "Tool v2.0.0", "github.technical_updates_not_allowed"),
+        ("media_discovery", True, True, "Tool v0.0.0", "github.major_release_not_proven"),
+        ("media_discovery", True, True, "Tool without a version", "github.major_release_not_proven"),
+        ("media_discovery", True, True, "Tool v2.0.0", "quality.threshold_met"),
+        ("media_discovery", False, False, "Tool v0.1.0-beta", "quality.threshold_met"),
+        ("media_discovery", True, True, "Log in", "content.login_page"),
+    ]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, role string, release boolean, technical boolean, title string, want string")
+    none = F.array().cast("array<string>")
+    src = {"valid": F.lit(True), "site_host": F.lit("h.example"), "allow_external": F.lit(False), "include_terms": none, "exclude_terms": none, "scopes": none, "formal": F.lit(True)}
+    src |= {"tier": F.lit("government"), "title_only_allowed": F.lit(True), "minimum": F.lit(0.0), **{c: F.col(c) for c in ("role", "release", "technical")}}
+    got = df.select("i", A.admit(F.col("title"), F.lit("text"), F.lit("https://h.example/x"), F.lit(None).cast("timestamp"), src)["reason"]).collect()
+    assert [x[1] for x in sorted(got)] == [c[4] for c in cases]
+
+
 def test_upsert_store_grows(spark, tmp_path):
     """Store and batch follow the documents: nothing is left out by a modulo of the id."""
     from quillstream.plans import state_queries as Q
