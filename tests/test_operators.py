@@ -191,3 +191,22 @@ def test_upsert_store_grows(spark, tmp_path):
             into[r.rowno] = at
     assert {r.rowno: r["into"] for r in Q.upsert_first_wins(spark, d).collect()} == into
     assert 0 < sum(k != v for k, v in into.items())
+
+
+def test_whole_texts_count(spark, tmp_path):
+    """Terms beyond a title's 80th or a text's 280th character count in the queries over whole texts."""
+    from quillstream.plans import classification_queries as Q
+    from quillstream.plans import fixtures as X
+    from quillstream.plans import registry
+
+    term = next(iter(Q.R.PACK[0].phrases))
+    texts = [f"{'a b ' * 80}{term}\n{'c d ' * 100}{term}", f"short\n{'c d ' * 100}{term}", "one line", "", None, "title\n", "\nbody"]
+    docs = [(i, t, "en", f"src{i % 20}", 10) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.id: (r.title, r.summary) for r in X.whole_items(spark, str(tmp_path)).collect()}
+    assert got == {i: (t.split("\n")[0], "\n".join(t.split("\n")[1:]) or None) if t is not None else (None, None) for i, t in enumerate(texts)}
+    points = Q.R.PACK[0].phrases[term] * 1.5
+    score = lambda name: {r.id: r[Q.R.PACK[0].category] for r in registry.queries()[name](spark, str(tmp_path)).collect()}
+    cut, whole = score("rule_scores"), score("rule_scores_whole")
+    assert cut[0] == cut[1] == 0 and whole[0] >= 3 * points and whole[1] >= points
