@@ -1,4 +1,4 @@
-"""Admission, rule and taxonomy queries (ADM-*, CLS-*, TAX-*, AI-4) over the documents."""
+"""Admission, rule and taxonomy queries (ADM-*, AI-4, CLS-* but CLS-8, TAX-* but TAX-6, TAX-11 and TAX-8's flags) over the documents."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Run, execution and aggregate queries (Q-26 to Q-34, AGG-1 to AGG-4, FN-24, FN-25, AI-8)."""
+"""Run, execution and aggregate queries (Q-26 to Q-34, AGG-1, AGG-3, AGG-4, FN-24, FN-25, AI-8)."""
 
 from __future__ import annotations
 
