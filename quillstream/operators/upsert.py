@@ -50,17 +50,20 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"rowno": pdf["rowno"], "into": into})
 
 
-def components(rows: DataFrame, rounds: int = 64) -> DataFrame:
-    """rowno, root: rows linked by an address or a source's fingerprint, by smallest labels until nothing moves."""
+def components(rows: DataFrame) -> DataFrame:
+    """rowno, root: rows linked by an address or a source's fingerprint, by smallest labels until nothing moves.
+
+    Each round also takes the label's own label, so that a chain needs rounds by the logarithm of its length."""
     cur = rows.withColumn("root", F.col("rowno"))
-    for _ in range(rounds):
+    while True:
         low = F.least(F.min("root").over(Window.partitionBy("canonical_url")), F.min("root").over(Window.partitionBy("source_id", "fingerprint")))
         nxt = cur.withColumn("low", low).withColumn("moved", F.col("low") < F.col("root")).withColumn("root", F.col("low")).drop("low").checkpoint()
         done = nxt.filter("moved").isEmpty()
         cur = nxt.drop("moved")
         if done:
-            break
-    return cur
+            return cur
+        far = cur.select(F.col("rowno").alias("_at"), F.col("root").alias("_far"))
+        cur = cur.join(far, F.col("root") == F.col("_at")).withColumn("root", F.col("_far")).drop("_at", "_far")
 
 
 def first_wins(rows: DataFrame) -> DataFrame:

@@ -132,6 +132,13 @@ def test_manual_category(spark):
     assert {r.item_id: r.old_data for r in audit.collect()} == {1: '{"manual_category":"award_case"}', 3: '{"manual_category":null}'}
 
 
+def test_long_chain_is_one_component(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    rows = [(i, 1, f"u{i // 2}", f"f{(i + 1) // 2}") for i in range(200)]
+    got = P.components(spark.createDataFrame(rows, "rowno long, source_id long, canonical_url string, fingerprint string")).collect()
+    assert len(got) == 200 and {r.root for r in got} == {0}
+
+
 def test_role_and_release_rejects(spark):
     """In the reference's order: after the meeting test, roles before releases, both before missing terms."""
     from quillstream.operators import admission as A
