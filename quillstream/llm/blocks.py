@@ -15,10 +15,9 @@ import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20
 _U = np.uint64
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[0x41:0x5B] += 0x20
+#: 1 for a byte of a word, 0 for the six that part words
+_INSIDE = bytes(0 if x in b"\x20\x09\x0A\x0B\x0C\x0D" else 1 for x in range(256))
+LOWER = bytes(x + 0x20 if 0x41 <= x <= 0x5A else x for x in range(256))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -36,6 +35,7 @@ def stream(seed: int, n: int) -> np.ndarray:
 
 
 BYTE_CODE = stream(1, 256)
+_LOWER_CODE = BYTE_CODE[np.frombuffer(LOWER, dtype=np.uint8)]
 _BASE = 0xD1B54A32D192ED03
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _pow = np.ones(1, dtype=_U)
@@ -114,8 +114,8 @@ def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[Block]:
 
 
 def words(block: Block, lower: bool = False) -> Words:
-    data = _LOWER[block.data] if lower else block.data
-    inside = ~_SPACE[data]
+    data = block.data
+    inside = np.frombuffer(data.tobytes().translate(_INSIDE), dtype=bool)
     begin, stop = inside.copy(), inside.copy()
     begin[1:] &= ~inside[:-1]
     stop[:-1] &= ~inside[1:]
@@ -124,7 +124,7 @@ def words(block: Block, lower: bool = False) -> Words:
     begin[cuts] = inside[cuts]
     stop[cuts - 1] = inside[cuts - 1]
     start, end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-    codes = Prefix(BYTE_CODE[data]).of(start, end) if len(start) else np.zeros(0, dtype=_U)
+    codes = Prefix((_LOWER_CODE if lower else BYTE_CODE)[data]).of(start, end) if len(start) else np.zeros(0, dtype=_U)
     return Words(start, end, codes, np.searchsorted(start, block.offsets))
 
 

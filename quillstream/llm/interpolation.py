@@ -5,10 +5,11 @@
 with the weights L taken by the frequency of the context v, in buckets of powers of two.  They are learned by
 expectation-maximisation: counts of the training folds but one stand against the counts of that one.
 
-Words are 64-bit hashes.  Word counts of the frequent words, a table of HEAD entries at most, go to all
-workers; those of other words are joined to the rows that hold them.  Bigrams travel in packed blocks, dealt
-by hash: each part meets all occurrences of its bigrams, counts the training ones, and returns sums by row.
-The parts' number follows the corpus, so a part stays bounded, and PASSES passes bound the disk.
+Words and bigrams are 64-bit hashes.  All counts are Spark aggregates over rows that workers combine before they
+leave (FLUSH tokens at a time).  Words and bigrams that make up more than one in HEAD of all tokens are at most
+HEAD by that share, so their counts go to all workers; the counts of others are joined to the places that hold
+them, by sort and merge, in PASSES passes that bound the disk.  A key outside the head is that rare by
+definition, so no key makes a large task.
 
 Defined results: a null or empty text is its end token alone; a null doc_id is in no fold, its row is scored
 and not learned from; repeated rows are documents of their own in every count; other columns are ignored.
@@ -16,7 +17,6 @@ and not learned from; repeated rows are documents of their own in every count; o
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,12 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Block, blocks, mix, words
-from .frames import Workspace, partitions
+from .frames import Workspace
 
 HEAD = 1 << 20
-PASSES = 3
-PART_TOKENS = 1_500_000
-FLUSH = 2_000_000  #: tokens that a worker packs at once
+PASSES = 4
+FLUSH = 1 << 20  #: tokens that a worker combines at once
 ROUNDS = 12
 TEST, DELETED = 0, 1  #: folds: never learned from; held out of the counts that weights are learned against
 END, BEGIN = (mix(np.array([x], dtype=np.uint64))[0] for x in (0xE0D, 0xBE6))
@@ -64,163 +63,181 @@ def before(code: np.ndarray, row: np.ndarray) -> np.ndarray:
     return out
 
 
-def packed(part: np.ndarray, n_parts: int, *columns: np.ndarray) -> Iterator[tuple[int, list[bytes]]]:
-    order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(n_parts + 1))
-    columns = [c[order] for c in columns]
-    for k in np.flatnonzero(np.diff(cuts)).tolist():
-        yield k, [c[cuts[k] : cuts[k + 1]].tobytes() for c in columns]
+def pair(prev: np.ndarray, code: np.ndarray) -> np.ndarray:
+    return mix(prev * np.uint64(0x9E3779B97F4A7C15) + code)
 
 
-def of_part(keys: np.ndarray, n_parts: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) % np.uint64(n_parts)).astype(np.int64)
+def signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
 
-class Counts:
-    """Counts (all training, retained) of the frequent words, and of a row's others as they come."""
+class Head:
+    """Hashes with two counts each, found by their high bits: the hashes are even, so a slot holds few of them."""
 
-    def __init__(self, head: np.ndarray):
-        self.keys, self.all, self.kept = head
+    def __init__(self, keys: np.ndarray, first: np.ndarray, second: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.counts = keys[order], np.stack([first[order], second[order]])
+        self.bits = max(1, int(len(keys)).bit_length())
+        self.start = np.searchsorted(self.keys >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64))
 
-    def of(self, code: np.ndarray, tails: pa.Array | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct codes with both counts."""
-        seen = np.unique(code)
-        i = np.minimum(np.searchsorted(self.keys, seen), len(self.keys) - 1) if len(self.keys) else None
-        both = np.zeros((2, len(seen)), dtype=np.int64)
-        if i is not None:
-            hit = self.keys[i] == seen
-            both[0, hit], both[1, hit] = self.all[i[hit]], self.kept[i[hit]]
-        if tails is not None and len(tails):
-            w = tails.field("w").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            j = np.minimum(np.searchsorted(seen, w), len(seen) - 1)
-            ok = seen[j] == w
-            both[0, j[ok]] = tails.field("c").to_numpy(zero_copy_only=False)[ok]
-            both[1, j[ok]] = tails.field("r").to_numpy(zero_copy_only=False)[ok]
-        return seen, both[0], both[1]
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Where each key stands, -1 for none."""
+        out = np.full(len(keys), -1, dtype=np.int64)
+        slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, stop = self.start[slot], self.start[slot + 1]
+        left = np.flatnonzero(at < stop)
+        while len(left):
+            here = at[left]
+            hit = self.keys[here] == keys[left]
+            out[left[hit]] = here[hit]
+            at[left] += 1
+            left = left[~hit]
+            left = left[at[left] < stop[left]]
+        return out
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and how often each occurs."""
+    keys = np.sort(keys)
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    at = np.flatnonzero(new)
+    return keys[at], np.diff(np.append(at, len(keys)))
 
 
 def keyed(docs: DataFrame, fold: Column) -> DataFrame:
-    """rid (rows with one doc_id and text share it), fold (-1: none), text."""
+    """id and body (which rows with one doc_id and text share), fold (-1: none), text.
+
+    A doc_id of integers is its own id, so body has only to tell apart the texts of one doc_id; others, and null
+    ones, are hashed."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.xxhash64(F.col("doc_id"), text, F.length(text)).alias("rid"), F.coalesce(fold, F.lit(-1)).cast("int").alias("fold"), text.alias("text"))
+    known = F.col("doc_id").cast("long") if dict(docs.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint") else F.xxhash64("doc_id", F.lit(1))
+    own = F.when(F.col("doc_id").isNull(), F.xxhash64(text, F.lit(1))).otherwise(known)
+    return docs.select("doc_id", own.alias("id"), F.hash("doc_id", text, F.length(text)).alias("body"), F.coalesce(fold, F.lit(-1)).cast("int").alias("fold"), text.alias("text"))
+
 
+def counted(rows: DataFrame, codes: Callable[[Block], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """key, c (training count), d (count in the deleted fold), o (count in all rows)."""
 
-def word_counts(rows: DataFrame, n_parts: int) -> DataFrame:
-    """w, c (training count), r (count in the retained folds) of each training word."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[list[np.ndarray]] = [[], [], []]  # codes of folds that are retained, deleted, not learned from
 
-    def emit(batches):
+        def flush():
+            for kind, parts in enumerate(kept):
+                if parts:
+                    keys, n = distinct(np.concatenate(parts))
+                    parts.clear()
+                    zero = np.zeros(len(n), dtype=np.int64)
+                    cols = [signed(keys), pa.array(n if kind < 2 else zero), pa.array(n if kind == 1 else zero), pa.array(n)]
+                    yield pa.RecordBatch.from_arrays(cols, ["key", "c", "d", "o"])
+
+        held = 0
         for batch in batches:
             fold = batch.column(0).to_numpy()
-            for b in blocks(batch.column(1), 8 << 20):
-                code, row = tokens(b)
-                kept = fold[b.lo + row] != DELETED
-                keys, back = np.unique(code, return_inverse=True)
-                every = np.bincount(back)
-                for k, cols in packed(of_part(keys, n_parts), n_parts, keys, every.astype(np.uint32), np.bincount(back, weights=kept).astype(np.uint32)):
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([c], pa.binary()) for c in cols)], ["part", "k", "c", "r"])
-
-    def gather(batches):
-        got = [[], [], []]
-        for batch in batches:
-            for i in range(3):
-                got[i] += [np.frombuffer(x.as_buffer(), np.uint64 if i == 0 else np.uint32) for x in batch.column(i + 1)]
-        if got[0]:
-            keys, back = np.unique(np.concatenate(got[0]), return_inverse=True)
-            c, r = (np.bincount(back, weights=np.concatenate(g)).astype(np.int64) for g in got[1:])
-            for a in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000].view(np.int64)), pa.array(c[a : a + 100_000]), pa.array(r[a : a + 100_000])], ["w", "c", "r"])
+            kind = np.where(fold == DELETED, 1, np.where(fold > TEST, 0, 2))
+            for b in blocks(batch.column(1)):
+                code, row = codes(b)
+                of = kind[b.lo + row]
+                for k in range(3):
+                    kept[k].append(code[of == k])
+                held += len(code)
+                if held >= FLUSH:
+                    held = 0
+                    yield from flush()
+        yield from flush()
 
-    blocks_ = rows.filter(F.col("fold") > TEST).select("fold", "text").mapInArrow(emit, "part int, k binary, c binary, r binary")
-    return blocks_.repartition(n_parts, "part").mapInArrow(gather, "w long, c long, r long")
+    out = rows.select("fold", "text").mapInArrow(run, "key long, c long, d long, o long")
+    return out.groupBy("key").agg(*[F.sum(x).alias(x) for x in "cdo"])
 
 
-def rare_words(rows: DataFrame, counts: DataFrame, head, n_parts: int) -> DataFrame:
-    """rid, tails: counts of a row's words that are not in the head."""
+def bigrams(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    code, row = tokens(block)
+    return pair(before(code, row), code), row
 
-    def emit(batches):
-        known = head.value[0]
+
+def rare_words(rows: DataFrame, counts: DataFrame, head) -> DataFrame:
+    """i, y, tails: of each distinct row (id, body) the counts of its words that are not in the head."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for b in blocks(batch.column(1)):
+            for b in blocks(batch.column(2)):
                 w = words(b, lower=True)
-                if not len(w.hash) or not len(known):
-                    continue
-                rare = known[np.minimum(np.searchsorted(known, w.hash), len(known) - 1)] != w.hash
-                code, row = w.hash[rare], w.row[rare]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[b.lo + row]), pa.array(code.view(np.int64))], ["rid", "w"])
+                rare = head.value.find(w.hash) < 0
+                at = pa.array(b.lo + w.row[rare])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), signed(w.hash[rare])], ["id", "body", "w"])
 
-    found = rows.select("rid", "text").mapInArrow(emit, "rid long, w long")
-    return found.join(counts.hint("merge"), "w").groupBy("rid").agg(F.collect_list(F.struct("w", "c", "r")).alias("tails"))
+    found = rows.select("id", "body", "text").mapInArrow(run, "id long, body int, w long").distinct()
+    known = counts.filter("c > 0").select(F.col("key").alias("w"), "c", "d")
+    joined = found.join(known.hint("merge"), "w")
+    return joined.groupBy(F.col("id").alias("i"), F.col("body").alias("y")).agg(F.collect_list(F.struct("w", "c", "d")).alias("tails"))
 
 
 def with_tails(rows: DataFrame, tails: DataFrame) -> DataFrame:
-    return rows.join(tails.withColumnRenamed("rid", "t").hint("merge"), F.col("rid") == F.col("t"), "left").select("rid", "fold", "text", "tails")
-
-
-def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[Block, pa.Array | None]]:
-    tails = batch.column(3)
-    for b in blocks(batch.column(2), 8 << 20):
-        yield b, tails.slice(b.lo, b.hi - b.lo).flatten()
-
-
-def held_counts(both: DataFrame, head, n_docs: tuple[int, int], n_parts: int) -> DataFrame:
+    near = (F.col("id") == F.col("i")) & (F.col("body") == F.col("y"))
+    return rows.join(tails.hint("merge"), near, "left").select("id", "body", "fold", "text", "tails")
+
+
+class Places:
+    """The tokens of a block with the counts of each and of the one before it."""
+
+    def __init__(self, b: Block, head: Head, tails: pa.Array | None, n_docs: tuple[int, int]):
+        self.code, self.row = tokens(b)
+        at = head.find(self.code)
+        both = np.where(at >= 0, head.counts[:, at], 0) if len(head.keys) else np.zeros((2, len(self.code)), dtype=np.int64)
+        end = self.code == END
+        both[:, end] = np.array(n_docs)[:, None]
+        common = (at >= 0) | end
+        rare = np.flatnonzero(~common)
+        if tails is not None and len(rare):
+            flat = tails.flatten()
+            size = tails.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            if len(flat):
+                # a row's own words only: word and row make one key
+                w, c, d = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("w", "c", "d"))
+                own = pair(np.repeat(np.arange(len(size), dtype=np.uint64), size), w.view(np.uint64))
+                order = np.argsort(own)
+                own = own[order]
+                seek = pair(self.row[rare].astype(np.uint64), self.code[rare])
+                j = np.minimum(np.searchsorted(own, seek), len(own) - 1)
+                ok = own[j] == seek
+                both[0, rare[ok]], both[1, rare[ok]] = c[order[j[ok]]], d[order[j[ok]]]
+        prev = before(self.code, self.row)
+        first = prev == BEGIN
+        self.key = pair(prev, self.code)
+        (self.cw, self.dw), (self.cv, self.dv) = both, np.roll(both, 1, axis=1)
+        self.cv, self.dv = np.where(first, n_docs[0], self.cv), np.where(first, n_docs[1], self.dv)
+        self.common = common & (first | np.roll(common, 1))  # both counts come from the head
+
+
+def _pieces(batch: pa.RecordBatch, text: int) -> Iterator[tuple[Block, pa.Array]]:
+    """Blocks of the text column, and their rows of the tails, the column after it."""
+    for b in blocks(batch.column(text)):
+        yield b, batch.column(text + 1).slice(b.lo, b.hi - b.lo)
+
+
+def held_counts(both: DataFrame, table: DataFrame, head, n_docs: tuple[int, int]) -> DataFrame:
     """context, seen, word, n: how often a held-out bigram occurs whose retained counts are these.
 
-    Where the bigram was not retained (seen = 0) only the context's bucket matters, which stands for it."""
+    Where the bigram was not retained (seen = 0) only the context's bucket matters, whose least count stands for it."""
 
-    def emit(batches):
-        counts = Counts(head.value)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fold = batch.column(1).to_numpy()
-            for b, tails in _pieces(batch):
-                code, row = tokens(b)
-                prev = before(code, row)
-                key = mix(prev * np.uint64(0x9E3779B97F4A7C15) + code)
-                held = fold[b.lo + row] == DELETED
-                keys, n = np.unique(key[~held], return_counts=True)
-                for k, cols in packed(of_part(keys, n_parts), n_parts, keys, n.astype(np.uint32)):
-                    yield _row(k, cols + [b""] * 3)
-                if held.any():
-                    seen, _, r = counts.of(code, tails)
-                    rw = r[np.searchsorted(seen, code[held])].astype(np.uint32)
-                    p = prev[held]
-                    at = np.minimum(np.searchsorted(seen, p), len(seen) - 1)
-                    rv = np.where(p == BEGIN, n_docs[1], np.where(seen[at] == p, r[at], 0)).astype(np.uint32)
-                    for k, cols in packed(of_part(key[held], n_parts), n_parts, key[held], rv, rw):
-                        yield _row(k, [b"", b"", *cols])
-
-    def _row(k, cols):
-        return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([c], pa.binary()) for c in cols)], ["part", "k", "n", "hk", "rv", "rw"])
-
-    def gather(batches):
-        got = [[] for _ in range(5)]
-        for batch in batches:
-            for i, kind in enumerate((np.uint64, np.uint32, np.uint64, np.uint32, np.uint32)):
-                got[i] += [np.frombuffer(x.as_buffer(), kind) for x in batch.column(i + 1)]
-        if not got[2]:
-            return
-        k, n, hk, rv, rw = (np.concatenate(g) for g in got)
-        keys, back = np.unique(k, return_inverse=True)
-        total = np.bincount(back, weights=n).astype(np.int64) if len(k) else np.zeros(0, np.int64)
-        c2 = np.zeros(len(hk), dtype=np.int64)
-        if len(keys):
-            i = np.minimum(np.searchsorted(keys, hk), len(keys) - 1)
-            c2 = np.where(keys[i] == hk, total[i], 0)
-        ctx = np.where(c2 > 0, rv, np.where(rv > 0, 1 << np.maximum(bucket(rv) - 1, 0), 0))
-        rows_, times = np.unique(np.stack([ctx, c2, rw.astype(np.int64)]), axis=1, return_counts=True)
-        for a in range(0, rows_.shape[1], 100_000):
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[a : a + 100_000]) for x in rows_), pa.array(times[a : a + 100_000])], ["context", "seen", "word", "n"])
-
-    train = both.filter(F.col("fold") > TEST).mapInArrow(emit, "part int, k binary, n binary, hk binary, rv binary, rw binary")
-    out = train.repartition(n_parts, "part").mapInArrow(gather, "context long, seen long, word long, n long")
-    return out.groupBy("context", "seen", "word").agg(F.sum("n").alias("n"))
+            for b, tails in _pieces(batch, 0):
+                p = Places(b, head.value, tails, n_docs)
+                yield pa.RecordBatch.from_arrays([signed(p.key), pa.array(p.cv - p.dv), pa.array(p.cw - p.dw)], ["key", "context", "word"])
+
+    held = both.filter(F.col("fold") == DELETED).select("text", "tails").mapInArrow(run, "key long, context long, word long")
+    seen = table.select(F.col("key").alias("k"), (F.col("c") - F.col("d")).alias("seen"))
+    least = F.when(F.col("context") > 0, F.pow(F.lit(2.0), F.length(F.bin("context")) - 1).cast("long")).otherwise(0)
+    joined = held.join(seen.hint("merge"), F.col("key") == F.col("k"))
+    return joined.groupBy(F.when(F.col("seen") > 0, F.col("context")).otherwise(least).alias("context"), "seen", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def learn_weights(held: DataFrame, n_kept: int, vocabulary: int, rounds: int = ROUNDS) -> np.ndarray:
     """L2, L1, L0 by bucket: each round is one aggregation over the held-out counts."""
     lam = np.tile(np.array([0.4, 0.4, 0.2]), (BUCKETS, 1))
     lam[0] = 0.0, 0.8, 0.2
-    b = F.least(F.when(F.col("context") > 0, F.floor(F.log2("context")) + 1).otherwise(0), F.lit(BUCKETS - 1)).cast("int")
+    b = F.least(F.when(F.col("context") > 0, F.length(F.bin("context"))).otherwise(0), F.lit(BUCKETS - 1)).cast("int")
     p2 = F.when(F.col("seen") > 0, F.col("seen") / F.col("context")).otherwise(0.0)
     rows = held.select(b.alias("b"), p2.alias("p2"), (F.col("word") / float(max(n_kept, 1))).alias("p1"), "n")
     for _ in range(rounds):
@@ -239,115 +256,116 @@ def learn_weights(held: DataFrame, n_kept: int, vocabulary: int, rounds: int = R
     return lam
 
 
-def scores(both: DataFrame, head, lam: np.ndarray, n: int, v: int, n_docs: tuple[int, int], n_parts: int, step: int, passes: int) -> DataFrame:
-    """rid, copies, n_tokens, n_known, base, score: sums of this pass, the first four in pass 0 only."""
+class Model:
+    """What workers need: frequent words and bigrams, the weights and the totals."""
+
+    def __init__(self, lam: np.ndarray, n: int, v: int, n_docs: tuple[int, int]):
+        self.lam, self.n, self.v, self.n_docs = lam, n, v, n_docs
+
+    def terms(self, p: Places) -> tuple[np.ndarray, np.ndarray]:
+        """rest and q: a token's probability is rest * (1 + q * c(v, w))."""
+        l2, l1, l0 = self.lam[bucket(p.cv)].T
+        rest = l1 * p.cw / max(self.n, 1) + l0 / (self.v + 1)
+        return rest, np.where((p.cv > 0) & (p.cw > 0), l2 / np.maximum(p.cv, 1) / rest, 0.0)
 
-    def out(part, key=b"", row=b"", a=b"", r=b"", train=b"", rids=b"", own=None):
-        own = own or ([], [], [], [])
-        return pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in (key, row, a, r, train, rids)), pa.array([own[0]], pa.list_(pa.int64())), pa.array([own[1]], pa.list_(pa.int64())), pa.array([own[2]], pa.list_(pa.int64())), pa.array([own[3]], pa.list_(pa.float64()))],
-            NAMES,
-        )
 
-    def emit(batches):
-        counts = Counts(head.value)
+def own_scores(both: DataFrame, head, hot, model: Model) -> DataFrame:
+    """Each row's n_tokens, n_known, base and what its score owes to words and frequent bigrams (key is null);
+    and, with key and q, its bigrams outside the head that hold a word outside it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, fold = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for b, tails in _pieces(batch):
-                code, row = tokens(b)
-                prev = before(code, row)
-                seen, c, _ = counts.of(code, tails)
-                cw = c[np.searchsorted(seen, code)]
-                if step == 0:
-                    k = b.hi - b.lo
-                    base = np.bincount(row, weights=np.log10((cw + 0.1) / (n + 0.1 * (v + 1))), minlength=k)
-                    yield out(int(b.lo) % n_parts, own=(ids[b.lo : b.hi], np.bincount(row, minlength=k), np.bincount(row, weights=cw > 0, minlength=k).astype(np.int64), base))
-                key = mix(prev * np.uint64(0x9E3779B97F4A7C15) + code)
-                mine = (key % np.uint64(passes)) == step
-                code, row, prev, key, cw = code[mine], row[mine], prev[mine], key[mine], cw[mine]
-                at = np.minimum(np.searchsorted(seen, prev), len(seen) - 1)
-                cv = np.where(prev == BEGIN, n_docs[0], np.where(seen[at] == prev, c[at], 0))
-                l2, l1, l0 = lam[bucket(cv)].T
-                a = (l2 / np.maximum(cv, 1)).astype(np.float32)
-                r = (l1 * cw / max(n, 1) + l0 / (v + 1)).astype(np.float32)
-                train = fold[b.lo + row] > TEST
-                for k, cols in packed(of_part(key, n_parts), n_parts, key, row.astype(np.uint32), a, r, train):
-                    yield out(k, *cols, rids=ids[b.lo : b.hi].tobytes())
-
-    def gather(batches):
-        keys, rows, al, rest, train, rids = [], [], [], [], [], []
-        offset = 0
+            for b, tails in _pieces(batch, 2):
+                p = Places(b, head.value, tails, model.n_docs)
+                k = b.hi - b.lo
+                rest, q = model.terms(p)
+                at = hot.value.find(p.key)
+                known = np.where(at >= 0, hot.value.counts[0][at], 0) if len(hot.value.keys) else np.zeros(len(at))
+                score = np.log10(rest) + np.log1p(q * known) / np.log(10)
+                base = np.log10((p.cw + 0.1) / (model.n + 0.1 * (model.v + 1)))
+                sums = [np.bincount(p.row, weights=x, minlength=k) for x in (p.cw > 0, base, score)]
+                cold = np.flatnonzero((at < 0) & (q > 0) & ~p.common)
+                row = pa.array(np.concatenate([np.arange(k), p.row[cold]]) + b.lo)
+                pad = pa.nulls(len(cold), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(row), batch.column(1).take(row),
+                        pa.concat_arrays([pa.nulls(k, pa.int64()), signed(p.key[cold])]), pa.concat_arrays([pa.nulls(k, pa.float32()), pa.array(q[cold].astype(np.float32))]),
+                        pa.concat_arrays([pa.array(np.bincount(p.row, minlength=k)), pad]), pa.concat_arrays([pa.array(sums[0].astype(np.int64)), pad]),
+                        pa.concat_arrays([pa.array(sums[1]), pad.cast(pa.float64())]), pa.concat_arrays([pa.array(sums[2]), pad.cast(pa.float64())]),
+                    ],
+                    ["id", "body", "key", "q", "n_tokens", "n_known", "base", "part"],
+                )
+
+    return both.select("id", "body", "text", "tails").mapInArrow(run, "id long, body int, key long, q float, n_tokens long, n_known long, base double, part double")
+
+
+def cold_places(rows: DataFrame, head, hot, model: Model, step: int, passes: int) -> DataFrame:
+    """id, body, key, q: this pass's bigrams outside the head whose words are both in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                own = [batch.column(j)[i].values.to_numpy(zero_copy_only=False) for j in range(7, 11)]
-                if len(own[0]):
-                    yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (own[0], np.ones(len(own[0]), np.int64), own[1], own[2], own[3])), pa.array(np.zeros(len(own[0])))], RESULT)
-                    continue
-                get = lambda j, kind: np.frombuffer(batch.column(j)[i].as_buffer(), kind)  # noqa: B023, E731
-                keys.append(get(1, np.uint64)), rows.append(get(2, np.uint32) + np.int64(offset)), al.append(get(3, np.float32))
-                rest.append(get(4, np.float32)), train.append(get(5, bool)), rids.append(get(6, np.int64))
-                offset += len(rids[-1])
-        if keys:
-            uniq, back = np.unique(np.concatenate(keys), return_inverse=True)
-            c = np.bincount(back, weights=np.concatenate(train), minlength=len(uniq))
-            p = np.concatenate(al).astype(np.float64) * c[back] + np.concatenate(rest)
-            rows_ = np.concatenate(rows)
-            total = np.bincount(rows_, weights=np.log10(p), minlength=offset)
-            hit = np.bincount(rows_, minlength=offset) > 0
-            ids = np.concatenate(rids)[hit]
-            zero = np.zeros(len(ids), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(zero), pa.array(zero), pa.array(zero), pa.array(np.zeros(len(ids))), pa.array(total[hit])], RESULT)
-
-    schema = "part int, key binary, row binary, a binary, r binary, train binary, rids binary, ids array<long>, n_tokens array<long>, n_known array<long>, base array<double>"
-    dealt = both.mapInArrow(emit, schema).repartition(n_parts, "part")
-    return dealt.mapInArrow(gather, "rid long, copies long, n_tokens long, n_known long, base double, score double").groupBy("rid").agg(*[F.sum(x).alias(x) for x in RESULT[1:]])
-
-
-NAMES = ["part", "key", "row", "a", "r", "train", "rids", "ids", "n_tokens", "n_known", "base"]
-RESULT = ["rid", "copies", "n_tokens", "n_known", "base", "score"]
-
-
-def frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """w, c and r, by w, of the words of the highest whole levels of frequency that hold at most so many words."""
-    level = F.floor(F.log2(F.greatest("c", F.lit(1))) * 16)
-    cut, held = 1 << 20, 0
-    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r.level):
-        held += r["count"]
-        if held > most:
-            break
-        cut = r.level
-    top = counts.filter(level >= cut).select("w", "c", "r").toArrow()
-    w, c, r = (top[x].to_numpy() for x in ("w", "c", "r"))
-    order = np.argsort(w.view(np.uint64))
-    return w.view(np.uint64)[order], c[order], r[order]
+            for b in blocks(batch.column(2)):
+                p = Places(b, head.value, None, model.n_docs)
+                keep = np.flatnonzero(p.common & (p.key % np.uint64(passes) == step))
+                keep = keep[hot.value.find(p.key[keep]) < 0]
+                _, q = model.terms(p)
+                keep = keep[q[keep] > 0]
+                row = pa.array(b.lo + p.row[keep])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), signed(p.key[keep]), pa.array(q[keep].astype(np.float32))], ["id", "body", "key", "q"])
+
+    return rows.select("id", "body", "text").mapInArrow(run, "id long, body int, key long, q float")
+
+
+def frequent(counts: DataFrame, total: int, most: int) -> Head:
+    """The keys that make up at least one in `most` of all `total` occurrences, so at most that many."""
+    if not most:
+        return Head(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    top = counts.filter(F.col("o") >= total / most).select("key", "c", "d").toArrow()
+    keys, c, d = (top[x].to_numpy() for x in ("key", "c", "d"))
+    return Head(keys.view(np.uint64), c, d)
 
 
 def interpolated_scores(docs: DataFrame, ws: Workspace, fold: Callable[[], Column], head_words: int = HEAD, passes: int = PASSES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     fold: doc_id's fold, 0 never learned from, 1 held out while weights are learned."""
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     rows = keyed(docs, fold())
-    n_parts = partitions(spark)
-    counts = ws.save(word_counts(rows, n_parts), "words")
-    total = counts.agg(F.sum("c").alias("n"), F.sum("r").alias("kept"), F.count(F.lit(1)).alias("v")).first()
-    n, kept, v = total.n or 0, total.kept or 0, total.v
-    n_parts = max(n_parts, math.ceil(n / PART_TOKENS))
-    head = spark.sparkContext.broadcast(frequent(counts, head_words))
-    end = counts.filter(F.col("w") == int(END.astype(np.uint64).view(np.int64))).first()
-    n_docs = (int(end.c), int(end.r)) if end else (0, 0)
-    tails = ws.save(rare_words(rows, counts, head, n_parts), "tails")
+    counts = ws.save(counted(rows, tokens), "words")
+    total = counts.agg(F.sum("c").alias("n"), F.sum("d").alias("d"), F.sum("o").alias("o"), F.count_if(F.col("c") > 0).alias("v")).first()
+    n, kept, v = total.n or 0, (total.n or 0) - (total.d or 0), total.v
+    head = context.broadcast(frequent(counts, total.o or 0, head_words))
+    end = counts.filter(F.col("key") == int(END.astype(np.uint64).view(np.int64))).first()
+    n_docs = (int(end.c), int(end.d)) if end else (0, 0)
+    tails = ws.save(rare_words(rows, counts, head), "tails")
     both = with_tails(rows, tails)
-    held = ws.save(held_counts(both, head, n_docs, n_parts), "held")
-    lam = learn_weights(held, kept, v)
-    parts = None
+    table = ws.save(counted(rows, bigrams), "bigrams")
+    hot = context.broadcast(frequent(table, total.o or 0, head_words))
+    known = table.filter("c > 0")
+    held = ws.save(held_counts(both, known, head, n_docs), "held")
+    model = Model(learn_weights(held, kept, v), n, v, n_docs)
+    own = ws.save(own_scores(both, head, hot, model), "own")
+    ws.drop("tails"), ws.drop("held"), ws.drop("words")
+    parts = own.filter("key is null").select("id", "body", F.lit(1).cast("long").alias("copies"), *RESULT[1:])
     for step in range(passes):
-        got = ws.save(scores(both, head, lam, n, v, n_docs, n_parts, step, passes), f"scores{step}")
-        parts = got if parts is None else parts.unionByName(got)
-    sums = parts.groupBy("rid").agg(*[F.sum(x).alias(x) for x in RESULT[1:]])
-    own = rows.select("doc_id", F.col("rid").alias("own"), "fold")
+        places = cold_places(rows, head, hot, model, step, passes).unionByName(own.filter("key is not null").filter(in_pass(F.col("key"), step, passes)).select("id", "body", "key", "q"))
+        c = known.filter(in_pass(F.col("key"), step, passes)).select(F.col("key").alias("k"), "c")
+        met = places.join(c.hint("merge"), F.col("key") == F.col("k")).groupBy("id", "body").agg(F.sum(F.log10(1 + F.col("q").cast("double") * F.col("c"))).alias("part"))
+        met = ws.save(met, f"scores{step}")
+        parts = parts.unionByName(met.select("id", "body", *[F.lit(0).cast("long").alias(x) for x in RESULT[:3]], F.lit(0.0).alias("base"), "part"))
+    sums = parts.groupBy(F.col("id").alias("i"), F.col("body").alias("y")).agg(*[F.sum(x).alias(x) for x in RESULT])
     each = lambda x: F.col(x) / F.col("copies")
-    return own.join(sums.hint("merge"), F.col("own") == F.col("rid")).select(
+    return rows.drop("text").join(sums.hint("merge"), (F.col("id") == F.col("i")) & (F.col("body") == F.col("y"))).select(
         "doc_id", (F.col("fold") == TEST).alias("held_out"), each("n_tokens").cast("long").alias("n_tokens"), each("n_known").cast("long").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), each("base").alias("base_score"), each("score").alias("score"),
+        F.lit(n).cast("long").alias("train_tokens"), each("base").alias("base_score"), each("part").alias("score"),
     )
+
+
+RESULT = ["copies", "n_tokens", "n_known", "base", "part"]
+
+
+def in_pass(key: Column, step: int, passes: int) -> Column:
+    """The rows of a pass, by the key as an unsigned number."""
+    high, low = F.shiftrightunsigned(key, 32), key.bitwiseAND(F.lit(0xFFFFFFFF))
+    return (high * ((1 << 32) % passes) + low) % passes == step

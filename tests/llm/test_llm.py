@@ -265,23 +265,66 @@ def test_token_counts(docs, rows):
         assert enc.cut(t, 2) == max(k for k in range(len(t) + 1) if n(t[:k]) <= 2)
 
 
+def interpolated(toks, fold, rounds=12):
+    """Log10 probabilities by the definition, in plain Python."""
+    from quillstream.llm.interpolation import BUCKETS, DELETED
+
+    pairs = lambda t: zip([None, *t[:-1]], t, strict=True)
+    bucket = lambda c: min(int(math.log2(c)) + 1, BUCKETS - 1) if c > 0 else 0
+
+    def counts(keep):
+        word, both, context = collections.Counter(), collections.Counter(), collections.Counter()
+        for t, f in zip(toks, fold, strict=True):
+            if keep(f):
+                word.update(t), both.update(pairs(t)), context.update(v for v, _ in pairs(t))
+        return word, both, context
+
+    word, both, context = counts(lambda f: f > 0)
+    n, v = sum(word.values()), len(word)
+    rw, rb, rc = counts(lambda f: f > 0 and f != DELETED)
+    kept = sum(rw.values())
+    held = [(a, b) for t, f in zip(toks, fold, strict=True) if f == DELETED for a, b in pairs(t)]
+    lam = [[0.4, 0.4, 0.2] for _ in range(BUCKETS)]
+    lam[0] = [0.0, 0.8, 0.2]
+    for _ in range(rounds):
+        got = [[0.0] * 3 for _ in range(BUCKETS)]
+        for a, b in held:
+            k = bucket(rc[a])
+            t = [lam[k][0] * (rb[a, b] / rc[a] if rc[a] else 0), lam[k][1] * rw[b] / max(kept, 1), lam[k][2] / (v + 1)]
+            got[k] = [x + y / sum(t) for x, y in zip(got[k], t, strict=True)]
+        old = [list(x) for x in lam]
+        for k, g in enumerate(got):
+            if sum(g):
+                g = [max(x / sum(g), low) for x, low in zip(g, (0, 1e-6, 1e-6), strict=True)]
+                lam[k] = [x / sum(g) for x in g]
+        if max(abs(x - y) for p, q in zip(lam, old, strict=True) for x, y in zip(p, q, strict=True)) < 1e-4:
+            break
+    def score(a, b):
+        l2, l1, l0 = lam[bucket(context[a])]
+        return math.log10(l2 * (both[a, b] / context[a] if context[a] else 0) + l1 * word[b] / max(n, 1) + l0 / (v + 1))
+
+    return [sum(score(a, b) for a, b in pairs(t)) for t in toks]
+
+
 def test_interpolation(docs, rows, ws):
     from quillstream.llm.interpolation import interpolated_scores
 
     fold = lambda: F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10
     lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     toks = [WORD.findall((r[1] or "").translate(lower)) + ["\0"] for r in rows]
-    learn = [r[0] is not None and zlib.crc32(str(r[0]).encode()) % 10 != 0 for r in rows]
-    c = collections.Counter(w for t, ok in zip(toks, learn) if ok for w in t)
+    folds = [-1 if r[0] is None else zlib.crc32(str(r[0]).encode()) % 10 for r in rows]
+    c = collections.Counter(w for t, f in zip(toks, folds) if f > 0 for w in t)
     n, v = sum(c.values()), len(c)
-    want = counter((r[0], len(t), sum(c[w] > 0 for w in t), round(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), 4)) for r, t in zip(rows, toks))
-    for head in (1 << 20, 16):  # with and without words beyond the head
-        got = interpolated_scores(docs, ws, fold, head_words=head).collect()
-        assert counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 4)) for r in got) == want
-        assert {r.train_tokens for r in got} == {n} and all(r.score < 0 and math.isfinite(r.score) for r in got)
-        if head > 16:
-            first = sorted((r.doc_id is None, r.doc_id or 0, round(r.score, 4)) for r in got)
-    assert first == sorted((r.doc_id is None, r.doc_id or 0, round(r.score, 4)) for r in got)
+    base = [sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t) for t in toks]
+    score = interpolated(toks, folds)
+    order = lambda x: (x[0] is None, x[0] or 0, *x[1:])
+    want = sorted(((r[0], f == 0, len(t), sum(c[w] > 0 for w in t), b, s) for r, f, t, b, s in zip(rows, folds, toks, base, score)), key=order)
+    for head, passes in ((1 << 20, 1), (100, 3)):  # all counts at the workers, and some of them
+        rows_ = interpolated_scores(docs, ws, fold, head_words=head, passes=passes).collect()
+        got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.base_score, r.score) for r in rows_), key=order)
+        assert [g[:4] for g in got] == [w[:4] for w in want] and {r.train_tokens for r in rows_} == {n}
+        for g, w in zip(got, want, strict=True):
+            assert g[4] == pytest.approx(w[4], abs=1e-6) and g[5] == pytest.approx(w[5], rel=1e-5)
 
 
 def test_toxicity(spark, ws):
