@@ -6,10 +6,10 @@ with the weights L taken by the frequency of the context v, in buckets of powers
 expectation-maximisation: counts of the training folds but one stand against the counts of that one.
 
 Words and bigrams are 64-bit hashes.  All counts are Spark aggregates over rows that workers combine before they
-leave (FLUSH tokens at a time).  Words and bigrams that make up more than one in HEAD of all tokens are at most
-HEAD by that share, so their counts go to all workers; the counts of others are joined to the places that hold
-them, by sort and merge, in PASSES passes that bound the disk.  A key outside the head is that rare by
-definition, so no key makes a large task.
+leave (FLUSH codes at a time).  The counts of the HEAD most frequent words, and of as many bigrams, go to all
+workers; those of others are joined to the places that hold them, in PASSES passes that bound the disk.  Outside
+the head no key makes up more than one in HEAD of the training tokens, so none makes a large task; one that only
+rows outside the training folds hold has no count, and a skew join may split it.
 
 Defined results: a null or empty text is its end token alone; a null doc_id is in no fold, its row is scored
 and not learned from; repeated rows are documents of their own in every count; other columns are ignored.
@@ -25,14 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Block, blocks, mix, words
-from .frames import Workspace
+from .frames import Workspace, partitions, small_maps
 
 HEAD = 1 << 20
-PASSES = 4
-FLUSH = 1 << 20  #: tokens that a worker combines at once
+PASSES = 3
+FLUSH = 1 << 21  #: tokens that a worker combines at once
 ROUNDS = 12
 TEST, DELETED = 0, 1  #: folds: never learned from; held out of the counts that weights are learned against
-END, BEGIN = (mix(np.array([x], dtype=np.uint64))[0] for x in (0xE0D, 0xBE6))
+EVEN = np.uint64((1 << 64) - 2)
+END, BEGIN = (mix(np.array([x], dtype=np.uint64))[0] & EVEN for x in (0xE0D, 0xBE6))
 BUCKETS = 24
 
 
@@ -50,7 +51,7 @@ def tokens(block: Block) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum(n) - 1
     inner = np.ones(len(out), dtype=bool)
     inner[ends] = False
-    out[inner], out[ends] = w.hash, END
+    out[inner], out[ends] = w.hash & EVEN, END
     return out, row
 
 
@@ -64,7 +65,7 @@ def before(code: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 
 def pair(prev: np.ndarray, code: np.ndarray) -> np.ndarray:
-    return mix(prev * np.uint64(0x9E3779B97F4A7C15) + code)
+    return mix(prev * np.uint64(0x9E3779B97F4A7C15) + code) | np.uint64(1)
 
 
 def signed(x: np.ndarray) -> pa.Array:
@@ -72,13 +73,19 @@ def signed(x: np.ndarray) -> pa.Array:
 
 
 class Head:
-    """Hashes with two counts each, found by their high bits: the hashes are even, so a slot holds few of them."""
+    """Hashes with their counts, found by their high bits: hashes spread evenly, so few share those."""
 
-    def __init__(self, keys: np.ndarray, first: np.ndarray, second: np.ndarray):
+    def __init__(self, keys: np.ndarray, *counts: np.ndarray):
         order = np.argsort(keys)
-        self.keys, self.counts = keys[order], np.stack([first[order], second[order]])
+        self.keys, self.counts = keys[order], [c[order] for c in counts]
         self.bits = max(1, int(len(keys)).bit_length())
-        self.start = np.searchsorted(self.keys >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64))
+        self.start = np.searchsorted(self.keys >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def of(self, at: np.ndarray) -> np.ndarray:
+        """The counts at places that find() gave, 0 for none."""
+        if not len(self.keys):
+            return np.zeros((len(self.counts), len(at)), dtype=np.int64)
+        return np.stack([np.where(at >= 0, c[at], 0) for c in self.counts])
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Where each key stands, -1 for none."""
@@ -116,43 +123,38 @@ def keyed(docs: DataFrame, fold: Column) -> DataFrame:
     return docs.select("doc_id", own.alias("id"), F.hash("doc_id", text, F.length(text)).alias("body"), F.coalesce(fold, F.lit(-1)).cast("int").alias("fold"), text.alias("text"))
 
 
-def counted(rows: DataFrame, codes: Callable[[Block], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """key, c (training count), d (count in the deleted fold), o (count in all rows)."""
+def counted(rows: DataFrame, n_parts: int) -> DataFrame:
+    """key, c (training count), d (count in the deleted fold) of the training words and bigrams; a bigram's key is odd.
+
+    Workers combine what they can; few keys are left that a second combination before the shuffle would join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[list[np.ndarray]] = [[], [], []]  # codes of folds that are retained, deleted, not learned from
+        kept: list[list[np.ndarray]] = [[], []]  # codes of folds that are retained, deleted
 
         def flush():
             for kind, parts in enumerate(kept):
                 if parts:
                     keys, n = distinct(np.concatenate(parts))
                     parts.clear()
-                    zero = np.zeros(len(n), dtype=np.int64)
-                    cols = [signed(keys), pa.array(n if kind < 2 else zero), pa.array(n if kind == 1 else zero), pa.array(n)]
-                    yield pa.RecordBatch.from_arrays(cols, ["key", "c", "d", "o"])
+                    yield pa.RecordBatch.from_arrays([signed(keys), pa.array(n), pa.array(n * kind)], ["key", "c", "d"])
 
         held = 0
         for batch in batches:
             fold = batch.column(0).to_numpy()
-            kind = np.where(fold == DELETED, 1, np.where(fold > TEST, 0, 2))
             for b in blocks(batch.column(1)):
-                code, row = codes(b)
-                of = kind[b.lo + row]
-                for k in range(3):
-                    kept[k].append(code[of == k])
-                held += len(code)
+                code, row = tokens(b)
+                deleted = fold[b.lo + row] == DELETED
+                for keys in (code, pair(before(code, row), code)):
+                    kept[0].append(keys[~deleted])
+                    kept[1].append(keys[deleted])
+                held += 2 * len(code)
                 if held >= FLUSH:
                     held = 0
                     yield from flush()
         yield from flush()
 
-    out = rows.select("fold", "text").mapInArrow(run, "key long, c long, d long, o long")
-    return out.groupBy("key").agg(*[F.sum(x).alias(x) for x in "cdo"])
-
-
-def bigrams(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    code, row = tokens(block)
-    return pair(before(code, row), code), row
+    out = rows.filter(F.col("fold") > TEST).select("fold", "text").mapInArrow(run, "key long, c long, d long")
+    return out.repartition(n_parts, "key").groupBy("key").agg(F.sum("c").alias("c"), F.sum("d").alias("d"))
 
 
 def rare_words(rows: DataFrame, counts: DataFrame, head) -> DataFrame:
@@ -162,13 +164,13 @@ def rare_words(rows: DataFrame, counts: DataFrame, head) -> DataFrame:
         for batch in batches:
             for b in blocks(batch.column(2)):
                 w = words(b, lower=True)
-                rare = head.value.find(w.hash) < 0
+                code = w.hash & EVEN
+                rare = head.value.find(code) < 0
                 at = pa.array(b.lo + w.row[rare])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), signed(w.hash[rare])], ["id", "body", "w"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), signed(code[rare])], ["id", "body", "w"])
 
     found = rows.select("id", "body", "text").mapInArrow(run, "id long, body int, w long").distinct()
-    known = counts.filter("c > 0").select(F.col("key").alias("w"), "c", "d")
-    joined = found.join(known.hint("merge"), "w")
+    joined = found.join(counts.select(F.col("key").alias("w"), "c", "d").hint("merge"), "w")
     return joined.groupBy(F.col("id").alias("i"), F.col("body").alias("y")).agg(F.collect_list(F.struct("w", "c", "d")).alias("tails"))
 
 
@@ -183,7 +185,7 @@ class Places:
     def __init__(self, b: Block, head: Head, tails: pa.Array | None, n_docs: tuple[int, int]):
         self.code, self.row = tokens(b)
         at = head.find(self.code)
-        both = np.where(at >= 0, head.counts[:, at], 0) if len(head.keys) else np.zeros((2, len(self.code)), dtype=np.int64)
+        both = head.of(at)
         end = self.code == END
         both[:, end] = np.array(n_docs)[:, None]
         common = (at >= 0) | end
@@ -280,8 +282,7 @@ def own_scores(both: DataFrame, head, hot, model: Model) -> DataFrame:
                 k = b.hi - b.lo
                 rest, q = model.terms(p)
                 at = hot.value.find(p.key)
-                known = np.where(at >= 0, hot.value.counts[0][at], 0) if len(hot.value.keys) else np.zeros(len(at))
-                score = np.log10(rest) + np.log1p(q * known) / np.log(10)
+                score = np.log10(rest) + np.log1p(q * hot.value.of(at)[0]) / np.log(10)
                 base = np.log10((p.cw + 0.1) / (model.n + 0.1 * (model.v + 1)))
                 sums = [np.bincount(p.row, weights=x, minlength=k) for x in (p.cw > 0, base, score)]
                 cold = np.flatnonzero((at < 0) & (q > 0) & ~p.common)
@@ -307,7 +308,7 @@ def cold_places(rows: DataFrame, head, hot, model: Model, step: int, passes: int
         for batch in batches:
             for b in blocks(batch.column(2)):
                 p = Places(b, head.value, None, model.n_docs)
-                keep = np.flatnonzero(p.common & (p.key % np.uint64(passes) == step))
+                keep = np.flatnonzero(p.common & ((p.key >> np.uint64(33)) % np.uint64(passes) == step))
                 keep = keep[hot.value.find(p.key[keep]) < 0]
                 _, q = model.terms(p)
                 keep = keep[q[keep] > 0]
@@ -317,42 +318,47 @@ def cold_places(rows: DataFrame, head, hot, model: Model, step: int, passes: int
     return rows.select("id", "body", "text").mapInArrow(run, "id long, body int, key long, q float")
 
 
-def frequent(counts: DataFrame, total: int, most: int) -> Head:
-    """The keys that make up at least one in `most` of all `total` occurrences, so at most that many."""
-    if not most:
-        return Head(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-    top = counts.filter(F.col("o") >= total / most).select("key", "c", "d").toArrow()
-    keys, c, d = (top[x].to_numpy() for x in ("key", "c", "d"))
-    return Head(keys.view(np.uint64), c, d)
+def frequent(counts: DataFrame, most: int, *columns: str) -> Head:
+    """The keys of the highest whole levels of frequency that hold at most so many keys."""
+    level = F.floor(F.log2("c") * 16)
+    cut, held = 1 << 20, 0
+    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), key=lambda r: -r.level):
+        held += r["count"]
+        if held > most:
+            break
+        cut = r.level
+    top = counts.filter(level >= cut).select("key", *columns).toArrow()
+    return Head(top["key"].to_numpy().view(np.uint64), *[top[x].to_numpy() for x in columns])
 
 
-def interpolated_scores(docs: DataFrame, ws: Workspace, fold: Callable[[], Column], head_words: int = HEAD, passes: int = PASSES) -> DataFrame:
+def interpolated_scores(docs: DataFrame, ws: Workspace, fold: Callable[[], Column], head: int = HEAD, passes: int = PASSES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     fold: doc_id's fold, 0 never learned from, 1 held out while weights are learned."""
     context = docs.sparkSession.sparkContext
     rows = keyed(docs, fold())
-    counts = ws.save(counted(rows, tokens), "words")
-    total = counts.agg(F.sum("c").alias("n"), F.sum("d").alias("d"), F.sum("o").alias("o"), F.count_if(F.col("c") > 0).alias("v")).first()
+    counts = ws.save(counted(rows, partitions(docs.sparkSession)), "counts")
+    of_pass = lambda step: F.shiftrightunsigned("key", 33) % passes == step
+    words_ = ws.save(counts.filter(F.col("key") % 2 == 0), "words")
+    bigrams = counts.filter(F.col("key") % 2 != 0)
+    total = words_.agg(F.sum("c").alias("n"), F.sum("d").alias("d"), F.count(F.lit(1)).alias("v")).first()
     n, kept, v = total.n or 0, (total.n or 0) - (total.d or 0), total.v
-    head = context.broadcast(frequent(counts, total.o or 0, head_words))
-    end = counts.filter(F.col("key") == int(END.astype(np.uint64).view(np.int64))).first()
+    common, hot = context.broadcast(frequent(words_, head, "c", "d")), context.broadcast(frequent(bigrams, head, "c"))
+    end = words_.filter(F.col("key") == int(END.view(np.int64))).first()
     n_docs = (int(end.c), int(end.d)) if end else (0, 0)
-    tails = ws.save(rare_words(rows, counts, head), "tails")
-    both = with_tails(rows, tails)
-    table = ws.save(counted(rows, bigrams), "bigrams")
-    hot = context.broadcast(frequent(table, total.o or 0, head_words))
-    known = table.filter("c > 0")
-    held = ws.save(held_counts(both, known, head, n_docs), "held")
+    both = with_tails(rows, ws.save(rare_words(rows, words_, common), "tails"))
+    held = ws.save(held_counts(both, bigrams, common, n_docs), "held")
     model = Model(learn_weights(held, kept, v), n, v, n_docs)
-    own = ws.save(own_scores(both, head, hot, model), "own")
-    ws.drop("tails"), ws.drop("held"), ws.drop("words")
+    ws.drop("held"), ws.drop("words")
+    own = ws.save(own_scores(both, common, hot, model), "own")
+    ws.drop("tails")
     parts = own.filter("key is null").select("id", "body", F.lit(1).cast("long").alias("copies"), *RESULT[1:])
     for step in range(passes):
-        places = cold_places(rows, head, hot, model, step, passes).unionByName(own.filter("key is not null").filter(in_pass(F.col("key"), step, passes)).select("id", "body", "key", "q"))
-        c = known.filter(in_pass(F.col("key"), step, passes)).select(F.col("key").alias("k"), "c")
-        met = places.join(c.hint("merge"), F.col("key") == F.col("k")).groupBy("id", "body").agg(F.sum(F.log10(1 + F.col("q").cast("double") * F.col("c"))).alias("part"))
-        met = ws.save(met, f"scores{step}")
+        places = cold_places(rows, common, hot, model, step, passes).unionByName(own.filter(of_pass(step)).select("id", "body", "key", "q"))
+        c = bigrams.filter(of_pass(step)).select(F.col("key").alias("k"), "c")
+        met = places.join(c, F.col("key") == F.col("k")).groupBy("id", "body").agg(F.sum(F.log10(1 + F.col("q").cast("double") * F.col("c"))).alias("part"))
+        with small_maps(docs.sparkSession):
+            met = ws.save(met, f"scores{step}")
         parts = parts.unionByName(met.select("id", "body", *[F.lit(0).cast("long").alias(x) for x in RESULT[:3]], F.lit(0.0).alias("base"), "part"))
     sums = parts.groupBy(F.col("id").alias("i"), F.col("body").alias("y")).agg(*[F.sum(x).alias(x) for x in RESULT])
     each = lambda x: F.col(x) / F.col("copies")
@@ -363,9 +369,3 @@ def interpolated_scores(docs: DataFrame, ws: Workspace, fold: Callable[[], Colum
 
 
 RESULT = ["copies", "n_tokens", "n_known", "base", "part"]
-
-
-def in_pass(key: Column, step: int, passes: int) -> Column:
-    """The rows of a pass, by the key as an unsigned number."""
-    high, low = F.shiftrightunsigned(key, 32), key.bitwiseAND(F.lit(0xFFFFFFFF))
-    return (high * ((1 << 32) % passes) + low) % passes == step

@@ -320,7 +320,7 @@ def test_interpolation(docs, rows, ws):
     order = lambda x: (x[0] is None, x[0] or 0, *x[1:])
     want = sorted(((r[0], f == 0, len(t), sum(c[w] > 0 for w in t), b, s) for r, f, t, b, s in zip(rows, folds, toks, base, score)), key=order)
     for head, passes in ((1 << 20, 1), (100, 3)):  # all counts at the workers, and some of them
-        rows_ = interpolated_scores(docs, ws, fold, head_words=head, passes=passes).collect()
+        rows_ = interpolated_scores(docs, ws, fold, head=head, passes=passes).collect()
         got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.base_score, r.score) for r in rows_), key=order)
         assert [g[:4] for g in got] == [w[:4] for w in want] and {r.train_tokens for r in rows_} == {n}
         for g, w in zip(got, want, strict=True):
