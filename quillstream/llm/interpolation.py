@@ -18,6 +18,7 @@ and not learned from; repeated rows are documents of their own in every count; o
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from .blocks import Block, blocks, mix, words
 from .frames import Workspace, partitions, small_maps
 
 HEAD = 1 << 20
-PASSES = 3
+PASSES = 2
 FLUSH = 1 << 21  #: tokens that a worker combines at once
 ROUNDS = 12
 TEST, DELETED = 0, 1  #: folds: never learned from; held out of the counts that weights are learned against
@@ -126,7 +127,7 @@ def keyed(docs: DataFrame, fold: Column) -> DataFrame:
 def counted(rows: DataFrame, n_parts: int) -> DataFrame:
     """key, c (training count), d (count in the deleted fold) of the training words and bigrams; a bigram's key is odd.
 
-    Workers combine what they can; few keys are left that a second combination before the shuffle would join."""
+    Workers combine FLUSH codes each; a second combination before the shuffle would find few equal keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[list[np.ndarray]] = [[], []]  # codes of folds that are retained, deleted
@@ -207,9 +208,14 @@ class Places:
         first = prev == BEGIN
         self.key = pair(prev, self.code)
         (self.cw, self.dw), (self.cv, self.dv) = both, np.roll(both, 1, axis=1)
-        self.cv, self.dv = np.where(first, n_docs[0], self.cv), np.where(first, n_docs[1], self.dv)
+        self.cv[first], self.dv[first] = n_docs
         self.common = common & (first | np.roll(common, 1))  # both counts come from the head
 
+    def only(self, keep: np.ndarray) -> Places:
+        out = copy(self)
+        out.row, out.key, out.cw, out.cv = (x[keep] for x in (self.row, self.key, self.cw, self.cv))
+        return out
+
 
 def _pieces(batch: pa.RecordBatch, text: int) -> Iterator[tuple[Block, pa.Array]]:
     """Blocks of the text column, and their rows of the tails, the column after it."""
@@ -229,9 +235,9 @@ def held_counts(both: DataFrame, table: DataFrame, head, n_docs: tuple[int, int]
                 yield pa.RecordBatch.from_arrays([signed(p.key), pa.array(p.cv - p.dv), pa.array(p.cw - p.dw)], ["key", "context", "word"])
 
     held = both.filter(F.col("fold") == DELETED).select("text", "tails").mapInArrow(run, "key long, context long, word long")
-    seen = table.select(F.col("key").alias("k"), (F.col("c") - F.col("d")).alias("seen"))
+    seen = table.filter("d > 0").select(F.col("key").alias("k"), (F.col("c") - F.col("d")).alias("seen"))
     least = F.when(F.col("context") > 0, F.pow(F.lit(2.0), F.length(F.bin("context")) - 1).cast("long")).otherwise(0)
-    joined = held.join(seen.hint("merge"), F.col("key") == F.col("k"))
+    joined = held.join(seen, F.col("key") == F.col("k"))
     return joined.groupBy(F.when(F.col("seen") > 0, F.col("context")).otherwise(least).alias("context"), "seen", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -308,10 +314,10 @@ def cold_places(rows: DataFrame, head, hot, model: Model, step: int, passes: int
         for batch in batches:
             for b in blocks(batch.column(2)):
                 p = Places(b, head.value, None, model.n_docs)
-                keep = np.flatnonzero(p.common & ((p.key >> np.uint64(33)) % np.uint64(passes) == step))
-                keep = keep[hot.value.find(p.key[keep]) < 0]
+                p = p.only(np.flatnonzero(p.common & ((p.key >> np.uint64(33)) % np.uint64(passes) == step)))
+                p = p.only(np.flatnonzero(hot.value.find(p.key) < 0))
                 _, q = model.terms(p)
-                keep = keep[q[keep] > 0]
+                keep = np.flatnonzero(q > 0)
                 row = pa.array(b.lo + p.row[keep])
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), signed(p.key[keep]), pa.array(q[keep].astype(np.float32))], ["id", "body", "key", "q"])
 
@@ -347,7 +353,8 @@ def interpolated_scores(docs: DataFrame, ws: Workspace, fold: Callable[[], Colum
     end = words_.filter(F.col("key") == int(END.view(np.int64))).first()
     n_docs = (int(end.c), int(end.d)) if end else (0, 0)
     both = with_tails(rows, ws.save(rare_words(rows, words_, common), "tails"))
-    held = ws.save(held_counts(both, bigrams, common, n_docs), "held")
+    with small_maps(docs.sparkSession):
+        held = ws.save(held_counts(both, bigrams, common, n_docs), "held")
     model = Model(learn_weights(held, kept, v), n, v, n_docs)
     ws.drop("held"), ws.drop("words")
     own = ws.save(own_scores(both, common, hot, model), "own")
