@@ -9,8 +9,13 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Punctuation that stays after compatibility normalisation, and what stands for it.
-PUNCTUATION = {"。": ".", "“": '"', "”": '"', "‘": "'", "’": "'", "【": "[", "】": "]", "《": "<", "》": ">", "、": ",", "—": "-"}
+# Chinese punctuation and what stands for it.
+PUNCTUATION = {
+    "，": ",", "。": ".", "！": "!", "？": "?", "：": ":", "；": ";", "“": '"', "”": '"', "‘": "'", "’": "'",
+    "（": "(", "）": ")", "【": "[", "】": "]", "《": " ", "》": " ", "、": " ", "…": " ", "—": "-", "－": "-",
+}
+#: Text that compatibility normalisation leaves alone and whose folded case is its lower case.
+STABLE = r"^[\x00-\x7FÀ-ÖØ-Þà-öø-ÿ\x{4E00}-\x{9FFF}。“”‘’【】《》、—]*$"
 
 
 def normalize_one(text: str | None) -> str:
@@ -24,13 +29,19 @@ def _normalize(texts: pd.Series) -> pd.Series:
     return texts.map(normalize_one, na_action=None)
 
 
-def normalize_text(text) -> Column:
+def normalize_exact(text) -> Column:
     """Compatibility form, plain punctuation, single blanks, case folded; null becomes empty."""
     return F.pandas_udf(_normalize, "string")(text)
 
 
+def normalize_text(text: Column) -> Column:
+    """The same; only texts that are not STABLE leave the JVM."""
+    plain = F.coalesce(text, F.lit("")).rlike(STABLE)
+    return F.when(plain, normalize_fast(text)).otherwise(normalize_exact(F.when(~plain, text)))
+
+
 def normalize_fast(text: Column) -> Column:
-    """The same for text that compatibility normalisation leaves alone, without leaving the JVM."""
+    """The same for STABLE text, without leaving the JVM."""
     out = F.translate(F.coalesce(text, F.lit("")), "".join(PUNCTUATION), "".join(PUNCTUATION.values()))
     return F.lower(F.trim(F.regexp_replace(out, r"(?U)\s+", " ")))
 

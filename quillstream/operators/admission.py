@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.urls import host, is_http_url
@@ -73,14 +73,21 @@ def release_reason(content: Column, technical: Column) -> Column:
     )
 
 
-def admit(title: Column, summary: Column, url: Column, published: Column, source: dict[str, Column]) -> Column:
-    """accepted, reason, quality_score and matched (rule ids) of an item.
+def admitted(df: DataFrame, title: Column, summary: Column, url: Column, published: Column, source: dict[str, Column], out: str = "a") -> DataFrame:
+    """df with a struct of accepted, reason, quality_score and matched (rule ids) of each item.
+
+    Patterns and intermediate results that are read more than once are columns of their own for a while, so that each
+    pattern is tried once a row.
 
     source: site_host, allow_external, include_terms, exclude_terms, scopes, formal, tier, role, title_only_allowed, minimum, valid, and
     release and technical: whether it is one of code releases and takes technical updates.  Without the last two the role and
     release rejects are a single one for official_policy, as the SQL of admission_decision has it."""
-    full = F.concat_ws("\n", title, F.coalesce(summary, F.lit("")))
+    kept = df.columns
+    df = df.withColumn("_full", F.concat_ws("\n", title, F.coalesce(summary, F.lit(""))))
+    full = F.col("_full")
     text = F.lower(full)
+    found = {k: f"_on_{i}" for i, k in enumerate((*POSITIVE, "relevance"))}
+    df = df.withColumns({c: full.rlike(POSITIVE[k][0] if k in POSITIVE else RELEVANCE) for k, c in found.items()})
     reason = F.when(~source["valid"], "source.configuration_invalid")
     reason = reason.when(F.trim(F.coalesce(title, F.lit(""))) == "", "content.empty_title").when(~is_http_url(url), "content.invalid_url")
     reason = reason.when(~source["allow_external"] & (host(url) != source["site_host"]), "content.external_link_not_allowed").when(url.rlike(PAGE), "content.invalid_page_url")
@@ -94,15 +101,15 @@ def admit(title: Column, summary: Column, url: Column, published: Column, source
         reason = F.coalesce(reason, role_reason(full, source["role"]), F.when(source["release"], release_reason(full, source["technical"])))
         reason = F.when(reason.isNotNull(), reason)
     else:
-        reason = reason.when((source["role"] == "official_policy") & full.rlike(r"(?iU)\bproduct\b") & ~full.rlike(POSITIVE["policy_standard"][0]), "role.not_policy")
+        reason = reason.when((source["role"] == "official_policy") & full.rlike(r"(?iU)\bproduct\b") & ~F.col(found["policy_standard"]), "role.not_policy")
     hits = F.size(F.filter(source["include_terms"], lambda t: F.contains(text, F.lower(t))))
     reason = reason.when((F.size(source["include_terms"]) > 0) & (hits == 0), "source.include_term_missing")
     points = {
         "quality.formal": (source["formal"], 10),
         "quality.summary": (F.length(F.coalesce(summary, F.lit(""))) > 0, 5),
         "quality.date": (published.isNotNull(), 5),
-        "quality.relevance": (full.rlike(RELEVANCE), 15),
-    } | {f"content.{k}": (full.rlike(p), n) for k, (p, n) in POSITIVE.items()}
+        "quality.relevance": (F.col(found["relevance"]), 15),
+    } | {f"content.{k}": (F.col(found[k]), n) for k, (_, n) in POSITIVE.items()}
     tier = F.lit(0)
     for name, n in TIER_POINTS.items():
         tier = F.when(source["tier"] == name, n).otherwise(tier)
@@ -110,7 +117,9 @@ def admit(title: Column, summary: Column, url: Column, published: Column, source
     for test, n in points.values():
         score = score + F.when(test, n).otherwise(0)
     score = F.least(F.lit(100), F.greatest(F.lit(0), score))
-    scopes = F.array_compact(F.array(*[F.when(full.rlike(p), F.lit(k)) for k, (p, _) in POSITIVE.items()]))
+    scopes = F.array_compact(F.array(*[F.when(F.col(found[k]), F.lit(k)) for k in POSITIVE]))
+    df = df.withColumns({"_reason": reason, "_score": score, "_scopes": scopes})
+    reason, score, scopes = F.col("_reason"), F.col("_score"), F.col("_scopes")
     final = (
         F.when((F.size(scopes) > 0) & (F.size(source["scopes"]) > 0) & ~F.arrays_overlap(scopes, source["scopes"]), "source.content_scope_mismatch")
         .when(~source["title_only_allowed"] & (F.coalesce(summary, F.lit("")) == ""), "content.title_only_not_allowed")
@@ -118,11 +127,13 @@ def admit(title: Column, summary: Column, url: Column, published: Column, source
         .when(score < F.bround(source["minimum"]), "quality.below_minimum")
         .otherwise("quality.threshold_met")
     )
+    df, final = df.withColumn("_final", final), F.col("_final")
     hard = reason.isNotNull()
     matched = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, (test, _) in points.items()]))
-    return F.struct(
+    result = F.struct(
         (~hard & (final == "quality.threshold_met")).alias("accepted"),
         F.coalesce(reason, final).alias("reason"),
         F.when(hard, 0).otherwise(score).cast("int").alias("quality_score"),
         F.when(hard, F.array().cast("array<string>")).otherwise(matched).alias("matched"),
     )
+    return df.select(*kept, result.alias(out))

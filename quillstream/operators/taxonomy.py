@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..domains import INDUSTRIES, TOPICS
@@ -59,9 +59,18 @@ def matches(rule: RoleRule, role: Column, text: Column) -> Column:
     return (role == rule.role) & ~_any(text, rule.excludes) & (_any(text, rule.subjects) if rule.subjects else F.lit(True)) & (_any(text, rule.actions) if rule.actions else F.lit(True))
 
 
-def classify(role: Column, text: Column, rules: list[RoleRule] = RULES) -> Column:
-    """primary_type, score, reason and topic tags: rules of the highest matching priority must agree on one type."""
-    hit = F.array_compact(F.array(*[F.when(matches(r, role, text), F.struct(F.lit(r.priority).alias("priority"), F.lit(r.primary_type).alias("type"), F.lit(r.id).alias("id"), F.lit(",".join(r.topics)).alias("topics"))) for r in rules]))
+def classified(df: DataFrame, role: Column, text: Column, rules: list[RoleRule] = RULES) -> DataFrame:
+    """df with column t, see classify; the matching rules are found once a row."""
+    return df.withColumn("_hit", hits(role, text, rules)).withColumn("t", classify(F.col("_hit"), text)).drop("_hit")
+
+
+def hits(role: Column, text: Column, rules: list[RoleRule] = RULES) -> Column:
+    """The rules that match, with their priority, type and topics."""
+    return F.array_compact(F.array(*[F.when(matches(r, role, text), F.struct(F.lit(r.priority).alias("priority"), F.lit(r.primary_type).alias("type"), F.lit(r.id).alias("id"), F.lit(",".join(r.topics)).alias("topics"))) for r in rules]))
+
+
+def classify(hit: Column, text: Column) -> Column:
+    """primary_type, score, reason and tags from the matching rules: those of the highest priority must agree on one type."""
     top = F.array_max(F.transform(hit, lambda h: h["priority"]))
     types = F.array_distinct(F.transform(F.filter(hit, lambda h: h["priority"] == top), lambda h: h["type"]))
     one = F.size(types) == 1
@@ -99,14 +108,30 @@ def verify(role: Column, text: Column, official_url: Column, url: Column, policy
     return F.struct(status.alias("verification_status"), review.alias("review_status"))
 
 
-def publication(accepted: Column, kind: Column, allowed: Column, verification: Column, review: Column, enabled: Column, policy: Column) -> Column:
-    """ready and the reasons against, in order."""
-    tests = {
-        "source_disabled": ~enabled, "not_admitted": ~accepted, "type_unclassified": kind == "unclassified", "industry_signal": kind == "industry_signal",
-        "type_not_allowed": ~allowed, "not_trusted": ~verification.isin(TRUSTED), "review_open": ~review.isin("not_required", "approved"), "never_publish": policy == "never_publish",
-    }
-    reasons = F.array_compact(F.array(*[F.when(t, F.lit(k)) for k, t in tests.items()]))
-    return F.struct((F.size(reasons) == 0).alias("ready"), reasons.alias("reasons"))
+def publication(source: dict[str, Column], accepted: Column, kind: Column, verification: Column, review: Column) -> Column:
+    """Where an item may be published, and the reasons against, in order.
+
+    source: lifecycle, enabled, role, policy, homepage_visible, export_visible, and allowed (whether it takes items of this kind)."""
+    active = (source["lifecycle"] == "active") & source["enabled"]
+    against = {
+        "source.not_active": ~active,
+        "admission.rejected": ~accepted,
+        "source.primary_type_not_allowed": ~source["allowed"],
+        "verification.not_trusted": ~verification.isin(TRUSTED),
+        "review.not_approved": ~review.isin("not_required", "approved"),
+        "taxonomy.not_formal": kind.isin("unclassified", "industry_signal"),
+        "source.never_publish": source["policy"] == "never_publish",
+    }
+    reasons = F.array_compact(F.array(*[F.when(t, F.lit(k)) for k, t in against.items()]))
+    ready = F.size(reasons) == 0
+    lead = (source["role"] == "media_discovery") | (kind == "industry_signal") | (review == "pending")
+    return F.struct(
+        (ready & source["homepage_visible"]).alias("homepage"),
+        (ready & source["export_visible"]).alias("export"),
+        (active & accepted & lead).alias("leads"),
+        (active & accepted & (review == "pending")).alias("queue"),
+        reasons.alias("reasons"),
+    )
 
 
 def smart_review_risk(confidence: Column, category: Column, groups: Column, title: Column, summary: Column, event_verbs: str, ranking: str) -> Column:

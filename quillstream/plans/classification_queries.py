@@ -12,12 +12,12 @@ from . import fixtures as X
 from . import registry
 from .registry import query
 
-_N = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
+_N = "replace(lower(trim(regexp_replace({}, '\\s+', ' ', 'g'))), 'ß', 'ss')"
 _TEXTS = f"texts AS (SELECT i.*, {_N.format('i.title')} AS nt, {_N.format('coalesce(i.summary, chr(32))')} AS ns FROM items i)"
 
 
 def _texts(spark, d, items=X.items):
-    return items(spark, d).withColumns({"nt": T.normalize_fast(F.col("title")), "ns": T.normalize_fast(F.col("summary"))})
+    return items(spark, d).withColumns({"nt": T.normalize_text(F.col("title")), "ns": T.normalize_text(F.col("summary"))})
 
 
 def _term(field: str, term: str) -> str:
@@ -51,7 +51,8 @@ a.score >= 8 AND a.score - b.score < 4 AS is_ambiguous FROM ranked a JOIN ranked
 
 
 def _decided(spark, d, items=X.items):
-    return _texts(spark, d, items).withColumn("r", R.decide(R.scores(F.col("nt"), F.col("ns"))))
+    # the ranking is a column of its own, so that what reads it several times does not compute it as often
+    return _texts(spark, d, items).withColumn("ranked", R.scores(F.col("nt"), F.col("ns"))).withColumn("r", R.decide(F.col("ranked")))
 
 
 @query("rule_scores", X.WITH + f", {_TEXTS} SELECT id, {_SCORES} FROM texts")
@@ -90,7 +91,7 @@ def _content(spark, d, items=X.items):
     return _sourced(spark, d, items).withColumn("content", X2.content(F.col("nt"), F.col("ns")))
 
 
-_CONTENT = f"{_TEXTS}, content AS (SELECT t.*, s.role AS s_role, s.policy AS s_policy, s.enabled AS s_enabled, s.allowed_types AS s_allowed, concat_ws(' ', nt, ns) AS content FROM texts t JOIN sources s ON t.source_id = s.id)"
+_CONTENT = f"{_TEXTS}, content AS (SELECT t.*, s.role AS s_role, s.policy AS s_policy, s.enabled AS s_enabled, s.allowed_types AS s_allowed, s.lifecycle AS s_lifecycle, s.homepage_visible AS s_homepage, s.export_visible AS s_export, concat_ws(' ', nt, ns) AS content FROM texts t JOIN sources s ON t.source_id = s.id)"
 
 
 def _some(terms) -> str:
@@ -110,7 +111,7 @@ CASE WHEN b.id IS NULL THEN 'taxonomy.no_match' WHEN b.kinds > 1 THEN 'taxonomy.
 
 @query("taxonomy_primary_type", X.WITH + f", {_TAX} SELECT id, type AS primary_type, CAST(round(score * 1000) AS BIGINT) AS score_mille, reason FROM tax")
 def taxonomy_primary_type(spark, d, items=X.items):
-    rows = _content(spark, d, items).withColumn("t", X2.classify(F.col("s_role"), F.col("content")))
+    rows = _content(spark, d, items).transform(X2.classified, F.col("s_role"), F.col("content"))
     return rows.select("id", "t.primary_type", F.round(F.col("t.score") * 1000).cast("long").alias("score_mille"), "t.reason")
 
 
@@ -127,13 +128,13 @@ def _tags(order: list[str], terms: dict, from_rules: bool) -> str:
 
 @query("taxonomy_tags", X.WITH + f", {_CONTENT} SELECT id, {_tags(X2.TOPICS, X2.TOPIC_TERMS, True)} AS topics, {_tags(X2.INDUSTRIES, X2.INDUSTRY_TERMS, False)} AS industries FROM content")
 def taxonomy_tags(spark, d, items=X.items):
-    rows = _content(spark, d, items).withColumn("t", X2.classify(F.col("s_role"), F.col("content")))
+    rows = _content(spark, d, items).transform(X2.classified, F.col("s_role"), F.col("content"))
     return rows.select("id", F.array_join("t.topics", ",").alias("topics"), F.array_join("t.industries", ",").alias("industries"))
 
 
 @query("reclassify_diff", X.WITH + f", {_TAX} SELECT count(*) AS total, count(*) FILTER (WHERE i.primary_type <> t.type) AS changed, count(*) FILTER (WHERE coalesce(i.manual_primary_type, t.type) = 'unclassified') AS unclassified, count(i.manual_primary_type) AS preserved_manual FROM items i JOIN tax t ON i.id = t.id")
 def reclassify_diff(spark, d, items=X.items):
-    rows = _content(spark, d, items).withColumn("t", X2.classify(F.col("s_role"), F.col("content")))
+    rows = _content(spark, d, items).transform(X2.classified, F.col("s_role"), F.col("content"))
     return rows.agg(
         F.count(F.lit(1)).alias("total"), F.count_if(~F.col("primary_type").eqNullSafe(F.col("t.primary_type"))).alias("changed"),
         F.count_if(F.coalesce("manual_primary_type", F.col("t.primary_type")) == "unclassified").alias("unclassified"), F.count("manual_primary_type").alias("preserved_manual"),
@@ -154,19 +155,28 @@ def verification_status(spark, d, items=X.items):
     return _content(spark, d, items).select("id", v.alias("v")).select("id", "v.*")
 
 
+_ACTIVE = "(s_lifecycle = 'active' AND s_enabled)"
+_AGAINST = f"""concat_ws(',', CASE WHEN NOT {_ACTIVE} THEN 'source.not_active' END, CASE WHEN NOT admission_accepted THEN 'admission.rejected' END,
+CASE WHEN NOT (s_allowed = '' OR list_contains(string_split(s_allowed, ','), primary_type)) THEN 'source.primary_type_not_allowed' END,
+CASE WHEN verification_status NOT IN ('official_confirmed', 'official_linked', 'multi_source_confirmed') THEN 'verification.not_trusted' END, CASE WHEN review_status NOT IN ('not_required', 'approved') THEN 'review.not_approved' END,
+CASE WHEN primary_type IN ('unclassified', 'industry_signal') THEN 'taxonomy.not_formal' END, CASE WHEN s_policy = 'never_publish' THEN 'source.never_publish' END)"""
+
+
 @query(
     "publication_reasons",
     X.WITH
-    + f""", {_CONTENT} SELECT id, concat_ws(',', CASE WHEN NOT s_enabled THEN 'source_disabled' END, CASE WHEN NOT admission_accepted THEN 'not_admitted' END, CASE WHEN primary_type = 'unclassified' THEN 'type_unclassified' END,
-    CASE WHEN primary_type = 'industry_signal' THEN 'industry_signal' END, CASE WHEN NOT (s_allowed = '' OR list_contains(string_split(s_allowed, ','), primary_type)) THEN 'type_not_allowed' END,
-    CASE WHEN verification_status NOT IN ('official_confirmed', 'official_linked', 'multi_source_confirmed') THEN 'not_trusted' END, CASE WHEN review_status NOT IN ('not_required', 'approved') THEN 'review_open' END,
-    CASE WHEN s_policy = 'never_publish' THEN 'never_publish' END) AS reasons FROM content""",
+    + f""", {_CONTENT} SELECT id, reasons, reasons = '' AND s_homepage AS homepage, reasons = '' AND s_export AS export,
+    {_ACTIVE} AND admission_accepted AND (s_role = 'media_discovery' OR primary_type = 'industry_signal' OR review_status = 'pending') AS leads,
+    {_ACTIVE} AND admission_accepted AND review_status = 'pending' AS queue FROM (SELECT *, {_AGAINST} AS reasons FROM content)""",
 )
 def publication_reasons(spark, d):
     from ..operators.items import allowed_type
 
-    p = X2.publication(F.col("admission_accepted"), F.col("primary_type"), allowed_type(F.col("s_allowed_types"), F.col("primary_type")), F.col("verification_status"), F.col("review_status"), F.col("s_enabled"), F.col("s_policy"))
-    return _content(spark, d).select("id", F.array_join(p["reasons"], ",").alias("reasons"))
+    source = {k: F.col(f"s_{k}") for k in ("lifecycle", "enabled", "role", "policy", "homepage_visible", "export_visible")}
+    source["allowed"] = allowed_type(F.col("s_allowed_types"), F.col("primary_type"))
+    p = X2.publication(source, F.col("admission_accepted"), F.col("primary_type"), F.col("verification_status"), F.col("review_status"))
+    rows = _content(spark, d).select("id", p.alias("p"))
+    return rows.select("id", F.array_join("p.reasons", ",").alias("reasons"), "p.homepage", "p.export", "p.leads", "p.queue")
 
 
 _VERBS, _RANK = "(the|and)", "(best|top)"
@@ -196,7 +206,7 @@ def _admitted(spark, d, rejects=False, items=X.items):
     if rejects:
         src |= {"release": F.col("s_id") % 7 == 3, "technical": F.col("s_id") % 2 == 1}
     url = F.when(F.col("id") % 23 == 0, "ftp://host.example/x").when(F.col("id") % 19 == 0, "https://other.example/x").when(F.col("id") % 29 == 0, "https://host.example/login").otherwise("https://host.example/x")
-    return i.withColumn("a", A.admit(F.col("title"), F.col("summary"), url, F.col("published_at"), src))
+    return A.admitted(i, F.col("title"), F.col("summary"), url, F.col("published_at"), src)
 
 
 def _admission_sql(rejects: bool = False) -> str:

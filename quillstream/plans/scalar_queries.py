@@ -10,22 +10,22 @@ from ..functions import urls as U
 from . import fixtures as X
 from .registry import query
 
-_NORMAL = "lower(trim(regexp_replace({}, '\\s+', ' ', 'g')))"
+_NORMAL = "replace(lower(trim(regexp_replace({}, '\\s+', ' ', 'g'))), 'ß', 'ss')"
 
 
 @query("fingerprint_hash", X.WITH + f"SELECT id, CASE WHEN {_NORMAL.format('title')} <> '' THEN sha256(concat('title:v1', chr(0), {_NORMAL.format('title')})) END AS fingerprint FROM items")
 def fingerprint_hash(spark, d):
-    return X.items(spark, d).select("id", T.fingerprint(T.normalize_fast(F.col("title"))).alias("fingerprint"))
+    return X.items(spark, d).select("id", T.fingerprint(T.normalize_text(F.col("title"))).alias("fingerprint"))
 
 
-@query("normalize_text_exact", X.WITH + f"SELECT id, replace({_NORMAL.format('title')}, 'ß', 'ss') AS normal FROM items")
+@query("normalize_text_exact", X.WITH + f"SELECT id, {_NORMAL.format('title')} AS normal FROM items")
 def normalize_text_exact(spark, d):
-    return X.items(spark, d).select("id", T.normalize_text("title").alias("normal"))
+    return X.items(spark, d).select("id", T.normalize_exact("title").alias("normal"))
 
 
 _HOST = "lower(regexp_extract(url, '^https?://([^/?#:]+)', 1))"
 _PATH = "regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '')"
-_PAIRS = "list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(lower(p), 'utm_') AND NOT list_contains(['fbclid', 'from', 'gclid', 'ref', 'share', 'spm'], lower(split_part(p, '=', 1)))))"
+_PAIRS = "list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(lower(p), 'utm_') AND NOT list_contains(['dclid', 'fbclid', 'gclid', 'mc_cid', 'mc_eid', 'msclkid'], lower(split_part(p, '=', 1)))))"
 _CANON = f"concat(regexp_extract(url, '^(https?)', 1), '://', {_HOST}, CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END, CASE WHEN len({_PAIRS}) > 0 THEN concat('?', array_to_string({_PAIRS}, '&')) ELSE '' END)"
 
 
@@ -36,7 +36,29 @@ def canonical_url_ascii(spark, d):
 
 @query("canonical_url_exact", f"SELECT page_id, {_CANON} AS url FROM pages")
 def canonical_url_exact(spark, d):
-    return X.table(spark, d, "pages").select("page_id", U.canonical_url("url").alias("url"))
+    return X.table(spark, d, "pages").select("page_id", U.canonical_exact(F.col("url")).alias("url"))
+
+
+_KEPT = _CANON.replace("NOT starts_with(lower(p), 'utm_') AND NOT list_contains(['dclid', 'fbclid', 'gclid', 'mc_cid', 'mc_eid', 'msclkid'], lower(split_part(p, '=', 1)))", "list_contains(['id', 'utm_source', 'page'], split_part(p, '=', 1))")
+_TRACKED = "concat(regexp_replace(url, '#.*', ''), CASE WHEN contains(url, '?') THEN '&' ELSE '?' END, 'utm_source=x&dclid=1&ref=2&from=3&page=', CAST(page_id % 5 AS VARCHAR(9)), '&MSCLKID=7')"
+
+
+@query("canonical_url_tracking", f"SELECT page_id, {_CANON} AS url, {_KEPT} AS kept FROM (SELECT page_id, {_TRACKED} AS url FROM pages)")
+def canonical_url_tracking(spark, d):
+    pages = X.table(spark, d, "pages").selectExpr("page_id", f"{_TRACKED} AS url")
+    return pages.select("page_id", U.canonical_url("url").alias("url"), U.canonical_url("url", keep=["id", "utm_source", "page"]).alias("kept"))
+
+
+_MARKED = "concat('《', title, '》、', summary, '—')"
+
+
+_PLAIN = f"replace(replace(replace(replace({_MARKED}, '《', ' '), '》', ' '), '、', ' '), '—', '-')"
+
+
+@query("normalize_punctuation", X.WITH + f"SELECT id, {_NORMAL.format(_PLAIN)} AS normal FROM items WHERE summary IS NOT NULL")
+def normalize_punctuation(spark, d):
+    rows = X.items(spark, d).filter("summary is not null").selectExpr("id", f"{_MARKED} AS t")
+    return rows.select("id", T.normalize_text(F.col("t")).alias("normal"))
 
 
 @query("item_references", f"SELECT page_id, substr(sha256(url), 1, 16) AS ref, concat('user-', substr(sha256(url), 1, 16)) AS slug FROM pages")

@@ -46,7 +46,7 @@ def test_canonical_is_idempotent():
 
 def test_text(spark):
     df = spark.createDataFrame([("  Straße　ＡＩ。“x” ", "=1+1", "-5", "【Head line】 rest")], "a string, b string, c string, d string")
-    r = df.select(T.normalize_text("a").alias("n"), T.formula_safe(F.col("b")).alias("b"), T.formula_safe(F.col("c")).alias("c"), T.headline(F.col("d")).alias("d")).first()
+    r = df.select(T.normalize_text(F.col("a")).alias("n"), T.formula_safe(F.col("b")).alias("b"), T.formula_safe(F.col("c")).alias("c"), T.headline(F.col("d")).alias("d")).first()
     assert tuple(r) == ('strasse ai."x"', "'=1+1", "-5", "Head line")
 
 
@@ -168,7 +168,7 @@ def test_role_and_release_rejects(spark):
     none = F.array().cast("array<string>")
     src = {"valid": F.lit(True), "site_host": F.lit("h.example"), "allow_external": F.lit(False), "include_terms": none, "exclude_terms": none, "scopes": none, "formal": F.lit(True)}
     src |= {"tier": F.lit("government"), "title_only_allowed": F.lit(True), "minimum": F.lit(0.0), **{c: F.col(c) for c in ("role", "release", "technical")}}
-    got = df.select("i", A.admit(F.col("title"), F.lit("text"), F.lit("https://h.example/x"), F.lit(None).cast("timestamp"), src)["reason"]).collect()
+    got = A.admitted(df, F.col("title"), F.lit("text"), F.lit("https://h.example/x"), F.lit(None).cast("timestamp"), src).select("i", "a.reason").collect()
     assert [x[1] for x in sorted(got)] == [c[4] for c in cases]
 
 
@@ -217,3 +217,31 @@ def test_whole_texts_count(spark, tmp_path):
     score = lambda name: {r.id: r[Q.R.PACK[0].category] for r in registry.queries()[name](spark, str(tmp_path)).collect()}
     cut, whole = score("rule_scores"), score("rule_scores_whole")
     assert cut[0] == cut[1] == 0 and whole[0] >= 3 * points and whole[1] >= points
+
+
+def test_canonical_addresses(spark):
+    """Both paths give the exact form; keep lists name what stays."""
+    cases = [
+        ("HTTPS://News.COM:443/a/b/?z=2&utm_medium=test&c=1#part", None, None, "https://news.com/a/b?c=1&z=2"),
+        ("http://news.com:80/", None, None, "http://news.com/"),
+        ("https://news.com/path///", None, None, "https://news.com/path"),
+        ("https://bücher.example/neu", None, None, "https://xn--bcher-kva.example/neu"),
+        ("../entry/1#intro", "https://news.com/list/index.html", None, "https://news.com/entry/1"),
+        ("https://news.com/s?page=2&kind=ai&session=x&utm_medium=m", None, ["page", "kind"], "https://news.com/s?kind=ai&page=2"),
+        ("https://news.com/r?utm_source=needed&unused=drop", None, ["utm_source"], "https://news.com/r?utm_source=needed"),
+        ("https://news.com/x?ref=1&from=2&dclid=2&msclkid=3&MC_EID=4", None, None, "https://news.com/x?from=2&ref=1"),
+        ("https://news.com/x?a-b=1&a=2&a=1", None, None, "https://news.com/x?a=1&a=2&a-b=1"),
+        ("https://user:secret@news.com./x", None, None, "https://news.com/x"),
+        ("https://[2001:db8::1]:8080/x", None, None, "https://[2001:db8::1]:8080/x"),
+        ("javascript:alert(1)", None, None, None), ("mailto:a@b.example", None, None, None), ("ftp://news.com/f", None, None, None),
+        ("/relative", None, None, None), ("https://[malformed", None, None, None), ("https://news.com:bad/x", None, None, None), ("", None, None, None), (None, None, None, None),
+    ]
+    for url, base, keep, want in cases:
+        df = spark.createDataFrame([(url, base)], "u string, b string")
+        assert df.select(U.canonical_url("u", F.col("b") if base else None, keep)).first()[0] == want, url
+
+
+def test_normalize_text_paths(spark):
+    texts = ["《a》、b", "Straße", "ＡＢＣ１２", "x—y", "a…b", "“Q”", "Ünï  çode", "模型（发布）", None, "", "ﬁn", "İ"]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(T.normalize_text(F.col("t"))).collect()]
+    assert got == [T.normalize_one(t) for t in texts] and got[0] == "a b" and got[1] == "strasse"
