@@ -36,33 +36,35 @@ def stream(seed: int, n: int) -> np.ndarray:
 
 BYTE_CODE = stream(1, 256)
 _LOWER_CODE = BYTE_CODE[np.frombuffer(LOWER, dtype=np.uint8)]
-_BASE = 0xD1B54A32D192ED03
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_pow = np.ones(1, dtype=_U)
-_ipow = np.ones(1, dtype=_U)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n of the hash base and of its inverse, modulo 2**64."""
-    global _pow, _ipow
-    while len(_pow) <= n:
-        m = _U(pow(_BASE, len(_pow), 1 << 64))
-        im = _U(pow(_INVERSE, len(_ipow), 1 << 64))
+_BASES = (0xD1B54A32D192ED03, 0xAEF17502108EF2D9)
+_powers = [(np.ones(1, dtype=_U), np.ones(1, dtype=_U)) for _ in _BASES]
+
+
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0..n of a hash base and of its inverse, modulo 2**64."""
+    up, down = _powers[which]
+    while len(up) <= n:
+        m, im = (_U(pow(_BASES[which], sign * len(up), 1 << 64)) for sign in (1, -1))
         with np.errstate(over="ignore"):
-            _pow, _ipow = np.concatenate([_pow, _pow * m]), np.concatenate([_ipow, _ipow * im])
-    return _pow, _ipow
+            up, down = np.concatenate([up, up * m]), np.concatenate([down, down * im])
+    _powers[which] = up, down
+    return up, down
 
 
 class Prefix:
-    """Prefix sums from which the hash of any slice of a code sequence follows in O(1)."""
+    """Prefix sums from which the hash of any slice of a code sequence follows in O(1).
+
+    which: one of two bases; the second also draws other codes, so that its hashes don't follow the first's."""
 
-    def __init__(self, codes: np.ndarray):
-        p, _ = powers(len(codes))
+    def __init__(self, codes: np.ndarray, which: int = 0):
+        self.which = which
+        codes = mix(codes + _U(0x632BE59BD9B4E019)) if which else codes
+        p, _ = powers(len(codes), which)
         self.sums = np.zeros(len(codes) + 1, dtype=_U)
         np.cumsum(codes * p[: len(codes)], out=self.sums[1:])
 
     def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        _, ip = powers(len(self.sums))
+        _, ip = powers(len(self.sums), self.which)
         return mix((self.sums[hi] - self.sums[lo]) * ip[lo] + (hi - lo).astype(_U) * _U(0x9E3779B97F4A7C15))
 
 

@@ -3,10 +3,13 @@
 A window is `length` consecutive symbols of one row.  Each window start is owned by one sampled position of
 its own window: the smallest hashed k-gram among its first `sample` positions.  That choice depends on the
 window alone, so equal windows are owned at equal distances, and a run of starts with one owner is a tuple
-(first start, last start, owner).  For each tuple two hashes stand in for sorted order:
+(first start, last start, owner).  For each tuple hashes stand in for sorted order:
 
-    core  of the symbols common to all windows that the owner can own there (its common prefix),
-    span  of the symbols from the first start to the end of the last window.
+    core   of the symbols common to all windows that the owner can own there (its common prefix),
+    span   of the symbols from the first start to the end of the last window,
+    check  of the same symbols, by another base and other codes.
+
+Two tuples count as equal only where span and check agree, 128 bits together.
 
 Sorting (hash-partitioned, spilling to disk, combined before the shuffle) by core gives three outcomes:
 a core that occurs once: no window of the tuple repeats; all tuples of a core with one span: every window
@@ -32,7 +35,8 @@ from .frames import Workspace
 SEGMENT = 1 << 20
 _POS = np.uint64((1 << 24) - 1)
 ROW = "doc_id long, body long, "
-TUPLE = ROW + "s int, e int, owner int, core long, span long"
+TUPLE = ROW + "s int, e int, owner int, core long, span long, check long"
+NAMES = ["doc_id", "body", "s", "e", "owner", "core", "span", "check"]
 
 
 @dataclass(frozen=True)
@@ -49,11 +53,11 @@ Codes = Callable[["object"], list[np.ndarray]]  # a block's rows as arrays of sy
 
 
 def sampled(codes: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
-    """s, e, owner, core and span of a row's tuples, taken in segments so that memory follows SEGMENT."""
+    """s, e, owner, core, span and check of a row's tuples, taken in segments so that memory follows SEGMENT."""
     n = len(codes) - shape.length + 1
     parts = [_segment(codes[t : t + SEGMENT + shape.length - 1], shape, t) for t in range(0, max(n, 0), SEGMENT)]
     if not parts:
-        return tuple(np.zeros(0, dtype=np.int64) for _ in range(5))
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(6))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -73,7 +77,8 @@ def _segment(codes: np.ndarray, shape: Shape, at: int) -> tuple[np.ndarray, ...]
     s, e = np.concatenate([[0], turn]), np.concatenate([turn - 1, [m - 1]])
     owner = owner[s]
     core = prefix.of(owner, owner + shape.length - w + 1)
-    return s + at, e + at, owner + at, core, mix(prefix.of(s, e + shape.length) + (owner - s).astype(np.uint64))
+    span, check = (mix(p.of(s, e + shape.length) + (owner - s).astype(np.uint64)) for p in (prefix, Prefix(codes, 1)))
+    return s + at, e + at, owner + at, core, span, check
 
 
 def cut(codes: np.ndarray, shape: Shape, s: np.ndarray, e: np.ndarray, owner: np.ndarray, size: int):
@@ -85,8 +90,8 @@ def cut(codes: np.ndarray, shape: Shape, s: np.ndarray, e: np.ndarray, owner: np
     prefix = Prefix(codes)
     # the core is shared by all windows of the whole range, though a row may own a part of it only
     core = mix(prefix.of(near, far + shape.length) + d.astype(np.uint64)) if size > 1 else None
-    span = mix(prefix.of(lo, hi + shape.length) + (owner[k] - lo).astype(np.uint64))
-    return k, lo, hi, owner[k], span if core is None else core, span
+    span, check = (mix(p.of(lo, hi + shape.length) + (owner[k] - lo).astype(np.uint64)) for p in (prefix, Prefix(codes, 1)))
+    return k, lo, hi, owner[k], span if core is None else core, span, check
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -103,10 +108,10 @@ def first_round(docs: DataFrame, codes: Codes, shape: Shape) -> DataFrame:
                     rows.append(np.full(len(found[0]), b.lo + i))
                     out.append(found)
                 at = pa.array(np.concatenate(rows).astype(np.int64))
-                s, e, owner, core, span = (np.concatenate(x) for x in zip(*out, strict=True))
+                s, e, owner, core, span, check = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)), pa.array(owner.astype(np.int32)), pa.array(_signed(core)), pa.array(_signed(span))],
-                    ["doc_id", "body", "s", "e", "owner", "core", "span"],
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)), pa.array(owner.astype(np.int32)), *(pa.array(_signed(x)) for x in (core, span, check))],
+                    NAMES,
                 )
 
     return docs.mapInArrow(run, TUPLE).withColumn("n", F.lit(1))
@@ -127,10 +132,10 @@ def next_round(texts: DataFrame, codes: Codes, shape: Shape, size: int) -> DataF
                     rows.append(np.full(len(k), b.lo + i))
                     out.append((*found, n[k]))
                 at = pa.array(np.concatenate(rows).astype(np.int64))
-                s, e, owner, core, span, n = (np.concatenate(x) for x in zip(*out, strict=True))
+                s, e, owner, core, span, check, n = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)), pa.array(owner.astype(np.int32)), pa.array(_signed(core)), pa.array(_signed(span)), pa.array(n.astype(np.int32))],
-                    ["doc_id", "body", "s", "e", "owner", "core", "span", "n"],
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32)), pa.array(owner.astype(np.int32)), *(pa.array(_signed(x)) for x in (core, span, check)), pa.array(n.astype(np.int32))],
+                    [*NAMES, "n"],
                 )
 
     return texts.mapInArrow(run, TUPLE + ", n int")
@@ -156,27 +161,28 @@ def repeated_starts(docs: DataFrame, codes: Codes, shape: Shape, ws: Workspace)
             joined = docs.join(lists.hint("merge"), same_row(docs, lists)).select(docs["doc_id"], docs["body"], "text", "tuples")
             tuples = next_round(joined, codes, shape, size)
         tuples = ws.save(tuples, f"tuples{level}")
-        cores = tuples.groupBy("core").agg(F.sum("n").alias("total"), F.min("span").alias("low"), F.max("span").alias("high"))
+        same = (F.min("span") == F.max("span")) & (F.min("check") == F.max("check"))
+        cores = tuples.groupBy("core").agg(F.sum("n").alias("total"), same.alias("single"))
         # a table of its own, so that both sides of the join are shuffled and a hot core's rows can be split
-        cores = cores.filter("total > 1").select(F.col("core").alias("c"), (F.col("low") == F.col("high")).alias("single"))
+        cores = cores.filter("total > 1").select(F.col("core").alias("c"), "single")
         cores = ws.save(cores, f"cores{level}")
         repeats = ws.save(tuples.join(cores.hint("merge"), F.col("core") == F.col("c")).drop("c", "core"), f"repeats{level}")
         ws.drop(f"tuples{level}")
         place = F.struct("doc_id", "body", "s", "e", "owner")
         spans = ws.save(
-            repeats.filter("not single").groupBy("span").agg(F.sum("n").alias("m"), F.min(place).alias("one")), f"spans{level}"
+            repeats.filter("not single").groupBy("span", "check").agg(F.sum("n").alias("m"), F.min(place).alias("one")), f"spans{level}"
         )
         whole = repeats.filter("single").select("doc_id", "body", "s", "e")
-        twice = spans.filter("m > 1").select(F.col("span").alias("sp"))
-        more = repeats.filter("not single").join(twice.hint("merge"), F.col("span") == F.col("sp"), "left_semi").select("doc_id", "body", "s", "e")
+        twice = spans.filter("m > 1").select(F.col("span").alias("sp"), F.col("check").alias("ch"))
+        more = repeats.filter("not single").join(twice.hint("merge"), (F.col("span") == F.col("sp")) & (F.col("check") == F.col("ch")), "left_semi").select("doc_id", "body", "s", "e")
         found = whole.unionByName(more) if found is None else found.unionByName(whole).unionByName(more)
         branching = spans.select("one.*", F.least("m", F.lit(2)).cast("int").alias("n"))
     return found
 
 
 def spans_by_row(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, text and the ranges found in it (null where none), for every row."""
-    lists = found.groupBy("doc_id", "body").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
+    """doc_id, text and the ranges found in it (null where none), for every row; rows that repeat share one set."""
+    lists = found.groupBy("doc_id", "body").agg(F.collect_set(F.struct("s", "e")).alias("ranges"))
     return docs.join(lists.hint("merge"), same_row(docs, lists), "left").select(docs["doc_id"], "text", "ranges")
 
 

@@ -1,10 +1,10 @@
-"""Substring dedup of word sequences over a compacted De Bruijn graph.
+"""Substring dedup of word sequences: token k-mers, compacted along paths that do not branch.
 
-Token k-mers (k = the window) are the edges.  A sampled (k - 1)-overlap routes each run of consecutive
-edges with one minimiser, a super-k-mer, to one key; where all runs of a key are the same, the path does not
-branch and is compacted into one unitig at once; where they differ, Spark joins cut the path at its branches
-and compact the parts, down to single edges (see repeats).  Source coordinates go along with every path, so
-what repeats is read off the documents' own word positions.
+Token k-mers (k = the window) are the edges of a De Bruijn graph, which is never written down: a sampled
+(k - 1)-overlap routes each run of consecutive edges with one minimiser, a super-k-mer, to one key.  Where all
+runs of a key are the same the path does not branch and is one unitig at once; where they differ, Spark joins
+cut the path at its branches and compact the parts, down to single edges (see repeats).  Source coordinates go
+along with every path; equal paths are told by 128 bits, not by reading the source again.
 
 Defined results: a null text has no words; a text of fewer than `length` words keeps everything; a row that
 repeats another is a match for it; other columns are ignored.

@@ -1,9 +1,10 @@
-"""Suffix-array dedup of byte strings by external induced sorting.
+"""Suffix dedup of byte strings from sampled suffixes, by recursion into shorter ranges.
 
-Suffix tuples of sampled positions are sorted by their common prefixes in Spark's disk-backed sorters and
-aggregates, which stand in for the external priority queues; the order of the suffixes between samples is
-induced from them by recursion into ever shorter ranges (see repeats).  Shards may exceed memory: a task
-holds one Arrow block of texts, and everything else spills.
+Of all suffixes only sampled ones (one of about 64 bytes, chosen so that equal windows choose alike) become
+tuples, each with hashes of its common prefix and of its whole span.  They are not sorted byte by byte: equal
+prefixes meet by their hashes, in Spark's shuffles, aggregates and joins, which spill to disk and stand where the
+method has priority queues; what lies between samples is induced by recursion into ever shorter ranges (see
+repeats).  A task holds one Arrow block of texts, so shards may exceed memory.  The README gives the reasons.
 
 Defined results: a null text is empty; a text under `length` bytes keeps everything; matches never cross
 rows; a row that repeats another is a match for it; other columns are ignored.
