@@ -5,8 +5,11 @@ may differ by e = floor(n * error_rate) edits.  Split into e + 1 pieces, at leas
 unchanged in any text that holds it within e edits; an Aho-Corasick automaton finds all piece hits in one
 pass, and Myers' bit-parallel distance verifies the text around each hit.
 
-Defined results: null and empty texts match nothing; null, empty and very short items (under min_chars) are
-no test items; repeated rows each get their matches; other columns are ignored.
+An item under SHORT characters has no room for edits and could stand inside other words: it must be found
+unchanged, with no letter or digit right before or after it.
+
+Defined results: null and empty texts match nothing; null and empty items are no test items; repeated rows each
+get their matches; other columns are ignored by matches() and pass through decontaminate().
 """
 
 from __future__ import annotations
@@ -15,11 +18,12 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ERROR_RATE = 0.05
-MIN_CHARS = 30
+SHORT = 30  #: characters below which an item must stand unchanged as words of its own
 ITEM_BYTES = 16 << 20  #: test items that one pass over the documents holds in each worker
 
 
@@ -61,7 +65,7 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], error_rate: float):
         import ahocorasick
 
-        self.items = [(i, t, int(len(t) * error_rate)) for i, t in items]
+        self.items = [(i, t, int(len(t) * error_rate) if len(t) >= SHORT else 0) for i, t in items]
         found: dict[str, list[tuple[int, int]]] = {}
         for k, (_, t, e) in enumerate(self.items):
             for at, piece in pieces(t, e):
@@ -83,6 +87,8 @@ class Matcher:
             for k, at in uses:
                 _, t, e = self.items[k]
                 lo = last + 1 - n - at
+                if len(t) < SHORT and (text[max(0, lo - 1) : lo].isalnum() or text[last + 1 : last + 2].isalnum()):
+                    continue
                 span, old = (max(0, lo - e), min(len(text), lo + len(t) + e)), spans.setdefault(k, [])
                 if old and span[0] <= old[-1][1]:  # neighbouring hits of an item are verified together
                     old[-1] = (min(old[-1][0], span[0]), max(old[-1][1], span[1]))
@@ -105,20 +111,21 @@ def matcher(items: tuple, error_rate: float) -> Matcher:
     return Matcher(list(items), error_rate)
 
 
-def matches(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, item_id, edits, start, end: every document and item that it holds.
-
-    Items come to the workers in blocks of ITEM_BYTES at most, a pass over the documents each, so a larger
-    benchmark takes more passes and no more memory.  Documents are never shuffled.
-    """
-    items = items.select("item_id", "text").filter(F.col("text").isNotNull() & (F.length("text") >= min_chars))
+def _blocks(docs: DataFrame, items: DataFrame) -> Iterator:
+    """Broadcasts of the test items, ITEM_BYTES at most each: a larger benchmark takes more passes and no more memory."""
+    items = items.select("item_id", "text").filter(F.col("text").isNotNull() & F.col("item_id").isNotNull() & F.col("text").rlike(r"\S"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = 1 + total * 2 // ITEM_BYTES
-    out = None
     for k in range(n):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
-        block = tuple(sorted({(r.item_id, normal(r.text)) for r in rows if r.item_id is not None}))
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        yield docs.sparkSession.sparkContext.broadcast(tuple(sorted({(r.item_id, normal(r.text)) for r in rows})))
+
+
+def matches(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
+    """doc_id, item_id, edits, start, end: every document and item that it holds.  Documents are never shuffled."""
+    kinds = dict(docs.dtypes)["doc_id"], dict(items.dtypes)["item_id"]
+    out = None
+    for shared in _blocks(docs, items):
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             m = matcher(shared.value, error_rate)
@@ -126,12 +133,20 @@ def matches(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, m
                 found = [(d, *x) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for x in m.match(t)]
                 yield pd.DataFrame(found, columns=["doc_id", "item_id", "edits", "start", "end"])
 
-        part = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, item_id long, edits int, start int, end int")
+        part = docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, edits int, start int, end int")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, min_chars: int = MIN_CHARS) -> DataFrame:
-    """The documents that hold no test item."""
-    bad = matches(docs, items, error_rate, min_chars).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
+    """The rows of docs that hold no test item; each row is judged by its own text, where it stands."""
+    at = docs.columns.index("text")
+    for shared in _blocks(docs, items):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            m = matcher(shared.value, error_rate)
+            for batch in batches:
+                yield batch.filter(pa.array([not m.match(t.as_py()) for t in batch.column(at)], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
