@@ -10,8 +10,8 @@ A document is described by its length-normalised log-likelihood ratio (mean over
 ratio over its most toxic few words; a logistic curve over both, fitted on labelled documents that the
 counts leave out, gives the score.
 
-The fit reads a bounded sample: at most `sample` labelled documents, in hash order of doc_id, and the most
-frequent `max_grams` n-grams of them.  Scoring is one narrow pass over all whole texts.
+The fit reads a bounded sample: at most `sample` labelled documents, in hash order of doc_id, and all n-grams of
+their words.  The mean of the worst words is an addition to the method, for long texts with few toxic words.  Scoring is one narrow pass over all whole texts.
 
 Defined results: null and empty texts score as texts without evidence; without any label, or with one class
 only, every score is the training share of toxic labels; a doc_id with several labels is toxic if one of
@@ -36,7 +36,6 @@ DISCOUNT = 0.75
 WORST = 3  #: the most toxic words that the second ratio is taken over
 BITS, BORDER = np.uint64(9), 256  #: a symbol is a byte or the border
 SAMPLE = 16_000
-MAX_GRAMS = 2_000_000
 THRESHOLD = 0.3
 
 
@@ -140,14 +139,15 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, ws: Workspace, train, sample: int = SAMPLE, max_grams: int = MAX_GRAMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, ws: Workspace, train, sample: int = SAMPLE) -> Model:
     """train: a predicate over doc_id; other rows' labels are never read."""
     chosen = (
         labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & train).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("label"))
         .orderBy(F.xxhash64("_id"), "_id").limit(sample)
     )
     rows = docs.select("doc_id", "text").join(F.broadcast(ws.save(chosen, "chosen")), F.col("doc_id") == F.col("_id"))
-    rows = rows.filter(F.col("text").isNotNull()).dropDuplicates(["text"]).select("text", "label", (F.pmod(F.xxhash64("text"), F.lit(4)) == 0).alias("curve"))
+    # equal texts count once, as toxic if one of them is
+    rows = rows.filter(F.col("text").isNotNull()).groupBy("text").agg(F.max("label").alias("label")).select("text", "label", (F.pmod(F.xxhash64("text"), F.lit(4)) == 0).alias("curve"))
     rows = ws.save(rows, "sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, ws: Workspace, train, sample: int =
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(every - ones), pa.array(ones)], ["gram", "n0", "n1"])
 
     grams = rows.filter("not curve").select("text", "label").mapInArrow(count, "gram long, n0 long, n1 long")
-    grams = grams.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).orderBy(F.desc(F.col("n0") + F.col("n1")), "gram").limit(max_grams).toPandas()
+    grams = grams.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
     if len(grams):
         tables = kneser_ney(grams["gram"].to_numpy().astype(np.uint64), grams[["n0", "n1"]].to_numpy(dtype=float))
     else:
