@@ -6,7 +6,7 @@ stays; the lines that later occurrences cover are removed.  Overlapping occurren
 
 Defined results: null or empty texts and texts of fewer than three such lines keep everything; rows that
 repeat a document (doc_id and text) are one document, each gets the same result; null doc_ids sort first;
-other columns pass through.
+other columns pass through, but n_lines and n_removed, which the result has of its own.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import Workspace
+from .frames import Workspace, unused
 from .quality import SPACES, let
 
 LINES = 3
@@ -26,6 +26,7 @@ def line_dedup(docs: DataFrame, ws: Workspace) -> DataFrame:
     One shuffle of window hashes finds repeats (combined before it), one joins them back, one brings the
     covered positions to the texts.
     """
+    at, own, gone, key = unused(docs, "at", "own", "gone", "key")
     body = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.length("text"))
     trimmed = F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), lambda x: F.regexp_replace(x, rf"^{SPACES}|{SPACES}$", ""))
     numbered = F.filter(F.transform(trimmed, lambda x, i: F.struct(F.xxhash64(x).alias("h"), i.alias("at"), (x != "").alias("w"))), lambda x: x["w"])
@@ -49,15 +50,17 @@ def line_dedup(docs: DataFrame, ws: Workspace) -> DataFrame:
     covered = (
         windows.join(first.select("window", "first").hint("merge"), "window")
         .filter(F.col("first") != place)
-        .groupBy(F.col("doc_id").alias("_id"), F.col("body").alias("_body"))
-        .agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("_gone"))
+        .groupBy(F.col("doc_id").alias(at), F.col("body").alias(own))
+        .agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias(gone))
     )
-    out = docs.withColumn("_key", body).join(covered.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_body")), "left")
-    kept = F.array_join(
-        F.filter(F.split(F.col("text"), "\n"), lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n"
+    out = docs.withColumn(key, body).join(covered.hint("merge"), F.col("doc_id").eqNullSafe(F.col(at)) & (F.col(key) == F.col(own)), "left")
+    # by sets of positions: a long text with many covered lines is not searched once a line
+    kept = let(
+        F.split(F.col("text"), "\n"),
+        lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(gone)), lambda i: F.get(x, i)), "\n"),
     )
     return out.select(
-        *[docs[c] if c != "text" else F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept).alias("text") for c in docs.columns if c not in ("n_lines", "n_removed")],
+        *[docs[c] if c != "text" else F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept).alias("text") for c in docs.columns if c not in ("n_lines", "n_removed")],
         F.size(numbered).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"),
     )

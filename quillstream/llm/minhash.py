@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Block, blocks, grams, mix, stream, words
-from .frames import Workspace, partitions
+from .frames import Workspace, partitions, unused
 
 PERMUTATIONS, ROWS, BITS = 128, 4, 4
 ODD = 1024  #: cells of the odd sketch
@@ -261,6 +261,7 @@ def near_duplicates(docs: DataFrame, ws: Workspace, n: int = 5, percent: int = 7
 
 def keep_one(docs: DataFrame, ws: Workspace, n: int = 5, percent: int = 75) -> DataFrame:
     """The documents that are the smallest of their groups."""
-    gone = near_duplicates(docs, ws, n, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    (id_,) = unused(docs, "gone")
+    gone = near_duplicates(docs, ws, n, percent).filter("not kept").select(F.col("doc_id").alias(id_)).distinct()
     gone = ws.save(gone, "gone")
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col(id_), "left_anti")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .frames import Workspace, partitions
 from .quality import SPACES
 
-GROUP = 20_000  #: documents that one rounding group holds, about
+GROUP = 2_000  #: documents that one rounding group holds, about
 STEPS = 60
 NEAR = 1e-9
 
