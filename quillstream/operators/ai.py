@@ -44,3 +44,78 @@ def unknown_ids(expected: DataFrame, answers: DataFrame) -> DataFrame:
 
 def saved_score(confidence: Column, quick: Column) -> Column:
     return F.when(~quick, confidence * 10)
+
+
+def verdict(answer: Column, categories: list[str] = CATEGORIES) -> Column:
+    """category, score (ten times the confidence), is_ambiguous (confidence under 0.6) and error of a model's JSON answer.
+
+    An answer that is no JSON, names no known category or has no confidence from 0 to 1 is unclassified with score 0."""
+    v = F.try_parse_json(answer)
+    category = F.try_variant_get(v, "$.category", "string")
+    kind = F.schema_of_variant(F.try_variant_get(v, "$.confidence", "variant"))
+    confidence = F.when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get(v, "$.confidence", "double"))
+    error = (
+        F.when(v.isNull(), "invalid JSON").when(category.isNull(), "category missing").when(~category.isin(categories), "unknown category")
+        .when(confidence.isNull(), "confidence is no number").when(~confidence.between(0, 1), "confidence out of range")
+    )
+    good = error.isNull()
+    reason = F.substring(F.coalesce(F.try_variant_get(v, "$.reason", "string"), F.lit("")), 1, 200)
+    return F.struct(
+        F.when(good, category).otherwise("unclassified").alias("category"), F.when(good, confidence * 10).otherwise(0.0).alias("score"),
+        F.coalesce(good & (confidence < 0.6), F.lit(False)).alias("is_ambiguous"), F.when(good, reason).alias("reason"), error.alias("error"),
+    )
+
+
+def two_rounds(items: DataFrame, first, second, doubtful) -> DataFrame:
+    """id, category, confidence, round: a first round over titles, a second with summaries for what it leaves in doubt.
+
+    first and second take items and return id, category, confidence; an item without an answer is in doubt.  Only items
+    with a summary are asked again; what the second round does not answer is unclassified."""
+    asked = items.join(first(items).select("id", F.col("category").alias("_c"), F.col("confidence").alias("_k")), "id", "left")
+    judged = asked.select(*[F.col(c) for c in items.columns if c not in ("category", "confidence")], F.col("_c").alias("category"), F.col("_k").alias("confidence"))
+    again = F.coalesce(doubtful(F.col("category")), F.lit(True)) & (F.coalesce(F.col("summary"), F.lit("")) != "")
+    judged = judged.withColumn("_again", again)
+    redone = second(judged.filter("_again").drop("_again")).select("id", F.col("category").alias("_c"), F.col("confidence").alias("_k"))
+    out = judged.join(redone, "id", "left")
+    pick = lambda new, old: F.when(F.col("_again"), F.col(new)).otherwise(F.col(old))
+    return out.select("id", F.coalesce(pick("_c", "category"), F.lit("unclassified")).alias("category"), pick("_k", "confidence").alias("confidence"), F.when(F.col("_again"), 2).otherwise(1).alias("round"))
+
+
+class Limited(Exception):
+    """The provider asks to wait."""
+
+
+def ask_resiliently(rows: list, ask, retries: int = 2, depth: int = 4, wait=None) -> dict:
+    """What ask(rows) answers, as a dict by position; a limit is waited out 2**n seconds (8 at most), and a batch whose
+    answer cannot be read (ValueError) is asked in halves, `depth` times at most.  What stays unanswered is missing."""
+    for attempt in range(retries + 1):
+        try:
+            return dict(enumerate(ask(rows)))
+        except Limited:
+            if attempt < retries and wait:
+                wait(min(8, 2**attempt))
+        except ValueError:
+            if depth == 0 or len(rows) < 2:
+                return {}
+            half = len(rows) // 2
+            left, right = (ask_resiliently(part, ask, retries, depth - 1, wait) for part in (rows[:half], rows[half:]))
+            return left | {k + half: v for k, v in right.items()}
+    return {}
+
+
+def answered(items: DataFrame, ask, size: int = PER_REQUEST) -> DataFrame:
+    """items(id, title, summary) with the answer text that the provider gave, null for none.
+
+    ask: list of rows -> list of texts; requests hold `size` rows and run in the tasks that hold the items."""
+    import time
+
+    schema = "id long, answer string"
+
+    def run(batches):
+        for pdf in batches:
+            for a in range(0, len(pdf), size):
+                rows = list(pdf.iloc[a : a + size].itertuples(index=False))
+                got = ask_resiliently(rows, ask, wait=time.sleep)
+                yield type(pdf)({"id": [r.id for r in rows], "answer": [got.get(i) for i in range(len(rows))]})
+
+    return items.select("id", "title", "summary").mapInPandas(run, schema)

@@ -19,7 +19,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from . import classification_queries, item_queries, mutation_queries, run_queries, scalar_queries, source_queries, state_queries  # noqa: F401
+    from . import classification_queries, intake_queries, item_queries, mutation_queries, run_queries, scalar_queries, scan_queries, source_queries, state_queries  # noqa: F401
 
 
 def queries() -> dict:

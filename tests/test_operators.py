@@ -245,3 +245,39 @@ def test_normalize_text_paths(spark):
     texts = ["《a》、b", "Straße", "ＡＢＣ１２", "x—y", "a…b", "“Q”", "Ünï  çode", "模型（发布）", None, "", "ﬁn", "İ"]
     got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(T.normalize_text(F.col("t"))).collect()]
     assert got == [T.normalize_one(t) for t in texts] and got[0] == "a b" and got[1] == "strasse"
+
+
+def test_asked_in_halves():
+    """A batch that cannot be read is split; a limit is waited out; what stays unreadable is missing."""
+    from quillstream.operators.ai import Limited, ask_resiliently
+
+    waits, calls = [], []
+
+    def ask(rows):
+        calls.append(len(rows))
+        if len(calls) == 1:
+            raise Limited
+        if "bad" in rows:
+            raise ValueError
+        return [r.upper() for r in rows]
+
+    assert ask_resiliently(["a", "b", "bad", "d"], ask, wait=waits.append) == {0: "A", 1: "B", 3: "D"}
+    assert waits == [1] and calls == [4, 4, 2, 2, 1, 1]
+
+
+def test_answered_batches(spark):
+    from quillstream.operators.ai import answered
+
+    rows = spark.createDataFrame([(i, f"t{i}", None) for i in range(40)], "id long, title string, summary string")
+    got = {r.id: r.answer for r in answered(rows, lambda batch: [r.title + "!" for r in batch]).collect()}
+    assert got == {i: f"t{i}!" for i in range(40)}
+
+
+def test_fetch_errors(spark):
+    from quillstream.operators import intake as I
+
+    cases = [(200, False, None), (429, False, "rate_limit"), (403, True, "rate_limit"), (403, False, "forbidden"), (404, False, "not_found"), (503, False, "server"), (418, False, "http")]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, s int, l boolean, want string")
+    assert [r.got for r in df.orderBy("i").select(I.fetch_error(F.col("s"), F.col("l")).alias("got")).collect()] == [c[2] for c in cases]
+    with pytest.raises(ValueError):
+        I.updated(df, df.withColumn("x", F.lit(1)), "i")
