@@ -1,5 +1,6 @@
 from datetime import datetime, timezone
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillstream.functions import text as T
