@@ -39,34 +39,45 @@ PACK = [
 GLOBAL_NEGATIVES = {"disgusting": 8}
 
 
-def _points(candidates: list[tuple[str, float, bool]], text: Column, weight: float) -> Column:
-    """Sum over matching terms, but for those whose text lies in another matching one that is kept.
-
-    Longest first, phrases before keywords of a length; a kept term suppresses every later one it contains."""
-    ordered = sorted(candidates, key=lambda c: (-len(c[0]), not c[2]))
-    kept: list[tuple[str, Column]] = []
-    total = F.lit(0.0)
-    for term, points, phrase in ordered:
+def _alive(candidates: list[tuple[str, float, bool]], text: Column) -> list[tuple[str, float, bool, Column]]:
+    """The terms, longest first and phrases before keywords of a length, with a test of whether each counts: a term that
+    matches does not where its text lies in another matching one that does."""
+    kept: list[tuple[str, float, bool, Column]] = []
+    for term, points, phrase in sorted(candidates, key=lambda c: (-len(c[0]), not c[2])):
         alive = contains_term(text, term)
-        for other, on in kept:
+        for other, _, _, on in kept:
             if term in other:
                 alive = alive & ~on
-        kept.append((term, alive))
-        total = total + F.when(alive, points * weight * (PHRASE_WEIGHT if phrase else 1.0)).otherwise(0.0)
-    return total
+        kept.append((term, points, phrase, alive))
+    return kept
 
 
-def category_score(rule: Rule, title: Column, summary: Column) -> Column:
-    """title and summary are normalised; negatives weigh by field only and never suppress each other."""
+def contributions(rule: Rule, title: Column, summary: Column) -> list[tuple[str, float, Column]]:
+    """What each term of a rule adds where its test holds, in order: by field, positives before negatives.
+
+    title and summary are normalised; negatives weigh by field only and never suppress each other."""
     positive = [(normalize_one(t), float(p), True) for t, p in rule.phrases.items()] + [(normalize_one(t), float(p), False) for t, p in rule.keywords.items()]
-    total = F.lit(0.0)
-    for text, weight in ((title, TITLE_WEIGHT), (summary, SUMMARY_WEIGHT)):
-        total = total + _points(positive, text, weight)
+    out = []
+    for field, text, weight in (("title", title, TITLE_WEIGHT), ("summary", summary, SUMMARY_WEIGHT)):
+        for term, points, phrase, alive in _alive(positive, text):
+            out.append((f"{field}.{'phrase' if phrase else 'keyword'}:{term}", points * weight * (PHRASE_WEIGHT if phrase else 1.0), alive))
         for term, points in (GLOBAL_NEGATIVES | rule.negatives).items():
-            total = total - F.when(contains_term(text, normalize_one(term)), points * weight).otherwise(0.0)
+            out.append((f"{field}.negative:{normalize_one(term)}", -points * weight, contains_term(text, normalize_one(term))))
+    return out
+
+
+def category_score(rule: Rule, title: Column, summary: Column) -> Column:
+    total = F.lit(0.0)
+    for _, points, test in contributions(rule, title, summary):
+        total = total + F.when(test, F.lit(float(points))).otherwise(0.0)
     return total
 
 
+def explanations(rule: Rule, title: Column, summary: Column) -> Column:
+    """The terms that counted, each as category.field.kind:term (+points)."""
+    return F.array_compact(F.array(*[F.when(test, F.lit(f"{rule.category}.{what} ({points:+.2f})")) for what, points, test in contributions(rule, title, summary)]))
+
+
 def scores(title: Column, summary: Column, pack: list[Rule] = PACK) -> Column:
     """Array of (score, priority, order, category), the best first; equal ones stay in declaration order."""
     each = [F.struct(category_score(r, title, summary).alias("score"), F.lit(r.priority).alias("priority"), F.lit(-CATEGORIES.index(r.category)).alias("turn"), F.lit(r.category).alias("category")) for r in pack]

@@ -1,4 +1,4 @@
-"""Admission, rule and taxonomy queries (ADM-*, AI-4, CLS-* but CLS-8, TAX-* but TAX-6, TAX-11 and TAX-8's flags) over the documents."""
+"""Admission, rule and taxonomy queries (ADM-*, AI-4, CLS-*, TAX-*; TAX-6 and TAX-11 are in intake_queries) over the documents."""
 
 from __future__ import annotations
 
@@ -60,6 +60,28 @@ def rule_scores(spark, d, items=X.items):
     return _texts(spark, d, items).select("id", *[R.category_score(r, F.col("nt"), F.col("ns")).alias(r.category) for r in R.PACK])
 
 
+def _explained(rule: R.Rule) -> str:
+    """Built from the pack's own terms, as _score is: the texts of what counts, in order."""
+    parts = []
+    terms = [(t, p, True) for t, p in rule.phrases.items()] + [(t, p, False) for t, p in rule.keywords.items()]
+    terms.sort(key=lambda c: (-len(c[0]), not c[2]))
+    for field, name, weight in (("nt", "title", 2), ("ns", "summary", 1)):
+        kept: list[tuple[str, str]] = []
+        for term, points, phrase in terms:
+            alive = _term(field, term) + "".join(f" AND NOT ({on})" for other, on in kept if term in other)
+            kept.append((term, alive))
+            parts.append(f"CASE WHEN {alive} THEN '{rule.category}.{name}.{'phrase' if phrase else 'keyword'}:{term} (+{points * weight * (1.5 if phrase else 1.0):.2f})' END")
+        for term, points in (R.GLOBAL_NEGATIVES | rule.negatives).items():
+            parts.append(f"CASE WHEN {_term(field, term)} THEN '{rule.category}.{name}.negative:{term} (-{points * weight:.2f})' END")
+    return f"concat_ws('、', {', '.join(parts)})"
+
+
+@query("rule_explanations", X.WITH + f", {_TEXTS} SELECT id, {_explained(R.PACK[0])} AS first, {_explained(R.PACK[3])} AS fourth FROM texts")
+def rule_explanations(spark, d, items=X.items):
+    why = lambda rule: F.array_join(R.explanations(rule, F.col("nt"), F.col("ns")), "、")
+    return _texts(spark, d, items).select("id", why(R.PACK[0]).alias("first"), why(R.PACK[3]).alias("fourth"))
+
+
 @query("rule_top2_margin", X.WITH + f", {_DECIDED} SELECT id, category, score, is_ambiguous FROM decided")
 def rule_top2_margin(spark, d, items=X.items):
     return _decided(spark, d, items).select("id", "r.category", "r.score", "r.is_ambiguous")
