@@ -8,6 +8,8 @@ if any row has first keys that belong to no anchor, the rows linked with it run
 
 from __future__ import annotations
 
+import tempfile
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,6 +52,18 @@ def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"rowno": pdf["rowno"], "into": into})
 
 
+def _checkpointed(df: DataFrame) -> DataFrame:
+    """df without its lineage, in the folder that the cluster names; a local session may do with its own."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(found or tempfile.gettempdir())
+    return df.checkpoint()
+
+
 def components(rows: DataFrame) -> DataFrame:
     """rowno, root: rows linked by an address or a source's fingerprint, by smallest labels until nothing moves.
 
@@ -57,7 +71,7 @@ def components(rows: DataFrame) -> DataFrame:
     cur = rows.withColumn("root", F.col("rowno"))
     while True:
         low = F.least(F.min("root").over(Window.partitionBy("canonical_url")), F.min("root").over(Window.partitionBy("source_id", "fingerprint")))
-        nxt = cur.withColumn("low", low).withColumn("moved", F.col("low") < F.col("root")).withColumn("root", F.col("low")).drop("low").checkpoint()
+        nxt = _checkpointed(cur.withColumn("low", low).withColumn("moved", F.col("low") < F.col("root")).withColumn("root", F.col("low")).drop("low"))
         done = nxt.filter("moved").isEmpty()
         cur = nxt.drop("moved")
         if done:
@@ -67,7 +81,11 @@ def components(rows: DataFrame) -> DataFrame:
 
 
 def first_wins(rows: DataFrame) -> DataFrame:
-    """rowno, into: the row that each unmatched row of a batch merges into, itself if it inserts."""
+    """rowno, into: the row that each unmatched row of a batch merges into, itself if it inserts.
+
+    A null address or fingerprint equals no other."""
+    own = F.concat(F.lit("\0"), F.col("rowno").cast("string"))
+    rows = rows.withColumns({c: F.coalesce(c, own) for c in ("canonical_url", "fingerprint")})
     marked = anchors(rows)
     unclear = marked.filter("not clean")
     if unclear.isEmpty():

@@ -282,3 +282,9 @@ def test_fetch_errors(spark):
     assert [r.got for r in df.orderBy("i").select(I.fetch_error(F.col("s"), F.col("l")).alias("got")).collect()] == [c[2] for c in cases]
     with pytest.raises(ValueError):
         I.updated(df, df.withColumn("x", F.lit(1)), "i")
+
+
+def test_upsert_nulls_match_nothing(spark):
+    rows = [(1, 1, None, "f1"), (2, 1, None, "f2"), (3, 1, "u", None), (4, 1, "v", None), (5, 1, "u", "f1"), (6, 1, None, "f2"), (7, 1, None, None), (8, 1, None, None)]
+    got = P.first_wins(spark.createDataFrame(rows, "rowno long, source_id long, canonical_url string, fingerprint string")).collect()
+    assert {r.rowno: r["into"] for r in got} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 3, 6: 2, 7: 7, 8: 8}
