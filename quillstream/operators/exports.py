@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..domains import PRIMARY_TYPES
@@ -35,3 +35,19 @@ def bounded_rows(rows: DataFrame, most: int) -> DataFrame:
     if n > most:
         raise ValueError(f"more than {most} rows")
     return got
+
+
+def filter_summary(f: dict[str, Column]) -> Column:
+    """The active filters of an export as one line; a null filter is off.
+
+    f: keyword, category (its label), source_id, scope (always set), favorite, published_from, published_to, discovered_from,
+    discovered_to, unclassified."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    # fixed values: the words of the summary
+    parts = [
+        F.concat(F.lit("关键词: "), F.nullif(f["keyword"], F.lit(""))), F.concat(F.lit("分类: "), f["category"]), F.concat(F.lit("来源 ID: "), f["source_id"].cast("string")), F.concat(F.lit("来源范围: "), f["scope"]),
+        F.when(f["favorite"], "仅收藏").when(~f["favorite"], "未收藏"),
+        *[F.concat(F.lit(f"{label}{way} "), day(f[f"{k}_{end}"])) for k, label in (("published", "发布时间"), ("discovered", "发现时间")) for end, way in (("from", "从"), ("to", "早于"))],
+        F.when(f["unclassified"], "仅待分类").when(~f["unclassified"], "排除待分类"),
+    ]
+    return F.concat_ws("; ", *parts)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..domains import CATEGORIES
 from ..operators import ai as M
 from ..operators import intake as I
+from ..operators.exports import filter_summary
 from . import fixtures as X
 from .registry import ORACLES, query
 from .source_queries import catalog_reconcile
@@ -229,3 +230,19 @@ def recent_jobs(spark, d):
 def point_lookups(spark, d):
     wanted = X.sources(spark, d).filter((F.col("slug") == "source-3") | (F.col("start_url") == "https://host2.example/src2")).select(F.col("id").alias("source_id"), "slug")
     return X.items(spark, d).join(wanted, "source_id").select("id", "slug")
+
+
+@query(
+    "export_filter_summary",
+    X.WITH
+    + """SELECT id, concat_ws('; ', CASE WHEN id % 3 = 0 THEN concat('关键词: ', lang) END, CASE WHEN id % 2 = 0 THEN concat('分类: ', category) END, concat('来源 ID: ', CAST(source_id AS VARCHAR)), '来源范围: all',
+    CASE WHEN id % 5 = 0 THEN '仅收藏' WHEN id % 5 = 1 THEN '未收藏' END, '发布时间从 ' || strftime(published_at, '%Y-%m-%d'), '发现时间早于 ' || strftime(discovered_at, '%Y-%m-%d'), CASE WHEN id % 7 = 0 THEN '排除待分类' END) AS filters FROM items""",
+)
+def export_filter_summary(spark, d):
+    none = F.lit(None).cast("timestamp")
+    f = {
+        "keyword": F.when(F.col("id") % 3 == 0, F.col("lang")), "category": F.when(F.col("id") % 2 == 0, F.col("category")), "source_id": F.col("source_id"), "scope": F.lit("all"),
+        "favorite": F.when(F.col("id") % 5 == 0, True).when(F.col("id") % 5 == 1, False), "published_from": F.col("published_at"), "published_to": none, "discovered_from": none, "discovered_to": F.col("discovered_at"),
+        "unclassified": F.when(F.col("id") % 7 == 0, False),
+    }
+    return X.items(spark, d).select("id", filter_summary(f).alias("filters"))
