@@ -80,8 +80,7 @@ def admitted(df: DataFrame, title: Column, summary: Column, url: Column, publish
     pattern is tried once a row.
 
     source: site_host, allow_external, include_terms, exclude_terms, scopes, formal, tier, role, title_only_allowed, minimum, valid, and
-    release and technical: whether it is one of code releases and takes technical updates.  Without the last two the role and
-    release rejects are a single one for official_policy, as the SQL of admission_decision has it."""
+    release and technical: whether it is one of code releases and takes technical updates."""
     kept = df.columns
     df = df.withColumn("_full", F.concat_ws("\n", title, F.coalesce(summary, F.lit(""))))
     full = F.col("_full")
@@ -97,11 +96,8 @@ def admitted(df: DataFrame, title: Column, summary: Column, url: Column, publish
     for name, pattern in LOW_VALUE.items():
         reason = reason.when(full.rlike(pattern), name)
     reason = reason.when(full.rlike(MEETING) & ~full.rlike(SUBSTANCE), "content.ordinary_meeting")
-    if "release" in source:
-        reason = F.coalesce(reason, role_reason(full, source["role"]), F.when(source["release"], release_reason(full, source["technical"])))
-        reason = F.when(reason.isNotNull(), reason)
-    else:
-        reason = reason.when((source["role"] == "official_policy") & full.rlike(r"(?iU)\bproduct\b") & ~F.col(found["policy_standard"]), "role.not_policy")
+    reason = F.coalesce(reason, role_reason(full, source["role"]), F.when(source["release"], release_reason(full, source["technical"])))
+    reason = F.when(reason.isNotNull(), reason)
     hits = F.size(F.filter(source["include_terms"], lambda t: F.contains(text, F.lower(t))))
     reason = reason.when((F.size(source["include_terms"]) > 0) & (hits == 0), "source.include_term_missing")
     points = {

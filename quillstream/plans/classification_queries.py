@@ -9,15 +9,14 @@ from ..operators import admission as A
 from ..operators import rules as R
 from ..operators import taxonomy as X2
 from . import fixtures as X
-from . import registry
-from .registry import query
+from .registry import also, query
 
 _N = "replace(lower(trim(regexp_replace({}, '\\s+', ' ', 'g'))), 'ß', 'ss')"
 _TEXTS = f"texts AS (SELECT i.*, {_N.format('i.title')} AS nt, {_N.format('coalesce(i.summary, chr(32))')} AS ns FROM items i)"
 
 
-def _texts(spark, d, items=X.items):
-    return items(spark, d).withColumns({"nt": T.normalize_text(F.col("title")), "ns": T.normalize_text(F.col("summary"))})
+def _texts(spark, d):
+    return X.items(spark, d).withColumns({"nt": T.normalize_text(F.col("title")), "ns": T.normalize_text(F.col("summary"))})
 
 
 def _term(field: str, term: str) -> str:
@@ -50,14 +49,14 @@ _DECIDED = f"""{_RANKED}, decided AS (SELECT a.id, a.source_id, a.own, a.score,
 a.score >= 8 AND a.score - b.score < 4 AS is_ambiguous FROM ranked a JOIN ranked b ON a.id = b.id AND a.k = 1 AND b.k = 2)"""
 
 
-def _decided(spark, d, items=X.items):
+def _decided(spark, d):
     # the ranking is a column of its own, so that what reads it several times does not compute it as often
-    return _texts(spark, d, items).withColumn("ranked", R.scores(F.col("nt"), F.col("ns"))).withColumn("r", R.decide(F.col("ranked")))
+    return _texts(spark, d).withColumn("ranked", R.scores(F.col("nt"), F.col("ns"))).withColumn("r", R.decide(F.col("ranked")))
 
 
 @query("rule_scores", X.WITH + f", {_TEXTS} SELECT id, {_SCORES} FROM texts")
-def rule_scores(spark, d, items=X.items):
-    return _texts(spark, d, items).select("id", *[R.category_score(r, F.col("nt"), F.col("ns")).alias(r.category) for r in R.PACK])
+def rule_scores(spark, d):
+    return _texts(spark, d).select("id", *[R.category_score(r, F.col("nt"), F.col("ns")).alias(r.category) for r in R.PACK])
 
 
 def _explained(rule: R.Rule) -> str:
@@ -77,40 +76,40 @@ def _explained(rule: R.Rule) -> str:
 
 
 @query("rule_explanations", X.WITH + f", {_TEXTS} SELECT id, {_explained(R.PACK[0])} AS first, {_explained(R.PACK[3])} AS fourth FROM texts")
-def rule_explanations(spark, d, items=X.items):
+def rule_explanations(spark, d):
     why = lambda rule: F.array_join(R.explanations(rule, F.col("nt"), F.col("ns")), "、")
-    return _texts(spark, d, items).select("id", why(R.PACK[0]).alias("first"), why(R.PACK[3]).alias("fourth"))
+    return _texts(spark, d).select("id", why(R.PACK[0]).alias("first"), why(R.PACK[3]).alias("fourth"))
 
 
 @query("rule_top2_margin", X.WITH + f", {_DECIDED} SELECT id, category, score, is_ambiguous FROM decided")
-def rule_top2_margin(spark, d, items=X.items):
-    return _decided(spark, d, items).select("id", "r.category", "r.score", "r.is_ambiguous")
+def rule_top2_margin(spark, d):
+    return _decided(spark, d).select("id", "r.category", "r.score", "r.is_ambiguous")
 
 
 @query("classification_summary", X.WITH + f", {_DECIDED} SELECT source_id, category, count(*) AS n, CAST(sum(CAST(score * 100 AS BIGINT)) AS BIGINT) AS score_cents FROM decided GROUP BY source_id, category")
-def classification_summary(spark, d, items=X.items):
-    rows = _decided(spark, d, items).select("source_id", "r.category", "r.score")
+def classification_summary(spark, d):
+    rows = _decided(spark, d).select("source_id", "r.category", "r.score")
     return rows.groupBy("source_id", "category").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("score") * 100).cast("long")).alias("score_cents"))
 
 
 @query("classification_accuracy", X.WITH + f", {_DECIDED} SELECT own AS expected, count(*) AS n, count(*) FILTER (WHERE own = category) AS correct FROM decided GROUP BY own")
-def classification_accuracy(spark, d, items=X.items):
-    return _decided(spark, d, items).groupBy(F.col("category").alias("expected")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("category") == F.col("r.category")).alias("correct"))
+def classification_accuracy(spark, d):
+    return _decided(spark, d).groupBy(F.col("category").alias("expected")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("category") == F.col("r.category")).alias("correct"))
 
 
 @query("manual_override", X.WITH + f", {_DECIDED} SELECT d.id, coalesce(i.manual_category, d.category) AS category, CASE WHEN i.manual_category IS NOT NULL THEN 'manual' ELSE 'automatic' END AS origin FROM decided d JOIN items i ON d.id = i.id")
-def manual_override(spark, d, items=X.items):
-    rows = _decided(spark, d, items)
+def manual_override(spark, d):
+    rows = _decided(spark, d)
     return rows.select("id", F.coalesce("manual_category", F.col("r.category")).alias("category"), F.when(F.col("manual_category").isNotNull(), "manual").otherwise("automatic").alias("origin"))
 
 
-def _sourced(spark, d, items=X.items):
+def _sourced(spark, d):
     s = X.sources(spark, d)
-    return _texts(spark, d, items).join(s.select(*[F.col(c).alias(f"s_{c}") for c in s.columns]), F.col("source_id") == F.col("s_id"))
+    return _texts(spark, d).join(s.select(*[F.col(c).alias(f"s_{c}") for c in s.columns]), F.col("source_id") == F.col("s_id"))
 
 
-def _content(spark, d, items=X.items):
-    return _sourced(spark, d, items).withColumn("content", X2.content(F.col("nt"), F.col("ns")))
+def _content(spark, d):
+    return _sourced(spark, d).withColumn("content", X2.content(F.col("nt"), F.col("ns")))
 
 
 _CONTENT = f"{_TEXTS}, content AS (SELECT t.*, s.role AS s_role, s.policy AS s_policy, s.enabled AS s_enabled, s.allowed_types AS s_allowed, s.lifecycle AS s_lifecycle, s.homepage_visible AS s_homepage, s.export_visible AS s_export, concat_ws(' ', nt, ns) AS content FROM texts t JOIN sources s ON t.source_id = s.id)"
@@ -132,8 +131,8 @@ CASE WHEN b.id IS NULL THEN 'taxonomy.no_match' WHEN b.kinds > 1 THEN 'taxonomy.
 
 
 @query("taxonomy_primary_type", X.WITH + f", {_TAX} SELECT id, type AS primary_type, CAST(round(score * 1000) AS BIGINT) AS score_mille, reason FROM tax")
-def taxonomy_primary_type(spark, d, items=X.items):
-    rows = _content(spark, d, items).transform(X2.classified, F.col("s_role"), F.col("content"))
+def taxonomy_primary_type(spark, d):
+    rows = _content(spark, d).transform(X2.classified, F.col("s_role"), F.col("content"))
     return rows.select("id", "t.primary_type", F.round(F.col("t.score") * 1000).cast("long").alias("score_mille"), "t.reason")
 
 
@@ -149,14 +148,14 @@ def _tags(order: list[str], terms: dict, from_rules: bool) -> str:
 
 
 @query("taxonomy_tags", X.WITH + f", {_CONTENT} SELECT id, {_tags(X2.TOPICS, X2.TOPIC_TERMS, True)} AS topics, {_tags(X2.INDUSTRIES, X2.INDUSTRY_TERMS, False)} AS industries FROM content")
-def taxonomy_tags(spark, d, items=X.items):
-    rows = _content(spark, d, items).transform(X2.classified, F.col("s_role"), F.col("content"))
+def taxonomy_tags(spark, d):
+    rows = _content(spark, d).transform(X2.classified, F.col("s_role"), F.col("content"))
     return rows.select("id", F.array_join("t.topics", ",").alias("topics"), F.array_join("t.industries", ",").alias("industries"))
 
 
 @query("reclassify_diff", X.WITH + f", {_TAX} SELECT count(*) AS total, count(*) FILTER (WHERE i.primary_type <> t.type) AS changed, count(*) FILTER (WHERE coalesce(i.manual_primary_type, t.type) = 'unclassified') AS unclassified, count(i.manual_primary_type) AS preserved_manual FROM items i JOIN tax t ON i.id = t.id")
-def reclassify_diff(spark, d, items=X.items):
-    rows = _content(spark, d, items).transform(X2.classified, F.col("s_role"), F.col("content"))
+def reclassify_diff(spark, d):
+    rows = _content(spark, d).transform(X2.classified, F.col("s_role"), F.col("content"))
     return rows.agg(
         F.count(F.lit(1)).alias("total"), F.count_if(~F.col("primary_type").eqNullSafe(F.col("t.primary_type"))).alias("changed"),
         F.count_if(F.coalesce("manual_primary_type", F.col("t.primary_type")) == "unclassified").alias("unclassified"), F.count("manual_primary_type").alias("preserved_manual"),
@@ -172,9 +171,9 @@ _LINK = "CASE WHEN id % 3 = 0 THEN 'https://official.example/a' WHEN id % 3 = 1
     + f""", {_CONTENT} SELECT id, CASE WHEN s_role <> 'media_discovery' THEN 'official_confirmed' WHEN regexp_matches(content, '\\b(rumou?r|reportedly|idiot)\\b') THEN 'rumor_or_prediction' WHEN id % 3 = 0 THEN 'official_linked' ELSE 'media_only' END AS verification_status,
     CASE WHEN s_role <> 'media_discovery' AND s_policy = 'auto_publish' THEN 'not_required' ELSE 'pending' END AS review_status FROM content""",
 )
-def verification_status(spark, d, items=X.items):
+def verification_status(spark, d):
     v = X2.verify(F.col("s_role"), F.col("content"), F.expr(_LINK), F.lit("https://media.example/x"), F.col("s_policy"))
-    return _content(spark, d, items).select("id", v.alias("v")).select("id", "v.*")
+    return _content(spark, d).select("id", v.alias("v")).select("id", "v.*")
 
 
 _ACTIVE = "(s_lifecycle = 'active' AND s_enabled)"
@@ -215,23 +214,22 @@ def smart_review_risk(spark, d):
     return X.items(spark, d).select("id", risk.alias("risk"))
 
 
-def _admitted(spark, d, rejects=False, items=X.items):
-    """The items with their admission; rejects: with all role and release rejects."""
-    i = _sourced(spark, d, items)
+def _admitted(spark, d):
+    """The items with their admission, all role and release rejects included."""
+    i = _sourced(spark, d)
     words = lambda *w: F.array(*[F.lit(x) for x in w])
     none = F.array().cast("array<string>")
     src = {
         "valid": F.col("s_id") != 19, "site_host": F.lit("host.example"), "allow_external": F.col("s_id") % 2 == 0, "include_terms": F.when(F.col("s_id") % 5 == 1, words("the", "der", "les")).otherwise(none),
         "exclude_terms": F.when(F.col("s_id") % 4 == 1, words("STUPID", "trash")).otherwise(none), "scopes": F.when(F.col("s_id") % 6 == 2, words("policy_standard", "award_result")).otherwise(none), "formal": F.col("s_kind") == "formal",
         "tier": F.col("s_tier"), "role": F.col("s_role"), "title_only_allowed": F.col("s_id") % 3 == 0, "minimum": F.lit(48.5),
+        "release": F.col("s_id") % 7 == 3, "technical": F.col("s_id") % 2 == 1,
     }
-    if rejects:
-        src |= {"release": F.col("s_id") % 7 == 3, "technical": F.col("s_id") % 2 == 1}
     url = F.when(F.col("id") % 23 == 0, "ftp://host.example/x").when(F.col("id") % 19 == 0, "https://other.example/x").when(F.col("id") % 29 == 0, "https://host.example/login").otherwise("https://host.example/x")
     return A.admitted(i, F.col("title"), F.col("summary"), url, F.col("published_at"), src)
 
 
-def _admission_sql(rejects: bool = False) -> str:
+def _admission_sql() -> str:
     def rx(p: str) -> str:
         """The second engine's word border is an ASCII one: spell out the Unicode border."""
         edge = r"[^\p{L}\p{N}_]"
@@ -242,18 +240,15 @@ def _admission_sql(rejects: bool = False) -> str:
     when += ["s.id % 4 = 1 AND (contains(lower(full_text), 'stupid') OR contains(lower(full_text), 'trash')) THEN 'source.exclude_term'"]
     when += [f"regexp_matches(full_text, '{rx(p)}') THEN '{n}'" for n, p in A.LOW_VALUE.items()]
     when += [f"regexp_matches(full_text, '{rx(A.MEETING)}') AND NOT regexp_matches(full_text, '{rx(A.SUBSTANCE)}') THEN 'content.ordinary_meeting'"]
-    if rejects:
-        for role, (why, bad, saving) in A.ROLE.items():
-            tests = [f"s.role = '{role}'"] + ([f"regexp_matches(full_text, '{bad}')"] if bad else []) + ([f"NOT regexp_matches(full_text, '{saving}')"] if saving else [])
-            when += [f"{' AND '.join(tests)} THEN '{why}'"]
-        part = lambda k: f"regexp_extract(full_text, '{A.SEMVER}', {k})"
-        tests = {
-            "prerelease": f"regexp_matches(full_text, '{A.PRERELEASE}')", "non_major_version": f"regexp_matches(concat({part(2)}, {part(3)}), '[1-9]')", "maintenance": f"regexp_matches(full_text, '{A.MAINTENANCE}')",
-            "technical_updates_not_allowed": "s.id % 2 <> 1", "major_release_not_proven": f"NOT regexp_matches({part(1)}, '[1-9]')",
-        }
-        when += [f"s.id % 7 = 3 AND {t} THEN 'github.{k}'" for k, t in tests.items()] + ["s.id % 5 = 1 AND hits = 0 THEN 'source.include_term_missing'"]
-    else:
-        when += [f"s.role = 'official_policy' AND regexp_matches(full_text, '(?i)\\bproduct\\b') AND NOT regexp_matches(full_text, '{rx(A.POSITIVE['policy_standard'][0])}') THEN 'role.not_policy'", "s.id % 5 = 1 AND hits = 0 THEN 'source.include_term_missing'"]
+    for role, (why, bad, saving) in A.ROLE.items():
+        tests = [f"s.role = '{role}'"] + ([f"regexp_matches(full_text, '{bad}')"] if bad else []) + ([f"NOT regexp_matches(full_text, '{saving}')"] if saving else [])
+        when += [f"{' AND '.join(tests)} THEN '{why}'"]
+    part = lambda k: f"regexp_extract(full_text, '{A.SEMVER}', {k})"
+    tests = {
+        "prerelease": f"regexp_matches(full_text, '{A.PRERELEASE}')", "non_major_version": f"regexp_matches(concat({part(2)}, {part(3)}), '[1-9]')", "maintenance": f"regexp_matches(full_text, '{A.MAINTENANCE}')",
+        "technical_updates_not_allowed": "s.id % 2 <> 1", "major_release_not_proven": f"NOT regexp_matches({part(1)}, '[1-9]')",
+    }
+    when += [f"s.id % 7 = 3 AND {t} THEN 'github.{k}'" for k, t in tests.items()] + ["s.id % 5 = 1 AND hits = 0 THEN 'source.include_term_missing'"]
     pos = [(k, f"regexp_matches(full_text, '{rx(p)}')", n) for k, (p, n) in A.POSITIVE.items()]
     score = "least(100, 15 + CASE s.tier WHEN 'government' THEN 10 WHEN 'official_company' THEN 8 WHEN 'association' THEN 7 WHEN 'authoritative_media' THEN 5 ELSE 0 END + CASE WHEN s.id % 5 = 1 THEN 20 * hits ELSE 0 END + CASE WHEN s.kind = 'formal' THEN 10 ELSE 0 END + CASE WHEN summary IS NOT NULL THEN 5 ELSE 0 END"
     score += f" + CASE WHEN published_at IS NOT NULL THEN 5 ELSE 0 END + CASE WHEN regexp_matches(full_text, '{rx(A.RELEVANCE)}') THEN 15 ELSE 0 END" + "".join(f" + CASE WHEN {t} THEN {n} ELSE 0 END" for _, t, n in pos) + ")"
@@ -266,29 +261,17 @@ def _admission_sql(rejects: bool = False) -> str:
 
 
 @query("admission_decision", X.WITH + _admission_sql())
-def admission_decision(spark, d, items=X.items):
-    return _admitted(spark, d, items=items).select("id", "a.accepted", "a.reason", "a.quality_score")
+def admission_decision(spark, d):
+    return _admitted(spark, d).select("id", "a.accepted", "a.reason", "a.quality_score")
 
 
 @query("admission_histogram", X.WITH + f"SELECT reason, count(*) AS n, CAST(sum(quality_score) AS BIGINT) AS points FROM ({_admission_sql()}) GROUP BY reason")
-def admission_histogram(spark, d, items=X.items):
-    return _admitted(spark, d, items=items).groupBy("a.reason").agg(F.count(F.lit(1)).alias("n"), F.sum("a.quality_score").alias("points"))
-
-
-@query("admission_decision_rejects", X.WITH + _admission_sql(True))
-def admission_decision_rejects(spark, d, items=X.items):
-    return _admitted(spark, d, True, items).select("id", "a.accepted", "a.reason", "a.quality_score")
-
-
-@query("admission_histogram_rejects", X.WITH + f"SELECT reason, count(*) AS n, CAST(sum(quality_score) AS BIGINT) AS points FROM ({_admission_sql(True)}) GROUP BY reason")
-def admission_histogram_rejects(spark, d, items=X.items):
-    return _admitted(spark, d, True, items).groupBy("a.reason").agg(F.count(F.lit(1)).alias("n"), F.sum("a.quality_score").alias("points"))
-
-
-def _whole(name, run):
-    """The same query over items with their whole texts, under its name with _whole."""
-    query(f"{name}_whole", registry.ORACLES[name].replace(X.WITH, X.WHOLE_WITH))(lambda spark, d: run(spark, d, X.whole_items))
+def admission_histogram(spark, d):
+    return _admitted(spark, d).groupBy("a.reason").agg(F.count(F.lit(1)).alias("n"), F.sum("a.quality_score").alias("points"))
 
 
-for _run in (rule_scores, rule_top2_margin, classification_summary, classification_accuracy, manual_override, taxonomy_primary_type, taxonomy_tags, reclassify_diff, verification_status, admission_decision, admission_histogram, admission_decision_rejects, admission_histogram_rejects):
-    _whole(_run.__name__, _run)
+for _name in ("admission_decision", "admission_histogram"):
+    for _suffix in ("_rejects", "_whole", "_rejects_whole"):
+        also(f"{_name}{_suffix}", _name)
+for _name in ("rule_scores", "rule_top2_margin", "classification_summary", "classification_accuracy", "manual_override", "taxonomy_primary_type", "taxonomy_tags", "reclassify_diff", "verification_status"):
+    also(f"{_name}_whole", _name)

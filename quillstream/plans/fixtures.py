@@ -34,7 +34,11 @@ _COMMON = {
     "is_active": "doc_id % 17 <> 0",
     "ai_summary": "CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'summary' END",
 }
-_TITLE = {"spark": "substr(substring_index(text, '\n', 1), 1, 80)", "duck": "substr(split_part(text, chr(10), 1), 1, 80)"}
+#: The first line is an item's title, all that follows it the summary.
+_TEXTS = {
+    "spark": {"title": "substring_index(text, '\n', 1)", "summary": "nullif(substr(text, length(substring_index(text, '\n', 1)) + 2), '')"},
+    "duck": {"title": "split_part(text, chr(10), 1)", "summary": "nullif(substr(text, length(split_part(text, chr(10), 1)) + 2), '')"},
+}
 _TIMES = {
     "spark": {
         "published_at": "CASE WHEN doc_id % 7 = 0 THEN NULL ELSE timestamp_seconds(1704067200 + doc_id * 3600) END",
@@ -72,7 +76,7 @@ def _select(columns: dict[str, str]) -> str:
     return ", ".join(f"{e} AS {n}" for n, e in columns.items())
 
 
-ITEMS_SQL = f"""SELECT {_select(_COMMON)}, {_TITLE["duck"]} AS title, nullif(substr(text, 81, 200), '') AS summary, {_select(_TIMES["duck"])}
+ITEMS_SQL = f"""SELECT {_select(_COMMON)}, {_select(_TEXTS["duck"])}, {_select(_TIMES["duck"])}
 FROM (SELECT d.doc_id, d.text, d.lang, d.source, l.quality, l.toxic FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id)"""
 SOURCES_SQL = f"SELECT {_select(_SOURCE)} FROM (SELECT DISTINCT source AS name, CAST(substr(source, 4) AS BIGINT) AS sid FROM documents)"
 RUNS_SQL = f"""SELECT o_orderkey AS id, o_orderdate AS started_at, CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'partial_success' ELSE 'failed' END AS status,
@@ -81,9 +85,6 @@ EXECUTIONS_SQL = """SELECT l_orderkey AS run_id, l_suppkey AS source_id, CAST(su
 CAST(sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS skipped_count, CASE WHEN max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) = 1 THEN 'failed' ELSE 'success' END AS status,
 min(l_returnflag) AS reason FROM lineitem GROUP BY l_orderkey, l_suppkey"""
 WITH = f"WITH items AS ({ITEMS_SQL}), sources AS ({SOURCES_SQL}), runs AS ({RUNS_SQL}), executions AS ({EXECUTIONS_SQL}) "
-#: The items with their whole texts: the first line is the title, all that follows it the summary.
-_WHOLE = {"title": {"spark": "substring_index(text, '\n', 1)", "duck": "split_part(text, chr(10), 1)"}, "summary": {"spark": "nullif(substr(text, length(substring_index(text, '\n', 1)) + 2), '')", "duck": "nullif(substr(text, length(split_part(text, chr(10), 1)) + 2), '')"}}
-WHOLE_WITH = WITH.replace(ITEMS_SQL, ITEMS_SQL.replace(_TITLE["duck"], _WHOLE["title"]["duck"]).replace("nullif(substr(text, 81, 200), '')", _WHOLE["summary"]["duck"]))
 #: The second engine's form of the order that lists have.
 RECENT = "coalesce(published_at, discovered_at) DESC, id DESC"
 
@@ -92,19 +93,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def items(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """The documents as items; title and summary are prefixes unless whole is set."""
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, whole, as items."""
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     rows = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
-    texts = {c: e["spark"] for c, e in _WHOLE.items()} if whole else {"title": _TITLE["spark"], "summary": "nullif(substr(text, 81, 200), '')"}
-    columns = _COMMON | texts | _TIMES["spark"]
+    columns = _COMMON | _TEXTS["spark"] | _TIMES["spark"]
     return rows.selectExpr(*[f"{e} AS {n}" for n, e in columns.items()])
 
 
-def whole_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items(spark, sf_dir, whole=True)
-
-
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").selectExpr("source AS name", "CAST(substr(source, 4) AS BIGINT) AS sid").distinct()
     return rows.selectExpr(*[f"{e.replace('VARCHAR(20)', 'STRING')} AS {n}" for n, e in _SOURCE.items()])

@@ -57,7 +57,7 @@ _EXTRA = "CASE WHEN id % 4 = 0 THEN '{\"organizer\":\"  Given  name \",\"applica
     "opportunity_fields",
     X.WITH
     + """, o AS (SELECT id, lang, title, primary_type = 'application_opportunity' AS ok FROM items) SELECT id, CASE WHEN ok THEN CASE WHEN id % 4 = 0 THEN 'Given name' ELSE concat('机构', CAST(id % 7 AS VARCHAR)) END END AS organizer,
-    CASE WHEN ok THEN title END AS application_name, CASE WHEN ok THEN concat('all of ', lang) END AS application_target, CASE WHEN ok AND id % 4 = 0 THEN 'post' END AS application_method,
+    CASE WHEN ok THEN substr(title, 1, 500) END AS application_name, CASE WHEN ok THEN concat('all of ', lang) END AS application_target, CASE WHEN ok AND id % 4 = 0 THEN 'post' END AS application_method,
     CASE WHEN ok THEN CAST(epoch(make_timestamp(2024, id % 12 + 1, CASE WHEN id % 28 < 9 THEN id % 28 + 1 ELSE (id % 28 + 1) // 10 END, 23, 59, 59.0)) AS BIGINT) - 28800 END AS deadline FROM o""",
 )
 def opportunity_fields(spark, d):

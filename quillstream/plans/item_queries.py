@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import items as I
 from . import fixtures as X
-from .registry import query
+from .registry import also, query
 
 READY = """(i.taxonomy_version <> 'v2' OR (i.verification_status IN ('official_confirmed', 'official_linked', 'multi_source_confirmed')
  AND i.review_status IN ('not_required', 'approved') AND i.primary_type NOT IN ('unclassified', 'industry_signal')
@@ -25,11 +25,7 @@ def _filtered(name: str, wanted: I.ItemFilter, where: str) -> None:
 _filtered("item_filter_keyword", I.ItemFilter(scope="all", keyword="THER"), "(contains(lower(i.title), 'ther') OR coalesce(contains(lower(i.summary), 'ther'), false))")
 
 
-@query("item_filter_keyword_whole", FROM.replace(X.WITH, X.WHOLE_WITH) + "(contains(lower(i.title), 'ther') OR coalesce(contains(lower(i.summary), 'ther'), false))")
-def item_filter_keyword_whole(spark, d):
-    return I.select_items(X.whole_items(spark, d), X.sources(spark, d), I.ItemFilter(scope="all", keyword="THER")).select("id", "source_id")
-
-
+also("item_filter_keyword_whole", "item_filter_keyword")
 _filtered("item_effective_category", I.ItemFilter(scope="all", category="policy_industry"), "coalesce(i.manual_category, i.category) = 'policy_industry'")
 _filtered("item_effective_primary_type", I.ItemFilter(scope="all", primary_type="report_release"), "coalesce(i.manual_primary_type, i.primary_type) = 'report_release'")
 _filtered("item_equality_filters", I.ItemFilter(scope="all", verification="media_only", favorite=False, is_read=False), "i.verification_status = 'media_only' AND NOT i.favorite AND NOT i.is_read")

@@ -73,7 +73,7 @@ _CELL = f"CASE WHEN id % 12 = 1 THEN '-5' ELSE concat({_PREFIX_SQL}, title) END"
 
 @query(
     "formula_safe_text",
-    X.WITH + f"SELECT id, CASE WHEN regexp_matches(cell, '^\\s*[=+\\-@]') AND NOT regexp_matches(cell, '^\\s*-\\d+(\\.\\d+)?\\s*$') THEN concat('''', cell) ELSE cell END AS cell FROM (SELECT id, {_CELL} AS cell FROM items)",
+    X.WITH + f"SELECT id, CASE WHEN regexp_matches(cell, '^\\s*[=+\\-@]') AND NOT regexp_matches(cell, '^\\s*-\\d+(\\.\\d+)?\\s*$') THEN concat('''', cell) ELSE cell END AS cell FROM (SELECT id, CASE WHEN length(cell) > 32767 THEN concat(substr(cell, 1, 32766), '…') ELSE cell END AS cell FROM (SELECT id, {_CELL} AS cell FROM items))",
 )
 def formula_safe_text(spark, d):
     return X.items(spark, d).selectExpr("id", f"{_CELL} AS cell").select("id", T.formula_safe(F.col("cell")).alias("cell"))

@@ -12,47 +12,22 @@ from ..functions import urls as U
 from ..operators import items as I
 from ..operators import upsert as P
 from . import fixtures as X
-from .registry import query
-
-# upsert_match's small job: at most 420 stored addresses and 300 in the batch, at every size (upsert_match_whole has all)
-_STORE = "SELECT id, source_id, concat('https://h.example/', CAST(id % 700 AS VARCHAR(20))) AS canonical_url, title AS fingerprint, title FROM (SELECT *, row_number() OVER (PARTITION BY id % 700 ORDER BY id) AS k, row_number() OVER (PARTITION BY source_id, title ORDER BY id) AS m FROM items) WHERE id % 10 < 6 AND k = 1 AND m = 1"
-_BATCH = "SELECT id AS rowno, source_id, concat('https://h.example/', CAST((id * 3) % 900 AS VARCHAR(20))) AS canonical_url, title AS fingerprint, title, category FROM items"
-
-
-def _store(spark, d):
-    a, b = Window.partitionBy(F.col("id") % 700).orderBy("id"), Window.partitionBy("source_id", "title").orderBy("id")
-    rows = X.items(spark, d).withColumn("k", F.row_number().over(a)).withColumn("m", F.row_number().over(b)).filter("id % 10 < 6 AND k = 1 AND m = 1")
-    return rows.select("id", "source_id", F.concat(F.lit("https://h.example/"), F.col("id") % 700).alias("canonical_url"), F.col("title").alias("fingerprint"), "title")
-
-
-def _batch(spark, d):
-    return X.items(spark, d).select(F.col("id").alias("rowno"), "source_id", F.concat(F.lit("https://h.example/"), (F.col("id") * 3) % 900).alias("canonical_url"), F.col("title").alias("fingerprint"), "title", "category")
-
-
-@query(
-    "upsert_match",
-    X.WITH
-    + f""", store AS ({_STORE}), batch AS ({_BATCH}) SELECT b.rowno, coalesce(u.id, f.id) AS stored_id, coalesce(u.source_id, f.source_id) AS stored_source FROM batch b LEFT JOIN store u ON b.canonical_url = u.canonical_url
-    LEFT JOIN store f ON b.source_id = f.source_id AND b.fingerprint = f.fingerprint""",
-)
-def upsert_match(spark, d):
-    return P.match(_batch(spark, d), _store(spark, d)).select("rowno", "stored_id", "stored_source")
-
+from .registry import also, query
 
 # every document is stored under an address of its own, once a source and fingerprint; all of them come again, a hash of
 # the id changing about 3 addresses in 8 (two ids then share the new one) and, apart from that, 3 fingerprints in 8
-_WHOLE_STORE = "SELECT id, source_id, concat('https://h.example/', CAST(id AS VARCHAR(20))) AS canonical_url, title AS fingerprint, title FROM (SELECT *, row_number() OVER (PARTITION BY source_id, title ORDER BY id) AS m FROM items) WHERE m = 1 OR title IS NULL"
-_WHOLE_BATCH = """SELECT id AS rowno, source_id, CASE WHEN substr(md5(CAST(id AS VARCHAR(20))), 1, 1) < '6' THEN concat('https://h.example/moved/', CAST(id >> 1 AS VARCHAR(20))) ELSE concat('https://h.example/', CAST(id AS VARCHAR(20))) END AS canonical_url,
+_STORE = "SELECT id, source_id, concat('https://h.example/', CAST(id AS VARCHAR(20))) AS canonical_url, title AS fingerprint, title FROM (SELECT *, row_number() OVER (PARTITION BY source_id, title ORDER BY id) AS m FROM items) WHERE m = 1 OR title IS NULL"
+_BATCH = """SELECT id AS rowno, source_id, CASE WHEN substr(md5(CAST(id AS VARCHAR(20))), 1, 1) < '6' THEN concat('https://h.example/moved/', CAST(id >> 1 AS VARCHAR(20))) ELSE concat('https://h.example/', CAST(id AS VARCHAR(20))) END AS canonical_url,
 CASE WHEN substr(md5(CAST(id AS VARCHAR(20))), 2, 1) < '6' THEN concat(title, '!') ELSE title END AS fingerprint, title, category FROM items"""
 
 
-def _whole_store(spark, d):
+def _store(spark, d):
     first = Window.partitionBy("source_id", "title").orderBy("id")
     rows = X.items(spark, d).withColumn("m", F.row_number().over(first)).filter("m = 1 OR title IS NULL")
     return rows.select("id", "source_id", F.concat(F.lit("https://h.example/"), F.col("id")).alias("canonical_url"), F.col("title").alias("fingerprint"), "title")
 
 
-def _whole_batch(spark, d):
+def _batch(spark, d):
     digest = F.md5(F.col("id").cast("string").cast("binary"))
     moved = F.concat(F.lit("https://h.example/moved/"), F.shiftright("id", 1))
     url = F.when(F.substring(digest, 1, 1) < "6", moved).otherwise(F.concat(F.lit("https://h.example/"), F.col("id")))
@@ -61,18 +36,21 @@ def _whole_batch(spark, d):
 
 
 @query(
-    "upsert_match_whole",
+    "upsert_match",
     X.WITH
-    + f""", store AS ({_WHOLE_STORE}), batch AS ({_WHOLE_BATCH}) SELECT b.rowno, coalesce(u.id, f.id) AS stored_id, coalesce(u.source_id, f.source_id) AS stored_source FROM batch b LEFT JOIN store u ON b.canonical_url = u.canonical_url
+    + f""", store AS ({_STORE}), batch AS ({_BATCH}) SELECT b.rowno, coalesce(u.id, f.id) AS stored_id, coalesce(u.source_id, f.source_id) AS stored_source FROM batch b LEFT JOIN store u ON b.canonical_url = u.canonical_url
     LEFT JOIN store f ON b.source_id = f.source_id AND b.fingerprint = f.fingerprint""",
 )
-def upsert_match_whole(spark, d):
-    return P.match(_whole_batch(spark, d), _whole_store(spark, d)).select("rowno", "stored_id", "stored_source")
+def upsert_match(spark, d):
+    return P.match(_batch(spark, d), _store(spark, d)).select("rowno", "stored_id", "stored_source")
+
+
+also("upsert_match_whole", "upsert_match")
 
 
 @query("upsert_first_wins")
 def upsert_first_wins(spark, d):
-    rows = P.match(_whole_batch(spark, d), _whole_store(spark, d)).filter("stored_id IS NULL").select("rowno", "source_id", "canonical_url", "fingerprint")
+    rows = P.match(_batch(spark, d), _store(spark, d)).filter("stored_id IS NULL").select("rowno", "source_id", "canonical_url", "fingerprint")
     return P.first_wins(rows)
 
 

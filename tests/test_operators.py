@@ -182,13 +182,13 @@ def test_upsert_store_grows(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.sparkContext.setCheckpointDir(str(tmp_path / "checkpoints"))
-    d, store, urls, marks = str(tmp_path), Q._whole_store(spark, str(tmp_path)).collect(), {}, {}
+    d, store, urls, marks = str(tmp_path), Q._store(spark, str(tmp_path)).collect(), {}, {}
     assert len(store) == len({(r.source_id, r.title) for r in store}) == len({x[1].split("\n")[0] + x[3] for x in docs})
     for r in store:
         urls[r.canonical_url] = marks[r.source_id, r.fingerprint] = r.id
-    batch = Q._whole_batch(spark, d).orderBy("rowno").collect()
+    batch = Q._batch(spark, d).orderBy("rowno").collect()
     want = {r.rowno: urls.get(r.canonical_url, marks.get((r.source_id, r.fingerprint))) for r in batch}
-    assert {r.rowno: r.stored_id for r in Q.upsert_match_whole(spark, d).collect()} == want
+    assert {r.rowno: r.stored_id for r in Q.upsert_match(spark, d).collect()} == want
     found, seen, into = sum(x is not None for x in want.values()), {}, {}
     assert 0.7 * n < found < 0.95 * n
     for r in batch:
@@ -212,12 +212,12 @@ def test_whole_texts_count(spark, tmp_path):
     docs = [(i, t, "en", f"src{i % 20}", 10) for i, t in enumerate(texts)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    got = {r.id: (r.title, r.summary) for r in X.whole_items(spark, str(tmp_path)).collect()}
+    got = {r.id: (r.title, r.summary) for r in X.items(spark, str(tmp_path)).collect()}
     assert got == {i: (t.split("\n")[0], "\n".join(t.split("\n")[1:]) or None) if t is not None else (None, None) for i, t in enumerate(texts)}
     points = Q.R.PACK[0].phrases[term] * 1.5
     score = lambda name: {r.id: r[Q.R.PACK[0].category] for r in registry.queries()[name](spark, str(tmp_path)).collect()}
-    cut, whole = score("rule_scores"), score("rule_scores_whole")
-    assert cut[0] == cut[1] == 0 and whole[0] >= 3 * points and whole[1] >= points
+    whole = score("rule_scores")
+    assert whole[0] >= 3 * points and whole[1] >= points
 
 
 def test_canonical_addresses(spark):
