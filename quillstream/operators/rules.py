@@ -14,8 +14,15 @@ from pyspark.sql import functions as F
 from ..domains import CATEGORIES
 from ..functions.text import contains_term, normalize_one
 
-MINIMUM_SCORE, MINIMUM_MARGIN = 8.0, 4.0
-TITLE_WEIGHT, SUMMARY_WEIGHT, PHRASE_WEIGHT = 2.0, 1.0, 1.5
+
+@dataclass(frozen=True)
+class Settings:
+    minimum_score: float = 8.0
+    minimum_margin: float = 4.0
+    title_weight: float = 2.0
+    summary_weight: float = 1.0
+    phrase_weight: float = 1.5
+    global_negatives: tuple = (("disgusting", 8),)  #: (term, points taken)
 
 
 @dataclass(frozen=True)
@@ -36,7 +43,8 @@ PACK = [
     Rule("solicitation", 100, {"les de": 6, "de les": 6}, {"ment": 3, "eaux": 4}, {}),
     Rule("policy_industry", 70, {"that the": 5, "with the": 5}, {"thand": 4, "ofthe": 4}, {"loser": 4}),
 ]
-GLOBAL_NEGATIVES = {"disgusting": 8}
+SETTINGS = Settings()
+GLOBAL_NEGATIVES = dict(SETTINGS.global_negatives)
 
 
 def _alive(candidates: list[tuple[str, float, bool]], text: Column) -> list[tuple[str, float, bool, Column]]:
@@ -52,44 +60,44 @@ def _alive(candidates: list[tuple[str, float, bool]], text: Column) -> list[tupl
     return kept
 
 
-def contributions(rule: Rule, title: Column, summary: Column) -> list[tuple[str, float, Column]]:
+def contributions(rule: Rule, title: Column, summary: Column, settings: Settings = SETTINGS) -> list[tuple[str, float, Column]]:
     """What each term of a rule adds where its test holds, in order: by field, positives before negatives.
 
     title and summary are normalised; negatives weigh by field only and never suppress each other."""
     positive = [(normalize_one(t), float(p), True) for t, p in rule.phrases.items()] + [(normalize_one(t), float(p), False) for t, p in rule.keywords.items()]
     out = []
-    for field, text, weight in (("title", title, TITLE_WEIGHT), ("summary", summary, SUMMARY_WEIGHT)):
+    for field, text, weight in (("title", title, settings.title_weight), ("summary", summary, settings.summary_weight)):
         for term, points, phrase, alive in _alive(positive, text):
-            out.append((f"{field}.{'phrase' if phrase else 'keyword'}:{term}", points * weight * (PHRASE_WEIGHT if phrase else 1.0), alive))
-        for term, points in (GLOBAL_NEGATIVES | rule.negatives).items():
+            out.append((f"{field}.{'phrase' if phrase else 'keyword'}:{term}", points * weight * (settings.phrase_weight if phrase else 1.0), alive))
+        for term, points in (dict(settings.global_negatives) | rule.negatives).items():
             out.append((f"{field}.negative:{normalize_one(term)}", -points * weight, contains_term(text, normalize_one(term))))
     return out
 
 
-def category_score(rule: Rule, title: Column, summary: Column) -> Column:
+def category_score(rule: Rule, title: Column, summary: Column, settings: Settings = SETTINGS) -> Column:
     total = F.lit(0.0)
-    for _, points, test in contributions(rule, title, summary):
+    for _, points, test in contributions(rule, title, summary, settings):
         total = total + F.when(test, F.lit(float(points))).otherwise(0.0)
     return total
 
 
-def explanations(rule: Rule, title: Column, summary: Column) -> Column:
+def explanations(rule: Rule, title: Column, summary: Column, settings: Settings = SETTINGS) -> Column:
     """The terms that counted, each as category.field.kind:term (+points)."""
-    return F.array_compact(F.array(*[F.when(test, F.lit(f"{rule.category}.{what} ({points:+.2f})")) for what, points, test in contributions(rule, title, summary)]))
+    return F.array_compact(F.array(*[F.when(test, F.lit(f"{rule.category}.{what} ({points:+.2f})")) for what, points, test in contributions(rule, title, summary, settings)]))
 
 
-def scores(title: Column, summary: Column, pack: list[Rule] = PACK) -> Column:
+def scores(title: Column, summary: Column, pack: list[Rule] = PACK, settings: Settings = SETTINGS) -> Column:
     """Array of (score, priority, order, category), the best first; equal ones stay in declaration order."""
-    each = [F.struct(category_score(r, title, summary).alias("score"), F.lit(r.priority).alias("priority"), F.lit(-CATEGORIES.index(r.category)).alias("turn"), F.lit(r.category).alias("category")) for r in pack]
+    each = [F.struct(category_score(r, title, summary, settings).alias("score"), F.lit(r.priority).alias("priority"), F.lit(-CATEGORIES.index(r.category)).alias("turn"), F.lit(r.category).alias("category")) for r in pack]
     return F.sort_array(F.array(*each), asc=False)
 
 
-def decide(ranked: Column, default: Column | None = None) -> Column:
+def decide(ranked: Column, default: Column | None = None, settings: Settings = SETTINGS) -> Column:
     """category, score, provider and is_ambiguous from the ranked scores."""
     top, second = ranked[0], ranked[1]
     default = F.lit(None).cast("string") if default is None else default
-    low = top["score"] < MINIMUM_SCORE
-    close = top["score"] - second["score"] < MINIMUM_MARGIN
+    low = top["score"] < settings.minimum_score
+    close = top["score"] - second["score"] < settings.minimum_margin
     category = F.when(low, F.coalesce(default, F.lit("unclassified"))).when(close, "unclassified").otherwise(top["category"])
     provider = F.when(low & default.isNotNull(), "source_default").otherwise("rule_based")
     return F.struct(category.alias("category"), top["score"].alias("score"), provider.alias("provider"), (~low & close).alias("is_ambiguous"))

@@ -39,6 +39,9 @@ RULES = [
 ]
 TOPIC_TERMS = {"model": ["thing"], "agent": ["edon"], "api": ["inin"], "open_source": ["thand"], "policy": ["that the"], "standard": ["with the"], "award": ["keit"], "case": ["mente"], "safety_governance": ["disgusting"]}
 INDUSTRY_TERMS = {"government": ["ofthe"], "finance": ["eaux"], "energy": ["ción"], "transport": ["erth"], "education": ["schen"]}
+CASE_SIGNALS = ("thing", "keit", "los ")
+CASE_DIMENSIONS = {"A": ("the ", "der "), "B": ("and ", "und "), "C": ("with", "mit"), "D": ("ther", "schen"), "E": ("eaux", "mente")}
+VERSION = "v2"
 TRUSTED = ["official_confirmed", "official_linked", "multi_source_confirmed"]
 RUMOR = r"(?iU)\b(rumou?r|reportedly|idiot)\b|传闻"
 
@@ -99,6 +102,19 @@ def case_completeness(signal: Column, dims: dict[str, Column], detailed: Column)
     )
 
 
+def case_state(kind: Column, text: Column, detailed: Column) -> Column:
+    """case_completeness of an item of this type; only cases and awards have a signal."""
+    signal = kind.isin("case_analysis", "award_result") & _any(text, CASE_SIGNALS)
+    return case_completeness(signal, {k: _any(text, terms) for k, terms in CASE_DIMENSIONS.items()}, detailed)
+
+
+def differs(stored: dict[str, Column], fresh: dict[str, Column]) -> Column:
+    """Whether a classification changes anything that is stored: type, topics, industries, case completeness or version.
+
+    Nulls are equal to each other."""
+    return F.reduce(F.array(*[~stored[k].eqNullSafe(fresh[k]) for k in ("primary_type", "topics", "industries", "case_completeness", "version")]), F.lit(False), lambda a, x: a | x)
+
+
 def verify(role: Column, text: Column, official_url: Column, url: Column, policy: Column) -> Column:
     """verification_status and review_status."""
     media = role == "media_discovery"

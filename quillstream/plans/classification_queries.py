@@ -9,6 +9,7 @@ from ..operators import admission as A
 from ..operators import rules as R
 from ..operators import taxonomy as X2
 from . import fixtures as X
+from ..sources.rule_packs import load_pack
 from .registry import also, query
 
 _N = "replace(lower(trim(regexp_replace({}, '\\s+', ' ', 'g'))), 'ß', 'ss')"
@@ -153,15 +154,72 @@ def taxonomy_tags(spark, d):
     return rows.select("id", F.array_join("t.topics", ",").alias("topics"), F.array_join("t.industries", ",").alias("industries"))
 
 
-@query("reclassify_diff", X.WITH + f", {_TAX} SELECT count(*) AS total, count(*) FILTER (WHERE i.primary_type <> t.type) AS changed, count(*) FILTER (WHERE coalesce(i.manual_primary_type, t.type) = 'unclassified') AS unclassified, count(i.manual_primary_type) AS preserved_manual FROM items i JOIN tax t ON i.id = t.id")
-def reclassify_diff(spark, d):
+_STORED = {"topics": "CASE WHEN id % 2 = 0 THEN 'model,api' ELSE '' END", "industries": "CASE WHEN id % 12 = 5 THEN 'finance' ELSE '' END", "case_completeness": "CASE WHEN id % 14 = 3 THEN 'case_lead' ELSE 'not_case' END"}
+
+
+def _case_sql() -> str:
+    signal = f"(type IN ('case_analysis', 'award_result') AND {_some(X2.CASE_SIGNALS)})"
+    dims = {k: _some(w) for k, w in X2.CASE_DIMENSIONS.items()}
+    n = " + ".join(f"CAST({t} AS INTEGER)" for t in dims.values())
+    return f"""CASE WHEN id % 3 = 0 AND {n} >= 3 AND ({dims['D']} OR {dims['E']}) THEN 'full_case' WHEN id % 3 = 0 AND {signal} AND ({dims['A']} OR {dims['B']} OR {dims['C']}) THEN 'partial_case'
+    WHEN {signal} THEN 'case_lead' ELSE 'not_case' END"""
+
+
+_FRESH = f"""{_TAX}, tags AS (SELECT id, {_tags(X2.TOPICS, X2.TOPIC_TERMS, True)} AS topics, {_tags(X2.INDUSTRIES, X2.INDUSTRY_TERMS, False)} AS industries FROM content),
+fresh AS (SELECT id, type, topics, industries, {_case_sql()} AS case_completeness FROM (SELECT t.id, t.type, g.topics, g.industries, c.content FROM tax t JOIN tags g ON t.id = g.id JOIN content c ON t.id = c.id))"""
+
+
+def _fresh(spark, d):
+    """The items with t, the classification, and its case completeness; every third has its details fetched."""
     rows = _content(spark, d).transform(X2.classified, F.col("s_role"), F.col("content"))
-    return rows.agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(~F.col("primary_type").eqNullSafe(F.col("t.primary_type"))).alias("changed"),
+    return rows.withColumn("fresh_case", X2.case_state(F.col("t.primary_type"), F.col("content"), F.col("id") % 3 == 0))
+
+
+@query("case_states", X.WITH + f", {_FRESH} SELECT id, case_completeness FROM fresh")
+def case_states(spark, d):
+    return _fresh(spark, d).select("id", F.col("fresh_case").alias("case_completeness"))
+
+
+@query(
+    "reclassify_diff",
+    X.WITH
+    + f""", {_FRESH} SELECT count(*) AS total, count(*) FILTER (WHERE i.primary_type <> f.type OR i.topics <> f.topics OR i.industries <> f.industries OR i.case_completeness <> f.case_completeness OR i.taxonomy_version <> 'v2') AS changed,
+    count(*) FILTER (WHERE coalesce(i.manual_primary_type, f.type) = 'unclassified') AS unclassified, count(i.manual_primary_type) AS preserved_manual FROM (SELECT *, {', '.join(f'{e} AS {n}' for n, e in _STORED.items())} FROM items) i JOIN fresh f ON i.id = f.id""",
+)
+def reclassify_diff(spark, d):
+    stored = {n: F.expr(e) for n, e in _STORED.items()} | {"primary_type": F.col("primary_type"), "version": F.col("taxonomy_version")}
+    fresh = {"primary_type": F.col("t.primary_type"), "topics": F.array_join("t.topics", ","), "industries": F.array_join("t.industries", ","), "case_completeness": F.col("fresh_case"), "version": F.lit(X2.VERSION)}
+    return _fresh(spark, d).agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(X2.differs(stored, fresh)).alias("changed"),
         F.count_if(F.coalesce("manual_primary_type", F.col("t.primary_type")) == "unclassified").alias("unclassified"), F.count("manual_primary_type").alias("preserved_manual"),
     )
 
 
+_PACK_WORDS = [("model_technology", "of the", "with"), ("agent_product", "in the", "that"), ("enterprise_case", "de la", "los"), ("award_case", "und der", "die"), ("solicitation", "les de", "des"), ("policy_industry", "to the", "for")]
+# a pack as it is loaded, over neutral words: other weights and limits than the built-in one
+_PACK_TEXT = """
+settings: {minimum_score: 5, minimum_margin: 2, title_weight: 3, summary_weight: 1, phrase_weight: 2}
+global_negative_phrases: {"lost in": -4}
+categories:
+""" + "\n".join(f"  {c}: {{priority: {50 + i}, phrases: {{\"{p}\": {3 + i}}}, keywords: {{\"{k}\": 2}}, negative_phrases: {{}}}}" for i, (c, p, k) in enumerate(_PACK_WORDS))
+_LOADED = load_pack(_PACK_TEXT)
+
+
+def _loaded_score(rule: R.Rule) -> str:
+    parts = []
+    for field, weight in (("nt", 3), ("ns", 1)):
+        parts += [f"CASE WHEN {_term(field, t)} THEN {p * weight * 2} ELSE 0 END" for t, p in rule.phrases.items()]
+        parts += [f"CASE WHEN {_term(field, t)} THEN {p * weight} ELSE 0 END" for t, p in rule.keywords.items()]
+        parts.append(f"CASE WHEN {_term(field, 'lost in')} THEN {-4 * weight} ELSE 0 END")
+    return "CAST(" + " + ".join(parts) + " AS DOUBLE)"
+
+
+@query("loaded_pack_scores", X.WITH + f", {_TEXTS} SELECT id, {', '.join(f'{_loaded_score(r)} AS {r.category}' for r in _LOADED[1])} FROM texts")
+def loaded_pack_scores(spark, d):
+    settings, rules = _LOADED
+    return _texts(spark, d).select("id", *[R.category_score(r, F.col("nt"), F.col("ns"), settings).alias(r.category) for r in rules])
+
+
 _LINK = "CASE WHEN id % 3 = 0 THEN 'https://official.example/a' WHEN id % 3 = 1 THEN 'https://media.example/b' END"
 
 

@@ -288,3 +288,50 @@ def test_upsert_nulls_match_nothing(spark):
     rows = [(1, 1, None, "f1"), (2, 1, None, "f2"), (3, 1, "u", None), (4, 1, "v", None), (5, 1, "u", "f1"), (6, 1, None, "f2"), (7, 1, None, None), (8, 1, None, None)]
     got = P.first_wins(spark.createDataFrame(rows, "rowno long, source_id long, canonical_url string, fingerprint string")).collect()
     assert {r.rowno: r["into"] for r in got} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 3, 6: 2, 7: 7, 8: 8}
+
+
+def test_rule_pack_is_checked_whole(spark):
+    """Every fault of a pack is named at once; a good one scores by its own settings."""
+    import pytest
+
+    from quillstream.operators import rules as R
+    from quillstream.plans.classification_queries import _PACK_TEXT
+    from quillstream.sources.rule_packs import PackError, load_pack, pack_table
+
+    settings, rules = load_pack(_PACK_TEXT)
+    assert settings.title_weight == 3 and settings.global_negatives == (("lost in", 4.0),) and [r.priority for r in rules] == list(range(50, 56))
+    table = pack_table(spark, rules).collect()
+    assert len(table) == 12 and {r.points for r in table if r.kind == "phrase"} == {3.0, 4.0, 5.0, 6.0, 7.0, 8.0}
+    first = spark.createDataFrame([("of the with", "lost in")], "t string, s string").select(R.category_score(rules[0], F.col("t"), F.col("s"), settings).alias("x")).first()
+    assert first.x == 3 * 3 * 2 + 2 * 3 - 4
+    bad = {
+        "minimum_score: 5": ("minimum_score: -1", "settings.minimum_score"), "title_weight: 3": ("title_weight: 1", "title_weight"), '"lost in": -4': ('"lost in": 4', "negative number"), "priority: 50": ("priority: high", "model_technology.priority"),
+        "{\"of the\": 3}": ('{"of the": 3, "OF  the": 2}', "once normalised"), "keywords: {\"with\": 2}": ('keywords: {"with": .nan}', "positive number"), "  solicitation:": ("  other:", "unknown key other"), "phrase_weight: 2": ("phrase_weight: 2, phrase_weight: 3", "key given twice"),
+    }
+    for good, (broken, fault) in bad.items():
+        assert good in _PACK_TEXT
+        with pytest.raises(PackError, match=fault):
+            load_pack(_PACK_TEXT.replace(good, broken))
+    with pytest.raises(PackError) as e:
+        load_pack(_PACK_TEXT.replace("minimum_score: 5", "minimum_score: x").replace("priority: 51", "priority: 1.5"))
+    assert len(str(e.value).split("\n")) == 2
+
+
+def test_case_states_and_differences(spark):
+    """Details decide between a lead and a case; a change in any one of five fields counts, nulls are equal."""
+    from quillstream.operators import taxonomy as X
+
+    a, b, c, d = (X.CASE_DIMENSIONS[k][0] for k in "ABCD")
+    sign = X.CASE_SIGNALS[0]
+    cases = [
+        ("case_analysis", f"{sign} {a}", False, "case_lead"), ("case_analysis", f"{sign} {a}", True, "partial_case"), ("product_update", f"{a} {b} {d}", True, "full_case"), ("product_update", f"{a} {b} {c}", True, "not_case"),
+        ("award_result", sign, True, "case_lead"), ("product_update", sign, False, "not_case"), ("case_analysis", "", True, "not_case"),
+    ]
+    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(cases)], "i int, kind string, text string, detailed boolean, want string")
+    assert [r for r in rows.withColumn("got", X.case_state(F.col("kind"), F.col("text"), F.col("detailed"))).collect() if r.got != r.want] == []
+    keys = ["primary_type", "topics", "industries", "case_completeness", "version"]
+    base = ("a", "b", "c", "d", None)
+    variants = [base] + [tuple("z" if j == i else x for j, x in enumerate(base)) for i in range(5)]
+    table = spark.createDataFrame([(i, *v) for i, v in enumerate(variants)], "i int, " + ", ".join(f"{k} string" for k in keys))
+    got = table.select("i", X.differs({k: F.lit(v).cast("string") for k, v in zip(keys, base, strict=True)}, {k: F.col(k) for k in keys}).alias("x")).orderBy("i").collect()
+    assert [r.x for r in got] == [False] + [True] * 5
