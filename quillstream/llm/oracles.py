@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries that SQL can express on whole tables.
 
 Not among them: byte windows (op1) and edit distances (op7) are out of reach of its string functions; estimated
-models (op4, op10), iterated rates with carried rounding (op8) and a tokenizer's merges (op9) are no SQL.  Tests hold
+models (op4, op10), iterated rates with carried rounding (op8) and a tokenizer's merges (op9, op13) are no SQL.  Tests hold
 those against brute force, the library or held-out labels.
 """
 
@@ -55,4 +55,29 @@ SELECT d.doc_id, len(n.a) AS n_lines, coalesce(len(gone), 0) AS n_removed,
 CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(list_zip(l, range(1, len(l) + 1)), lambda x: NOT list_contains(gone, x[2])), lambda x: x[1]), chr(10)) END AS text
 FROM d JOIN n ON n.doc_id = d.doc_id LEFT JOIN marks m ON m.doc_id = d.doc_id"""
 
-SQL: dict[str, str] = {"op2_quality_rules": OP2, "op3_substring": OP3, "op5_minhash": OP5, "op6_line_dedup": OP6}
+OP11 = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+k AS (SELECT doc_id, t, length(t) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || h[i : i + 7] AS BIGINT)) AS h FROM d),
+c AS (SELECT doc_id, t, n, least(h[1] % (n + 1), h[2] % (n + 1)) AS lo, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS hi,
+CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+p AS (SELECT *, substring(t, 1, lo) AS a, substring(t, lo + 1, hi - lo) AS m, substring(t, hi + 1) AS z FROM c),
+o AS (SELECT *, CASE form WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || m WHEN 'spm' THEN '<S>' || z || '<P>' || a || '<M>' || m ELSE t END AS out_ FROM p),
+r AS (SELECT *, string_split_regex(out_, '<[PSM]>') AS s FROM o)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN lo END AS prefix_chars, CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars, sha256(out_) AS output_sha256,
+sha256(CASE form WHEN 'psm' THEN s[2] || s[4] || s[3] WHEN 'spm' THEN s[3] || s[4] || s[2] ELSE out_ END) AS restored_sha256 FROM r"""
+
+# crc32 bit by bit over the digits: a byte joins at every eighth step
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, len(x) + 1), lambda i: [ascii(x[i])::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295)"
+OP12 = f"""WITH t AS (SELECT conv_id, turn, sha256(length(r) || ':' || r || x) AS h, length(x) AS c FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL)),
+own AS (SELECT conv_id, list({{'h': h, 'c': c}} ORDER BY turn NULLS FIRST, h) AS l FROM t GROUP BY conv_id),
+b AS (SELECT o.conv_id, o.l, {_CRC} % 6 AS k, f.l AS f FROM (SELECT *, CAST(conv_id AS VARCHAR) AS x FROM own) o LEFT JOIN own f ON f.conv_id = o.conv_id - o.conv_id % 100),
+r AS (SELECT conv_id, list_concat(CASE WHEN k > 0 THEN list_slice(coalesce(f, []), 1, k) ELSE [] END, list_slice(l, k + 1, len(l))) AS l FROM b),
+e AS (SELECT conv_id, list_transform(l, lambda y: y.h) AS s, list_transform(l, lambda y: y.c) AS c FROM r),
+p AS (SELECT conv_id, d, CASE WHEN d = 0 THEN [] ELSE s[1:d] END AS path, CASE WHEN d = 0 THEN 0 ELSE c[d] END AS chars, len(s) = d AS ended FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM e)),
+n AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ended), '')) AS ends FROM p GROUP BY path, d),
+u AS (SELECT *, CASE WHEN d = 1 THEN [] WHEN d > 1 THEN path[1 : d - 1] END AS up FROM n),
+kids AS (SELECT up, count(*) AS k FROM u WHERE d > 0 GROUP BY up),
+g AS (SELECT u.*, coalesce(kids.k, 0) AS k FROM u LEFT JOIN kids ON kids.up = u.path),
+sums AS (SELECT CASE WHEN a = 0 THEN [] ELSE path[1:a] END AS path, count(*) FILTER (WHERE k = 0) AS leaves, sum((n_convs - 1) * chars) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM g) GROUP BY 1)
+SELECT g.conv_id, g.d AS depth, q.conv_id AS parent_conv_id, g.n_convs, g.k AS n_children, sums.leaves AS n_leaves, CAST(sums.saved AS BIGINT) AS saved_tokens, g.ends AS ends_sha256 FROM g JOIN sums ON sums.path = g.path LEFT JOIN g q ON q.path = g.up"""
+
+SQL: dict[str, str] = {"op2_quality_rules": OP2, "op3_substring": OP3, "op5_minhash": OP5, "op6_line_dedup": OP6, "op11_fim": OP11, "op12_prefix_trie": OP12}

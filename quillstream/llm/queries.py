@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators."""
+"""The registered queries of the operators."""
 
 from __future__ import annotations
 
@@ -77,6 +77,30 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, labels, Workspace(spark, "op10"), fold != 2), fold == 2)
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fim import fill_in_middle, restored
+
+    out = fill_in_middle(table(spark, sf_dir, "documents"))
+    sha = lambda x: F.sha2(x.cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import prefix_trie, rebuilt
+
+    ws = Workspace(spark, "op12")
+    return prefix_trie(rebuilt(table(spark, sf_dir, "conversations"), ws), ws)
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizers = importlib.import_module("public_tokenizers")
+    from .token_files import read_tokens, write_tokens
+
+    docs = table(spark, sf_dir, "documents")
+    manifest = write_tokens(docs, tokenizers.path("byte_bpe_50k.json"), 2, Workspace(spark, "op13"))
+    return read_tokens(manifest, dict(docs.dtypes)["doc_id"])
+
+
 def queries() -> dict:
     return {
         "op1_suffix_array": op1_suffix_array,
@@ -89,4 +113,7 @@ def queries() -> dict:
         "op8_mix": op8_mix,
         "op9_token_counts": op9_token_counts,
         "op10_toxicity": op10_toxicity,
+        "op11_fim": op11_fim,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_token_files": op13_token_files,
     }
