@@ -37,6 +37,7 @@ from .token_counts import MEMO, SPECIAL, piece_starts
 FRAME_IDS = 1 << 18  #: ids in a frame at most
 LONG = 1 << 19  #: code points from which a text is encoded in parts
 LEVEL = 3
+ROW = 1000  #: new pieces encoded as one text
 # Fixed values of the seekable format: skippable frames' magic numbers, the footer's, and the flag for checksums.
 INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
 FOOTER = struct.Struct("<IBI")
@@ -53,14 +54,32 @@ class Pieces(dict):
 
         self.library = tokenizers.Tokenizer.from_file(tokenizer_json)
 
-    def learn(self, pieces: list[str]) -> None:
-        new = list(set(pieces).difference(self))
-        if len(self) + len(new) > MEMO:
-            self.clear()
-            new = list(set(pieces))
-        for piece, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+    def learn(self, new: list[str]) -> None:
+        """Letters behind a blank are one piece each also in a row, so that many are encoded as one text."""
+        plain = [p for p in new if p[0] == " " and p[1:].isalpha()]
+        rows = [plain[i : i + ROW] for i in range(0, len(plain), ROW)]
+        rest = [p for p in new if not (p[0] == " " and p[1:].isalpha())]
+        for row, found in zip(rows, self.library.encode_batch(["".join(r) for r in rows], add_special_tokens=False)):
+            at = np.searchsorted(found.word_ids, np.arange(len(row) + 1)).tolist()
+            if found.word_ids[-1] + 1 != len(row):
+                rest += row
+                continue
+            ids = np.array(found.ids, dtype="<u4").tobytes()
+            self.update((p, ids[4 * lo : 4 * hi]) for p, lo, hi in zip(row, at, at[1:]))
+        for piece, found in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self[piece] = np.array(found.ids, dtype="<u4").tobytes()
 
+    def found(self, pieces: list[str]) -> list[bytes]:
+        got = list(map(self.get, pieces))
+        if None in got:
+            new = list({p for p, g in zip(pieces, got) if g is None})
+            if len(self) + len(new) > MEMO:
+                self.clear()
+                new = list(set(pieces))
+            self.learn(new)
+            got = [self[p] if g is None else g for p, g in zip(pieces, got)]
+        return got
+
     def cut(self, text: str, first: np.ndarray) -> tuple[list[str], np.ndarray]:
         """The pre-tokens of texts that stand one after the other, and the first of each text."""
         cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -71,8 +90,7 @@ class Pieces(dict):
     def many(self, text: str, first: np.ndarray) -> Iterator[bytes]:
         """The ids of each text; first says where they begin, with the end of the last."""
         pieces, bounds = self.cut(text, first)
-        self.learn(pieces)
-        found, bounds = [self[p] for p in pieces], bounds.tolist()
+        found, bounds = self.found(pieces), bounds.tolist()
         for a, b in zip(bounds, bounds[1:]):
             yield b"".join(found[a:b])
 
