@@ -1,20 +1,20 @@
 """The two-key upsert: match a batch against the stored items and itself, as a sequential fold would.
 
 A row matches a stored item by canonical address (globally), else by source and fingerprint.  Rows that match
-nothing insert, and only inserted rows make their keys matchable: a row is an anchor if it is the first of its
-address and the first of its source and fingerprint.  A later row with an anchor is settled by windows alone;
-if any row has first keys that belong to no anchor, the rows linked with it run through an ordered fold.
+nothing insert, and only inserted rows make their keys matchable: which rows insert follows from rounds of
+aggregates and joins over distinct keys.  operators/store.py persists batches by these rules.
 """
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CONTENT = ["title", "summary", "published_at", "extra"]
+ROUNDS, FEW = 8, 200_000  #: after so many rounds, so few rows that are left are settled in order in one task
 
 
 def match(batch: DataFrame, store: DataFrame) -> DataFrame:
@@ -28,73 +28,69 @@ def match(batch: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def anchors(rows: DataFrame) -> DataFrame:
-    """Unmatched rows (rowno, source_id, canonical_url, fingerprint) with the row they merge into and whether windows settle it."""
-    url, mark = Window.partitionBy("canonical_url"), Window.partitionBy("source_id", "fingerprint")
-    rows = rows.withColumn("u", F.min("rowno").over(url)).withColumn("f", F.min("rowno").over(mark))
-    rows = rows.withColumn("anchor", (F.col("u") == F.col("rowno")) & (F.col("f") == F.col("rowno")))
-    rows = rows.withColumn("u_ok", F.max(F.col("anchor") & (F.col("u") == F.col("rowno"))).over(url)).withColumn("f_ok", F.max(F.col("anchor") & (F.col("f") == F.col("rowno"))).over(mark))
-    by_url = (F.col("u") < F.col("rowno")) & F.col("u_ok")
-    by_print = (F.col("u") == F.col("rowno")) & (F.col("f") < F.col("rowno")) & F.col("f_ok")
-    into = F.when(F.col("anchor"), F.col("rowno")).when(by_url, F.col("u")).when(by_print, F.col("f"))
-    return rows.withColumn("into", into).withColumn("clean", F.col("into").isNotNull()).drop("u_ok", "f_ok", "anchor")
-
-
-def _fold(pdf: pd.DataFrame) -> pd.DataFrame:
-    urls, marks, into = {}, {}, []
-    pdf = pdf.sort_values("rowno")
-    for r in pdf.itertuples(index=False):
-        found = urls.get(r.canonical_url)
-        if found is None:
-            found = marks.get((r.source_id, r.fingerprint))
-        if found is None:
-            urls[r.canonical_url] = marks[(r.source_id, r.fingerprint)] = found = r.rowno
-        into.append(found)
-    return pd.DataFrame({"rowno": pdf["rowno"], "into": into})
-
-
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """df without its lineage, in the folder that the cluster names; a local session may do with its own."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """canonical_url, source_id, fingerprint and rowno of the rows that insert, for rows whose keys are not null.
+
+    A row inserts if no earlier inserted row has its address or its source and fingerprint.  Rows alike in all three
+    keys stand for one, so that a hot address or fingerprint is as many rows as it has partners.  In each round the
+    rows that come first in both groups insert, and all that share a key with them are settled; what is left is
+    decided among itself.  A round is two aggregates and two joins, whatever the size of a group; only a long chain
+    of rows that share now one key, now the other needs many, and its end, if small, is settled row by row."""
+    keys = ["canonical_url", "source_id", "fingerprint"]
+    left = checkpointed(rows.groupBy(*keys).agg(F.min("rowno").alias("rowno")))
+    out = None
+    for turn in itertools.count():
+        if turn >= ROUNDS and left.count() <= FEW:
+            return out.unionByName(left.coalesce(1).groupBy().applyInPandas(_in_order, left.schema))
+        by_url = left.groupBy("canonical_url").agg(F.min("rowno").alias("_u"))
+        by_mark = left.groupBy("source_id", "fingerprint").agg(F.min("rowno").alias("_f"))
+        found = left.join(by_url, "canonical_url").join(by_mark, ["source_id", "fingerprint"]).filter("rowno = _u AND rowno = _f").select(*keys, "rowno")
+        found = checkpointed(found)
+        out = found if out is None else out.unionByName(found)
+        left = checkpointed(left.join(found.select("canonical_url"), "canonical_url", "left_anti").join(found.select("source_id", "fingerprint"), ["source_id", "fingerprint"], "left_anti"))
+        if left.isEmpty():
+            return out
+
+
+def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
+    urls, marks, kept = set(), set(), []
+    rows = rows.sort_values("rowno")
+    for i, (url, mark) in enumerate(zip(rows["canonical_url"], zip(rows["source_id"], rows["fingerprint"]))):
+        if url not in urls and mark not in marks:
+            urls.add(url), marks.add(mark), kept.append(i)
+    return rows.iloc[kept]
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a local session may do with its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not found and not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (found or f"file://{tempfile.gettempdir()}/quillstream-shared").rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df without its lineage."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(found or tempfile.gettempdir())
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
-def components(rows: DataFrame) -> DataFrame:
-    """rowno, root: rows linked by an address or a source's fingerprint, by smallest labels until nothing moves.
-
-    Each round also takes the label's own label, so that a chain needs rounds by the logarithm of its length."""
-    cur = rows.withColumn("root", F.col("rowno"))
-    while True:
-        low = F.least(F.min("root").over(Window.partitionBy("canonical_url")), F.min("root").over(Window.partitionBy("source_id", "fingerprint")))
-        nxt = _checkpointed(cur.withColumn("low", low).withColumn("moved", F.col("low") < F.col("root")).withColumn("root", F.col("low")).drop("low"))
-        done = nxt.filter("moved").isEmpty()
-        cur = nxt.drop("moved")
-        if done:
-            return cur
-        far = cur.select(F.col("rowno").alias("_at"), F.col("root").alias("_far"))
-        cur = cur.join(far, F.col("root") == F.col("_at")).withColumn("root", F.col("_far")).drop("_at", "_far")
-
-
 def first_wins(rows: DataFrame) -> DataFrame:
     """rowno, into: the row that each unmatched row of a batch merges into, itself if it inserts.
 
-    A null address or fingerprint equals no other."""
+    Of the inserted rows before it, the one with its address, else the one with its source and fingerprint.  A null
+    address or fingerprint equals no other, nor does a fingerprint without a source."""
     own = F.concat(F.lit("\0"), F.col("rowno").cast("string"))
-    rows = rows.withColumns({c: F.coalesce(c, own) for c in ("canonical_url", "fingerprint")})
-    marked = anchors(rows)
-    unclear = marked.filter("not clean")
-    if unclear.isEmpty():
-        return marked.select("rowno", "into")
-    roots = components(rows)
-    bad = roots.join(unclear.select("rowno"), "rowno", "left_semi").select("root").distinct()
-    folded = roots.join(bad, "root", "left_semi").groupBy("root").applyInPandas(_fold, "rowno long, into long")
-    settled = marked.join(roots.join(bad, "root", "left_semi").select("rowno"), "rowno", "left_anti").select("rowno", "into")
-    return settled.unionByName(folded)
+    mark = F.when(F.col("source_id").isNull(), own).otherwise(F.coalesce("fingerprint", own))
+    rows = rows.select("rowno", F.coalesce("source_id", F.lit(-1)).alias("source_id"), F.coalesce("canonical_url", own).alias("canonical_url"), mark.alias("fingerprint"))
+    found = anchors(rows)
+    by_url = found.select("canonical_url", F.col("rowno").alias("_u"))
+    by_mark = found.select("source_id", "fingerprint", F.col("rowno").alias("_f"))
+    out = rows.join(by_url, "canonical_url", "left").join(by_mark, ["source_id", "fingerprint"], "left")
+    earlier = [F.when(F.col(c) <= F.col("rowno"), F.col(c)) for c in ("_u", "_f")]
+    return out.select("rowno", F.coalesce(*earlier).alias("into"))
 
 
 def revision(old: dict[str, Column], new: dict[str, Column]) -> Column:
@@ -109,28 +105,16 @@ def outcome(stored_source: Column, source: Column, changed: Column, in_batch: Co
     )
 
 
-def counters(rows: DataFrame, invalid: int = 0) -> DataFrame:
-    """rows(outcome, category) as one row of counts; unchanged and cross-source hits count as skipped and duplicate."""
-    is_ = lambda x: F.count_if(F.col("outcome") == x)
-    return rows.agg(
-        is_("new").alias("new"), is_("updated").alias("updated"), (is_("skipped") + invalid).alias("skipped"), (is_("skipped") + is_("in_batch_duplicate")).alias("duplicate"), F.count_if((F.col("outcome") != "in_batch_duplicate") & (F.col("category") == "unclassified")).alias("unclassified")
-    )
+def counters(rows: DataFrame, *by: str) -> DataFrame:
+    """rows(outcome, category) as counts, one row for each value of `by`; unchanged and cross-source hits count as skipped
+    and as duplicate, invalid rows as skipped."""
+    is_ = lambda *x: F.count_if(F.col("outcome").isin(*x))
+    return rows.groupBy(*by).agg(
+        is_("new").alias("new"), is_("updated").alias("updated"), is_("skipped", "invalid").alias("skipped"), is_("skipped", "in_batch_duplicate").alias("duplicate"),
+        F.count_if((F.col("outcome") != "in_batch_duplicate") & (F.col("category") == "unclassified")).alias("unclassified"),
+    )
 
 
 def discoveries(hits: DataFrame) -> DataFrame:
     """item_id, source_id, at -> first and last sighting of an item by each source."""
     return hits.groupBy("item_id", "source_id").agg(F.min("at").alias("first_seen"), F.max("at").alias("last_seen"), F.count(F.lit(1)).alias("times"))
-
-
-def merge(store: DataFrame, batch: DataFrame, keys: list[str], overwrite: list[str], sticky: dict[str, str]) -> DataFrame:
-    """The store with a batch of new values: `overwrite` columns change unless the row's sticky flag for them is set."""
-    new = batch.select(*[F.col(k) for k in keys], *[F.col(c).alias(f"_{c}") for c in overwrite], F.lit(True).alias("_hit"))
-    out = store.join(new, keys, "full_outer")
-    for c in overwrite:
-        held = F.coalesce(F.col(sticky[c]), F.lit(False)) if c in sticky else F.lit(False)
-        out = out.withColumn(c, F.when(F.col("_hit") & ~held, F.col(f"_{c}")).otherwise(F.col(c)))
-    return out.drop(*[f"_{c}" for c in overwrite], "_hit")
-
-
-def insert_if_absent(store: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    return store.unionByName(rows.join(store, key, "left_anti"))

@@ -85,10 +85,19 @@ EXECUTIONS_SQL = """SELECT l_orderkey AS run_id, l_suppkey AS source_id, CAST(su
 CAST(sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS skipped_count, CASE WHEN max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) = 1 THEN 'failed' ELSE 'success' END AS status,
 min(l_returnflag) AS reason FROM lineitem GROUP BY l_orderkey, l_suppkey"""
 WITH = f"WITH items AS ({ITEMS_SQL}), sources AS ({SOURCES_SQL}), runs AS ({RUNS_SQL}), executions AS ({EXECUTIONS_SQL}) "
+#: Rows of a table with their place in it, their address, and their source and fingerprint as one text.
+NUMBERED = "SELECT row_number() OVER (ORDER BY {seq}) AS k, {seq} AS seq, canonical_url AS url, CAST(source_id AS VARCHAR) || ':' || fingerprint AS mark FROM {t}"
 #: The second engine's form of the order that lists have.
 RECENT = "coalesce(published_at, discovered_at) DESC, id DESC"
 
 
+def fold(name: str, rows: str) -> str:
+    """Recursive CTE: of rows(k from 1, seq, url, mark) the row each merges into, the first ones with their keys."""
+    return f"""{name}(k, seq, urls, marks, ins, into_) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT) UNION ALL
+    SELECT k, seq, CASE WHEN t IS NULL THEN list_append(urls, url) ELSE urls END, CASE WHEN t IS NULL THEN list_append(marks, mark) ELSE marks END, CASE WHEN t IS NULL THEN list_append(ins, seq) ELSE ins END, coalesce(t, seq)
+    FROM (SELECT r.k, r.seq, f.urls, f.marks, f.ins, r.url, r.mark, coalesce(f.ins[list_position(f.urls, r.url)], f.ins[list_position(f.marks, r.mark)]) AS t FROM {name} f JOIN {rows} r ON r.k = f.k + 1))"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,15 +18,8 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
-def also(name: str, of: str) -> None:
-    """A query's older name."""
-    QUERIES[name] = QUERIES[of]
-    if of in ORACLES:
-        ORACLES[name] = ORACLES[of]
-
-
 def _load() -> None:
-    from . import classification_queries, intake_queries, item_queries, mutation_queries, run_queries, scalar_queries, scan_queries, source_queries, state_queries  # noqa: F401
+    from . import classification_queries, intake_queries, item_queries, mutation_queries, run_queries, scalar_queries, scan_queries, source_queries, state_queries, store_queries  # noqa: F401
 
 
 def queries() -> dict:

@@ -12,7 +12,7 @@ from ..functions import urls as U
 from ..operators import items as I
 from ..operators import upsert as P
 from . import fixtures as X
-from .registry import also, query
+from .registry import query
 
 # every document is stored under an address of its own, once a source and fingerprint; all of them come again, a hash of
 # the id changing about 3 addresses in 8 (two ids then share the new one) and, apart from that, 3 fingerprints in 8
@@ -45,10 +45,12 @@ def upsert_match(spark, d):
     return P.match(_batch(spark, d), _store(spark, d)).select("rowno", "stored_id", "stored_source")
 
 
-also("upsert_match_whole", "upsert_match")
-
-
-@query("upsert_first_wins")
+@query(
+    "upsert_first_wins",
+    X.WITH.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", store AS ({_STORE}), batch AS ({_BATCH}), left_ AS (SELECT b.* FROM batch b LEFT JOIN store u ON b.canonical_url = u.canonical_url LEFT JOIN store f ON b.source_id = f.source_id AND b.fingerprint = f.fingerprint WHERE u.id IS NULL AND f.id IS NULL),
+    numbered AS ({X.NUMBERED.format(seq="rowno", t="left_")}), {X.fold("f", "numbered")} SELECT seq AS rowno, into_ AS "into" FROM f WHERE seq IS NOT NULL""",
+)
 def upsert_first_wins(spark, d):
     rows = P.match(_batch(spark, d), _store(spark, d)).filter("stored_id IS NULL").select("rowno", "source_id", "canonical_url", "fingerprint")
     return P.first_wins(rows)

@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.store import ItemStore
+
 
 def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order]))).filter("k = 1").drop("k")
@@ -39,6 +41,18 @@ def snapshot(spark: SparkSession, root: str, below: int | None = None) -> DataFr
     return spark.read.parquet(f"{root}/{max(done)}") if done else None
 
 
+def ingest_items(stream: DataFrame, store: ItemStore, name: str, checkpoint: str):
+    """Persists a stream of collected rows (operators/store.py) in batches as they come; ends when the input is used up.
+
+    A batch that the store has already, as its number says, is not applied again, and a run that comes in several
+    batches is still one run: the store is the same whatever way the stream is cut."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        store.persist(batch, (name, number))
+
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def windowed_counts(stream: DataFrame, lateness: str = "2 days", width: str = "1 day") -> DataFrame:
     """Event-time counts with a watermark."""
     return stream.withWatermark("ts", lateness).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"))

@@ -133,11 +133,37 @@ def test_manual_category(spark):
     assert {r.item_id: r.old_data for r in audit.collect()} == {1: '{"manual_category":"award_case"}', 3: '{"manual_category":null}'}
 
 
-def test_long_chain_is_one_component(spark, tmp_path):
+def in_order(rows):
+    """rowno -> the row it merges into, one row after the other."""
+    urls, marks, into = {}, {}, {}
+    for n, source, url, mark in sorted(rows):
+        at = urls.get(url) if url is not None else None
+        at = marks.get((source, mark)) if at is None and None not in (source, mark) else at
+        if at is None:
+            at = n
+            if url is not None:
+                urls[url] = n
+            if None not in (source, mark):
+                marks[source, mark] = n
+        into[n] = at
+    return into
+
+
+@pytest.mark.parametrize("kind", ["chain", "dense", "hot"])
+def test_first_wins_in_any_tangle(spark, tmp_path, kind):
+    import random
+
     spark.sparkContext.setCheckpointDir(str(tmp_path))
-    rows = [(i, 1, f"u{i // 2}", f"f{(i + 1) // 2}") for i in range(200)]
-    got = P.components(spark.createDataFrame(rows, "rowno long, source_id long, canonical_url string, fingerprint string")).collect()
-    assert len(got) == 200 and {r.root for r in got} == {0}
+    r = random.Random(kind)
+    if kind == "chain":  # each row shares its address with one neighbour, its fingerprint with the other
+        rows = [(i, 1, f"u{i // 2}", f"f{(i + 1) // 2}") for i in range(200)]
+    elif kind == "dense":
+        rows = [(i, r.choice([1, 2, None]), r.choice([None, *(f"u{k}" for k in range(40))]), r.choice([None, *(f"f{k}" for k in range(25))])) for i in range(400)]
+    else:
+        rows = [(i, 1, "hot", f"f{i % 90}") if i % 3 else (i, i % 5, f"u{i % 70}", "hot") for i in range(600)]
+    r.shuffle(rows)
+    got = P.first_wins(spark.createDataFrame(rows, "rowno long, source_id long, canonical_url string, fingerprint string").repartition(4)).collect()
+    assert {x.rowno: x["into"] for x in got} == in_order(rows) and len(got) == len(rows)
 
 
 def test_role_and_release_rejects(spark):
