@@ -34,8 +34,7 @@ from .frames import Workspace
 
 SEGMENT = 1 << 20
 _POS = np.uint64((1 << 24) - 1)
-ROW = "doc_id long, body long, "
-TUPLE = ROW + "s int, e int, owner int, core long, span long, check long"
+TUPLE = "body long, s int, e int, owner int, core long, span long, check long"
 NAMES = ["doc_id", "body", "s", "e", "owner", "core", "span", "check"]
 
 
@@ -57,7 +56,8 @@ def sampled(codes: np.ndarray, shape: Shape) -> tuple[np.ndarray, ...]:
     n = len(codes) - shape.length + 1
     parts = [_segment(codes[t : t + SEGMENT + shape.length - 1], shape, t) for t in range(0, max(n, 0), SEGMENT)]
     if not parts:
-        return tuple(np.zeros(0, dtype=np.int64) for _ in range(6))
+        # of the same types as others': numpy joins signed and unsigned to floats, which round hashes
+        return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.uint64))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -114,7 +114,7 @@ def first_round(docs: DataFrame, codes: Codes, shape: Shape) -> DataFrame:
                     NAMES,
                 )
 
-    return docs.mapInArrow(run, TUPLE).withColumn("n", F.lit(1))
+    return docs.mapInArrow(run, f"{id_column(docs)}, {TUPLE}").withColumn("n", F.lit(1))
 
 
 def next_round(texts: DataFrame, codes: Codes, shape: Shape, size: int) -> DataFrame:
@@ -138,7 +138,11 @@ def next_round(texts: DataFrame, codes: Codes, shape: Shape, size: int) -> DataF
                     [*NAMES, "n"],
                 )
 
-    return texts.mapInArrow(run, TUPLE + ", n int")
+    return texts.mapInArrow(run, f"{id_column(texts)}, {TUPLE}, n int")
+
+
+def id_column(docs: DataFrame) -> str:
+    return f"doc_id {dict(docs.dtypes)['doc_id']}"
 
 
 def with_body(docs: DataFrame) -> DataFrame:

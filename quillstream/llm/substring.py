@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from .blocks import Block, blocks, words
 from .frames import Workspace
-from .repeats import Shape, covered, repeated_starts, spans_by_row, with_body
+from .repeats import id_column, Shape, covered, repeated_starts, spans_by_row, with_body
 
 
 def word_codes(block: Block) -> list[np.ndarray]:
@@ -57,4 +57,4 @@ def repeated_words(docs: DataFrame, ws: Workspace, length: int = 35) -> DataFram
                     ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
                 )
 
-    return marked.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return marked.mapInArrow(run, f"{id_column(docs)}, n_words long, n_removed long, kept_sha256 string, kept string")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from .blocks import BYTE_CODE, Block, blocks
 from .frames import Workspace
-from .repeats import Shape, covered, repeated_starts, spans_by_row, with_body
+from .repeats import id_column, Shape, covered, repeated_starts, spans_by_row, with_body
 
 
 def byte_codes(block: Block) -> list[np.ndarray]:
@@ -55,4 +55,4 @@ def repeated_bytes(docs: DataFrame, ws: Workspace, length: int = 400) -> DataFra
                     ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"],
                 )
 
-    return marked.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return marked.mapInArrow(run, f"{id_column(docs)}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
