@@ -15,8 +15,9 @@ still share a bucket.  A pair inside one component needs no test, as it can't ch
 At 32 bands of 4, a pair of similarity 0.75 escapes every band with probability 5e-6; at 0.8, 5e-8.
 
 Defined results: null or empty texts, and texts without words, have the empty set, are linked with nothing
-and kept; a null doc_id is linked with nothing and its row kept, component null; rows with one doc_id are
-one node; other columns pass through keep_one.
+and kept; a null doc_id is linked with nothing and its row kept, component null; rows are judged by their own
+texts, also where they share a doc_id, and only equal ones get the same result; ids are of any type that sorts; a
+row that repeats a kept one is kept as well; other columns pass through keep_one.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .blocks import Block, blocks, grams, mix, stream, words
 from .frames import Workspace, partitions, unused
+from .repeats import id_column, with_body
 
 PERMUTATIONS, ROWS, BITS = 128, 4, 4
 ODD = 1024  #: cells of the odd sketch
@@ -82,9 +84,11 @@ def odd_sketch(codes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
+    """What each row's set has instead of its members; docs from with_body."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in blocks(batch.column(1)):
+            for b in blocks(batch.column(2)):
                 size, c1, c2, bands, sketch, odd = [], [], [], [], [], []
                 for codes in shingle_sets(b, n):
                     size.append(len(codes))
@@ -93,11 +97,11 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                     odd.append(odd_sketch(codes))
                 signed = lambda v: pa.array(np.array(v, dtype=np.uint64).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(b.lo, b.hi - b.lo), pa.array(size, pa.int64()), signed(c1), signed(c2), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
-                    ["doc_id", "n_shingles", "c1", "c2", "bands", "sketch", "odd"],
+                    [*(batch.column(i).slice(b.lo, b.hi - b.lo) for i in (0, 1)), pa.array(size, pa.int64()), signed(c1), signed(c2), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
+                    ["doc_id", "body", "n_shingles", "c1", "c2", "bands", "sketch", "odd"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, c1 long, c2 long, bands array<long>, sketch array<long>, odd array<long>")
+    return docs.mapInArrow(run, f"{id_column(docs)}, body long, n_shingles long, c1 long, c2 long, bands array<long>, sketch array<long>, odd array<long>")
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -120,13 +124,14 @@ def differing(a: Column, b: Column) -> Column:
     return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(ODD // 64)), F.lit(0))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, ws: Workspace, name: str, n: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) those whose full sets have 100 * intersection >= percent * union.
+def confirm(pairs: DataFrame, docs: DataFrame, where: DataFrame, ws: Workspace, name: str, n: int, percent: int) -> DataFrame:
+    """Of pairs (a, b) those whose full sets have 100 * intersection >= percent * union; where: id, rep, body of a row with that set.
 
     Pairs of one text are dealt out in salted groups, each with its own copy of that text."""
     load = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("load"))
     wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
+    spots = where.select("id", "rep", F.col("body").alias("of")).join(wanted.hint("merge"), "id", "left_semi")
+    texts = docs.join(spots.hint("merge"), (F.col("doc_id") == F.col("rep")) & (F.col("body") == F.col("of"))).select("id", "text").dropDuplicates(["id"])
     texts = ws.save(texts, f"texts{name}")
     salts = F.explode(F.sequence(F.lit(0), F.floor(F.col("load") / SALT).cast("int")))
     left = texts.join(load.hint("merge"), texts["id"] == load["a"]).select("a", "load", F.col("text").alias("ta"), salts.alias("salt"))
@@ -136,7 +141,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, ws: Workspace, name: str, n: int,
         .join(texts.hint("merge"), F.col("b") == F.col("id"))
         .select("a", "salt", "b", F.col("text").alias("tb"))
     )
-    k = partitions(docs.sparkSession)
+    k = partitions(ws.spark)
     both = left.select("a", "salt", F.lit(None).cast("long").alias("b"), F.col("ta").alias("t")).unionByName(right.select("a", "salt", "b", F.col("tb").alias("t")))
     both = both.repartition(k, "a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
@@ -192,12 +197,21 @@ def components(links: DataFrame, ws: Workspace, name: str) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, ws: Workspace, n: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs(doc_id, text)."""
+    return _judged(docs, ws, n, percent).drop("body")
+
+
+def _judged(docs: DataFrame, ws: Workspace, n: int, percent: int) -> DataFrame:
+    """near_duplicates with body, which tells apart the texts of one doc_id."""
+    docs = with_body(docs)
     sig = ws.save(signatures(docs, n), "signatures")
     whole = sig.filter("n_shingles > 0 and doc_id is not null")
-    classes = ws.save(whole.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")), "classes")
+    # a set's number is fixed once the table is written
+    classes = whole.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.min_by("body", "doc_id").alias("body")).withColumn("id", F.monotonically_increasing_id())
+    classes = ws.save(classes, "classes")
+    one = classes.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "rep", F.col("body").alias("of"), "id")
     reps = ws.save(
-        whole.join(classes.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "rep").hint("merge"), (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")) & (F.col("doc_id") == F.col("rep")))
-        .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch", "odd", "bands").dropDuplicates(["id"]),
+        whole.join(one.hint("merge"), (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")) & (F.col("doc_id") == F.col("rep")) & (F.col("body") == F.col("of")))
+        .select("id", F.col("n_shingles").alias("n"), "sketch", "odd", "bands").dropDuplicates(["id"]),
         "reps",
     )
     members = reps.select("id", F.posexplode("bands").alias("band", "key")).withColumn("key", F.xxhash64("band", "key")).select("id", "band", "key")
@@ -224,7 +238,7 @@ def near_duplicates(docs: DataFrame, ws: Workspace, n: int = 5, percent: int = 7
         members.join(centers.hint("merge"), F.col("key") == F.col("ck")).select(F.col("center").alias("a"), F.col("id").alias("b"))
     )
     stars = ws.save(stars.filter("a != b").distinct(), "stars")
-    links = confirm(ws.save(described(stars), "pairs1"), docs, ws, "1", n, percent)
+    links = confirm(ws.save(described(stars), "pairs1"), docs, classes, ws, "1", n, percent)
     empty = links.isEmpty()
     found = None if empty else components(links, ws, "1")
     # second round: buckets that hold several components
@@ -246,22 +260,25 @@ def near_duplicates(docs: DataFrame, ws: Workspace, n: int = 5, percent: int = 7
     cross = cross.join(tested.hint("merge"), (F.least("a", "b") == F.col("u")) & (F.greatest("a", "b") == F.col("v")), "left_anti")
     cross = ws.save(cross, "pairs2")
     if not cross.isEmpty():
-        links = links.unionByName(confirm(cross, docs, ws, "2", n, percent))
+        links = links.unionByName(confirm(cross, docs, classes, ws, "2", n, percent))
         if not links.isEmpty():
             found = components(links, ws, "2")
-    if found is None:
-        merged = classes.select("c1", "c2", F.col("rep").alias("root"))
-    else:
-        merged = classes.join(found.hint("merge"), F.col("rep") == F.col("id"), "left").select("c1", "c2", F.coalesce("root", "rep").alias("root"))
-    merged = merged.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), "root")
+    merged = classes.select("c1", "c2", "rep", F.col("id").alias("root"))
+    if found is not None:
+        merged = classes.join(found.hint("merge"), "id", "left").select("c1", "c2", "rep", F.coalesce("root", "id").alias("root"))
+        lowest = merged.groupBy(F.col("root").alias("r")).agg(F.min("rep").alias("least"))
+        merged = merged.join(lowest.hint("merge"), F.col("root") == F.col("r")).select("c1", "c2", F.col("least").alias("rep"))
+    merged = merged.select(F.col("c1").alias("k1"), F.col("c2").alias("k2"), F.col("rep").alias("component"))
     own = F.col("n_shingles") > 0
-    out = sig.select("doc_id", "n_shingles", "c1", "c2").join(merged.hint("merge"), own & (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")) & F.col("doc_id").isNotNull(), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = sig.select("doc_id", "body", "n_shingles", "c1", "c2").join(merged.hint("merge"), own & (F.col("c1") == F.col("k1")) & (F.col("c2") == F.col("k2")) & F.col("doc_id").isNotNull(), "left")
+    return out.select("doc_id", "body", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, ws: Workspace, n: int = 5, percent: int = 75) -> DataFrame:
-    """The documents that are the smallest of their groups."""
-    (id_,) = unused(docs, "gone")
-    gone = near_duplicates(docs, ws, n, percent).filter("not kept").select(F.col("doc_id").alias(id_)).distinct()
+    """The rows that hold the smallest document of their group; other texts under the same doc_id are judged by themselves."""
+    id_, body, key = unused(docs, "gone", "body", "key")
+    gone = _judged(docs, ws, n, percent).filter("not kept").select(F.col("doc_id").alias(id_), F.col("body").alias(body)).distinct()
     gone = ws.save(gone, "gone")
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col(id_), "left_anti")
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.withColumn(key, F.xxhash64(text, F.length(text)))
+    return keyed.join(gone.hint("merge"), (F.col("doc_id") == F.col(id_)) & (F.col(key) == F.col(body)), "left_anti").select(*docs.columns)
