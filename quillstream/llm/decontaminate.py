@@ -5,8 +5,9 @@ may differ by e = floor(n * error_rate) edits.  Split into e + 1 pieces, at leas
 unchanged in any text that holds it within e edits; an Aho-Corasick automaton finds all piece hits in one
 pass, and Myers' bit-parallel distance verifies the text around each hit.
 
-An item under SHORT characters has no room for edits and could stand inside other words: it must be found
-unchanged, with no letter or digit right before or after it.
+No match begins or ends inside a word: between two letters or digits, unless one is of a script that is written
+without blanks.  So the text around a hit is read twice: forwards for where a match may end, and from each such place
+backwards for where it begins.  Items of all lengths follow these rules; a short one has no edit to spare.
 
 Defined results: null and empty texts match nothing; null and empty items are no test items; repeated rows each
 get their matches; other columns are ignored by matches() and pass through decontaminate().
@@ -23,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ERROR_RATE = 0.05
-SHORT = 30  #: characters below which an item must stand unchanged as words of its own
+#: Scripts without blanks between words: Thai to Tibetan, Burmese, Khmer, and Han with its neighbours.
+UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0xA4CF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 ITEM_BYTES = 16 << 20  #: test items that one pass over the documents holds in each worker
 
 
@@ -37,15 +39,24 @@ def pieces(item: str, errors: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def myers(pattern: str, text: str, errors: int) -> tuple[int, int] | None:
-    """Fewest edits (at most `errors`) between the pattern and a substring of text, and where that ends."""
+def in_word(ch: str) -> bool:
+    return ch.isalnum() and not any(a <= ord(ch) <= b for a, b in UNSPACED)
+
+
+def border(text: str, at: int) -> bool:
+    """Whether a match may begin or end before the character at this place."""
+    return not (0 < at < len(text) and in_word(text[at - 1]) and in_word(text[at]))
+
+
+def myers(pattern: str, text: str, anchored: bool = False) -> Iterator[int]:
+    """After each character the fewest edits between the pattern and what ends there: any substring, or the whole text so far if anchored."""
     m = len(pattern)
-    full, high = (1 << m) - 1, 1 << (m - 1)
+    full, high, first = (1 << m) - 1, 1 << (m - 1), int(anchored)
     peq: dict[str, int] = {}
     for i, ch in enumerate(pattern):
         peq[ch] = peq.get(ch, 0) | 1 << i
-    pv, mv, score, best = full, 0, m, None
-    for j, ch in enumerate(text):
+    pv, mv, score = full, 0, m
+    for ch in text:
         eq = peq.get(ch, 0)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
@@ -54,10 +65,22 @@ def myers(pattern: str, text: str, errors: int) -> tuple[int, int] | None:
             score += 1
         elif mh & high:
             score -= 1
-        ph, mh = ph << 1 & full, mh << 1 & full
+        ph, mh = (ph << 1 | first) & full, mh << 1 & full
         pv, mv = mh | (~(xv | ph) & full), ph & xv
-        if score <= errors and (best is None or score < best[0]):
-            best = (score, j + 1)
+        yield score
+
+
+def best_match(item: str, text: str, lo: int, hi: int, errors: int) -> tuple[int, int, int] | None:
+    """Fewest edits, start and end of a substring between borders that ends in text[lo:hi]."""
+    ends = sorted((n, j) for j, n in enumerate(myers(item, text[lo:hi]), lo + 1) if n <= errors and border(text, j))
+    best, back = None, item[::-1]
+    for least, end in ends:
+        if best and best[0] <= least:
+            break
+        reach = max(0, end - len(item) - errors)
+        for i, n in enumerate(myers(back, text[reach:end][::-1], anchored=True), 1):
+            if n <= errors and (best is None or n < best[0]) and border(text, end - i):
+                best = (n, end - i, end)
     return best
 
 
@@ -65,7 +88,7 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], error_rate: float):
         import ahocorasick
 
-        self.items = [(i, t, int(len(t) * error_rate) if len(t) >= SHORT else 0) for i, t in items]
+        self.items = [(i, t, int(len(t) * error_rate)) for i, t in items]
         found: dict[str, list[tuple[int, int]]] = {}
         for k, (_, t, e) in enumerate(self.items):
             for at, piece in pieces(t, e):
@@ -78,32 +101,34 @@ class Matcher:
         self.any = bool(found)
 
     def match(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """item id, edits, start (about) and end in the normalised text of the best match of each item."""
+        """item id, edits, start and end in the normalised text of a best match of each item."""
         text = normal(text)
         if not text or not self.any:
             return []
         spans: dict[int, list[tuple[int, int]]] = {}
+        found: dict[int, tuple[int, int, int]] = {}
         for last, (n, uses) in self.automaton.iter(text):
             for k, at in uses:
+                if k in found:
+                    continue
                 _, t, e = self.items[k]
                 lo = last + 1 - n - at
-                if len(t) < SHORT and (text[max(0, lo - 1) : lo].isalnum() or text[last + 1 : last + 2].isalnum()):
+                if not e:  # the hit is the whole item
+                    if border(text, lo) and border(text, last + 1):
+                        found[k] = (0, lo, last + 1)
                     continue
                 span, old = (max(0, lo - e), min(len(text), lo + len(t) + e)), spans.setdefault(k, [])
                 if old and span[0] <= old[-1][1]:  # neighbouring hits of an item are verified together
                     old[-1] = (min(old[-1][0], span[0]), max(old[-1][1], span[1]))
                 else:
                     old.append(span)
-        out = []
         for k, places in spans.items():
-            item, t, e = self.items[k]
-            best = None
+            _, t, e = self.items[k]
             for lo, hi in places:
-                if hi - lo >= len(t) - e and (got := myers(t, text[lo:hi], e)) and (best is None or got[0] < best[1]):
-                    best = (item, got[0], max(0, lo + got[1] - len(t)), lo + got[1])
-            if best:
-                out.append(best)
-        return out
+                got = best_match(t, text, lo, hi, e) if hi - lo >= len(t) - e else None
+                if got and (k not in found or got[0] < found[k][0]):
+                    found[k] = got
+        return [(self.items[k][0], *x) for k, x in found.items()]
 
 
 @lru_cache(2)
