@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import BYTE_CODE, Block, Prefix, blocks
+from .blocks import Block, blocks
 
 MEMO = 1_000_000  #: distinct pieces and token pairs that a worker keeps; beyond it starts afresh
 SPECIAL = "<|endoftext|>"
@@ -83,7 +83,7 @@ class PrefixTokens:
         self.rank = {k: v for k, v in ranks.items() if len(self._bpe.encode_single_piece(k)) == 1}
         self.longest = max(map(len, self.rank))
         self._joins: dict[int, bool] = {}
-        self._count: dict[int, int] = {}
+        self._count: dict[bytes, int] = {}
 
     @staticmethod
     def _byte_of_char() -> dict[str, int]:
@@ -178,19 +178,16 @@ class PrefixTokens:
         starts = np.flatnonzero(piece_starts(cp, first[first < len(cp)]))
         at = np.append(np.flatnonzero((block.data & 0xC0) != 0x80), len(block.data))
         lo, hi = at[starts], at[np.append(starts[1:], len(cp))]
-        codes = Prefix(BYTE_CODE[block.data]).of(lo, hi)
-        seen, where, back = np.unique(codes, return_index=True, return_inverse=True)
         if len(self._count) > MEMO:
             self._count.clear()
         known = self._count
-        sizes = np.empty(len(seen), dtype=np.int64)
-        lows, highs = lo[where].tolist(), hi[where].tolist()
-        for i, code in enumerate(seen.tolist()):
-            n = known.get(code)
-            if n is None:
-                n = known[code] = self.piece(whole[lows[i] : highs[i]])[-1]
-            sizes[i] = n
-        cum = np.concatenate([[0], np.cumsum(sizes[back])])
+        pieces = [whole[a:b] for a, b in zip(lo.tolist(), hi.tolist())]
+        sizes = list(map(known.get, pieces))
+        if None in sizes:
+            for piece in {p for p, n in zip(pieces, sizes) if n is None}:
+                known[piece] = self.piece(piece)[-1]
+            sizes = [known[p] for p in pieces]
+        cum = np.concatenate([[0], np.cumsum(np.array(sizes, dtype=np.int64))])
         bounds = np.searchsorted(lo, block.offsets)
         out += cum[bounds[1:]] - cum[bounds[:-1]]
         if SPECIAL.encode() in whole:
@@ -220,4 +217,5 @@ def token_counts(docs: DataFrame, tokenizer_json: str, limit: int = 1024) -> Dat
                     ["doc_id", "n_bytes", "n_tokens", "over_limit"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -207,4 +207,4 @@ def score(docs: DataFrame, model: Model, held_out, threshold: float = THRESHOLD)
                     [batch.column(0).slice(b.lo, k), batch.column(2).slice(b.lo, k), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"]
                 )
 
-    return docs.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, held_out boolean, score double, predicted int")

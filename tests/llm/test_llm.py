@@ -62,6 +62,22 @@ def counter(rows):
     return collections.Counter(tuple(r) for r in rows)
 
 
+@pytest.mark.parametrize("parts", [1, 4, 62])
+def test_short_rows_beside_long_ones_change_no_hash(spark, rows, ws, parts):
+    """A copy in a block of long texts only, the other in one that holds short texts too."""
+    from quillstream.llm.substring import repeated_words
+    from quillstream.llm.suffix_array import repeated_bytes
+
+    long = " ".join(f"tok{i * 7919 % 10007}" for i in range(200_000))
+    more = [*rows, (900, long, *rows[0][2:]), (901, long[5000:9000] + " end", *rows[0][2:]), (902, "q " + long[900_000:903_000], *rows[0][2:])]
+    texts = [(r[1] or "") for r in more]
+    docs = spark.createDataFrame(more, SCHEMA).coalesce(1) if parts == 1 else spark.createDataFrame(spark.sparkContext.parallelize(more, parts), SCHEMA)
+    want = collections.Counter((r[0], sum(g)) for r, g in zip(more, windows([t.encode() for t in texts], 60)))
+    assert collections.Counter((x.doc_id, x.n_removed) for x in repeated_bytes(docs, ws, 60).collect()) == want
+    want = collections.Counter((r[0], sum(g)) for r, g in zip(more, windows([WORD.findall(t) for t in texts], 12)))
+    assert collections.Counter((x.doc_id, x.n_removed) for x in repeated_words(docs, ws, 12).collect()) == want
+
+
 @pytest.mark.parametrize("length", [400, 40])
 def test_repeated_bytes(docs, rows, ws, length):
     from quillstream.llm.suffix_array import repeated_bytes
@@ -215,8 +231,8 @@ def test_myers_and_matches(spark):
             for i, x in enumerate(p):
                 new.append(min(row[i] + (x != ch), row[i + 1] + 1, new[i] + 1))
             row, best = new, min(best, new[-1])
-        got = myers(p, t, len(p) - 1)
-        assert (got[0] if got else len(p)) == best
+        assert min([len(p), *myers(p, t)]) == best
+        assert list(myers(p, t, anchored=True))[-1:] == ([whole_edits(p, t)] if t else [])
     item = "The quick brown fox jumps over the lazy dog, and then it sleeps all day long."
     rows = [(1, "x " * 50 + item.upper().replace(" ", "\n") + " y"), (2, "a " + item.replace("lazy", "lzy") + " b"), (3, item[:40]), (4, None), (5, ""), (2, "other text")]
     docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item), (8, None), (9, "short"), (None, item)], "item_id long, text string")
@@ -225,20 +241,48 @@ def test_myers_and_matches(spark):
     assert matches(docs, items.limit(0)).count() == 0
 
 
-def fewest_edits(p, t):
+def whole_edits(p, t):
     row = list(range(len(p) + 1))
-    best = row[-1]
-    for ch in t:
-        new = [0]
+    for j, ch in enumerate(t, 1):
+        new = [j]
         for i, x in enumerate(p):
             new.append(min(row[i] + (x != ch), row[i + 1] + 1, new[i] + 1))
-        row, best = new, min(best, new[-1])
+        row = new
+    return row[-1]
+
+
+def fewest_edits(p, t):
+    """Between p and any part of t that cuts no word."""
+    free = lambda at: not (0 < at < len(t) and t[at - 1].isalnum() and t[at].isalnum())
+    best = len(p) + 1
+    for i in filter(free, range(len(t) + 1)):
+        row = list(range(len(p) + 1))
+        for j, ch in enumerate(t[i : i + 2 * len(p) + 2], i + 1):
+            new = [j - i]
+            for k, x in enumerate(p):
+                new.append(min(row[k] + (x != ch), row[k + 1] + 1, new[k] + 1))
+            row = new
+            if free(j):
+                best = min(best, row[-1])
     return best
 
 
+def test_match_cuts_no_word(spark):
+    from quillstream.llm.decontaminate import Matcher, border
+
+    item = "was ist der kern davon?!"  # 24 characters, one edit
+    m = Matcher([(1, item), (2, "cat"), (3, "新的模型能力评测")], 0.05)
+    got = lambda t: sorted(x[:2] for x in m.match(t))
+    assert got("x Was ist der Kern  davon?! y") == [(1, 0)] and got("was ist der kerm davon?!") == [(1, 1)] and got("was its der kern davon?!") == []
+    assert got("xwas ist der kern davon?!") == [(1, 1)] and got("xxwas ist der kern davon?!") == []  # one letter more is an edit, two are a word cut
+    assert got("a cat.") == [(2, 0)] and got("concatenate cats") == [] and got("猫cat猫") == [(2, 0)]
+    assert got("全新的模型能力评测集") == [(3, 0)]
+    assert border("ab", 0) and border("ab", 2) and not border("ab", 1) and border("a b", 1)
+
+
 def test_matches_brute_force(spark):
-    """Every text against every item: within five percent of edits, or as words of its own if the item is short."""
-    from quillstream.llm.decontaminate import SHORT, decontaminate, matches
+    """Every text against every item, of 2 to 150 characters: within five percent of edits, and cutting no word."""
+    from quillstream.llm.decontaminate import decontaminate, matches
 
     r = random.Random(11)
     word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randint(2, 7)))
@@ -256,11 +300,7 @@ def test_matches_brute_force(spark):
     for i, t in enumerate(texts):
         for k, item in items:
             flat = " ".join((t or "").lower().split())
-            if len(item) < SHORT:
-                hit = re.search(rf"(?<![^\W_]){re.escape(item)}(?![^\W_])", flat)
-            else:
-                hit = fewest_edits(item, flat) <= int(len(item) * 0.05)
-            if hit:
+            if fewest_edits(item, flat) <= int(len(item) * 0.05):
                 want.add((f"d{i}", k))
     docs = spark.createDataFrame([(f"d{i}", t, 1) for i, t in enumerate(texts)], "doc_id string, text string, gone int")
     bench = spark.createDataFrame([*items, ("none", None), ("blank", " ")], "item_id string, text string")
@@ -423,3 +463,82 @@ def test_pipeline(spark):
         assert out.columns == docs.columns and out.count() <= docs.count(), name
         docs = out
     assert {"doc_id", "copies", "taken"} <= set(corpus_pipeline.STAGES[-1][1](spark, docs, d).columns)
+
+
+def linked(rows, n=5, percent=75):
+    """(doc_id, component_id, kept) of each row by brute force; a node is a text's set, its name the smallest id that has it."""
+    lower = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+    def shingles(t):
+        w = WORD.findall((t or "").translate(lower))
+        return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
+    sets = [shingles(r[1]) for r in rows]
+    name = {}
+    for r, s in zip(rows, sets):
+        if s and r[0] is not None:
+            name[s] = min(name.get(s, r[0]), r[0])
+    group = {s: {s} for s in name}
+    for a in name:
+        for b in name:
+            if group[a] is not group[b] and 100 * len(a & b) >= percent * len(a | b):
+                both = group[a] | group[b]
+                for s in both:
+                    group[s] = both
+    low = {s: min(name[x] for x in group[s]) for s in name}
+    return [(r[0], low.get(s, r[0]) if r[0] is not None else None, r[0] == (low.get(s, r[0]) if r[0] is not None else None)) for r, s in zip(rows, sets)]
+
+
+@pytest.mark.parametrize("kind,order", [("long", 1), ("long", 2), ("int", 3), ("string", 4)])
+def test_near_duplicates_of_clashing_ids(spark, ws, kind, order):
+    """Different texts under one id, equal texts under many, in several orders of rows and types of ids."""
+    from quillstream.llm.minhash import keep_one, near_duplicates
+
+    r = random.Random(order)
+    say = lambda k: " ".join(f"w{r.randrange(900)}" for _ in range(k))
+    a, b, c = say(40), say(40), say(60)
+    texts = [(1, a), (2, b), (2, a + " two more"), (2, b), (3, b + " and one"), (9, c), (5, c + " end"), (5, say(30)), (4, None), (4, ""), (None, a), (7, "a b"), (8, "A b"), (8, "a b c"), (6, a)]
+    name = (lambda i: i) if kind != "string" else (lambda i: i if i is None else f"d{i}")
+    rows = [(name(i), t, "clash", 1) for i, t in texts]
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string, body string, id int").repartition(3)
+    want = linked(rows)
+    assert counter(near_duplicates(docs, ws).select("doc_id", "component_id", "kept").collect()) == counter(want)
+    assert sum(not k for _, _, k in want) >= 5
+    assert counter(keep_one(docs, ws).collect()) == counter(x for x, (_, _, k) in zip(rows, want) if k)
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_ids_of_other_types(spark, ws, kind, rows):
+    public = pytest.importorskip("public_tokenizers")
+    from quillstream.llm import substring, suffix_array, token_counts, toxicity
+
+    name = (lambda i: i) if kind == "int" else (lambda i: i if i is None else f"d{i}")
+    docs = spark.createDataFrame([(name(r[0]), *r[1:3]) for r in rows], f"doc_id {kind}, text string, lang string").repartition(3)
+    plain = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, lang string")
+    path = public.path("byte_bpe_50k.json")
+    for run in (lambda d: suffix_array.repeated_bytes(d, ws, 40), lambda d: substring.repeated_words(d, ws, 6), lambda d: token_counts.token_counts(d, path)):
+        got, want = run(docs), run(plain)
+        assert counter(got.collect()) == counter((name(x[0]), *x[1:]) for x in want.collect()) and dict(got.dtypes)["doc_id"] == dict(docs.dtypes)["doc_id"]
+    marks = spark.createDataFrame([(name(i), int(i % 4 == 0)) for i in range(40)], f"doc_id {kind}, toxic int")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    got = toxicity.score(docs, toxicity.fit(docs, marks, ws, fold != 2), fold == 2)
+    assert got.count() == len(rows) and dict(got.dtypes)["doc_id"] == dict(docs.dtypes)["doc_id"]
+
+
+def test_empty_tables_of_the_rest(spark, ws):
+    public = pytest.importorskip("public_tokenizers")
+    from quillstream.llm import decontaminate, minhash, token_counts, toxicity
+
+    none = spark.createDataFrame([], SCHEMA)
+    items = spark.createDataFrame([(1, "an item of some length, which nothing holds")], "item_id long, text string")
+    marks = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    for out in (decontaminate.matches(none, items), decontaminate.decontaminate(none, items), token_counts.token_counts(none, public.path("byte_bpe_50k.json")), toxicity.score(none, toxicity.fit(none, marks, ws, fold != 2), fold == 2), minhash.keep_one(none, ws)):
+        assert out.count() == 0
+
+
+def test_stages_without_documents(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, "/root/testdata/sf0.001").count() == 0, name
