@@ -290,3 +290,101 @@ def walk(items: DataFrame, links: DataFrame, starts: DataFrame, max_pages: int,
         return pd.DataFrame({"source_id": rows["source_id"].iloc[0], "pos": range(len(found)), "url": list(found), "page_url": list(found.values())})
 
     return all_.groupBy("source_id").applyInPandas(run, "source_id long, pos int, url string, page_url string")
+
+
+# Dates and years of changelogs, and words that say that something was done.
+FULL_DATE = r"((?:19|20)\d{2})[年./-](\d{1,2})[月./-](\d{1,2})日?"
+YEAR = r"(?:19|20)\d{2}"
+ACTION = "发布|上线|升级|更新|新增|开源|退役|下线|降价|支持|修复|优化"
+
+
+@dataclass(frozen=True)
+class ChangelogConfig:
+    """Where the entries of a dated changelog stand; cells count from 0 in a table's row."""
+
+    date_heading_selector: str
+    entry_selector: str
+    content_selector: str | None = None
+    entry_title_selector: str | None = None
+    entry_date_selector: str | None = None
+    entry_summary_selector: str | None = None
+    entry_title_cells: tuple = ()
+    entry_date_cell: int | None = None
+    entry_summary_cell: int | None = None
+    entry_link_cell: int | None = None
+    include_entry_terms: tuple = ()
+    exclude_entry_terms: tuple = ()
+    entry_title_replacements: dict | None = None
+    append_summary_when_title_lacks_action: bool = False
+    max_items: int = 20
+
+
+def dated(raw: Column, context: Column) -> Column:
+    """The full date in a text, else the text; a text without a year takes that of the heading above it."""
+    year = F.nullif(F.regexp_extract(context, YEAR, 0), F.lit(""))
+    text = F.coalesce(F.nullif(raw, F.lit("")), context, F.lit(""))
+    text = F.when(~text.rlike(YEAR) & year.isNotNull(), F.concat(year, F.lit("年"), text)).otherwise(text)
+    return F.coalesce(F.nullif(F.regexp_extract(text, FULL_DATE, 0), F.lit("")), text)
+
+
+def dated_entries(pages: DataFrame, c: ChangelogConfig) -> DataFrame:
+    """page, pos, title, url, published_at, summary, key, time_text and detail_link of a changelog's entries.
+
+    The last date heading holds for the entries after it, until the next; table rows name their cells.  The first entry
+    of each key, a hash of date and title, counts."""
+    nodes = dom.nodes(pages)
+    span = lambda s: dom.matches(nodes, s).select("page", F.col("pre").alias("scope"), F.col("pre").alias("lo"), F.col("post").alias("hi"))
+    heads, entries = span(c.date_heading_selector).withColumn("head", F.lit(True)), span(c.entry_selector).withColumn("head", F.lit(False))
+    both = entries.join(heads.select("page", "scope"), ["page", "scope"], "left_anti").unionByName(heads)
+    if c.content_selector:
+        root = dom.matches(nodes, c.content_selector).groupBy(F.col("page").alias("_p")).agg(F.min(F.struct("pre", "post")).alias("r"))
+        both = both.join(root, (F.col("page") == F.col("_p")) & (F.col("lo") > F.col("r.pre")) & (F.col("lo") <= F.col("r.post"))).drop("_p", "r")
+    node = lambda x: F.struct(F.col(f"{x}lo").alias("pre"), F.col(f"{x}hi").alias("post"), F.lit(None).cast("string").alias("href"))
+    both = checkpointed(both.withColumn("self", node("")))
+    rows = dom.with_texts(both, nodes, "self")
+    before = Window.partitionBy("page").orderBy("scope").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("heading", F.last(F.when(F.col("head"), F.col("self_text")), ignorenulls=True).over(before)).filter("NOT head")
+    if c.entry_date_cell is None and not c.entry_date_selector:
+        rows = rows.filter("heading IS NOT NULL")
+    cells = dom.matches(nodes, "th, td").select(F.col("page").alias("_p"), "pre", "post")
+    cells = both.filter("NOT head").join(cells, (F.col("page") == F.col("_p")) & (F.col("pre") > F.col("lo")) & (F.col("pre") <= F.col("hi"))).select("page", "scope", F.struct("pre", "post", F.lit(None).cast("string").alias("href")).alias("cell"))
+    cells = dom.with_texts(checkpointed(cells), nodes, "cell")
+    cells = cells.groupBy("page", "scope").agg(F.transform(F.sort_array(F.collect_list(F.struct("cell", F.col("cell_text").alias("text")))), lambda x: F.nullif(x["text"], F.lit(""))).alias("cells"))
+    rows = rows.join(cells, ["page", "scope"], "left")
+    chosen = {"title": c.entry_title_selector, "date": c.entry_date_selector, "brief": c.entry_summary_selector}
+    chosen = {f: s for f, s in chosen.items() if s}
+    if chosen:
+        rows = dom.with_texts(rows.join(dom.first_inside(both.filter("NOT head"), nodes, chosen), ["page", "scope"]), nodes, *chosen)
+    cell = lambda i: F.get("cells", F.lit(i)) if i is not None and i >= 0 else F.lit(None).cast("string")
+    own = lambda f: F.nullif(F.col(f"{f}_text"), F.lit("")) if f in chosen else F.lit(None).cast("string")
+    title = F.nullif(F.concat_ws(" — ", *[cell(i) for i in c.entry_title_cells]), F.lit("")) if c.entry_title_cells else own("title")
+    rows = rows.withColumn("title", F.coalesce(title, "self_text")).withColumn("raw", cell(c.entry_date_cell) if c.entry_date_cell is not None else own("date"))
+    rows = rows.withColumn("summary", cell(c.entry_summary_cell) if c.entry_summary_cell is not None else own("brief"))
+    whole = F.lower(F.concat_ws(" ", "title", "summary"))
+    rows = rows.filter((F.length("title") >= 4) & ~_any(whole, c.exclude_entry_terms))
+    rows = rows.filter(_any(whole, c.include_entry_terms)) if c.include_entry_terms else rows
+    if c.append_summary_when_title_lacks_action:
+        clause = F.trim(F.split(F.coalesce("summary", F.lit("")), "[。；;\n]")[0])
+        add = ~F.col("title").rlike(ACTION) & (clause != "") & ~F.contains(F.lower("title"), F.lower(clause))
+        rows = rows.withColumn("title", F.when(add, F.concat("title", F.lit("："), F.substring(clause, 1, 100))).otherwise(F.col("title")))
+    for old, new in (c.entry_title_replacements or {}).items():
+        rows = rows.withColumn("title", F.replace("title", F.lit(old), F.lit(new)))
+    rows = rows.withColumn("date_text", dated(F.col("raw"), F.col("heading")))
+    parts = [F.expr(f"try_cast(nullif(regexp_extract(date_text, '{FULL_DATE}', {i}), '') AS int)") for i in (1, 2, 3)]
+    when = F.coalesce(F.try_make_timestamp(*parts, F.lit(0), F.lit(0), F.lit(0)), D.parse_known(F.col("date_text")))
+    key = F.substring(F.sha2(F.lower(F.concat(F.coalesce(F.nullif("date_text", F.lit("")), "heading", F.lit("None")), F.lit("\n"), "title")), 256), 1, 20)
+    rows = rows.withColumn("key", key).withColumn("published_at", when)
+    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("page", "key").orderBy("scope"))).filter("k = 1")
+    rows = _bounded(rows, ["scope"], max(1, min(200, c.max_items)))
+    rows = rows.join(pages.select("page", F.col("url").alias("page_url")), "page")
+    base = F.regexp_replace(F.col("page_url"), r"#.*$", "")
+    url = U.canonical_url(F.concat(base, F.when(F.contains(base, F.lit("?")), "&").otherwise("?"), F.lit("entry="), "key"), keep=None)
+    if c.entry_link_cell is not None:
+        links = dom.matches(nodes, "a[href]").select(F.col("page").alias("_p"), "pre", F.element_at("attrs", "href").alias("href"))
+        spots = dom.matches(nodes, "th, td").select("page", F.col("pre").alias("c_lo"), F.col("post").alias("c_hi"))
+        spots = both.filter("NOT head").join(spots, "page").filter("c_lo > lo AND c_lo <= hi").withColumn("n", F.row_number().over(Window.partitionBy("page", "scope").orderBy("c_lo")) - 1).filter(F.col("n") == c.entry_link_cell)
+        met = spots.join(links, (F.col("page") == F.col("_p")) & (F.col("pre") > F.col("c_lo")) & (F.col("pre") <= F.col("c_hi")))
+        rows = rows.join(met.groupBy("page", "scope").agg(F.nullif(F.trim(F.min_by("href", "pre")), F.lit("")).alias("detail_link")), ["page", "scope"], "left")
+    else:
+        rows = rows.withColumn("detail_link", F.lit(None).cast("string"))
+    return rows.select("page", F.col("scope").alias("pos"), F.substring("title", 1, 500).alias("title"), url.alias("url"), "published_at", F.substring("summary", 1, 2000).alias("summary"), "key", F.coalesce("raw", "heading").alias("time_text"), "detail_link")
