@@ -1,18 +1,20 @@
 """Rule classification: weighted terms, longest-match suppression, top two, margin, fallback, override.
 
-Terms are normalised once on the driver and compiled into Column expressions; an item's text is scanned once
-for each term and never joined with the rules, so no row multiplies.
+Terms are normalised once on the driver.  with_hits() finds all of a pack's terms in one pass over a text
+(operators/terms.py); the scores are Column expressions over what it finds, and no row multiplies.  The functions
+also take plain text columns, which are then scanned once for each term.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..domains import CATEGORIES
 from ..functions.text import contains_term, normalize_one
+from .terms import Hits, term_hits
 
 
 @dataclass(frozen=True)
@@ -47,12 +49,29 @@ SETTINGS = Settings()
 GLOBAL_NEGATIVES = dict(SETTINGS.global_negatives)
 
 
-def _alive(candidates: list[tuple[str, float, bool]], text: Column) -> list[tuple[str, float, bool, Column]]:
+def pack_terms(pack: list[Rule], settings: Settings = SETTINGS) -> list[str]:
+    """All terms of a pack, normalised."""
+    return [normalize_one(t) for r in pack for terms in (r.phrases, r.keywords, r.negatives, dict(settings.global_negatives)) for t in terms]
+
+
+def with_hits(df: DataFrame, title: Column, summary: Column, pack: list[Rule] = PACK, settings: Settings = SETTINGS) -> tuple[DataFrame, Hits, Hits]:
+    """df with two more columns, and what stands for the title and the summary in the functions below."""
+    terms = pack_terms(pack, settings)
+    df, first = term_hits(df, "_title_hits", terms, title)
+    df, second = term_hits(df, "_summary_hits", terms, summary)
+    return df, first, second
+
+
+def _has(text: Column | Hits, term: str) -> Column:
+    return text.has(term) if isinstance(text, Hits) else contains_term(text, term)
+
+
+def _alive(candidates: list[tuple[str, float, bool]], text: Column | Hits) -> list[tuple[str, float, bool, Column]]:
     """The terms, longest first and phrases before keywords of a length, with a test of whether each counts: a term that
     matches does not where its text lies in another matching one that does."""
     kept: list[tuple[str, float, bool, Column]] = []
     for term, points, phrase in sorted(candidates, key=lambda c: (-len(c[0]), not c[2])):
-        alive = contains_term(text, term)
+        alive = _has(text, term)
         for other, _, _, on in kept:
             if term in other:
                 alive = alive & ~on
@@ -60,7 +79,7 @@ def _alive(candidates: list[tuple[str, float, bool]], text: Column) -> list[tupl
     return kept
 
 
-def contributions(rule: Rule, title: Column, summary: Column, settings: Settings = SETTINGS) -> list[tuple[str, float, Column]]:
+def contributions(rule: Rule, title: Column | Hits, summary: Column | Hits, settings: Settings = SETTINGS) -> list[tuple[str, float, Column]]:
     """What each term of a rule adds where its test holds, in order: by field, positives before negatives.
 
     title and summary are normalised; negatives weigh by field only and never suppress each other."""
@@ -70,23 +89,23 @@ def contributions(rule: Rule, title: Column, summary: Column, settings: Settings
         for term, points, phrase, alive in _alive(positive, text):
             out.append((f"{field}.{'phrase' if phrase else 'keyword'}:{term}", points * weight * (settings.phrase_weight if phrase else 1.0), alive))
         for term, points in (dict(settings.global_negatives) | rule.negatives).items():
-            out.append((f"{field}.negative:{normalize_one(term)}", -points * weight, contains_term(text, normalize_one(term))))
+            out.append((f"{field}.negative:{normalize_one(term)}", -points * weight, _has(text, normalize_one(term))))
     return out
 
 
-def category_score(rule: Rule, title: Column, summary: Column, settings: Settings = SETTINGS) -> Column:
+def category_score(rule: Rule, title: Column | Hits, summary: Column | Hits, settings: Settings = SETTINGS) -> Column:
     total = F.lit(0.0)
     for _, points, test in contributions(rule, title, summary, settings):
         total = total + F.when(test, F.lit(float(points))).otherwise(0.0)
     return total
 
 
-def explanations(rule: Rule, title: Column, summary: Column, settings: Settings = SETTINGS) -> Column:
+def explanations(rule: Rule, title: Column | Hits, summary: Column | Hits, settings: Settings = SETTINGS) -> Column:
     """The terms that counted, each as category.field.kind:term (+points)."""
     return F.array_compact(F.array(*[F.when(test, F.lit(f"{rule.category}.{what} ({points:+.2f})")) for what, points, test in contributions(rule, title, summary, settings)]))
 
 
-def scores(title: Column, summary: Column, pack: list[Rule] = PACK, settings: Settings = SETTINGS) -> Column:
+def scores(title: Column | Hits, summary: Column | Hits, pack: list[Rule] = PACK, settings: Settings = SETTINGS) -> Column:
     """Array of (score, priority, order, category), the best first; equal ones stay in declaration order."""
     each = [F.struct(category_score(r, title, summary, settings).alias("score"), F.lit(r.priority).alias("priority"), F.lit(-CATEGORIES.index(r.category)).alias("turn"), F.lit(r.category).alias("category")) for r in pack]
     return F.sort_array(F.array(*each), asc=False)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import sanitize_error
+
 
 def run_page(runs: DataFrame, status: str | None = None, trigger: str | None = None, since: datetime | None = None, until: datetime | None = None, number: int = 1, limit: int = 20) -> DataFrame:
     """Newest first; the range is half open; limit is held to 1..100."""
@@ -56,6 +58,37 @@ def roll_up(executions: DataFrame) -> DataFrame:
     )
 
 
+SUMS = ("discovered", "normalized", "accepted", "rejected", "classified", "new", "updated", "skipped", "unclassified", "duplicate", "failed")
+SUMMARY, ERROR = 2000, 1000  #: characters of a run's error summary, and of one error in it
+
+
+def finished(results: DataFrame, runs: DataFrame) -> DataFrame:
+    """Each run rolled up: source counts, the sums of SUMS, two merged histograms, status and error summary.
+
+    results: run_id, source_id, source_name, status, error, rejection_reasons and failure_reasons (map of counts) and
+    the columns of SUMS; runs: id and fatal_error, null if the run itself did not fail.  A run without results has
+    zeros.  Of the errors, in order of source, only as many are gathered as fill the summary."""
+    good, bad = F.count_if(F.col("status") == "success"), F.count_if(F.col("status") == "failed")
+    sums = results.groupBy("run_id").agg(good.alias("source_success"), bad.alias("source_failed"), *[F.sum(c).alias(f"{c}_count") for c in SUMS])
+    line = sanitize_error(F.concat_ws(": ", "source_name", "error"), ERROR)
+    errors = results.filter("error IS NOT NULL AND error <> ''").select("run_id", "source_id", line.alias("line"))
+    before = Window.partitionBy("run_id").orderBy("source_id").rowsBetween(Window.unboundedPreceding, -1)
+    errors = errors.withColumn("at", F.coalesce(F.sum(F.length("line") + 2).over(before), F.lit(0))).filter(F.col("at") < SUMMARY)
+    lines = errors.groupBy("run_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("source_id", "line"))), lambda x: x["line"]), "; ").alias("lines"))
+    out = runs.select(F.col("id").alias("run_id"), "fatal_error").join(sums, "run_id", "left").join(lines, "run_id", "left")
+    for name in ("rejection_reasons", "failure_reasons"):
+        counts = results.select("run_id", F.explode(name).alias("reason", "n"))
+        out = out.join(histograms(counts, "run_id").select("run_id", F.col("histogram").alias(name)), "run_id", "left").withColumn(name, F.coalesce(name, F.map_from_arrays(F.array(), F.array()).cast("map<string,bigint>")))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    counts = ["source_success", "source_failed", *(f"{c}_count" for c in SUMS)]
+    fatal = F.col("fatal_error").isNotNull()
+    whole = F.concat_ws("; ", "lines", F.when(fatal, F.concat(F.lit("pipeline: "), sanitize_error(F.col("fatal_error"))))).alias("error_summary")
+    return out.select(
+        "run_id", *[zero(F.col(c)).alias(c) for c in counts], "rejection_reasons", "failure_reasons", final_status(zero(F.col("source_failed")), zero(F.col("source_success")), fatal).alias("status"),
+        F.nullif(F.substring(whole, 1, SUMMARY), F.lit("")).alias("error_summary"),
+    )
+
+
 def primary_reason(counts: DataFrame, key: str) -> DataFrame:
     """counts(key, reason, n): the most frequent reason, the smallest of equals."""
     return counts.groupBy(key).agg(F.min_by("reason", F.struct(-F.col("n"), F.col("reason"))).alias("reason"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..domains import INDUSTRIES, TOPICS
 from ..functions.urls import host, is_http_url
+from .terms import Hits, term_hits
 
 
 @dataclass(frozen=True)
@@ -46,7 +47,20 @@ TRUSTED = ["official_confirmed", "official_linked", "multi_source_confirmed"]
 RUMOR = r"(?iU)\b(rumou?r|reportedly|idiot)\b|传闻"
 
 
-def _any(text: Column, terms) -> Column:
+def all_terms(rules: list[RoleRule] = RULES) -> list[str]:
+    """What any of the functions below looks for in a text."""
+    parts = [t for r in rules for t in (*r.subjects, *r.actions, *r.excludes)] + [t for terms in (*TOPIC_TERMS.values(), *INDUSTRY_TERMS.values(), *CASE_DIMENSIONS.values()) for t in terms]
+    return [*parts, *CASE_SIGNALS]
+
+
+def with_hits(df: DataFrame, title: Column, summary: Column, rules: list[RoleRule] = RULES) -> tuple[DataFrame, Hits]:
+    """df with one more column, and what stands for the normalised title and summary in the functions below."""
+    return term_hits(df, "_content_hits", all_terms(rules), title, summary, bordered=False)
+
+
+def _any(text: Column | Hits, terms) -> Column:
+    if isinstance(text, Hits):
+        return text.any(terms)
     out = F.lit(False)
     for t in terms:
         out = out | F.contains(text, F.lit(t))
@@ -58,21 +72,21 @@ def content(title: Column, summary: Column) -> Column:
     return F.concat_ws(" ", title, summary)
 
 
-def matches(rule: RoleRule, role: Column, text: Column) -> Column:
+def matches(rule: RoleRule, role: Column, text: Column | Hits) -> Column:
     return (role == rule.role) & ~_any(text, rule.excludes) & (_any(text, rule.subjects) if rule.subjects else F.lit(True)) & (_any(text, rule.actions) if rule.actions else F.lit(True))
 
 
-def classified(df: DataFrame, role: Column, text: Column, rules: list[RoleRule] = RULES) -> DataFrame:
+def classified(df: DataFrame, role: Column, text: Column | Hits, rules: list[RoleRule] = RULES) -> DataFrame:
     """df with column t, see classify; the matching rules are found once a row."""
     return df.withColumn("_hit", hits(role, text, rules)).withColumn("t", classify(F.col("_hit"), text)).drop("_hit")
 
 
-def hits(role: Column, text: Column, rules: list[RoleRule] = RULES) -> Column:
+def hits(role: Column, text: Column | Hits, rules: list[RoleRule] = RULES) -> Column:
     """The rules that match, with their priority, type and topics."""
     return F.array_compact(F.array(*[F.when(matches(r, role, text), F.struct(F.lit(r.priority).alias("priority"), F.lit(r.primary_type).alias("type"), F.lit(r.id).alias("id"), F.lit(",".join(r.topics)).alias("topics"))) for r in rules]))
 
 
-def classify(hit: Column, text: Column) -> Column:
+def classify(hit: Column, text: Column | Hits) -> Column:
     """primary_type, score, reason and tags from the matching rules: those of the highest priority must agree on one type."""
     top = F.array_max(F.transform(hit, lambda h: h["priority"]))
     types = F.array_distinct(F.transform(F.filter(hit, lambda h: h["priority"] == top), lambda h: h["type"]))
@@ -102,7 +116,7 @@ def case_completeness(signal: Column, dims: dict[str, Column], detailed: Column)
     )
 
 
-def case_state(kind: Column, text: Column, detailed: Column) -> Column:
+def case_state(kind: Column, text: Column | Hits, detailed: Column) -> Column:
     """case_completeness of an item of this type; only cases and awards have a signal."""
     signal = kind.isin("case_analysis", "award_result") & _any(text, CASE_SIGNALS)
     return case_completeness(signal, {k: _any(text, terms) for k, terms in CASE_DIMENSIONS.items()}, detailed)
@@ -115,7 +129,7 @@ def differs(stored: dict[str, Column], fresh: dict[str, Column]) -> Column:
     return F.reduce(F.array(*[~stored[k].eqNullSafe(fresh[k]) for k in ("primary_type", "topics", "industries", "case_completeness", "version")]), F.lit(False), lambda a, x: a | x)
 
 
-def verify(role: Column, text: Column, official_url: Column, url: Column, policy: Column) -> Column:
+def verify(role: Column, text: Column | Hits, official_url: Column, url: Column, policy: Column) -> Column:
     """verification_status and review_status."""
     media = role == "media_discovery"
     linked = F.coalesce(is_http_url(official_url) & (host(official_url) != host(url)), F.lit(False))

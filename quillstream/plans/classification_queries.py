@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..operators import admission as A
 from ..operators import rules as R
 from ..operators import taxonomy as X2
+from ..operators.terms import spread
 from . import fixtures as X
 from ..sources.rule_packs import load_pack
 from .registry import query
@@ -17,7 +18,7 @@ _TEXTS = f"texts AS (SELECT i.*, {_N.format('i.title')} AS nt, {_N.format('coale
 
 
 def _texts(spark, d):
-    return X.items(spark, d).withColumns({"nt": T.normalize_text(F.col("title")), "ns": T.normalize_text(F.col("summary"))})
+    return spread(X.items(spark, d)).withColumns({"nt": T.normalize_text(F.col("title")), "ns": T.normalize_text(F.col("summary"))})
 
 
 def _term(field: str, term: str) -> str:
@@ -50,14 +51,20 @@ _DECIDED = f"""{_RANKED}, decided AS (SELECT a.id, a.source_id, a.own, a.score,
 a.score >= 8 AND a.score - b.score < 4 AS is_ambiguous FROM ranked a JOIN ranked b ON a.id = b.id AND a.k = 1 AND b.k = 2)"""
 
 
+def _scanned(spark, d, pack=R.PACK, settings=R.SETTINGS):
+    return R.with_hits(spread(X.items(spark, d)), F.col("title"), F.col("summary"), pack, settings)
+
+
 def _decided(spark, d):
     # the ranking is a column of its own, so that what reads it several times does not compute it as often
-    return _texts(spark, d).withColumn("ranked", R.scores(F.col("nt"), F.col("ns"))).withColumn("r", R.decide(F.col("ranked")))
+    rows, title, summary = _scanned(spark, d)
+    return rows.withColumn("ranked", R.scores(title, summary)).withColumn("r", R.decide(F.col("ranked")))
 
 
 @query("rule_scores", X.WITH + f", {_TEXTS} SELECT id, {_SCORES} FROM texts")
 def rule_scores(spark, d):
-    return _texts(spark, d).select("id", *[R.category_score(r, F.col("nt"), F.col("ns")).alias(r.category) for r in R.PACK])
+    rows, title, summary = _scanned(spark, d)
+    return rows.select("id", *[R.category_score(r, title, summary).alias(r.category) for r in R.PACK])
 
 
 def _explained(rule: R.Rule) -> str:
@@ -78,8 +85,9 @@ def _explained(rule: R.Rule) -> str:
 
 @query("rule_explanations", X.WITH + f", {_TEXTS} SELECT id, {_explained(R.PACK[0])} AS first, {_explained(R.PACK[3])} AS fourth FROM texts")
 def rule_explanations(spark, d):
-    why = lambda rule: F.array_join(R.explanations(rule, F.col("nt"), F.col("ns")), "、")
-    return _texts(spark, d).select("id", why(R.PACK[0]).alias("first"), why(R.PACK[3]).alias("fourth"))
+    rows, title, summary = _scanned(spark, d)
+    why = lambda rule: F.array_join(R.explanations(rule, title, summary), "、")
+    return rows.select("id", why(R.PACK[0]).alias("first"), why(R.PACK[3]).alias("fourth"))
 
 
 @query("rule_top2_margin", X.WITH + f", {_DECIDED} SELECT id, category, score, is_ambiguous FROM decided")
@@ -109,6 +117,11 @@ def _sourced(spark, d):
     return _texts(spark, d).join(s.select(*[F.col(c).alias(f"s_{c}") for c in s.columns]), F.col("source_id") == F.col("s_id"))
 
 
+def _classified(spark, d):
+    rows, content = X2.with_hits(_sourced(spark, d), F.col("title"), F.col("summary"))
+    return rows.transform(X2.classified, F.col("s_role"), content), content
+
+
 def _content(spark, d):
     return _sourced(spark, d).withColumn("content", X2.content(F.col("nt"), F.col("ns")))
 
@@ -133,7 +146,7 @@ CASE WHEN b.id IS NULL THEN 'taxonomy.no_match' WHEN b.kinds > 1 THEN 'taxonomy.
 
 @query("taxonomy_primary_type", X.WITH + f", {_TAX} SELECT id, type AS primary_type, CAST(round(score * 1000) AS BIGINT) AS score_mille, reason FROM tax")
 def taxonomy_primary_type(spark, d):
-    rows = _content(spark, d).transform(X2.classified, F.col("s_role"), F.col("content"))
+    rows, _ = _classified(spark, d)
     return rows.select("id", "t.primary_type", F.round(F.col("t.score") * 1000).cast("long").alias("score_mille"), "t.reason")
 
 
@@ -150,7 +163,7 @@ def _tags(order: list[str], terms: dict, from_rules: bool) -> str:
 
 @query("taxonomy_tags", X.WITH + f", {_CONTENT} SELECT id, {_tags(X2.TOPICS, X2.TOPIC_TERMS, True)} AS topics, {_tags(X2.INDUSTRIES, X2.INDUSTRY_TERMS, False)} AS industries FROM content")
 def taxonomy_tags(spark, d):
-    rows = _content(spark, d).transform(X2.classified, F.col("s_role"), F.col("content"))
+    rows, _ = _classified(spark, d)
     return rows.select("id", F.array_join("t.topics", ",").alias("topics"), F.array_join("t.industries", ",").alias("industries"))
 
 
@@ -171,8 +184,8 @@ fresh AS (SELECT id, type, topics, industries, {_case_sql()} AS case_completenes
 
 def _fresh(spark, d):
     """The items with t, the classification, and its case completeness; every third has its details fetched."""
-    rows = _content(spark, d).transform(X2.classified, F.col("s_role"), F.col("content"))
-    return rows.withColumn("fresh_case", X2.case_state(F.col("t.primary_type"), F.col("content"), F.col("id") % 3 == 0))
+    rows, content = _classified(spark, d)
+    return rows.withColumn("fresh_case", X2.case_state(F.col("t.primary_type"), content, F.col("id") % 3 == 0))
 
 
 @query("case_states", X.WITH + f", {_FRESH} SELECT id, case_completeness FROM fresh")
@@ -217,7 +230,8 @@ def _loaded_score(rule: R.Rule) -> str:
 @query("loaded_pack_scores", X.WITH + f", {_TEXTS} SELECT id, {', '.join(f'{_loaded_score(r)} AS {r.category}' for r in _LOADED[1])} FROM texts")
 def loaded_pack_scores(spark, d):
     settings, rules = _LOADED
-    return _texts(spark, d).select("id", *[R.category_score(r, F.col("nt"), F.col("ns"), settings).alias(r.category) for r in rules])
+    rows, title, summary = _scanned(spark, d, rules, settings)
+    return rows.select("id", *[R.category_score(r, title, summary, settings).alias(r.category) for r in rules])
 
 
 _LINK = "CASE WHEN id % 3 = 0 THEN 'https://official.example/a' WHEN id % 3 = 1 THEN 'https://media.example/b' END"

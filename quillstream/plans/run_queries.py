@@ -133,3 +133,43 @@ def run_progress(spark, d):
 def turn_durations(spark, d):
     rows = X.table(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
     return rows.select("user_id", R.duration_seconds(F.col("a").cast("timestamp"), F.col("b").cast("timestamp")).alias("seconds"))
+
+
+# a result for each run and supplier, failed where a line was returned; every ninth run breaks as a whole, and some have no results
+_RESULTS = """results AS (SELECT l_orderkey AS run_id, l_suppkey AS source_id, concat('source ', CAST(l_suppkey AS VARCHAR)) AS source_name, CASE WHEN max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) = 1 THEN 'failed' ELSE 'success' END AS status,
+CASE WHEN max(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) = 1 THEN concat('timeout after ', repeat('very ', 50 * (l_suppkey % 4)), 'long') END AS error, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS discovered, count(*) AS normalized, CAST(sum(l_linenumber) AS BIGINT) AS accepted,
+CAST(count(*) FILTER (WHERE l_linestatus = 'O') AS BIGINT) AS rejected, count(*) FILTER (WHERE l_returnflag = 'A') AS an, count(*) FILTER (WHERE l_returnflag = 'N') AS nn, count(*) FILTER (WHERE l_returnflag = 'R') AS rn, count(*) FILTER (WHERE l_linestatus = 'F') AS fn FROM lineitem GROUP BY l_orderkey, l_suppkey)"""
+_SUMMED = {"discovered": "discovered", "normalized": "normalized", "accepted": "accepted", "rejected": "rejected", "classified": "an + nn", "new": "an", "updated": "nn", "skipped": "rn", "unclassified": "fn", "duplicate": "rejected + fn", "failed": "2 * rn"}
+
+
+def _results(spark, d):
+    lines = X.table(spark, d, "lineitem")
+    is_ = lambda c, v: F.count_if(F.col(c) == v)
+    rows = lines.groupBy(F.col("l_orderkey").alias("run_id"), F.col("l_suppkey").alias("source_id")).agg(
+        F.sum(F.col("l_quantity").cast("long")).alias("discovered"), F.count(F.lit(1)).alias("normalized"), F.sum("l_linenumber").alias("accepted"), is_("l_linestatus", "O").alias("rejected"),
+        is_("l_returnflag", "A").alias("an"), is_("l_returnflag", "N").alias("nn"), is_("l_returnflag", "R").alias("rn"), is_("l_linestatus", "F").alias("fn"),
+    )
+    error = F.when(F.col("rn") > 0, F.concat(F.lit("<b>timeout</b>  after "), F.expr("repeat('very ', CAST(50 * (source_id % 4) AS INT))"), F.lit("long")))
+    reasons = F.map_filter(F.create_map(F.lit("a"), F.col("an"), F.lit("n"), F.col("nn")), lambda _, v: v > 0)
+    failures = F.when(F.col("rn") > 0, F.create_map(F.concat(F.lit("kind"), (F.col("source_id") % 3).cast("string")), F.col("rn")))
+    rows = rows.withColumns({c: F.expr(e) for c, e in _SUMMED.items() if c not in ("discovered", "normalized", "accepted", "rejected")})
+    return rows.select("run_id", "source_id", F.concat(F.lit("source "), F.col("source_id").cast("string")).alias("source_name"), F.when(F.col("rn") > 0, "failed").otherwise("success").alias("status"), error.alias("error"), reasons.alias("rejection_reasons"), failures.alias("failure_reasons"), *_SUMMED)
+
+
+_MERGED = "SELECT run_id, string_agg(concat(k, '=', CAST(n AS VARCHAR)), ',' ORDER BY k) AS h FROM (SELECT run_id, k, sum(n) AS n FROM ({}) WHERE n > 0 GROUP BY run_id, k) GROUP BY run_id"
+
+
+@query(
+    "run_finished",
+    X.WITH + f""", {_RESULTS}, s AS (SELECT run_id, count(*) FILTER (WHERE status = 'success') AS source_success, count(*) FILTER (WHERE status = 'failed') AS source_failed, {', '.join(f"CAST(sum({e}) AS BIGINT) AS {c}_count" for c, e in _SUMMED.items())},
+    string_agg(concat(source_name, ': ', error), '; ' ORDER BY source_id) FILTER (WHERE error IS NOT NULL) AS lines FROM results GROUP BY run_id),
+    a AS ({_MERGED.format("SELECT run_id, 'a' AS k, an AS n FROM results UNION ALL SELECT run_id, 'n', nn FROM results")}), b AS ({_MERGED.format("SELECT run_id, concat('kind', CAST(source_id % 3 AS VARCHAR)) AS k, rn AS n FROM results")})
+    SELECT r.id AS run_id, coalesce(source_success, 0) AS source_success, coalesce(source_failed, 0) AS source_failed, {', '.join(f'coalesce({c}_count, 0) AS {c}_count' for c in _SUMMED)}, coalesce(a.h, '') AS rejections, coalesce(b.h, '') AS failures,
+    CASE WHEN r.id % 9 = 0 THEN 'failed' WHEN coalesce(source_failed, 0) = 0 THEN 'success' WHEN source_success > 0 THEN 'partial_success' ELSE 'failed' END AS status,
+    nullif(substr(concat_ws('; ', lines, CASE WHEN r.id % 9 = 0 THEN 'pipeline: broken token=***' END), 1, 2000), '') AS error_summary FROM runs r LEFT JOIN s ON s.run_id = r.id LEFT JOIN a ON a.run_id = r.id LEFT JOIN b ON b.run_id = r.id""",
+)
+def run_finished(spark, d):
+    runs = X.runs(spark, d).select("id", F.when(F.col("id") % 9 == 0, F.lit("broken  token=abc123")).alias("fatal_error"))
+    out = R.finished(_results(spark, d), runs)
+    text = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return out.withColumns({"rejections": text("rejection_reasons"), "failures": text("failure_reasons")}).drop("rejection_reasons", "failure_reasons")
