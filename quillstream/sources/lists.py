@@ -287,7 +287,8 @@ def walk(items: DataFrame, links: DataFrame, starts: DataFrame, max_pages: int,
                     if link not in noted and len(noted) < most:
                         noted.add(link)
                         queue.append((link, depth + 1))
-        return pd.DataFrame({"source_id": rows["source_id"].iloc[0], "pos": range(len(found)), "url": list(found), "page_url": list(found.values())})
+        text = lambda x: pd.Series(list(x), dtype=object)
+        return pd.DataFrame({"source_id": [rows["source_id"].iloc[0]] * len(found), "pos": range(len(found)), "url": text(found), "page_url": text(found.values())})
 
     return all_.groupBy("source_id").applyInPandas(run, "source_id long, pos int, url string, page_url string")
 
@@ -370,7 +371,7 @@ def dated_entries(pages: DataFrame, c: ChangelogConfig) -> DataFrame:
     for old, new in (c.entry_title_replacements or {}).items():
         rows = rows.withColumn("title", F.replace("title", F.lit(old), F.lit(new)))
     rows = rows.withColumn("date_text", dated(F.col("raw"), F.col("heading")))
-    parts = [F.expr(f"try_cast(nullif(regexp_extract(date_text, '{FULL_DATE}', {i}), '') AS int)") for i in (1, 2, 3)]
+    parts = [F.regexp_extract("date_text", FULL_DATE, i).try_cast("int") for i in (1, 2, 3)]
     when = F.coalesce(F.try_make_timestamp(*parts, F.lit(0), F.lit(0), F.lit(0)), D.parse_known(F.col("date_text")))
     key = F.substring(F.sha2(F.lower(F.concat(F.coalesce(F.nullif("date_text", F.lit("")), "heading", F.lit("None")), F.lit("\n"), "title")), 256), 1, 20)
     rows = rows.withColumn("key", key).withColumn("published_at", when)
