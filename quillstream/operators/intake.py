@@ -60,7 +60,7 @@ def opportunity_fields(title: Column, summary: Column, extra: Column, kind: Colu
     fields = {
         "organizer": labelled["organizer"], "application_name": F.coalesce(given("application_name", 500), F.substring(title, 1, 500)), "application_target": labelled["application_target"],
         "deadline_at": F.when(near.rlike(DATE), F.to_utc_timestamp(day + F.expr("INTERVAL '23:59:59' HOUR TO SECOND"), "Asia/Shanghai")),
-        "application_method": labelled["application_method"], "application_url": F.get_json_object(extra, "$.application_url"),
+        "application_method": labelled["application_method"], "application_url": U.canonical_url(F.get_json_object(extra, "$.application_url")),
     }
     return F.struct(*[F.when(kind == "application_opportunity", v).alias(k) for k, v in fields.items()])
 

@@ -129,6 +129,13 @@ def differs(stored: dict[str, Column], fresh: dict[str, Column]) -> Column:
     return F.reduce(F.array(*[~stored[k].eqNullSafe(fresh[k]) for k in ("primary_type", "topics", "industries", "case_completeness", "version")]), F.lit(False), lambda a, x: a | x)
 
 
+def reclassified(items: DataFrame, stored: dict[str, Column], fresh: dict[str, Column], more: dict[str, Column]) -> DataFrame:
+    """items with `changed`, and where it holds the fresh values of the five compared columns and of `more`; what was
+    set by hand stands in other columns and stays."""
+    rows = items.withColumn("changed", differs(stored, fresh))
+    return rows.withColumns({c: F.when(F.col("changed"), v).otherwise(stored.get(c, F.col(c) if c in items.columns else F.lit(None))) for c, v in (fresh | more).items()})
+
+
 def verify(role: Column, text: Column | Hits, official_url: Column, url: Column, policy: Column) -> Column:
     """verification_status and review_status."""
     media = role == "media_discovery"

@@ -208,6 +208,21 @@ def reclassify_diff(spark, d):
     )
 
 
+@query(
+    "reclassify_applied",
+    X.WITH
+    + f""", {_FRESH}, j AS (SELECT i.*, f.type AS f_type, f.topics AS f_topics, f.industries AS f_industries, f.case_completeness AS f_case, i.primary_type <> f.type OR i.topics <> f.topics OR i.industries <> f.industries OR i.case_completeness <> f.case_completeness OR i.taxonomy_version <> 'v2' AS changed
+    FROM (SELECT *, {', '.join(f'{e} AS {n}' for n, e in _STORED.items())} FROM items) i JOIN fresh f ON i.id = f.id)
+    SELECT j.id, changed, f_type AS primary_type, f_topics AS topics, f_industries AS industries, f_case AS case_completeness, 'v2' AS version, CASE WHEN changed THEN tax.reason ELSE 'as it was' END AS reason, manual_primary_type FROM j JOIN tax ON tax.id = j.id""",
+)
+def reclassify_applied(spark, d):
+    rows = _fresh(spark, d).withColumns({n: F.expr(e) for n, e in _STORED.items()} | {"version": F.col("taxonomy_version"), "reason": F.lit("as it was")})
+    stored = {n: F.col(n) for n in ("primary_type", *_STORED, "version")}
+    fresh = {"primary_type": F.col("t.primary_type"), "topics": F.array_join("t.topics", ","), "industries": F.array_join("t.industries", ","), "case_completeness": F.col("fresh_case"), "version": F.lit(X2.VERSION)}
+    out = X2.reclassified(rows, stored, fresh, {"reason": F.col("t.reason")})
+    return out.select("id", "changed", "primary_type", "topics", "industries", "case_completeness", "version", "reason", "manual_primary_type")
+
+
 _PACK_WORDS = [("model_technology", "of the", "with"), ("agent_product", "in the", "that"), ("enterprise_case", "de la", "los"), ("award_case", "und der", "die"), ("solicitation", "les de", "des"), ("policy_industry", "to the", "for")]
 # a pack as it is loaded, over neutral words: other weights and limits than the built-in one
 _PACK_TEXT = """

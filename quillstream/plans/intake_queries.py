@@ -50,21 +50,21 @@ def parent_links(spark, d):
 
 
 _NOTICE = "concat('主办机构：机构', CAST(id % 7 AS VARCHAR(20)), '。申报对象: all of ', lang, '；截止日期：2024年', CAST(id % 12 + 1 AS VARCHAR(20)), '月', CAST(id % 28 + 1 AS VARCHAR(20)), '日。')"
-_EXTRA = "CASE WHEN id % 4 = 0 THEN '{\"organizer\":\"  Given  name \",\"application_method\":\"post\"}' ELSE '{}' END"
+_EXTRA = "CASE WHEN id % 4 = 0 THEN '{\"organizer\":\"  Given  name \",\"application_method\":\"post\",\"application_url\":\"HTTPS://Apply.example/x/?utm_source=a&b=2#top\"}' ELSE '{}' END"
 
 
 @query(
     "opportunity_fields",
     X.WITH
     + """, o AS (SELECT id, lang, title, primary_type = 'application_opportunity' AS ok FROM items) SELECT id, CASE WHEN ok THEN CASE WHEN id % 4 = 0 THEN 'Given name' ELSE concat('机构', CAST(id % 7 AS VARCHAR)) END END AS organizer,
-    CASE WHEN ok THEN substr(title, 1, 500) END AS application_name, CASE WHEN ok THEN concat('all of ', lang) END AS application_target, CASE WHEN ok AND id % 4 = 0 THEN 'post' END AS application_method,
+    CASE WHEN ok THEN substr(title, 1, 500) END AS application_name, CASE WHEN ok THEN concat('all of ', lang) END AS application_target, CASE WHEN ok AND id % 4 = 0 THEN 'post' END AS application_method, CASE WHEN ok AND id % 4 = 0 THEN 'https://apply.example/x?b=2' END AS application_url,
     CASE WHEN ok THEN CAST(epoch(make_timestamp(2024, id % 12 + 1, CASE WHEN id % 28 < 9 THEN id % 28 + 1 ELSE (id % 28 + 1) // 10 END, 23, 59, 59.0)) AS BIGINT) - 28800 END AS deadline FROM o""",
 )
 def opportunity_fields(spark, d):
     rows = X.items(spark, d).withColumns({"notice": F.expr(_NOTICE.replace("VARCHAR(20)", "STRING")), "extra": F.expr(_EXTRA)})
     f = I.opportunity_fields(F.col("title"), F.col("notice"), F.col("extra"), F.col("primary_type"))
     rows = rows.select("id", f.alias("f"))
-    return rows.select("id", "f.organizer", "f.application_name", "f.application_target", "f.application_method", F.unix_timestamp("f.deadline_at").alias("deadline"))
+    return rows.select("id", "f.organizer", "f.application_name", "f.application_target", "f.application_method", "f.application_url", F.unix_timestamp("f.deadline_at").alias("deadline"))
 
 
 _TAGS = {"model_technology": ["model"], "agent_product": ["agent"], "award_case": ["award"], "enterprise_case": ["case", "industry_application"], "policy_industry": ["policy"]}
@@ -121,12 +121,14 @@ def preview_quality_stats(spark, d):
 @query(
     "onboarding_preview",
     X.WITH
-    + f""", {_SEEN}, g AS (SELECT *, error IS NULL AND accepted AS fine FROM seen), h AS (SELECT *, fine AND row_number() OVER (PARTITION BY source_id, fine, canonical_url ORDER BY pos) = 1 AND row_number() OVER (PARTITION BY source_id, fine, lower(title) ORDER BY pos) = 1 AS good FROM g),
+    + f""", {_SEEN}, g AS (SELECT * REPLACE (CASE WHEN source_id % 3 <> 0 AND error IS NULL THEN concat('https://host.example/own/', CAST(id AS VARCHAR)) ELSE canonical_url END AS canonical_url), error IS NULL AND accepted AS fine FROM seen), h AS (SELECT *, fine AND row_number() OVER (PARTITION BY source_id, fine, canonical_url ORDER BY pos) = 1 AND row_number() OVER (PARTITION BY source_id, fine, lower(title) ORDER BY pos) = 1 AS good FROM g),
     p AS (SELECT *, sum(CAST(good AS INTEGER)) OVER (PARTITION BY source_id ORDER BY pos) - CAST(good AS INTEGER) < 10 AS read FROM h), b AS (SELECT source_id, count(*) FILTER (WHERE read AND NOT good) AS bad, count(*) AS n FROM p GROUP BY source_id)
     SELECT p.source_id, pos, title, canonical_url FROM p JOIN b ON b.source_id = p.source_id WHERE good AND read AND NOT (bad >= 3 AND bad * 3 >= n * 2)""",
 )
 def onboarding_preview(spark, d):
-    return I.preview(_seen(spark, d))
+    # two sources of three give each item an address of its own and show some; the others repeat a few and show nothing
+    own = F.concat(F.lit("https://host.example/own/"), F.col("id").cast("string"))
+    return I.preview(_seen(spark, d).withColumn("canonical_url", F.when((F.col("source_id") % 3 != 0) & F.col("error").isNull(), own).otherwise(F.col("canonical_url"))))
 
 
 @query(
