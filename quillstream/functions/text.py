@@ -118,10 +118,13 @@ def mask_key(key: Column) -> Column:
 
 
 def formula_safe(text: Column, most: int = 32_767) -> Column:
-    """A cell that no spreadsheet evaluates: control characters go, a leading sign of a formula gets an apostrophe."""
-    out = bounded(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), most)
-    risky = out.rlike(r"(?U)^[\s\p{Cc}\p{Cf}]*[=+\-@]") & ~out.rlike(r"^\s*-\d+(\.\d+)?\s*$")
-    return F.when(risky, F.concat(F.lit("'"), out)).otherwise(out)
+    """A cell that no spreadsheet evaluates: control characters go, a leading sign of a formula gets an apostrophe.
+
+    A negative number, also in exponent form or with a percent sign, is none; the apostrophe counts for `most`."""
+    clean = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFE}\x{FFFF}]", "")
+    out = bounded(clean, most)
+    risky = out.rlike(r"(?U)^[\s\p{Cc}\p{Cf}]*[=+\-@]") & ~out.rlike(r"(?U)^[\s\p{Cc}\p{Cf}]*-(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?%?\s*$")
+    return F.when(risky, F.concat(F.lit("'"), bounded(clean, most - 1))).otherwise(out)
 
 
 def safe_filename(text: Column) -> Column:

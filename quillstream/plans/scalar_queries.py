@@ -71,10 +71,14 @@ _PREFIX_SQL = "CASE id % 6 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enume
 _CELL = f"CASE WHEN id % 12 = 1 THEN '-5' ELSE concat({_PREFIX_SQL}, title) END"
 
 
-@query(
-    "formula_safe_text",
-    X.WITH + f"SELECT id, CASE WHEN regexp_matches(cell, '^\\s*[=+\\-@]') AND NOT regexp_matches(cell, '^\\s*-\\d+(\\.\\d+)?\\s*$') THEN concat('''', cell) ELSE cell END AS cell FROM (SELECT id, CASE WHEN length(cell) > 32767 THEN concat(substr(cell, 1, 32766), '…') ELSE cell END AS cell FROM (SELECT id, {_CELL} AS cell FROM items))",
-)
+def safe_cell_sql(c: str, most: int = 32_767) -> str:
+    """The second engine's form of a safe cell."""
+    cut = lambda n: f"CASE WHEN length({c}) > {n} THEN concat(substr({c}, 1, {n - 1}), '…') ELSE {c} END"
+    number = "'^\\s*-(\\d+(\\.\\d*)?|\\.\\d+)([eE][+-]?\\d+)?%?\\s*$'"
+    return f"CASE WHEN regexp_matches({cut(most)}, '^\\s*[=+\\-@]') AND NOT regexp_matches({cut(most)}, {number}) THEN concat('''', {cut(most - 1)}) ELSE {cut(most)} END"
+
+
+@query("formula_safe_text", X.WITH + f"SELECT id, {safe_cell_sql('cell')} AS cell FROM (SELECT id, {_CELL} AS cell FROM items)")
 def formula_safe_text(spark, d):
     return X.items(spark, d).selectExpr("id", f"{_CELL} AS cell").select("id", T.formula_safe(F.col("cell")).alias("cell"))
 

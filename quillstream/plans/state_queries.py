@@ -135,7 +135,7 @@ def retention_and_late_counts(spark, d):
     "export_grouped_numbering",
     X.WITH
     + f"""SELECT id, CAST(row_number() OVER (PARTITION BY type ORDER BY {X.RECENT}) AS INTEGER) AS number, CAST(dense_rank() OVER (ORDER BY turn) AS INTEGER) AS chapter FROM (SELECT *, coalesce(manual_primary_type, primary_type) AS type,
-    list_position(['unclassified', 'product_update', 'policy_standard', 'application_opportunity', 'award_result', 'report_release', 'case_analysis', 'industry_signal'], coalesce(manual_primary_type, primary_type)) AS turn FROM items WHERE is_active)""",
+    list_position(['product_update', 'policy_standard', 'application_opportunity', 'award_result', 'report_release', 'case_analysis', 'industry_signal', 'unclassified'], coalesce(manual_primary_type, primary_type)) AS turn FROM items WHERE is_active)""",
 )
 def export_grouped_numbering(spark, d):
     from ..operators.exports import chapters
