@@ -5,7 +5,7 @@ inside it, so that "inside" is an interval.  A selector list becomes filters for
 page and interval for its combinators; the text of the elements that were chosen is put together by one more.
 Only the parser is Python: it reads a page and gives its rows.
 
-Selectors: tag, *, .class, #id, [name], [name=value], [name^=value], [name$=value], [name*=value], the combinators
+Selectors: tag, *, .class, #id, [name], [name=value], [name^=value], [name$=value], [name*=value], [name~=value], the combinators
 blank and >, and lists with commas.  A page that cannot be read to its end gives the nodes that were read.
 """
 
@@ -90,7 +90,7 @@ def nodes(pages: DataFrame) -> DataFrame:
     return checkpointed(pages.select("page", F.explode(read("html")).alias("n")).select("page", "n.*"))
 
 
-_PART = re.compile(r"""(?P<tag>^[a-zA-Z][\w-]*|^\*)|\.(?P<cls>[\w-]+)|\#(?P<id>[\w-]+)|\[\s*(?P<name>[\w-]+)\s*(?:(?P<op>[*^$]?=)\s*(?P<q>["']?)(?P<value>.*?)(?P=q)\s*)?\]""", re.X)
+_PART = re.compile(r"""(?P<tag>^[a-zA-Z][\w-]*|^\*)|\.(?P<cls>[\w-]+)|\#(?P<id>[\w-]+)|\[\s*(?P<name>[\w-]+)\s*(?:(?P<op>[*^$~]?=)\s*(?P<q>["']?)(?P<value>.*?)(?P=q)\s*)?\]""", re.X)
 
 
 def _compound(text: str) -> Column:
@@ -109,7 +109,7 @@ def _compound(text: str) -> Column:
             tests.append(attr["id"] == m["id"])
         else:
             value, v = attr[m["name"].lower()], F.lit(m["value"])
-            tests.append({None: value.isNotNull(), "=": value == v, "^=": F.startswith(value, v), "$=": F.endswith(value, v), "*=": F.contains(value, v)}[m["op"]])
+            tests.append({None: value.isNotNull(), "=": value == v, "^=": F.startswith(value, v), "$=": F.endswith(value, v), "*=": F.contains(value, v), "~=": F.array_contains(F.split(value, r"\s+"), v)}[m["op"]])
     if at != len(text) or not text:
         raise ValueError(f"no selector: {text!r}")
     return F.coalesce(reduce(Column.__and__, tests), F.lit(False))
