@@ -69,6 +69,12 @@ def has_weekday(mask: Column, day: Column) -> Column:
     return F.bitwise_and(mask, F.pow(F.lit(2), F.weekday(day)).cast("int")) > 0 if hasattr(F, "bitwise_and") else mask.bitwiseAND(F.pow(F.lit(2), F.weekday(day)).cast("int")) > 0
 
 
+def run_state(now: Column, target: Column) -> Column:
+    """Of a scheduled run: waiting, due (less than a minute late), or missed, which is dropped; null without a target."""
+    late = F.unix_micros(now) - F.unix_micros(target)
+    return F.when(late < 0, "waiting").when(late < 60_000_000, "due").when(target.isNotNull(), "missed")
+
+
 def next_run_one(now: datetime, mask: int, hour: int, minute: int, zone: str) -> datetime | None:
     """The next local HH:MM on a chosen weekday: a skipped wall time passes to the next chosen day, of an
     ambiguous one the later moment holds."""

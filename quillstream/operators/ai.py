@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..domains import CATEGORIES
+from ..functions.text import sanitize_error
+from .runs import job_status
+from .upsert import checkpointed
 
 PER_REQUEST = 15
 ANSWER = "id long, category string, confidence double"
@@ -119,3 +122,43 @@ def answered(items: DataFrame, ask, size: int = PER_REQUEST) -> DataFrame:
                 yield type(pdf)({"id": [r.id for r in rows], "answer": [got.get(i) for i in range(len(rows))]})
 
     return items.select("id", "title", "summary").mapInPandas(run, schema)
+
+
+SUMMARY = 1000  #: characters of a stored summary
+
+
+def summary_prompt(title: Column, summary: Column) -> Column:
+    return F.concat(F.lit("Sum up this item in two or three sentences, from the given text alone, and answer with these sentences only.\nTitle: "), F.coalesce(title, F.lit("")), F.lit("\nText: "), summary)
+
+
+def summarized(items: DataFrame, complete, retry: bool = False) -> DataFrame:
+    """id, result, text, error of every item that may be summed up: active, accepted, and without a summary unless retry.
+
+    complete takes id, prompt and returns id, answer, error; it is asked once and what it says is written before it is
+    used, as a second answer may be another.  result is saved, skipped (nothing to sum up) or failed (an error, or no
+    answer); a text is cut to SUMMARY characters, an error safe to show.  Ids must be distinct."""
+    wanted = items.filter("is_active AND admission_accepted" + ("" if retry else " AND ai_summary IS NULL"))
+    text = F.coalesce("summary", F.lit("")) != ""
+    asked = wanted.filter(text).select("id", summary_prompt(F.col("title"), F.col("summary")).alias("prompt"))
+    got = checkpointed(complete(asked).select("id", "answer", "error"))
+    rows = wanted.select("id", text.alias("_text")).join(got, "id", "left")
+    failed = F.col("error").isNotNull() | F.col("answer").isNull()
+    result = F.when(~F.col("_text"), "skipped").when(failed, "failed").otherwise("saved")
+    rows = rows.withColumn("result", result)
+    error = F.when(F.col("result") == "failed", F.coalesce(sanitize_error(F.col("error"), 100), F.lit("no answer")))
+    return rows.select("id", "result", F.when(F.col("result") == "saved", F.substring(F.trim("answer"), 1, SUMMARY)).alias("text"), error.alias("error"))
+
+
+def with_summaries(items: DataFrame, results: DataFrame, model: str) -> DataFrame:
+    """items with the saved texts of summarized() as ai_summary, and the model they are by in ai_summary_model."""
+    saved = results.filter("result = 'saved'").select("id", F.col("text").alias("_text"))
+    out = items.join(saved, "id", "left")
+    old = F.col("ai_summary_model") if "ai_summary_model" in items.columns else F.lit(None).cast("string")
+    return out.withColumns({"ai_summary": F.coalesce("_text", "ai_summary"), "ai_summary_model": F.when(F.col("_text").isNotNull(), model).otherwise(old)}).drop("_text")
+
+
+def summary_job(results: DataFrame) -> DataFrame:
+    """The counts and the status of one run of summarized()."""
+    n = {c: F.count_if(F.col("result") == r) for c, r in (("success", "saved"), ("failure", "failed"), ("skipped", "skipped"))}
+    counted = results.agg(F.count(F.lit(1)).alias("processed"), *[c.alias(k) for k, c in n.items()])
+    return counted.withColumn("status", job_status(F.col("failure"), F.col("success"), F.col("skipped")))

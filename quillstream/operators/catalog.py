@@ -92,3 +92,11 @@ def after_purge(runs: DataFrame, executions: DataFrame, retired: DataFrame) -> D
     gone = executions.join(retired.select(F.col("id").alias("source_id")), "source_id", "left_semi").select("run_id").distinct()
     left = executions.join(retired.select(F.col("id").alias("source_id")), "source_id", "left_anti").select("run_id")
     return runs.join(gone.withColumnRenamed("run_id", "id"), "id", "left_semi").join(left.withColumnRenamed("run_id", "id"), "id", "left_anti")
+
+
+def fingerprint(fields: dict[str, Column]) -> Column:
+    """The hash of a row's fields: of their JSON without blanks, keys in order, nulls included, in UTF-8.
+
+    The order in which the fields are given makes no difference.  Times count by their wall clock, as ISO text."""
+    iso = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss", "ignoreNullFields": "false"}
+    return F.sha2(F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), iso), 256)

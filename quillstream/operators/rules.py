@@ -127,3 +127,13 @@ def hybrid(rule: Column, model: Column) -> Column:
     certain = ~rule["is_ambiguous"] & (rule["category"] != "unclassified")
     usable = (model["category"] != "unclassified") & (model["confidence"] >= 0.7)
     return F.when(certain | ~F.coalesce(usable, F.lit(False)), rule["category"]).otherwise(model["category"])
+
+
+def reclassified(items: DataFrame, result: Column, why: Column, source_id: int | None = None) -> DataFrame:
+    """items, of one source if it is given, with the result of decide() in place of the automatic category, its score,
+    reason and provider, and `changed`, whether the category is another now.
+
+    What was set by hand stands in manual_category and stays, so the effective category may not change."""
+    rows = items if source_id is None else items.filter(F.col("source_id") == source_id)
+    changed = ~F.col("category").eqNullSafe(result["category"])
+    return rows.withColumns({"changed": changed, "category": result["category"], "classification_score": result["score"], "classification_reason": why, "automatic_category_provider": result["provider"]})

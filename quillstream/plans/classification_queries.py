@@ -112,6 +112,32 @@ def manual_override(spark, d):
     return rows.select("id", F.coalesce("manual_category", F.col("r.category")).alias("category"), F.when(F.col("manual_category").isNotNull(), "manual").otherwise("automatic").alias("origin"))
 
 
+# every third source has a default for items that no rule fits
+_DEFAULT = "CASE WHEN source_id % 3 = 0 THEN 'policy_industry' END"
+
+
+@query(
+    "rules_reclassified",
+    X.WITH + f""", {_DECIDED}, r AS (SELECT d.id, i.source_id, i.category AS old, i.manual_category, d.score, CASE WHEN d.score < 8 THEN coalesce(CASE WHEN i.source_id % 3 = 0 THEN 'policy_industry' END, 'unclassified') ELSE d.category END AS category, CASE WHEN d.score < 8 AND i.source_id % 3 = 0 THEN 'source_default' ELSE 'rule_based' END AS provider FROM decided d JOIN items i ON i.id = d.id)
+    SELECT id, category, score, provider, old <> category AS changed, coalesce(manual_category, category) AS effective FROM r""",
+)
+def rules_reclassified(spark, d):
+    rows, title, summary = _scanned(spark, d)
+    rows = rows.withColumn("ranked", R.scores(title, summary)).withColumn("r", R.decide(F.col("ranked"), F.expr(_DEFAULT)))
+    out = R.reclassified(rows, F.col("r"), F.lit("by rules"))
+    return out.select("id", "category", F.col("classification_score").alias("score"), F.col("automatic_category_provider").alias("provider"), "changed", F.coalesce("manual_category", "category").alias("effective"))
+
+
+@query(
+    "hybrid_categories",
+    X.WITH + f""", {_DECIDED}, m AS (SELECT d.*, CASE WHEN id % 5 = 0 THEN NULL WHEN id % 5 = 1 THEN 'unclassified' ELSE own END AS model, (id % 10) / 10.0 AS confidence FROM decided d)
+    SELECT id, CASE WHEN NOT is_ambiguous AND category <> 'unclassified' THEN category WHEN model <> 'unclassified' AND confidence >= 0.7 THEN model ELSE category END AS category FROM m""",
+)
+def hybrid_categories(spark, d):
+    model = F.struct(F.when(F.col("id") % 5 == 1, "unclassified").when(F.col("id") % 5 != 0, F.col("category")).alias("category"), ((F.col("id") % 10) / 10.0).alias("confidence"))
+    return _decided(spark, d).select("id", R.hybrid(F.col("r"), model).alias("category"))
+
+
 def _sourced(spark, d):
     s = X.sources(spark, d)
     return _texts(spark, d).join(s.select(*[F.col(c).alias(f"s_{c}") for c in s.columns]), F.col("source_id") == F.col("s_id"))

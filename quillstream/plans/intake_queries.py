@@ -248,3 +248,26 @@ def export_filter_summary(spark, d):
         "unclassified": F.when(F.col("id") % 7 == 0, False),
     }
     return X.items(spark, d).select("id", filter_summary(f).alias("filters"))
+
+
+# the model answers nothing to some, an error to others, and at length to the rest
+_SUMMED = "s AS (SELECT id, CASE WHEN summary IS NULL THEN 'skipped' WHEN id % 5 < 2 THEN 'failed' ELSE 'saved' END AS result, title, ai_summary FROM items WHERE is_active AND admission_accepted AND ai_summary IS NULL)"
+
+
+def _summed(spark, d):
+    answer = F.when(F.col("id") % 5 > 1, F.concat(F.lit("  about "), "id", F.lit(" "), F.repeat(F.lit("x"), F.when(F.col("id") % 3 == 0, 2000).otherwise(1))))
+    model = lambda asked: asked.select("id", answer.alias("answer"), F.when(F.col("id") % 5 == 1, "<b>limit</b> at https://u:p@m.example/v1?key=1").alias("error"))
+    return M.summarized(X.items(spark, d), model)
+
+
+@query("summaries_by_model", X.WITH + f", {_SUMMED} SELECT id, result, CASE WHEN result = 'saved' THEN substr(concat('about ', CAST(id AS VARCHAR), ' ', repeat('x', CASE WHEN id % 3 = 0 THEN 2000 ELSE 1 END)), 1, 1000) END AS text, CASE WHEN result = 'failed' THEN CASE WHEN id % 5 = 1 THEN 'limit at https://m.example/v1' ELSE 'no answer' END END AS error FROM s")
+def summaries_by_model(spark, d):
+    return _summed(spark, d)
+
+
+@query(
+    "summary_job",
+    X.WITH + f", {_SUMMED} SELECT count(*) AS processed, count(*) FILTER (WHERE result = 'saved') AS success, count(*) FILTER (WHERE result = 'failed') AS failure, count(*) FILTER (WHERE result = 'skipped') AS skipped, CASE WHEN count(*) FILTER (WHERE result = 'failed') = 0 THEN 'completed' WHEN count(*) FILTER (WHERE result <> 'failed') > 0 THEN 'partial_failure' ELSE 'failed' END AS status FROM s",
+)
+def summary_job(spark, d):
+    return M.summary_job(_summed(spark, d))

@@ -6,6 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from ..functions import times as D
 from ..operators import items as I
 from ..operators import runs as R
 from . import fixtures as X
@@ -173,3 +174,10 @@ def run_finished(spark, d):
     out = R.finished(_results(spark, d), runs)
     text = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
     return out.withColumns({"rejections": text("rejection_reasons"), "failures": text("failure_reasons")}).drop("rejection_reasons", "failure_reasons")
+
+
+@query("scheduled_states", "SELECT event_id AS id, CASE WHEN event_id % 4 = 3 THEN NULL WHEN event_id % 90 < 15 THEN 'waiting' WHEN event_id % 90 < 75 THEN 'due' ELSE 'missed' END AS state FROM events")
+def scheduled_states(spark, d):
+    rows = X.table(spark, d, "events").withColumn("now", F.col("ts").cast("timestamp"))
+    target = F.when(F.col("event_id") % 4 != 3, F.timestamp_micros(F.unix_micros("now") - (F.col("event_id") % 90 - 15) * 1_000_000))
+    return rows.select(F.col("event_id").alias("id"), D.run_state(F.col("now"), target).alias("state"))

@@ -107,3 +107,11 @@ def purge_impact(spark, d):
 def purge_empty_runs(spark, d):
     retired = X.executions(spark, d).select(F.col("source_id").alias("id")).distinct().filter("id % 2 = 0")
     return C.after_purge(X.runs(spark, d), X.executions(spark, d), retired).select("id")
+
+
+_PRINTED = ["slug", "name", "start_url", "enabled", "tier", "last_error"]
+
+
+@query("source_fingerprints", X.WITH + "SELECT id, sha256(concat('{', " + ", ',', ".join(f"'\"{c}\":', coalesce(CAST(to_json({c}) AS VARCHAR), 'null')" for c in sorted(_PRINTED)) + ", '}')) AS mark FROM sources")
+def source_fingerprints(spark, d):
+    return X.sources(spark, d).select("id", C.fingerprint({c: F.col(c) for c in _PRINTED}).alias("mark"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import times as D
 from ..functions import urls as U
+from . import feeds
 
 
 def items_of(payloads: DataFrame, path: str = "$", column: str = "body") -> DataFrame:
@@ -54,10 +55,29 @@ def scan_releases(payloads: DataFrame, prereleases: bool = False, summary_chars:
     rows = items_of(payloads).filter(~flag(item, "draft"))
     if not prereleases:
         rows = rows.filter(~flag(item, "prerelease"))
-    rows = rows.select("source_id", "pos", field(item, "name", "tag_name").alias("title"), U.canonical_url(field(item, "html_url")).alias("url"), any_time(item, "published_at", "created_at").alias("published_at"), T.bounded(T.strip_markdown(field(item, "body")), max(50, min(5000, summary_chars))).alias("summary"))
+    rows = rows.select("source_id", "pos", field(item, "name", "tag_name").alias("title"), U.canonical_url(field(item, "html_url")).alias("url"), any_time(item, "published_at", "created_at").alias("published_at"), T.bounded(T.strip_markdown(field(item, "body")), max(50, min(5000, summary_chars))).alias("summary"), field(item, "tag_name").alias("tag"), flag(item, "prerelease").alias("prerelease"))
     return first_of(rows.filter("title is not null and url is not null"), "url", 200)
 
 
+#: Titles that read like those of prereleases (fixed values).
+PRERELEASE = r"(?i)(?:^|[.\-_ ])(?:alpha|beta|preview|pre|rc)\d*(?:$|[.\-_ ])"
+
+
+def release_items(api: DataFrame, atoms: DataFrame, prereleases: bool = False, most: int = 30, summary_chars: int = 500) -> DataFrame:
+    """Releases of each source, from its API's response or, where that was refused for its rate, from its Atom feed.
+
+    api(source_id, rate_limited, body) and atoms(source_id, base_url, body) hold one row a source; a feed is read only
+    for sources whose API was limited (null: it was not).  A feed does not say what is a prerelease, its titles do.
+    `fallback` names the way of the rows that came from a feed; at most `most` (1 to 100) a source."""
+    most = max(1, min(100, most))
+    limited = F.coalesce("rate_limited", F.lit(False))
+    head = F.to_json(F.slice(F.try_variant_get(F.try_parse_json("body"), "$", "array<variant>"), 1, most))
+    own = scan_releases(api.filter(~limited).select("source_id", head.alias("body")), prereleases, summary_chars).withColumn("fallback", F.lit(None).cast("string"))
+    read = feeds.scan_feed(atoms.join(api.filter(limited).select("source_id"), "source_id", "left_semi"), max_items=most)
+    read = read.withColumns({"tag": F.col("title"), "prerelease": F.col("title").rlike(PRERELEASE), "fallback": F.lit("atom_rate_limit")})
+    return own.unionByName(read if prereleases else read.filter("NOT prerelease"))
+
+
 def embedded(pages: DataFrame, script_id: str) -> DataFrame:
     """The JSON text of a page's data script, as a payload."""
     found = F.regexp_extract("html", rf'(?s)<script[^>]*id="{script_id}"[^>]*>(.*?)</script>', 1)
