@@ -77,25 +77,24 @@ def checked_review(changes: DataFrame) -> DataFrame:
 
 
 def review(store: DataFrame, changes: DataFrame, actor: str = "system_operator") -> tuple[DataFrame, DataFrame]:
-    """The store after a taxonomy review and the audit rows (item_id, actor, old_data, new_data as JSON).
+    """The store after a taxonomy review and its audit rows (item_id, seq, actor, old_data, new_data as JSON).
 
     A status, once set by hand, is marked so that no later run replaces it; an official address marks the
-    verification as well.  A change with an invalid value changes nothing and leaves no audit row.  Of several
-    changes of one id each field takes its last value, and one audit row holds them together."""
+    verification as well.  A change with an invalid value changes nothing and leaves no audit row.  Changes of one id
+    apply in order of seq: each field takes its last value, and each change leaves an audit row of what it met and what it left."""
     ok = checked_review(changes).filter("error is null")
     newest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))).alias(f"_{c}") for c in REVIEW_FIELDS]
-    new = ok.groupBy("id").agg(*newest).withColumn("_hit", F.lit(True))
-    both = store.join(new, "id", "left")
-    after = {c: F.coalesce(f"_{c}", c) for c in REVIEW_FIELDS}
-    as_json = lambda values: F.to_json(F.struct(*[v.alias(c) for c, v in values.items()]), {"ignoreNullFields": "false"})
-    audit = both.filter("_hit").select(
-        F.col("id").alias("item_id"), F.lit(actor[:100]).alias("actor"), as_json({c: F.col(c) for c in REVIEW_FIELDS}).alias("old_data"), as_json(after).alias("new_data")
-    )
+    both = store.join(ok.groupBy("id").agg(*newest), "id", "left")
     by_hand = {
         "verification_manually_set": F.col("verification_manually_set") | F.col("_verification_status").isNotNull() | F.col("_official_url").isNotNull(),
         "review_manually_set": F.col("review_manually_set") | F.col("_review_status").isNotNull(),
     }
-    return both.withColumns(by_hand | after).drop(*[f"_{c}" for c in REVIEW_FIELDS], "_hit"), audit
+    after = both.withColumns(by_hand | {c: F.coalesce(f"_{c}", c) for c in REVIEW_FIELDS}).drop(*[f"_{c}" for c in REVIEW_FIELDS])
+
+    met = ok.select("id", "seq", *REVIEW_FIELDS).join(store.select("id", *[F.col(c).alias(f"_{c}") for c in REVIEW_FIELDS]), "id")
+    so_far = Window.partitionBy("id").orderBy("seq")
+    as_json = lambda last: F.to_json(F.struct(*[F.coalesce(F.last(c, ignorenulls=True).over(so_far.rowsBetween(Window.unboundedPreceding, last)), f"_{c}").alias(c) for c in REVIEW_FIELDS]), {"ignoreNullFields": "false"})
+    return after, met.select(F.col("id").alias("item_id"), "seq", F.lit(actor[:100]).alias("actor"), as_json(-1).alias("old_data"), as_json(0).alias("new_data"))
 
 
 def switch_sources(sources: DataFrame, changes: DataFrame) -> DataFrame:

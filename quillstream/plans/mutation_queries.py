@@ -42,3 +42,29 @@ def switch_sources(spark, d):
     rows = X.sources(spark, d)
     changes = rows.select("id", F.lit(1).alias("seq"), (F.col("id") % 3 != 0).alias("enabled"))
     return M.switch_sources(rows, changes).select("id", "enabled", "lifecycle", "refused")
+
+
+_CHANGE = {
+    "id": "user_id", "seq": "event_id", "verification_status": "CASE WHEN event_id % 3 = 0 THEN 'official_linked' WHEN event_id % 9 = 1 THEN 'media_only' END",
+    "review_status": "CASE WHEN event_id % 4 = 1 THEN 'approved' WHEN event_id % 4 = 2 THEN 'rejected' WHEN event_id % 20 = 3 THEN 'perhaps' END",
+    "origin_publisher": "CASE WHEN event_id % 5 = 0 THEN concat('  Press   ', CAST(event_id % 7 AS VARCHAR(20)), ' ') WHEN event_id % 55 = 1 THEN '  ' END",
+}
+_CHANGES = f"c AS (SELECT {', '.join(f'{e} AS {n}' for n, e in _CHANGE.items())} FROM events)"
+
+
+@query(
+    "review_audit",
+    X.WITH + f""", {_CHANGES}, ok AS (SELECT c.id, seq, c.verification_status AS v, c.review_status AS r, trim(replace(origin_publisher, '   ', ' ')) AS p, i.verification_status AS iv, i.review_status AS ir FROM c JOIN items i ON i.id = c.id WHERE coalesce(c.review_status, '') <> 'perhaps' AND coalesce(trim(origin_publisher), 'x') <> '')
+    SELECT id AS item_id, seq, """
+    + ", ".join(f"coalesce(last_value({c} IGNORE NULLS) OVER (PARTITION BY id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND {until}), {own}) AS {name}_{n}" for name, until in (("old", "1 PRECEDING"), ("new", "CURRENT ROW")) for c, own, n in (("v", "iv", "verification"), ("r", "ir", "review"), ("p", "NULL", "publisher")))
+    + " FROM ok",
+)
+def review_audit(spark, d):
+    """Many changes of the same items, some of them invalid."""
+    none = {"manual_primary_type": "string", "manual_topic_tags": "array<string>", "manual_industry_tags": "array<string>", "official_url": "string"}
+    empty = lambda *names: [F.lit(None).cast(none.get(c, "string")).alias(c) for c in names]
+    changes = X.table(spark, d, "events").selectExpr(*[f"{e.replace('VARCHAR(20)', 'STRING')} AS {n}" for n, e in _CHANGE.items()]).select("*", *empty(*none))
+    store = X.items(spark, d).select("id", "verification_status", "review_status", F.lit(False).alias("verification_manually_set"), F.lit(False).alias("review_manually_set"), *empty(*none, "origin_publisher"))
+    _, audit = M.review(store, changes)
+    field = lambda side, c: F.get_json_object(f"{side}_data", f"$.{c}")
+    return audit.select("item_id", "seq", *[field(side, c).alias(f"{side}_{n}") for side in ("old", "new") for c, n in (("verification_status", "verification"), ("review_status", "review"), ("origin_publisher", "publisher"))])

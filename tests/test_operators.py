@@ -120,8 +120,10 @@ def test_review_marks_and_audits(spark):
     assert rows[1].manual_topic_tags == ["model", "policy"] and rows[1].official_url == "https://a.example/x" and rows[1].origin_publisher == "The Press"
     assert rows[1].verification_manually_set and rows[1].review_manually_set and rows[1].manual_primary_type == "award_result"
     assert rows[2].review_status == "pending" and not rows[2].review_manually_set and set(rows) == {1, 2, 3}
-    (entry,) = audit.collect()
+    entry, second = audit.orderBy("seq").collect()
     assert entry.item_id == 1 and entry.actor == "tester" and '"review_status":"pending"' in entry.old_data and '"review_status":"approved"' in entry.new_data
+    # each change leaves a row of its own, which begins where the one before ended
+    assert (second.item_id, second.seq) == (1, 2) and second.old_data == entry.new_data and '"origin_publisher":"The Press"' in second.new_data and '"origin_publisher":null' in entry.new_data
     assert M.checked_review(changes).filter("id = 2").first().error == "manual_primary_type"
 
 
