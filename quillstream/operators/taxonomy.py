@@ -47,15 +47,26 @@ TRUSTED = ["official_confirmed", "official_linked", "multi_source_confirmed"]
 RUMOR = r"(?iU)\b(rumou?r|reportedly|idiot)\b|传闻"
 
 
-def all_terms(rules: list[RoleRule] = RULES) -> list[str]:
+@dataclass(frozen=True)
+class Tags:
+    """The terms of each topic and industry."""
+
+    topics: dict[str, list[str]]
+    industries: dict[str, list[str]]
+
+
+TAGS = Tags(TOPIC_TERMS, INDUSTRY_TERMS)
+
+
+def all_terms(rules: list[RoleRule] = RULES, tags: Tags = TAGS) -> list[str]:
     """What any of the functions below looks for in a text."""
-    parts = [t for r in rules for t in (*r.subjects, *r.actions, *r.excludes)] + [t for terms in (*TOPIC_TERMS.values(), *INDUSTRY_TERMS.values(), *CASE_DIMENSIONS.values()) for t in terms]
+    parts = [t for r in rules for t in (*r.subjects, *r.actions, *r.excludes)] + [t for terms in (*tags.topics.values(), *tags.industries.values(), *CASE_DIMENSIONS.values()) for t in terms]
     return [*parts, *CASE_SIGNALS]
 
 
-def with_hits(df: DataFrame, title: Column, summary: Column, rules: list[RoleRule] = RULES) -> tuple[DataFrame, Hits]:
+def with_hits(df: DataFrame, title: Column, summary: Column, rules: list[RoleRule] = RULES, tags: Tags = TAGS) -> tuple[DataFrame, Hits]:
     """df with one more column, and what stands for the normalised title and summary in the functions below."""
-    return term_hits(df, "_content_hits", all_terms(rules), title, summary, bordered=False)
+    return term_hits(df, "_content_hits", all_terms(rules, tags), title, summary, bordered=False)
 
 
 def _any(text: Column | Hits, terms) -> Column:
@@ -76,9 +87,9 @@ def matches(rule: RoleRule, role: Column, text: Column | Hits) -> Column:
     return (role == rule.role) & ~_any(text, rule.excludes) & (_any(text, rule.subjects) if rule.subjects else F.lit(True)) & (_any(text, rule.actions) if rule.actions else F.lit(True))
 
 
-def classified(df: DataFrame, role: Column, text: Column | Hits, rules: list[RoleRule] = RULES) -> DataFrame:
+def classified(df: DataFrame, role: Column, text: Column | Hits, rules: list[RoleRule] = RULES, tags: Tags = TAGS) -> DataFrame:
     """df with column t, see classify; the matching rules are found once a row."""
-    return df.withColumn("_hit", hits(role, text, rules)).withColumn("t", classify(F.col("_hit"), text)).drop("_hit")
+    return df.withColumn("_hit", hits(role, text, rules)).withColumn("t", classify(F.col("_hit"), text, tags)).drop("_hit")
 
 
 def hits(role: Column, text: Column | Hits, rules: list[RoleRule] = RULES) -> Column:
@@ -86,7 +97,7 @@ def hits(role: Column, text: Column | Hits, rules: list[RoleRule] = RULES) -> Co
     return F.array_compact(F.array(*[F.when(matches(r, role, text), F.struct(F.lit(r.priority).alias("priority"), F.lit(r.primary_type).alias("type"), F.lit(r.id).alias("id"), F.lit(",".join(r.topics)).alias("topics"))) for r in rules]))
 
 
-def classify(hit: Column, text: Column | Hits) -> Column:
+def classify(hit: Column, text: Column | Hits, tags: Tags = TAGS) -> Column:
     """primary_type, score, reason and tags from the matching rules: those of the highest priority must agree on one type."""
     top = F.array_max(F.transform(hit, lambda h: h["priority"]))
     types = F.array_distinct(F.transform(F.filter(hit, lambda h: h["priority"] == top), lambda h: h["type"]))
@@ -94,9 +105,9 @@ def classify(hit: Column, text: Column | Hits) -> Column:
     kind = F.when(one, F.get(types, F.lit(0))).otherwise("unclassified")
     reason = F.when(F.size(hit) == 0, "taxonomy.no_match").when(~one, "taxonomy.conflict_safe_unclassified").otherwise("taxonomy.rule")
     from_rules = F.flatten(F.transform(hit, lambda h: F.split(h["topics"], ",")))
-    from_terms = F.array_compact(F.array(*[F.when(_any(text, terms), F.lit(t)) for t, terms in TOPIC_TERMS.items()]))
+    from_terms = F.array_compact(F.array(*[F.when(_any(text, terms), F.lit(t)) for t, terms in tags.topics.items()]))
     both = F.array_union(from_rules, from_terms)
-    industries = F.array_compact(F.array(*[F.when(_any(text, INDUSTRY_TERMS.get(t, [])), F.lit(t)) for t in INDUSTRIES]))
+    industries = F.array_compact(F.array(*[F.when(_any(text, tags.industries.get(t, [])), F.lit(t)) for t in INDUSTRIES]))
     return F.struct(
         kind.alias("primary_type"),
         F.when(one, F.least(F.lit(1.0), 0.6 + top / 250)).otherwise(0.0).alias("score"),

@@ -19,7 +19,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from . import catalog_queries, classification_queries, discovery_queries, export_queries, intake_queries, item_queries, list_queries, mutation_queries, run_queries, scalar_queries, scan_queries, source_queries, state_queries, store_queries  # noqa: F401
+    from . import catalog_queries, classification_queries, discovery_queries, export_queries, intake_queries, item_queries, list_queries, mutation_queries, pack_queries, run_queries, scalar_queries, scan_queries, source_queries, state_queries, store_queries  # noqa: F401
 
 
 def queries() -> dict:

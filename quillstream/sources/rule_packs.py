@@ -23,7 +23,7 @@ class PackError(ValueError):
     """All faults of a pack, a line each."""
 
 
-class _Loader(yaml.SafeLoader):
+class Loader(yaml.SafeLoader):
     def construct_mapping(self, node, deep=False):
         keys = [self.construct_object(k, deep=True) for k, _ in node.value]
         for k in keys:
@@ -32,7 +32,15 @@ class _Loader(yaml.SafeLoader):
         return super().construct_mapping(node, deep)
 
 
-def _exact(found, wanted, where: str, faults: list[str]) -> dict:
+def read(text: str):
+    """The text's value; one that is no YAML or gives a key twice is refused."""
+    try:
+        return yaml.load(text, Loader=Loader)  # noqa: S506 - a safe loader
+    except yaml.YAMLError as e:
+        raise PackError(f"not readable: {e}") from e
+
+
+def exact(found, wanted, where: str, faults: list[str]) -> dict:
     """found as a mapping of exactly these keys; what is absent is left out."""
     if not isinstance(found, dict):
         faults.append(f"{where}: not a mapping")
@@ -41,7 +49,7 @@ def _exact(found, wanted, where: str, faults: list[str]) -> dict:
     return {k: v for k, v in found.items() if k in wanted}
 
 
-def _number(x) -> bool:
+def number(x) -> bool:
     return isinstance(x, int | float) and not isinstance(x, bool) and math.isfinite(x)
 
 
@@ -57,7 +65,7 @@ def _terms(found, sign: int, where: str, faults: list[str]) -> dict[str, float]:
             faults.append(f"{where}: empty term {term!r}")
         elif plain in seen:
             faults.append(f"{where}: {term!r} is {seen[plain]!r} once normalised")
-        if not _number(points) or points * sign <= 0:
+        if not number(points) or points * sign <= 0:
             faults.append(f"{where}: {term!r} needs a {'positive' if sign > 0 else 'negative'} number")
         seen.setdefault(plain, term)
     return {} if faults else {t: float(abs(p)) for t, p in found.items()}
@@ -66,23 +74,19 @@ def _terms(found, sign: int, where: str, faults: list[str]) -> dict[str, float]:
 def load_pack(text: str) -> tuple[Settings, list[Rule]]:
     """The settings and rules of a pack: settings, global_negative_phrases, and every category but the fallback one."""
     faults: list[str] = []
-    try:
-        root = yaml.load(text, Loader=_Loader)  # noqa: S506 - a safe loader
-    except yaml.YAMLError as e:
-        raise PackError(f"not readable: {e}") from e
-    root = _exact(root, ("settings", "global_negative_phrases", "categories"), "pack", faults)
-    settings = _exact(root.get("settings", {}), NUMBERS, "settings", faults)
+    root = exact(read(text), ("settings", "global_negative_phrases", "categories"), "pack", faults)
+    settings = exact(root.get("settings", {}), NUMBERS, "settings", faults)
     for name, x in settings.items():
         least, itself = NUMBERS[name]
-        if not _number(x) or x < least or (x == least and not itself):
+        if not number(x) or x < least or (x == least and not itself):
             faults.append(f"settings.{name}: needs a number of {'at least' if itself else 'more than'} {least}")
     if not faults and settings["title_weight"] <= settings["summary_weight"]:
         faults.append("settings.title_weight: must exceed summary_weight")
     negatives = _terms(root.get("global_negative_phrases", {}), -1, "global_negative_phrases", faults)
     named = [c for c in CATEGORIES if c not in ("unclassified", "irrelevant")]
     rules = []
-    for name, body in _exact(root.get("categories", {}), named, "categories", faults).items():
-        body = _exact(body, ("priority", *TERMS), name, faults)
+    for name, body in exact(root.get("categories", {}), named, "categories", faults).items():
+        body = exact(body, ("priority", *TERMS), name, faults)
         if not isinstance(body.get("priority", 0), int) or isinstance(body.get("priority"), bool):
             faults.append(f"{name}.priority: needs an integer")
         kinds = {k: _terms(body.get(k, {}), sign, f"{name}.{k}", faults) for k, sign in TERMS.items()}
