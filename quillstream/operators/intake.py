@@ -91,26 +91,35 @@ def backfill(items: DataFrame, tags: dict[str, list[str]], types: list[tuple[lis
     })
 
 
+#: Columns of which values are counted, with the map's name.
+HISTOGRAMS = {"primary_type": "primary_types", "verification_status": "verification_statuses", "review_status": "review_statuses"}
+
+
 def preview_stats(rows: DataFrame) -> DataFrame:
-    """rows(source_id, site_host, error, canonical_url, published_at, accepted, reason) -> one row a source: sums, ratios over
-    all rows (one at least), and maps of how often each failure and each rejection occurs.
+    """rows(source_id, site_host, error, canonical_url, published_at, accepted, reason) -> one row a source: its status, sums,
+    ratios over the rows without an error (one at least), and maps of how often each failure and each rejection occurs
+    and, of those of HISTOGRAMS that rows have, each value among the rows without an error.
 
-    A row whose address an earlier one has counts as a duplicate: all but one of each address do."""
+    A row whose address an earlier one has counts as a duplicate: all but one of each address do.  A source with rows
+    of which none is without an error has failed.  Maps of nothing are null."""
     valid = F.col("error").isNull()
     host = U.host(F.col("canonical_url"))
-    n = F.greatest(F.count(F.lit(1)), F.lit(1))
     ok, dated, linked = F.count_if(valid), F.count_if(valid & F.col("published_at").isNotNull()), F.count_if(valid & (host != ""))
-    outside = F.count_if(valid & (host != F.col("site_host")))
+    n = F.greatest(ok, F.lit(1))
+    outside = F.count_if(valid & (host != "") & (host != F.col("site_host")))
     twice = ok - F.count_distinct(F.when(valid, F.col("canonical_url")))
     sums = rows.groupBy("source_id").agg(
-        F.count(F.lit(1)).alias("discovered"), F.count_if(valid & F.col("accepted")).alias("accepted"), F.count_if(valid & ~F.col("accepted")).alias("rejected"), F.count_if(~valid).alias("failed"),
+        F.when(ok == 0, "failed").otherwise("success").alias("status"), F.count(F.lit(1)).alias("discovered"), ok.alias("normalized"),
+        F.count_if(valid & F.col("accepted")).alias("accepted"), F.count_if(valid & ~F.col("accepted")).alias("rejected"), F.count_if(~valid).alias("failed"),
         (ok / n).alias("title_ratio"), (dated / n).alias("date_ratio"), (linked / n).alias("link_ratio"), (outside / n).alias("external_ratio"), twice.alias("duplicates"), (twice / n).alias("duplicate_ratio"),
     )
-    for name, which in (("failures", F.col("error")), ("rejections", F.when(valid & ~F.col("accepted"), F.col("reason")))):
-        counts = rows.select("source_id", which.alias("k")).filter("k is not null").groupBy("source_id", "k").agg(F.count(F.lit(1)).alias("n"))
-        maps = counts.groupBy("source_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).alias(name))
-        sums = sums.join(maps, "source_id", "left")
-    return sums
+    counted = {"failures": F.col("error"), "rejections": F.when(valid & ~F.col("accepted"), F.col("reason"))} | {name: F.when(valid, F.col(c)) for c, name in HISTOGRAMS.items() if c in rows.columns}
+    # one pass for all maps: a row for each value, counted before it is sent
+    values = F.array(*[F.struct(F.lit(name).alias("map"), v.alias("k")) for name, v in counted.items()])
+    counts = rows.select("source_id", F.inline(values)).filter("k is not null").groupBy("source_id", "map", "k").agg(F.count(F.lit(1)).alias("n"))
+    entries = lambda name: F.array_sort(F.collect_list(F.when(F.col("map") == name, F.struct("k", "n"))))
+    maps = counts.groupBy(F.col("source_id").alias("_of")).agg(*[F.when(F.size(entries(name)) > 0, F.map_from_entries(entries(name))).alias(name) for name in counted])
+    return sums.join(maps, F.col("source_id").eqNullSafe(F.col("_of")), "left").drop("_of")
 
 
 def preview(rows: DataFrame, most: int = 10) -> DataFrame:

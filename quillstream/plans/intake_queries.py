@@ -104,18 +104,26 @@ def _seen(spark, d):
     })
 
 
+_TYPES_SEEN = {"verification_statuses": "verification_status", "review_statuses": "review_status", "primary_types": "primary_type"}
+_FLAT = ("failures", "rejections", *_TYPES_SEEN)
+
+
 @query(
     "preview_quality_stats",
     X.WITH
-    + f""", {_SEEN}, counted AS (SELECT source_id, count(*) AS discovered, count(*) FILTER (WHERE error IS NULL AND accepted) AS accepted, count(*) FILTER (WHERE error IS NULL AND NOT accepted) AS rejected, count(error) AS failed,
-    count(*) FILTER (WHERE error IS NULL) AS ok, count(published_at) FILTER (WHERE error IS NULL) AS dated, count(*) FILTER (WHERE error IS NULL AND site_host <> 'host.example') AS outside, count(DISTINCT CASE WHEN error IS NULL THEN canonical_url END) AS urls,
-    count(*) FILTER (WHERE error IS NULL AND NOT accepted AND id % 2 = 0) AS below, count(*) FILTER (WHERE error = 'item title is empty') AS empty FROM seen GROUP BY source_id)
-    SELECT source_id, discovered, accepted, rejected, failed, ok / discovered AS title_ratio, dated / discovered AS date_ratio, ok / discovered AS link_ratio, outside / discovered AS external_ratio, ok - urls AS duplicates, (ok - urls) / discovered AS duplicate_ratio,
-    nullif(below, 0) AS below, nullif(empty, 0) AS empty FROM counted""",
+    + f""", {_SEEN}, typed AS (SELECT s.*, i.primary_type, i.verification_status, i.review_status FROM seen s JOIN items i ON i.id = s.id),
+    counted AS (SELECT source_id, count(*) AS discovered, count(*) FILTER (WHERE error IS NULL AND accepted) AS accepted, count(*) FILTER (WHERE error IS NULL AND NOT accepted) AS rejected, count(error) AS failed,
+    count(*) FILTER (WHERE error IS NULL) AS ok, count(published_at) FILTER (WHERE error IS NULL) AS dated, count(*) FILTER (WHERE error IS NULL AND site_host <> 'host.example') AS outside, count(DISTINCT CASE WHEN error IS NULL THEN canonical_url END) AS urls FROM seen GROUP BY source_id),
+    long AS (SELECT source_id, 'failures' AS m, error AS k FROM typed UNION ALL SELECT source_id, 'rejections', reason FROM typed WHERE error IS NULL AND NOT accepted {" ".join(f"UNION ALL SELECT source_id, '{m}', {c} FROM typed WHERE error IS NULL" for m, c in _TYPES_SEEN.items())}),
+    maps AS (SELECT source_id, m, string_agg(k || ':' || n, ',' ORDER BY k) AS v FROM (SELECT source_id, m, k, CAST(count(*) AS VARCHAR) AS n FROM long WHERE k IS NOT NULL GROUP BY ALL) GROUP BY source_id, m)
+    SELECT source_id, CASE WHEN ok = 0 THEN 'failed' ELSE 'success' END AS status, discovered, ok AS normalized, accepted, rejected, failed, ok / greatest(ok, 1) AS title_ratio, dated / greatest(ok, 1) AS date_ratio, ok / greatest(ok, 1) AS link_ratio, outside / greatest(ok, 1) AS external_ratio,
+    ok - urls AS duplicates, (ok - urls) / greatest(ok, 1) AS duplicate_ratio, {", ".join(f"(SELECT v FROM maps WHERE maps.source_id = counted.source_id AND m = '{m}') AS {m}" for m in _FLAT)} FROM counted""",
 )
 def preview_quality_stats(spark, d):
-    out = I.preview_stats(_seen(spark, d))
-    return out.withColumns({"below": F.try_element_at("rejections", F.lit("quality.below_minimum")), "empty": F.try_element_at("failures", F.lit("item title is empty"))}).drop("failures", "rejections")
+    types = X.items(spark, d).select("id", *I.HISTOGRAMS)
+    out = I.preview_stats(_seen(spark, d).join(types, "id"))
+    flat = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    return out.withColumns({m: flat(F.col(m)) for m in _FLAT})
 
 
 @query(

@@ -16,29 +16,29 @@ PACKS = {
 version: v2
 role: official_policy
 rules:
-  - {id: policy.low, priority: 40, primary_type: report_release, subject_terms: [time, people], action_terms: [], exclude_terms: [], topic_tags: []}
-  - {id: policy.high, priority: 100, primary_type: policy_standard, subject_terms: [" World ", "many"], action_terms: [have, will], exclude_terms: [only], topic_tags: [policy, agent]}
+  - {id: policy.low, priority: 40, primary_type: report_release, subject_terms: [tion, from], action_terms: [], exclude_terms: [], topic_tags: []}
+  - {id: policy.high, priority: 100, primary_type: policy_standard, subject_terms: [" That ", "this"], action_terms: [with, ther], exclude_terms: [from], topic_tags: [policy, agent]}
 """,
     "report_hub": """
 version: v2
 role: report_hub
 rules:
-  - {id: report.one, priority: 60, primary_type: report_release, subject_terms: [which], action_terms: [], exclude_terms: [], topic_tags: [case]}
-  - {id: report.two, priority: 60, primary_type: case_analysis, subject_terms: [first], action_terms: [], exclude_terms: [], topic_tags: []}
+  - {id: report.one, priority: 60, primary_type: report_release, subject_terms: [that], action_terms: [], exclude_terms: [], topic_tags: [case]}
+  - {id: report.two, priority: 60, primary_type: case_analysis, subject_terms: [with], action_terms: [], exclude_terms: [], topic_tags: []}
 """,
     "media_discovery": "{version: v2, role: media_discovery, rules: [{id: media.all, priority: 100, primary_type: industry_signal, subject_terms: [], action_terms: [], exclude_terms: [], topic_tags: []}]}",
 }
-_TOPIC_WORDS = dict(zip(D.TOPICS, "time people world which other their about would there could after where".split(), strict=True))
-_INDUSTRY_WORDS = dict(zip(D.INDUSTRIES[:-1], "year city work school state house water music game film".split(), strict=True))
+_TOPIC_WORDS = dict(zip(D.TOPICS, "that tion ther thes thed erin this with from erth eren thha".split(), strict=True))
+_INDUSTRY_WORDS = dict(zip(D.INDUSTRIES[:-1], "that with this from tion ther thes eren thed thnt".split(), strict=True))
 TAGS = "version: v2\n" + "".join(f"{key}:\n" + "".join(f"  {t}: [{w.upper()}]\n" for t, w in words.items()) for key, words in (("topic_tags", _TOPIC_WORDS), ("industry_tags", _INDUSTRY_WORDS)))
 
 # written out by hand, not from the packs
-_BY_HAND = """CASE WHEN s_role = 'media_discovery' THEN 'industry_signal' WHEN s_role = 'official_policy' AND NOT contains(content, 'only') AND (contains(content, 'world') OR contains(content, 'many')) AND (contains(content, 'have') OR contains(content, 'will')) THEN 'policy_standard'
-WHEN s_role = 'official_policy' AND (contains(content, 'time') OR contains(content, 'people')) THEN 'report_release' WHEN s_role = 'report_hub' AND contains(content, 'which') AND contains(content, 'first') THEN 'conflict'
-WHEN s_role = 'report_hub' AND contains(content, 'which') THEN 'report_release' WHEN s_role = 'report_hub' AND contains(content, 'first') THEN 'case_analysis' END"""
+_BY_HAND = """CASE WHEN s_role = 'media_discovery' THEN 'industry_signal' WHEN s_role = 'official_policy' AND NOT contains(content, 'from') AND (contains(content, 'that') OR contains(content, 'this')) AND (contains(content, 'with') OR contains(content, 'ther')) THEN 'policy_standard'
+WHEN s_role = 'official_policy' AND (contains(content, 'tion') OR contains(content, 'from')) THEN 'report_release' WHEN s_role = 'report_hub' AND contains(content, 'that') AND contains(content, 'with') THEN 'conflict'
+WHEN s_role = 'report_hub' AND contains(content, 'that') THEN 'report_release' WHEN s_role = 'report_hub' AND contains(content, 'with') THEN 'case_analysis' END"""
 _MORE = {
-    "agent": "s_role = 'official_policy' AND NOT contains(content, 'only') AND (contains(content, 'world') OR contains(content, 'many')) AND (contains(content, 'have') OR contains(content, 'will'))",
-    "case": "s_role = 'report_hub' AND contains(content, 'which')",
+    "agent": "s_role = 'official_policy' AND NOT contains(content, 'from') AND (contains(content, 'that') OR contains(content, 'this')) AND (contains(content, 'with') OR contains(content, 'ther'))",
+    "case": "s_role = 'report_hub' AND contains(content, 'that')",
 }
 _MORE["policy"] = _MORE["agent"]
 _tags = lambda words: "concat_ws(',', " + ", ".join(f"CASE WHEN contains(content, '{w}'){' OR (' + _MORE[t] + ')' if t in _MORE else ''} THEN '{t}' END" for t, w in words.items()) + ")"

@@ -59,12 +59,12 @@ def test_faults_of_whole_catalogues():
 
 def test_role_packs_are_ordered_and_checked():
     low, high = (r for r in reversed(load_role_pack(PACKS["official_policy"], "official_policy")))
-    assert (high.id, high.subjects, high.topics, low.priority) == ("policy.high", ("world", "many"), ("policy", "agent"), 40)
+    assert (high.id, high.subjects, high.topics, low.priority) == ("policy.high", ("that", "this"), ("policy", "agent"), 40)
     assert load_role_pack("whatever", "fallback") == []
     good = PACKS["official_policy"]
     for part, broken, fault in (
         ("version: v2", "version: v1", "version"), ("role: official_policy", "role: report_hub", "not official_policy"), ("policy.low", "policy.high", "rule given twice"), ("priority: 40", "priority: high", "integer"), ("priority: 40, ", "", "no priority"),
-        ("report_release", "reports", "primary_type"), ("[time, people]", "[time, TIME]", "given twice"), ("[time, people]", "[time, '']", "list of texts"), ("[policy, agent]", "[policy, agents]", "no topic"), ("id: policy.low", "id: 3", "needs a text"),
+        ("report_release", "reports", "primary_type"), ("[tion, from]", "[tion, TION]", "given twice"), ("[tion, from]", "[tion, '']", "list of texts"), ("[policy, agent]", "[policy, agents]", "no topic"), ("id: policy.low", "id: 3", "needs a text"),
     ):
         assert part in good
         with pytest.raises(PackError, match=fault):
@@ -73,7 +73,26 @@ def test_role_packs_are_ordered_and_checked():
 
 def test_tags_name_every_topic_and_industry():
     tags = load_tags(TAGS)
-    assert list(tags.topics) == D.TOPICS and list(tags.industries) == D.INDUSTRIES[:-1] and tags.topics["model"] == ["time"]
-    for part, broken, fault in (("  model: [TIME]\n", "", "no model"), ("  model: [TIME]", "  model: [TIME]\n  general: [x]", "unknown key general"), ("[TIME]", "[TIME, time]", "given twice"), ("[TIME]", "3", "list of texts"), ("version: v2", "version: 2", "version")):
+    assert list(tags.topics) == D.TOPICS and list(tags.industries) == D.INDUSTRIES[:-1] and tags.topics["model"] == ["that"]
+    for part, broken, fault in (("  model: [THAT]\n", "", "no model"), ("  model: [THAT]", "  model: [THAT]\n  general: [x]", "unknown key general"), ("[THAT]", "[TIME, time]", "given twice"), ("[THAT]", "3", "list of texts"), ("version: v2", "version: 2", "version")):
         with pytest.raises(PackError, match=fault):
             load_tags(TAGS.replace(part, broken))
+
+
+def test_preview_statistics_by_hand(spark):
+    """Ratios are over the rows without an error; a source of which none is left has failed."""
+    from quillstream.operators.intake import preview_stats
+
+    rows = [
+        (1, "a.example", None, "https://a.example/1", 5, True, None, "case_analysis"), (1, "a.example", None, "https://a.example/1", None, False, "low", None), (1, "a.example", "no title", None, 5, True, None, "report_release"),
+        (1, "a.example", None, "https://b.example/2", 5, False, "low", "case_analysis"), (2, "a.example", "no title", None, None, None, None, None), (None, None, None, None, None, True, None, "case_analysis"),
+    ]
+    df = spark.createDataFrame(rows, "source_id long, site_host string, error string, canonical_url string, published_at long, accepted boolean, reason string, primary_type string")
+    got = {r.source_id: r for r in preview_stats(df).collect()}
+    a, b, none = got[1], got[2], got[None]
+    assert (a.status, a.discovered, a.normalized, a.accepted, a.rejected, a.failed, a.duplicates) == ("success", 4, 3, 1, 2, 1, 1)
+    assert (a.title_ratio, round(a.date_ratio, 6), a.link_ratio, round(a.external_ratio, 6)) == (1.0, 0.666667, 1.0, 0.333333)
+    assert (a.failures, a.rejections, a.primary_types) == ({"no title": 1}, {"low": 2}, {"case_analysis": 2})
+    assert (b.status, b.failed, b.title_ratio, b.failures, b.rejections, b.primary_types) == ("failed", 1, 0.0, {"no title": 1}, None, None)
+    assert (none.normalized, none.link_ratio, none.primary_types) == (1, 0.0, {"case_analysis": 1})
+    assert preview_stats(df.filter("false")).isEmpty()
