@@ -30,6 +30,7 @@ from .quality import SPACES
 GROUP = 2_000  #: documents that one rounding group holds, about
 STEPS = 60
 NEAR = 1e-9
+DIGITS = 9  #: of a multiplier that count
 
 
 def sizes(text) -> F.Column:
@@ -111,7 +112,8 @@ def mix(docs: DataFrame, ws: Workspace, weights=(3, 1, 2), factor: float = 1.5,
     histogram = ws.save(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
     per_source = histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("total"), F.sum("n").alias("n"))
     per_source = ws.save(targets(per_source, weights, factor, float(most)), "targets")
-    solved = multipliers(histogram, per_source, ws, float(most))
+    # sums of floating-point numbers depend on their order: digits past the solution's tolerance would differ between reruns
+    solved = multipliers(histogram, per_source, ws, float(most)).withColumn("a", F.round("a", DIGITS))
     rates = per_source.join(solved.select(F.col("source").alias("s"), "mean", "a"), F.col("source").eqNullSafe(F.col("s"))).select(
         F.col("source").alias("_s"), F.col("total").alias("source_size"), "target", "n", "mean", "a"
     )
