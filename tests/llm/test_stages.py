@@ -128,7 +128,9 @@ def test_the_whole_pipeline_from_tables(spark, docs, folder):
     docs.drop("key", "at").write.parquet(f"{folder}/documents.parquet")
     got = corpus_pipeline.run(spark, folder).collect()
     ids = {r.doc_id for r in got}
-    assert {3, 14} <= ids and not {0, 1, 2, 4, 5, 10, 11, 15, 16, 17} & ids
+    assert {3, 14} <= ids and not {0, 1, 2, 4, 5, 10, 11, 16, 17} & ids
+    # line dedup leaves of document 15 the one line that 14 lacks, which is like no other text
+    assert [r["size"] for r in got if r.doc_id == 15] == [13]
     assert all(r.taken == r["copies"] * r["size"] for r in got)
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/none/documents.parquet")
     spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{folder}/none/benchmark.parquet")
