@@ -9,6 +9,10 @@ A batch reads and rewrites only the buckets that it touches.  All its files come
 starts from the newest complete manifest, so a batch is seen whole or not at all; a repeated attempt overwrites what
 an interrupted one has left.  One writer at a time.
 
+Which item a row hits is found from keys alone.  The rows are then dealt by their item's bucket, and a part of the
+buckets after the other meets its stored items, so that whole texts are shuffled for one part at a time.  Such
+intermediate tables stand in work/ as long as the batch lasts.
+
 A batch has seq (its order), run_id (ascending with seq), run_at, source_id, source_name, canonical_url,
 original_url, fingerprint, parent_fingerprint and the columns of CONTENT, TAXONOMY, VERIFICATION and CLASSES; those
 that it lacks are null.  Rows persist in order of seq:
@@ -57,6 +61,10 @@ OUTCOME = {"seq": "long", "run_id": "long", "source_id": "long", "item_id": "str
 GROUPS = [(CONTENT | CLASSES, None, None), (TAXONOMY, "primary_type", None), (VERIFICATION, "verification_status", "verification_manually_set"), (REVIEW, "review_status", "review_manually_set")]
 
 
+#: Bytes of files that one part of the buckets takes, and how many parts there are at most.
+PART_BYTES, PARTS = 64 << 20, 16
+
+
 def _schema(columns: dict[str, str]) -> str:
     return ", ".join(f"{c} {t}" for c, t in columns.items())
 
@@ -65,6 +73,11 @@ def item_id(url: Column) -> Column:
     return F.substring(F.sha2(url, 256), 1, 32)
 
 
+def _short(fingerprint: Column) -> Column:
+    """Of a long one its hash, which no short one equals, so that matches carry no whole titles."""
+    return F.when(F.length(fingerprint) > 64, F.concat(F.lit("#"), F.sha2(fingerprint, 256))).otherwise(fingerprint)
+
+
 class ItemStore:
     """A store in the folder `root`, on any file system that Spark writes to."""
 
@@ -124,10 +137,10 @@ class ItemStore:
         one = reduce(DataFrame.unionAll, [of.select(c.alias("b")) for c in columns])
         return [r.b for r in one.filter("b IS NOT NULL").distinct().collect()]
 
-    def _write(self, rows: DataFrame, kind: str, columns: dict[str, str], version: int, bucket: Column | None = None) -> None:
+    def _write(self, rows: DataFrame, kind: str, columns: dict[str, str], version: int, bucket: Column | None = None, mode: str = "overwrite") -> None:
         out = rows.select(*[F.col(c).cast(t).alias(c) for c, t in columns.items()], *([bucket.alias("bucket")] if bucket is not None else []))
-        writer = (out.repartition("bucket") if bucket is not None else out).write.mode("overwrite")
-        (writer.partitionBy("bucket") if bucket is not None else writer).parquet(f"{self.root}/{kind}/v={version:09d}")
+        out = out.hint("rebalance", F.col("bucket")) if bucket is not None else out
+        P.write_files(out, f"{self.root}/{kind}/v={version:09d}", mode, "bucket" if bucket is not None else None)
 
     def persist(self, batch: DataFrame, stream: tuple[str, int] | None = None) -> DataFrame:
         """Persists a batch as the next version; returns the outcomes of its rows.
@@ -137,31 +150,64 @@ class ItemStore:
         manifest = self._manifest(last)
         if stream and manifest.get((f"stream:{stream[0]}", -1), -1) >= stream[1]:
             return self.spark.createDataFrame([], _schema(OUTCOME))
-        version = last + 1
-        given = {c.lower() for c in batch.columns}
-        rows = P.checkpointed(batch.select(*[(F.col(c) if c.lower() in given else F.lit(None)).cast(t).alias(c) for c, t in BATCH.items()]))
-
-        valid = F.col("canonical_url").isNotNull() & F.col("source_id").isNotNull() & F.col("seq").isNotNull() & F.col("run_id").isNotNull()
-        hits = P.checkpointed(self._hits(rows.filter(valid), manifest))
-        old = self._read("items", ITEM, manifest, touched := self._touched(self._bucket(F.col("item_url")), of=hits))
-        applied = P.checkpointed(self._applied(hits, old))
-        changed = P.checkpointed(self._changed(applied, old, hits))
-        keep = old.join(changed.select("item_id"), "item_id", "left_anti")
-        self._write(keep.unionByName(changed.select(*ITEM)), "items", ITEM, version, self._bucket(F.col("canonical_url")))
-        new = hits.filter("inserted").select(*[F.col(c) for c in ("source_id", "fingerprint", "item_id", "canonical_url")]).filter("fingerprint IS NOT NULL")
-        marks = self._bucket(F.col("source_id"), F.col("fingerprint"))
-        touched_marks = self._touched(marks, of=new)
-        self._write(self._read("prints", PRINT, manifest, touched_marks).unionByName(new), "prints", PRINT, version, marks)
-        self._write(self._revised(applied), "revisions", REVISION, version)
-        invalid = rows.filter(~valid).select("seq", "run_id", "source_id", *[F.lit(x).cast("string").alias(c) for c, x in (("item_id", None), ("outcome", "invalid"), ("category", None))])
-        self._write(self._outcomes(hits, applied).unionByName(invalid), "outcomes", OUTCOME, version)
-
+        version, work = last + 1, P.Work(self.spark, f"{self.root}/work")
+        work.drop()  # what an interrupted attempt has left
+        try:
+            touched, touched_marks = self._persist(batch, manifest, version, work)
+        finally:
+            work.drop()
         manifest |= {("items", b): version for b in touched} | {("prints", b): version for b in touched_marks}
         if stream:
             manifest[f"stream:{stream[0]}", -1] = stream[1]
         self._publish(manifest, version)
         return self.spark.read.schema(_schema(OUTCOME)).parquet(f"{self.root}/outcomes/v={version:09d}")
 
+    def _persist(self, batch: DataFrame, manifest: dict, version: int, work: P.Work) -> tuple[list[int], list[int]]:
+        """Writes all of a version but its manifest; the buckets of items and of prints that have new files."""
+        begun = set()
+
+        def put(rows: DataFrame, kind: str, columns: dict[str, str], bucket: Column | None = None) -> None:
+            self._write(rows, kind, columns, version, bucket, "append" if kind in begun else "overwrite")
+            begun.add(kind)
+
+        given = {c.lower() for c in batch.columns}
+        rows = work.save(batch.select(*[(F.col(c) if c.lower() in given else F.lit(None)).cast(t).alias(c) for c, t in BATCH.items()]), "rows")
+        valid = F.col("canonical_url").isNotNull() & F.col("source_id").isNotNull() & F.col("seq").isNotNull() & F.col("run_id").isNotNull()
+        hits = work.save(self._hits(rows.filter(valid), manifest, work))
+        hits = work.save(self._counting(hits, self._read("items", ITEM, manifest, self._touched(F.col("bucket"), of=hits))))
+        none = lambda of, name: of.select("seq", "run_id", "source_id", *[x.alias(c) for c, x in (("item_id", F.col("item_id") if "item_id" in of.columns else F.lit(None)), ("outcome", F.lit(name)), ("category", F.lit(None)))])
+        rest = work.save(none(rows.filter(~valid), "invalid").unionByName(none(hits.filter(~F.col("counts")), "in_batch_duplicate")).select(*[F.col(c).cast(t) for c, t in OUTCOME.items()]))
+
+        hits = hits.filter("counts")
+        touched = self._touched(F.col("bucket"), of=hits)
+        parts = self._parts(manifest, touched, work)
+        counting = rows.join(hits.select("seq", "item_id", "item_url", "owner", "inserted", "parent_id", (F.col("bucket") % parts).alias("part")), "seq")
+        counting = work.save(counting, "counting", by="part")
+        work.drop("rows")
+
+        new = counting.filter("inserted").select(*PRINT).filter("fingerprint IS NOT NULL")
+        marks = self._bucket(F.col("source_id"), F.col("fingerprint"))
+        touched_marks = self._touched(marks, of=new)
+        put(self._read("prints", PRINT, manifest, touched_marks).unionByName(new), "prints", PRINT, marks)
+        for part in sorted({b % parts for b in touched}):
+            old = self._read("items", ITEM, manifest, [b for b in touched if b % parts == part])
+            applied = work.save(self._applied(self.spark.read.schema(counting.drop("part").schema).parquet(f"{work.root}/counting/part={part}"), old), "applied")
+            work.drop(f"counting/part={part}")
+            put(self._after(applied, old), "items", ITEM, self._bucket(F.col("canonical_url")))
+            put(self._revised(applied), "revisions", REVISION)
+            put(self._outcomes(applied), "outcomes", OUTCOME)
+            work.drop("applied")
+        if not touched:
+            put(self.spark.createDataFrame([], _schema(REVISION)), "revisions", REVISION)
+        put(rest, "outcomes", OUTCOME)
+        return touched, touched_marks
+
+    def _parts(self, manifest: dict, touched: list[int], work: P.Work) -> int:
+        """In how many parts the touched buckets are taken: by the size of the batch and of their stored items."""
+        stored = P.Work(self.spark, f"{self.root}/items")
+        size = work.bytes("rows") + sum(stored.bytes(f"v={manifest['items', b]:09d}/bucket={b}") for b in touched if ("items", b) in manifest)
+        return max(1, min(PARTS, self.buckets, -(-size // PART_BYTES)))
+
     def replace(self, items: DataFrame) -> None:
         """A version whose items are these, such as a manual mutation's result; addresses and fingerprints stay as they were."""
         version, manifest = self.version() + 1, self._manifest(self.version())
@@ -174,16 +220,18 @@ class ItemStore:
         listed = self.spark.createDataFrame([(k, b, at) for (k, b), at in manifest.items()], "kind string, bucket long, at long")
         listed.coalesce(1).write.mode("overwrite").json(f"{self.root}/manifest/v={version:09d}")
 
-    def _hits(self, rows: DataFrame, manifest: dict) -> DataFrame:
-        """rows with item_id, item_url, the item's own source, parent_id, and whether the row inserts it."""
-        mark, over = self._bucket(F.col("source_id"), F.col("fingerprint")), self._bucket(F.col("source_id"), F.col("parent_fingerprint"))
+    def _hits(self, rows: DataFrame, manifest: dict, work: P.Work) -> DataFrame:
+        """Of rows, their keys with item_id, item_url and its bucket, the item's own source, parent_id, and whether the row inserts it."""
+        sought = F.when(F.length("parent_fingerprint") == 64, F.col("parent_fingerprint"))
+        marks = [F.when(x.isNotNull(), self._bucket(F.col("source_id"), x)) for x in (F.col("fingerprint"), sought)]
+        prints = self._read("prints", PRINT, manifest, self._touched(*marks, of=rows)).withColumn("fingerprint", _short(F.col("fingerprint")))
         stored = self._read("items", ITEM, manifest, self._touched(self._bucket(F.col("canonical_url")), of=rows)).select("canonical_url", F.col("item_id").alias("u_id"), F.col("source_id").alias("u_source"))
-        prints = self._read("prints", PRINT, manifest, self._touched(mark, over, of=rows))
+        rows = rows.select("seq", "run_id", "source_id", "canonical_url", _short(F.col("fingerprint")).alias("fingerprint"), sought.alias("sought"))
         by_mark = prints.select("source_id", "fingerprint", F.col("item_id").alias("f_id"), F.col("canonical_url").alias("f_url"))
         met = rows.join(stored, "canonical_url", "left").join(by_mark, ["source_id", "fingerprint"], "left")
-        met = P.checkpointed(met)
+        met = work.save(met)
         fresh = met.filter("u_id IS NULL AND f_id IS NULL")
-        into = P.checkpointed(P.first_wins(fresh.select(F.col("seq").alias("rowno"), "source_id", "canonical_url", "fingerprint")))
+        into = work.save(P.first_wins(fresh.select(F.col("seq").alias("rowno"), "source_id", "canonical_url", "fingerprint"), work.save))
         anchor = fresh.join(into.filter("rowno = into").select(F.col("rowno").alias("seq")), "seq", "left_semi").select(F.col("seq").alias("a_seq"), F.col("canonical_url").alias("a_url"), F.col("source_id").alias("a_source"), F.col("fingerprint").alias("a_print"))
         # a row that no stored address knows: an address of this batch before it, then a stored fingerprint, then one of this batch
         by_url = anchor.select(F.col("a_url").alias("canonical_url"), F.col("a_seq").alias("n_seq"), F.col("a_source").alias("n_source"))
@@ -192,23 +240,26 @@ class ItemStore:
         case = lambda stored, url, mark, other: F.when(F.col("u_id").isNotNull(), stored).when(near, url).when(F.col("f_id").isNotNull(), mark).otherwise(other)
         url = case(F.col("canonical_url"), F.col("canonical_url"), F.col("f_url"), F.col("a_url"))
         out = met.join(by_url, "canonical_url", "left").join(by_order, "seq", "left").select(
-            *rows.columns, case(F.col("u_id"), item_id(F.col("canonical_url")), F.col("f_id"), item_id(F.col("a_url"))).alias("item_id"), url.alias("item_url"),
+            "seq", "run_id", "source_id", "sought", case(F.col("u_id"), item_id(F.col("canonical_url")), F.col("f_id"), item_id(F.col("a_url"))).alias("item_id"), url.alias("item_url"),
             case(F.col("u_source"), F.col("n_source"), F.col("source_id"), F.col("a_source")).alias("owner"), (F.col("u_id").isNull() & F.coalesce(F.col("n_seq") == F.col("seq"), F.lit(False))).alias("inserted"),
         )
         # a parent is one that the source had before this row
         parents = prints.select(F.col("source_id").alias("p_source"), F.col("fingerprint").alias("p_print"), F.col("item_id").alias("parent_id"), F.lit(-1).cast("long").alias("p_seq")).unionByName(
             anchor.select(F.col("a_source").alias("p_source"), F.col("a_print").alias("p_print"), item_id(F.col("a_url")).alias("parent_id"), F.col("a_seq").alias("p_seq"))
         )
-        sought = F.when(F.length("parent_fingerprint") == 64, F.col("parent_fingerprint"))
-        found = out.select("seq", F.col("source_id").alias("p_source"), sought.alias("p_print")).filter("p_print IS NOT NULL").join(parents, ["p_source", "p_print"]).filter("p_seq < seq").select("seq", "parent_id")
-        return out.join(found, "seq", "left")
+        found = out.select("seq", F.col("source_id").alias("p_source"), F.col("sought").alias("p_print")).filter("p_print IS NOT NULL").join(parents, ["p_source", "p_print"]).filter("p_seq < seq").select("seq", "parent_id")
+        return out.drop("sought").join(found, "seq", "left").withColumn("bucket", self._bucket(F.col("item_url")))
 
-    def _applied(self, hits: DataFrame, old: DataFrame) -> DataFrame:
-        """The rows that count: of each item, run and source the first, unless the run has been there before."""
+    def _counting(self, hits: DataFrame, old: DataFrame) -> DataFrame:
+        """hits and whether a row counts: of each item, run and source the first does, unless the run has been there before."""
         firsts = hits.groupBy("item_id", "run_id", "source_id").agg(F.min("seq").alias("seq"))
         been = old.select("item_id", F.explode(F.concat(F.array(F.struct("source_id", "last_run")), F.transform("discoveries", lambda x: F.struct(x["source_id"].alias("source_id"), x["last_run"].alias("last_run"))))).alias("s")).select("item_id", "s.*")
-        fresh = firsts.join(been, ["item_id", "source_id"], "left").filter("last_run IS NULL OR last_run < run_id").select("seq")
-        rows = hits.join(fresh, "seq", "left_semi")
+        fresh = firsts.join(been, ["item_id", "source_id"], "left").filter("last_run IS NULL OR last_run < run_id").select("seq", F.lit(True).alias("counts"))
+        return hits.join(fresh, "seq", "left").withColumn("counts", F.coalesce("counts", F.lit(False)))
+
+    def _applied(self, rows: DataFrame, old: DataFrame) -> DataFrame:
+        """The rows that count with what they find: the content before them, and the category that the item has after them."""
+        columns = rows.columns
         own = F.col("source_id") == F.col("owner")
         before = old.select("item_id", F.struct(*CONTENT).alias("stored"), F.col("manual_category"), F.col("category").alias("stored_category"))
         rows = rows.join(before, "item_id", "left")
@@ -217,10 +268,10 @@ class ItemStore:
         upto = order.rowsBetween(Window.unboundedPreceding, -1)
         prior = F.coalesce(F.last(F.when(own, now), ignorenulls=True).over(upto), F.col("stored"))
         category = F.coalesce("manual_category", F.last(F.when(own, F.struct("category")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))["category"], "stored_category")
-        return rows.select(*hits.columns, own.alias("own"), F.when(own & ~F.col("inserted"), prior).alias("prior"), category.alias("effective"))
+        return rows.select(*columns, own.alias("own"), F.when(own & ~F.col("inserted"), prior).alias("prior"), category.alias("effective"))
 
-    def _changed(self, applied: DataFrame, old: DataFrame, hits: DataFrame) -> DataFrame:
-        """The items that the rows leave, new ones included."""
+    def _after(self, applied: DataFrame, old: DataFrame) -> DataFrame:
+        """The items that the rows leave: changed, new, and those of old that no row hits as they were."""
         own, pick = F.col("own"), lambda value, when: F.max_by(value, F.when(when, F.col("seq")))
         aggs = [pick(F.struct(*columns), own if has is None else own & F.col(has).isNotNull()).alias(f"g{i}") for i, (columns, has, _) in enumerate(GROUPS)]
         aggs += [pick(F.col("parent_id"), own & F.col("parent_id").isNotNull()).alias("parent"), F.max_by("run_at", "seq").alias("seen"), F.max(F.when(own, F.col("run_id"))).alias("run")]
@@ -234,9 +285,9 @@ class ItemStore:
         )
         lists = seen.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("source_id", "source_name", "first_seen_at", "last_seen_at", "last_run"))).alias("found"))
         was = old.select(*[F.col(c).alias(f"o_{c}") if c != "item_id" else F.col(c) for c in ITEM])
-        rows = by.join(was, "item_id", "left").join(lists, "item_id", "left")
-        made = F.col("o_source_id").isNull()
-        out = {"item_id": F.col("item_id"), "canonical_url": F.coalesce("o_canonical_url", "born.canonical_url", "url")}
+        rows = by.join(was, "item_id", "full").join(lists, "item_id", "left")
+        made, missed = F.col("o_source_id").isNull(), F.col("url").isNull()
+        out = {"canonical_url": F.coalesce("o_canonical_url", "born.canonical_url", "url")}
         for c in ("source_id", "original_url", "fingerprint"):
             out[c] = F.when(made, F.col(f"born.{c}")).otherwise(F.col(f"o_{c}"))
         for i, (columns, _, held) in enumerate(GROUPS):
@@ -247,7 +298,7 @@ class ItemStore:
             "admission_accepted": F.lit(True), "parent_item_id": F.coalesce("parent", "o_parent_item_id"), "discovered_at": F.coalesce("o_discovered_at", "born.run_at"), "last_seen_at": F.col("seen"),
             "last_run": F.coalesce("run", "o_last_run"), "discoveries": F.coalesce("found", F.array().cast(f"array<{SEEN}>")),
         }
-        return rows.select(*[out[c].cast(t).alias(c) for c, t in ITEM.items()])
+        return rows.select("item_id", *[F.when(missed, F.col(f"o_{c}")).otherwise(out[c].cast(t)).alias(c) for c, t in ITEM.items() if c != "item_id"])
 
     def _revised(self, applied: DataFrame) -> DataFrame:
         """old_data and new_data as JSON of the fields that changed, times in UTC."""
@@ -257,10 +308,10 @@ class ItemStore:
         pairs = lambda get: F.to_json(F.map_from_entries(F.array_compact(F.array(*[F.when(differs[c], F.struct(F.lit(c).alias("key"), as_text(c, get(c)).alias("value"))) for c in CONTENT]))), {"ignoreNullFields": "false"})
         return rows.select("item_id", "run_id", F.col("run_at").alias("changed_at"), pairs(lambda c: F.col(f"prior.{c}")).alias("old_data"), pairs(F.col).alias("new_data"))
 
-    def _outcomes(self, hits: DataFrame, applied: DataFrame) -> DataFrame:
+    def _outcomes(self, applied: DataFrame) -> DataFrame:
         changes = P.revision({c: F.col(f"prior.{c}") for c in CONTENT}, {c: F.col(c) for c in CONTENT})
-        known = applied.select("seq", P.outcome(F.when(F.col("inserted"), None).otherwise(F.col("owner")), F.col("source_id"), F.when(F.col("own"), changes), F.lit(False)).alias("outcome"), F.col("effective").alias("category"))
-        return hits.select("seq", "run_id", "source_id", "item_id").join(known, "seq", "left").withColumn("outcome", F.coalesce("outcome", F.lit("in_batch_duplicate")))
+        outcome = P.outcome(F.when(F.col("inserted"), None).otherwise(F.col("owner")), F.col("source_id"), F.when(F.col("own"), changes), F.lit(False))
+        return applied.select("seq", "run_id", "source_id", "item_id", outcome.alias("outcome"), F.col("effective").alias("category"))
 
 
 def insert_if_absent(rows: DataFrame, stored: DataFrame, key: str) -> DataFrame:

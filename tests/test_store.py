@@ -1,6 +1,9 @@
 """The item store against a fold over rows in plain Python."""
 
+import hashlib
+import os
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -176,3 +179,47 @@ def test_insert_if_absent(spark):
     stored = spark.createDataFrame([(1, "a")], "k int, v string")
     got = S.insert_if_absent(spark.createDataFrame([(1, "x"), (2, "c"), (2, "b")], "k int, v string"), stored, "k").collect()
     assert sorted(map(tuple, got)) == [(1, "a"), (2, "b")]
+
+
+def test_parts_of_the_buckets_are_as_good_as_all(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "PART_BYTES", 1)
+    test_store_is_a_fold(spark, tmp_path)
+    assert sorted(os.listdir(f"{tmp_path}/store")) == ["items", "manifest", "outcomes", "prints", "revisions"]
+
+
+def test_long_fingerprints_are_told_apart(spark, tmp_path):
+    """Long ones that differ late, and one that looks like the short form of another."""
+    long = [f"{k:0200d}" for k in range(3)]
+    marks = [*long, *(f"#{hashlib.sha256(x.encode()).hexdigest()}" for x in long), None]
+    r, fold = random.Random(5), Fold()
+    data = [x[:7] + (r.choice(marks), None) + x[9:] for x in rows(5, 60, 2)]
+    for x in data:
+        fold.add(x)
+    store = S.ItemStore(spark, f"file://{tmp_path}/store", buckets=2)
+    for part in (data[:25], data[25:]):
+        store.persist(spark.createDataFrame(part, SCHEMA))
+    assert state(store.items()) == wanted(fold, spark)
+
+
+def test_a_batch_leaves_no_copies_of_its_texts(spark, tmp_path):
+    """Neither checkpoints nor shuffle files: on disk stands what the store holds."""
+    r, n, size = random.Random(6), 300, 20_000
+    text = lambda: "".join(r.choices("abcdefghijklmnop", k=size))
+    batch = lambda run: spark.createDataFrame([(run * n + i, run, T0, i % 3, f"https://h.example/{i}", f"{i}", text()) for i in range(n)], "seq long, run_id long, run_at timestamp, source_id long, canonical_url string, fingerprint string, summary string")
+    batches, store = [batch(1), batch(2)], S.ItemStore(spark, f"file://{tmp_path}/store", buckets=3)
+    P.checkpointed(spark.range(1))
+    folders = [str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    folders.append(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+
+    def held():
+        files = [os.path.join(d, f) for top in folders for d, _, names in os.walk(top) for f in names]
+        return sum(os.path.getsize(f) for f in files if os.path.exists(f))
+
+    before = held()
+    for x in batches:
+        store.persist(x)
+    until = time.time() + 30  # shuffle files go a little later
+    while held() - before > n * size // 2 and time.time() < until:
+        time.sleep(0.5)
+    assert held() - before <= n * size // 2
+    assert store.revisions().count() == n and store.items().filter(F.length("summary") == size).count() == n
