@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillstream.operators import store as S
 from quillstream.operators import upsert as P
+from quillstream.plans import registry
 from quillstream.streaming.ingest import ingest_items
 
 T0 = datetime(2025, 1, 1)
@@ -223,3 +224,17 @@ def test_a_batch_leaves_no_copies_of_its_texts(spark, tmp_path):
         time.sleep(0.5)
     assert held() - before <= n * size // 2
     assert store.revisions().count() == n and store.items().filter(F.length("summary") == size).count() == n
+
+
+@pytest.mark.parametrize("name", ["store_revisions"])
+def test_a_query_leaves_its_store_only(spark, name):
+    """No checkpoints of the batches, no intermediate tables, and texts in small files."""
+    P.checkpointed(spark.range(1))
+    shared, checkpoints = spark.conf.get("spark.checkpoint.dir").removeprefix("file://"), spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = {*os.listdir(shared)}, {*os.listdir(checkpoints)}
+    registry.queries()[name](spark, "/root/testdata/sf0.001").collect()
+    assert {*os.listdir(checkpoints)} == before[1]
+    (store,) = {*os.listdir(shared)} - before[0]
+    assert sorted(os.listdir(f"{shared}/{store}")) == ["items", "manifest", "outcomes", "prints", "revisions"]
+    files = [f for _, _, names in os.walk(f"{shared}/{store}") for f in names if f.endswith(".parquet")]
+    assert files and all(".zstd." in f for f in files)
