@@ -226,7 +226,7 @@ def test_a_batch_leaves_no_copies_of_its_texts(spark, tmp_path):
     assert store.revisions().count() == n and store.items().filter(F.length("summary") == size).count() == n
 
 
-@pytest.mark.parametrize("name", ["store_revisions"])
+@pytest.mark.parametrize("name", ["store_revisions", "store_run_counters"])
 def test_a_query_leaves_its_store_only(spark, name):
     """No checkpoints of the batches, no intermediate tables, and texts in small files."""
     P.checkpointed(spark.range(1))
